@@ -1,4 +1,266 @@
 """All queries by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tapeworks.functions.windows import lead
+from tapeworks.operators import backtest as bt
+from tapeworks.operators import charts, decision, factors, indicators, levels, research, signals
+from tapeworks.plans.sql import FACTORS, NAMES, r6, upto
+from tapeworks.sources import bars as src
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+OHLC = ("open", "high", "low", "close", "volume", "amount")
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.add_indicators(src.event_bars(spark, sf_dir))
+
+
+def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.add_setups(signals.add_regime(factors.add_factors(enriched(spark, sf_dir))))
+
+
+def traded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    # the analysed bars are read three times (signals, fills, paths): computed once
+    full = analysed(spark, sf_dir).cache()
+    return bt.strategy(signals.signals(full), full)
+
+
+@query("bars_1h", upto("bars", f"select symbol, datetime, {r6(*OHLC)}, pos from bars"))
+def _(spark, sf_dir):
+    return bt.rounded(src.event_bars(spark, sf_dir))
+
+
+@query("bars_boll_20", upto("enriched", f"select symbol, datetime, {r6('close', 'MA20', 'MA60', 'BOLL_MID', 'BOLL_UPPER', 'BOLL_LOWER', 'VOL_RATIO')} from enriched"))
+def _(spark, sf_dir):
+    b = src.event_bars(spark, sf_dir)
+    cols = {"MA20": indicators.sma("close", 20), "MA60": indicators.sma("close", 60), "VOL_RATIO": indicators.volume_ratio()} | indicators.bollinger()
+    return bt.rounded(b.withColumns(cols).select("symbol", "datetime", "close", "MA20", "MA60", "BOLL_MID", "BOLL_UPPER", "BOLL_LOWER", "VOL_RATIO"))
+
+
+@query("moving_averages", upto("enriched", f"select symbol, datetime, {r6(*[f'MA{n}' for n in indicators.MA_PERIODS], 'VOL_MA5', 'VOL_MA10')} from enriched"))
+def _(spark, sf_dir):
+    cols = {f"MA{n}": indicators.sma("close", n) for n in indicators.MA_PERIODS} | {f"VOL_MA{n}": indicators.sma("volume", n) for n in (5, 10)}
+    return bt.rounded(src.event_bars(spark, sf_dir).withColumns(cols).select("symbol", "datetime", *cols))
+
+
+def _indicator(name: str, *cols: str) -> None:
+    @query(name, upto("enriched", f"select symbol, datetime, {r6(*cols)} from enriched"))
+    def _(spark, sf_dir):
+        return bt.rounded(enriched(spark, sf_dir).select("symbol", "datetime", *cols))
+
+
+_indicator("macd", "DIF", "DEA", "MACD")
+_indicator("rsi", "RSI6", "RSI12", "RSI24")
+_indicator("kdj", "K", "D", "J")
+_indicator("true_range_atr", "TR", "ATR14", "ATR14_PCT")
+_indicator("adx", "PLUS_DI14", "MINUS_DI14", "ADX14")
+_indicator("obv", "OBV")
+
+
+@query("ema_12", upto("enriched", "select s.symbol, s.datetime, case when r.pos >= 11 then round(r.e12, 6) + 0.0 end as EMA12 from rec r join step s on s.symbol = r.symbol and s.pos = r.pos"))
+def _(spark, sf_dir):
+    return bt.rounded(indicators.ema(src.event_bars(spark, sf_dir), 12).select("symbol", "datetime", "EMA12"))
+
+
+@query("factors_44", upto("factored", f"select symbol, datetime, {r6(*FACTORS)} from factored"))
+def _(spark, sf_dir):
+    return bt.rounded(factors.add_factors(enriched(spark, sf_dir)).select("symbol", "datetime", *FACTORS))
+
+
+@query("factor_snapshot", upto("factored", " union all ".join(f"select symbol, '{f}' as factor, round(arg_max(coalesce({f}, 'nan'::double), pos), 6) + 0.0 as value from factored group by symbol" for f in FACTORS)))
+def _(spark, sf_dir):
+    last = factors.add_factors(enriched(spark, sf_dir)).withColumn("m", factors.snapshot()).groupBy("symbol").agg(F.max_by("m", "pos").alias("m"))
+    return last.select("symbol", F.explode("m").alias("factor", "value")).withColumn("value", F.coalesce("value", F.lit(float("nan"))))
+
+
+@query("regimes", upto("regimes", "select symbol, datetime, regime, regime_confidence from regimes"))
+def _(spark, sf_dir):
+    return signals.add_regime(factors.add_factors(enriched(spark, sf_dir))).select("symbol", "datetime", "regime", "regime_confidence")
+
+
+FLAGS = [x for s in NAMES for x in (s, f"{s}_trigger")]
+
+
+@query("setups", upto("setups", f"select symbol, datetime, {', '.join(FLAGS)} from setups"))
+def _(spark, sf_dir):
+    return analysed(spark, sf_dir).select("symbol", "datetime", *FLAGS)
+
+
+@query("current_setups", upto("setups", " union all ".join(f"select symbol, '{s}' as setup, {s}_trigger as triggered from setups where ({s} or {s}_trigger) qualify pos = (select max(pos) from bars b where b.symbol = setups.symbol)" for s in NAMES).replace("qualify", "and")))
+def _(spark, sf_dir):
+    return signals.current_setups(analysed(spark, sf_dir))
+
+
+@query("signals", upto("signals", """select symbol, pos, datetime as timestamp, case when long then 'long' else 'exit' end as direction, setup, regime, round(score, 1) as score, round(round(score, 1) / 100, 3) as confidence,
+    round(close, 6) as entry_reference, round(case when priced then case when setup = 'breakout' then close - 0.1 * ATR14 else greatest(case when distance_to_support_atr >= 0 then close - distance_to_support_atr * ATR14 end, close - 0.25 * ATR14) end end, 6) as entry_zone_lower,
+    round(case when priced then case when setup = 'breakout' then close + 0.15 * ATR14 else close + 0.1 * ATR14 end end, 6) as entry_zone_upper, round(stop, 6) as stop_price,
+    round(case when risk > 0 then close + 1.5 * risk end, 6) as target_1, round(case when risk > 0 then greatest(close + 2 * risk, case when distance_to_resistance_atr > 0 then close + distance_to_resistance_atr * ATR14 end) end, 6) as target_2,
+    round(risk, 6) as risk_per_share, round(rr, 3) as reward_risk_ratio from signals"""))
+def _(spark, sf_dir):
+    return signals.signals(analysed(spark, sf_dir)).drop("factors", "setup_no")
+
+
+TRADES = "symbol, setup, regime, pos, signal_date, entry_date, round(fill_price, 6) as entry_price, exit_date, round(exit_at, 6) as exit_price, round(stop_at, 6) as stop_price, round(target_at, 6) as target_price, exit_reason, round(net / fill_price, 6) + 0.0 as return_pct, round(net / (fill_price - stop_at), 6) + 0.0 as r_multiple, round(mfe_r, 6) + 0.0 as mfe_r, round(mae_r, 6) + 0.0 as mae_r, holding_bars"
+
+
+@query("strategy_backtest", upto("trades", f"select {TRADES} from trades"))
+def _(spark, sf_dir):
+    return bt.rounded(traded(spark, sf_dir)[0])
+
+
+@query("rejected_signals", upto("trades", """select f.symbol, f.reason, count(*) as n from (select *, datetime as ts from filled where long and (reason is not null)) f
+    where not exists (select 1 from trades t where t.symbol = f.symbol and f.ts >= t.entry_date and f.ts < t.exit_date) group by 1, 2"""))
+def _(spark, sf_dir):
+    done, cand = traded(spark, sf_dir)
+    return bt.rejections(cand.filter("reason not in ('INVALID_ATR', 'NO_EXIT_BAR')"), done)
+
+
+def _metrics_sql() -> str:
+    q = ", ".join(f"round(quantile_cont({c}, {p / 100}), 4) + 0.0 as {c}_p{p}" for c in ("mfe_r", "mae_r") for p in (25, 50, 75))
+    return upto("trades", f"""select symbol, grp as "group", count(*) as trade_count, round(avg(cast(r > 0 as double)) * 100, 2) as win_rate, round(avg(r) filter (where r > 0), 4) as average_win_r, round(abs(avg(r) filter (where r < 0)), 4) as average_loss_r,
+        round(avg(cast(r > 0 as double)) * coalesce(avg(r) filter (where r > 0), 0) - (1 - avg(cast(r > 0 as double))) * coalesce(abs(avg(r) filter (where r < 0)), 0), 4) + 0.0 as expectancy_r,
+        round(coalesce(sum(r) filter (where r > 0), 0) / nullif(abs(coalesce(sum(r) filter (where r < 0), 0)), 0), 4) as profit_factor, round(avg(holding_bars), 2) as average_holding_bars,
+        round(least(min(fall), 0.0) * 100, 3) + 0.0 as max_drawdown, round((arg_max(v, entry_date) - 1) * 100, 3) + 0.0 as cumulative_return, round(case when arg_max(v, entry_date) > 0 then (pow(arg_max(v, entry_date), 252.0 / greatest(sum(holding_bars), 1)) - 1) * 100 else -100.0 end, 3) + 0.0 as annualized_return,
+        round(case when stddev_samp(ret) > 0 then avg(ret) / stddev_samp(ret) * sqrt(252 / greatest(avg(holding_bars), 1.0)) end, 4) + 0.0 as sharpe, {q}
+        from (select *, v / greatest(1.0, max(v) over (partition by symbol, grp order by entry_date rows unbounded preceding)) - 1 as fall from (
+            select *, product(1 + ret) over (partition by symbol, grp order by entry_date rows unbounded preceding) as v from (
+                select *, net / fill_price as ret, net / (fill_price - stop_at) as r, unnest(['ALL', regime]) as grp from trades))) group by 1, 2""")
+
+
+@query("trade_metrics_by_regime", _metrics_sql())
+def _(spark, sf_dir):
+    return bt.metrics(traded(spark, sf_dir)[0])
+
+
+CROSS = """, crossed as (select *, case when close > MA20 and MA20 > MA60 and lag(DIF) over w <= lag(DEA) over w and DIF > DEA then 1 when close < MA20 and MA20 < MA60 and lag(DIF) over w >= lag(DEA) over w and DIF < DEA then -1 else 0 end as side,
+    lead(close, 5) over w / close - 1 as f5, lead(close, 10) over w / close - 1 as f10, lead(close, 20) over w / close - 1 as f20 from enriched window w as (partition by symbol order by pos))"""
+
+
+@query("forward_return_backtest", upto("enriched", CROSS + """ select symbol, horizon, side_name as side, count(*) as samples, round(avg(cast(r > 0 as double)) * 100, 2) as win_rate, round(avg(r) * 100, 3) + 0.0 as average_return, round(median(r) * 100, 3) + 0.0 as median_return,
+    round(avg(r) filter (where r > 0) / abs(avg(r) filter (where r < 0)), 3) as payoff_ratio from (select symbol, horizon, r, unnest(['all', case when side > 0 then 'bullish' else 'bearish' end]) as side_name from (
+    select symbol, side, 5 as horizon, f5 * side - 0.001 as r from crossed where side <> 0 union all select symbol, side, 10, f10 * side - 0.001 from crossed where side <> 0 union all select symbol, side, 20, f20 * side - 0.001 from crossed where side <> 0)) where r is not null group by 1, 2, 3"""))
+def _(spark, sf_dir):
+    return bt.forward_returns(enriched(spark, sf_dir))
+
+
+@query("forward_return_wealth", upto("enriched", CROSS + """, v as (select *, product(1 + (f10 * side - 0.001)) over (partition by symbol order by pos rows unbounded preceding) as v from crossed where side <> 0 and f10 is not null),
+    d as (select symbol, min(fall) as fall from (select symbol, v / max(v) over (partition by symbol order by pos rows unbounded preceding) - 1 as fall from v) group by 1)
+    select b.symbol, round((arg_max(b.close, b.pos) / arg_min(b.close, b.pos) - 1) * 100, 3) + 0.0 as benchmark_return, round(any_value(d.fall) * 100, 3) + 0.0 as max_drawdown from bars b left join d on d.symbol = b.symbol group by 1"""))
+def _(spark, sf_dir):
+    return bt.wealth(enriched(spark, sf_dir))
+
+
+@query("bars_weekly", upto("bars", f"""select symbol, end_ as datetime, {r6('open', 'high', 'low', 'close', 'volume', 'amount')} from (select symbol, cast(cast(datetime as date) + cast((12 - dayofweek(datetime)) % 7 as integer) as timestamp) as end_, arg_min(open, datetime) as open, max(high) as high, min(low) as low, arg_max(close, datetime) as close, sum(volume) as volume, sum(amount) as amount from bars group by 1, 2)"""))
+def _(spark, sf_dir):
+    return bt.rounded(src.resample(src.event_bars(spark, sf_dir), "weekly"))
+
+
+@query("bars_monthly", upto("bars", f"""select symbol, last_ as datetime, {r6('open', 'high', 'low', 'close', 'volume', 'amount')} from (select symbol, last_day(datetime) as m, max(datetime) as last_, arg_min(open, datetime) as open, max(high) as high, min(low) as low, arg_max(close, datetime) as close, sum(volume) as volume, sum(amount) as amount from bars group by 1, 2)"""))
+def _(spark, sf_dir):
+    return bt.rounded(src.resample(src.event_bars(spark, sf_dir), "monthly", label="trading"))
+
+
+@query("data_quality", upto("bars", "select symbol, count(*) as rows, count(datetime) - count(distinct datetime) as duplicate_timestamps, count(*) filter (where high < greatest(open, close, low) or low > least(open, close, high)) as invalid_ohlc, count(*) filter (where volume is null) as missing_volume, min(datetime) as first_bar, max(datetime) as last_bar from bars group by 1"))
+def _(spark, sf_dir):
+    return src.data_quality(src.event_bars(spark, sf_dir))
+
+
+@query("asof_adjust", upto("bars", """, f as (select symbol, cast(datetime as date) as day, 1.0 / (1 + 0.01 * max(pos)) as factor from bars where dayofweek(datetime) in (1, 4) group by 1, 2)
+    select b.symbol, b.datetime, round(b.close * f.factor, 6) as close, round(f.factor, 6) as factor from bars b asof left join f on b.symbol = f.symbol and cast(b.datetime as date) >= f.day"""))
+def _(spark, sf_dir):
+    b = src.event_bars(spark, sf_dir)
+    f = b.filter(F.dayofweek("datetime").isin(2, 5)).groupBy("symbol", F.to_date("datetime").alias("day")).agg((1 / (1 + 0.01 * F.max("pos"))).alias("factor"))
+    return bt.rounded(src.apply_factors(b, f).select("symbol", "datetime", "close", "factor"))
+
+
+@query("swings", upto("factored", "select symbol, kind, pos as position, round(price, 6) as price from (select symbol, 'high' as kind, pos, high as price from marked where sh union all select symbol, 'low', pos, low from marked where sl)"))
+def _(spark, sf_dir):
+    return bt.rounded(levels.swings(src.event_bars(spark, sf_dir)).select("symbol", "kind", "position", "price"))
+
+
+@query("levels_topk")
+def _(spark, sf_dir):
+    return levels.nearest_levels(enriched(spark, sf_dir))
+
+
+@query("level_scenario")
+def _(spark, sf_dir):
+    return levels.scenario(levels.nearest_levels(enriched(spark, sf_dir)))
+
+
+@query("technical_score")
+def _(spark, sf_dir):
+    return levels.technical_score(enriched(spark, sf_dir))
+
+
+@query("decision_current")
+def _(spark, sf_dir):
+    full = analysed(spark, sf_dir).cache()
+    return decision.decide(signals.signals(full), full)
+
+
+@query("similar_stats", upto("trades", """, l as (select symbol, regime, unnest([x for x in [""" + ", ".join(f"case when {s} or {s}_trigger then '{s}' end" for s in NAMES) + """] if x is not null]) as setup from setups qualify pos = max(pos) over (partition by symbol))
+    select t.symbol, count(*) as samples, round(avg(cast(net > 0 as double)) * 100, 2) as win_rate, round(avg(net / (fill_price - stop_at)), 4) as average_r, round(median(mfe_r), 4) as median_mfe_r, round(median(mae_r), 4) as median_mae_r, case when count(*) >= 30 then round(avg(cast(net > 0 as double)), 4) end as historical_probability
+    from trades t where (t.symbol, t.setup, t.regime) in (select (symbol, setup, regime) from l) group by 1"""))
+def _(spark, sf_dir):
+    full = analysed(spark, sf_dir).cache()
+    trades, _cand = bt.strategy(signals.signals(full), full)
+    now = signals.current_setups(full).join(full.groupBy("symbol").agg(F.max_by("regime", "datetime").alias("regime")), "symbol")
+    return bt.similar(trades, now)
+
+
+@query("factor_bucket_study", upto("factored", """, x as (select symbol, rsi12 as f, lead(close, 5) over (partition by symbol order by pos) / close - 1 as r from factored),
+    e as (select symbol, list_distinct([quantile_cont(f, 0.0), quantile_cont(f, 0.2), quantile_cont(f, 0.4), quantile_cont(f, 0.6), quantile_cont(f, 0.8), quantile_cont(f, 1.0)]) as es from x where f is not null and r is not null group by 1),
+    b as (select x.*, list_sort(es) as es, greatest(len(list_filter(es, lambda v: v < f)), 1) as bucket from x join e using (symbol) where f is not null and r is not null)
+    select symbol, cast(bucket as integer) as bucket, round(es[bucket], 6) as lower, round(es[bucket + 1], 6) as upper, count(*) as samples, round(avg(cast(r > 0 as double)), 6) as win_rate, round(avg(r), 6) + 0.0 as mean_outcome from b group by 1, 2, 3, 4"""))
+def _(spark, sf_dir):
+    rows = factors.add_factors(enriched(spark, sf_dir)).withColumn("r", research_lead())
+    return bt.rounded(research.bucket_study(rows, "rsi12", "r", keys=("symbol",)))
+
+
+def research_lead():
+    return lead("close", 5) / F.col("close") - 1
+
+
+@query("walk_forward_splits", upto("bars", """select symbol, cast((t - 60) // 20 as integer) as split, t as train_end, t + 20 as validation_end, t + 40 as test_end from (select symbol, unnest(range(60, n - 40 + 1, 20)) as t from (select symbol, count(*) as n from bars group by 1) where n >= 100)"""))
+def _(spark, sf_dir):
+    return research.walk_forward(src.event_bars(spark, sf_dir), 60, 20, 20)
+
+
+@query("time_split", upto("bars", """select symbol, "set", count(*) as bars from (select symbol, case when pos < floor(n * 0.6) then 'train' when pos < floor(n * 0.8) then 'validation' else 'test' end as "set" from (select *, count(*) over (partition by symbol) as n from bars)) group by 1, 2"""))
+def _(spark, sf_dir):
+    return research.time_split(src.event_bars(spark, sf_dir)).groupBy("symbol", "set").agg(F.count(F.lit(1)).alias("bars"))
+
+
+@query("parameter_sweep", upto("enriched", "select * from (" + " union all ".join(f"select symbol, count(*) as samples, round(avg(r), 6) + 0.0 as mean_r, {k} as parameter from (select symbol, case when close > MA{k} then lead(close, 5) over (partition by symbol order by pos) / close - 1 end as r from enriched) where r is not null group by 1" for k in (5, 10, 20)) + ")"))
+def _(spark, sf_dir):
+    b = enriched(spark, sf_dir).withColumn("r5", research_lead()).select("symbol", "close", "MA5", "MA10", "MA20", "r5").cache()
+    run = lambda k: b.filter(F.col("close") > F.col(f"MA{k}")).filter("r5 is not null").groupBy("symbol").agg(F.count(F.lit(1)).alias("samples"), F.avg("r5").alias("mean_r"))
+    return bt.rounded(research.parameter_sweep(spark, (5, 10, 20), run))
+
+
+@query("macd_crossings", upto("enriched", """, x as (select symbol, pos, datetime, low, high, DIF - DEA as d, lag(DIF - DEA) over (partition by symbol order by pos) as d0 from enriched)
+    select symbol, datetime, case when d > 0 then 'golden' else 'death' end as kind, round(case when d > 0 then low * 0.985 else high * 1.015 end, 6) as marker from x where (d0 <= 0 and d > 0) or (d0 >= 0 and d < 0) qualify row_number() over (partition by symbol order by pos desc) <= 8"""))
+def _(spark, sf_dir):
+    return bt.rounded(charts.macd_crossings(enriched(spark, sf_dir)))
