@@ -90,7 +90,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, dim: int, k: int = 10, shar
         # a hash deals about block_rows to a block: bounded by block_rows x dim numbers, whatever the table
         block = queries.filter(F.col("block") == n).select("id", "vec").toArrow()
         qid = block["id"].to_numpy()
-        qvec = np.array(block["vec"].combine_chunks().flatten(), dtype=np.float64).reshape(len(qid), -1)
+        qvec = np.array(block["vec"].combine_chunks().flatten(), dtype=np.float64).reshape(len(qid), dim)
         sent = spark.sparkContext.broadcast((qid, qvec))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

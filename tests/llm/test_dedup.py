@@ -86,8 +86,8 @@ def test_anchors_meet_for_every_pair_within_two_bits():
 def test_simhash_empty_and_null_ids(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOC)).count() == 0
     df = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (None, "q"), (7, "r s t"), (7, "r s t")], "doc_id long, text string")
-    got = sorted((str(r["doc_id"]), r["component_id"]) for r in simhash.near_duplicates(df).collect())
-    assert got == [("5", 5), ("7", 7), ("7", 7), ("None", 5), ("None", None)]
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in simhash.near_duplicates(df).collect())
+    assert got == [("5", "5"), ("7", "7"), ("7", "7"), ("None", "5"), ("None", "None")]
 
 
 def test_components_on_chains_and_stars(spark):
