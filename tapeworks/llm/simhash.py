@@ -27,8 +27,6 @@ from tapeworks.llm.common import connected_components, materialize, slices
 
 #: Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 (fixed value).
 GOLAY = 0b101011100011
-BLOCK, RADIUS, CHECK_BITS = 23, 3, 11
-LOW = (1 << BLOCK) - 1
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -61,44 +59,47 @@ def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, shingle: int =
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 
 
-@lru_cache(1)
-def golay_tables() -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Syndromes of the upper 12 and lower 11 bits, and per t in 0..2 the error patterns by syndrome as (start, patterns)."""
-    unit = np.zeros(BLOCK, np.int64)  # syndrome of each single bit: x^i modulo the generator
-    for i in range(BLOCK):
+@lru_cache(4)
+def code_tables(bits: int, generator: int, radius: int, reach: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """For a perfect cyclic code: the syndrome of every word, and per t in 0..reach the error patterns by syndrome as (start, patterns)."""
+    check = generator.bit_length() - 1
+    unit = np.zeros(bits, np.int64)  # syndrome of each single bit: x^i modulo the generator
+    for i in range(bits):
         r = 1 << i
-        for j in range(i, CHECK_BITS - 1, -1):
+        for j in range(i, check - 1, -1):
             if r >> j & 1:
-                r ^= GOLAY << (j - CHECK_BITS)
+                r ^= generator << (j - check)
         unit[i] = r
-
-    def table(bits: range) -> np.ndarray:
-        out = np.zeros(1 << len(bits), np.int64)
-        for k, i in enumerate(bits):
-            out[np.arange(len(out)) >> k & 1 == 1] ^= unit[i]
-        return out
-
+    syndrome = np.zeros(1 << bits, np.int16)
+    for i in range(bits):
+        syndrome[1 << i : 2 << i] = syndrome[: 1 << i] ^ unit[i]
     by_level = []
-    for weights in ((0, 1, 2, 3), (4,), (5,)):
-        pats = np.array([sum(1 << i for i in c) for w in weights for c in combinations(range(BLOCK), w)], np.int64)
-        syn = table(range(CHECK_BITS, BLOCK))[pats >> CHECK_BITS] ^ table(range(CHECK_BITS))[pats & 0x7FF]
-        order = np.argsort(syn, kind="stable")
-        by_level.append((np.searchsorted(syn[order], np.arange((1 << CHECK_BITS) + 1)), pats[order]))
-    return table(range(CHECK_BITS, BLOCK)), table(range(CHECK_BITS)), by_level
-
-
-def anchors(fps: np.ndarray, reach: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor, is_home) for every anchor that a fingerprint (int64) goes to; an anchor is its two 12-bit messages."""
-    upper, lower, levels = golay_tables()
-    blocks = []
-    for shift in (0, BLOCK):
-        y = fps >> shift & LOW
-        blocks.append((y, upper[y >> CHECK_BITS] ^ lower[y & 0x7FF]))
+    for weights in (range(radius + 1), *[(radius + t,) for t in range(1, reach + 1)]):
+        pats = np.array([sum(1 << i for i in c) for w in weights for c in combinations(range(bits), w)], np.int64)
+        order = np.argsort(syndrome[pats], kind="stable")
+        by_level.append((np.searchsorted(syndrome[pats][order], np.arange((1 << check) + 1)), pats[order]))
+    return syndrome, by_level
+
+
+#: Blocks of a fingerprint and their codes: (bits, generator, radius). TWO_GOLAY covers 46 bits, SHORT 30.
+TWO_GOLAY = ((23, GOLAY, 3), (23, GOLAY, 3))
+SHORT = ((23, GOLAY, 3), (7, 0b1011, 1))
+
+
+def anchors(fps: np.ndarray, reach: int = 2, code: tuple = TWO_GOLAY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, is_home) for every anchor that a fingerprint (int64) goes to; an anchor is its blocks' messages."""
+    blocks, shift = [], 0
+    for bits, generator, radius in code:
+        syndrome, levels = code_tables(bits, generator, radius, 2)
+        y = fps >> shift & (1 << bits) - 1
+        blocks.append((y, syndrome[y].astype(np.int64), levels, generator.bit_length() - 1))
+        shift += bits
+    message = code[1][0] - blocks[1][3]
     rows, at, home = [], [], []
     for t1 in range(reach + 1):
         for t2 in range(reach + 1 - t1):
-            (y1, s1), (y2, s2) = blocks
-            (o1, p1), (o2, p2) = levels[t1], levels[t2]
+            (y1, s1, l1, k1), (y2, s2, l2, k2) = blocks
+            (o1, p1), (o2, p2) = l1[t1], l2[t2]
             n1, n2 = o1[s1 + 1] - o1[s1], o2[s2 + 1] - o2[s2]
             n = n1 * n2
             row = np.repeat(np.arange(len(fps)), n)
@@ -106,7 +107,7 @@ def anchors(fps: np.ndarray, reach: int = 2) -> tuple[np.ndarray, np.ndarray, np
             c1 = y1[row] ^ p1[o1[s1[row]] + k // n2[row]]
             c2 = y2[row] ^ p2[o2[s2[row]] + k % n2[row]]
             rows.append(row)
-            at.append((c1 >> CHECK_BITS) << 12 | c2 >> CHECK_BITS)
+            at.append((c1 >> k1) << message | c2 >> k2)
             home.append(np.full(len(row), t1 + t2 == 0))
     return np.concatenate(rows), np.concatenate(at), np.concatenate(home)
 
@@ -164,8 +165,105 @@ def fingerprint_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """``docs`` with the document of smallest id of each component; all columns stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    stay = found.filter((F.col(id_col) == F.col("component_id")) | F.col(id_col).isNull()).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__id"]), "left_semi")
+#: Odd multipliers that turn one hash of a shingle into several (fixed values).
+MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+TABLES = 2 * len(MULTIPLIERS)
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    k = min(shingle, len(words))
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(s, 42) for s in map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False))]), ">u8").astype(np.uint64)
+
+
+def short_prints(text: str | None) -> list[int]:
+    """TABLES independent fingerprints of 30 bits over 3-word shingles."""
+    h = shingle_hashes(text, 3)
+    out = []
+    for m in MULTIPLIERS:
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 14):
+            x = h[at : at + (1 << 14)] * m
+            x ^= x >> np.uint64(29)
+            x *= MULTIPLIERS[1]
+            ones += np.unpackbits((x ^ x >> np.uint64(32)).view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        bits = int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big") if len(h) else 0
+        out += [bits & (1 << 30) - 1, bits >> 32 & (1 << 30) - 1]
+    return out
+
+
+def sketch(text: str | None, shingle: int, size: int) -> list[int]:
+    """The ``size`` smallest different hashes of the shingles: two sketches tell the shingle sets' similarity, exactly for small sets."""
+    return np.sort(np.unique(shingle_hashes(text, shingle)))[:size].view(np.int64).tolist()
+
+
+def similarity(a: list[int], b: list[int], size: int) -> float:
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    a, b = np.asarray(a, np.int64).view(np.uint64), np.asarray(b, np.int64).view(np.uint64)
+    both = np.union1d(a, b)[:size]
+    return float(np.isin(both, np.intersect1d(a, b)).sum() / len(both))
+
+
+def similar_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, size: int) -> DataFrame:
+    """Links (a, b) of similarity ``least`` or more between shingle sets, found by short fingerprints at most one bit apart.
+
+    Within a table, texts of one fingerprint are compared with their smallest id only, and different fingerprints meet
+    at anchors; both are linear in the texts, since a fingerprint has 30 others at one bit. Twelve tables give a pair of
+    similar texts many chances to meet; the sketches then decide.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1000):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([short_prints(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["id", "fps"])
+
+    each = materialize(texts.mapInArrow(prints, f"id {kind}, fps array<int>"), "simhash-short").select("id", F.posexplode("fps").alias("table", "fp"))
+    distinct = materialize(each.groupBy("table", "fp").agg(F.min("id").alias("node")), "simhash-short-distinct")
+    same = each.join(distinct, ["table", "fp"]).filter("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+
+    def spread(reach: int, names: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, 20000):
+                table, fps, node = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                row, at, _ = anchors(fps.astype(np.int64), reach, SHORT)
+                yield pa.RecordBatch.from_arrays([pa.array((table[row].astype(np.int64) << 16 | at).astype(np.int32)), pa.array(fps[row]), pa.array(node[row])], names=names)
+
+        return run
+
+    copies = distinct.mapInArrow(spread(1, ["at", "fp", "node"]), "at int, fp int, node bigint")
+    homes = distinct.mapInArrow(spread(0, ["h_at", "h_fp", "h_node"]), "h_at int, h_fp int, h_node bigint")
+    near = copies.join(homes, (F.col("at") == F.col("h_at")) & (F.col("h_fp") < F.col("fp")) & (F.bit_count(F.col("h_fp").bitwiseXOR(F.col("fp"))) <= 1))
+    met = near.select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b")).filter("a <> b")
+    pairs = materialize(same.union(met).distinct(), "simhash-candidates")
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1000):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(t, shingle, size) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "s"])
+
+    known = texts.dropDuplicates(["id"]).join(asked, "id", "left_semi").mapInArrow(sketches, f"id {kind}, s array<bigint>")
+    known = materialize(known, "simhash-sketches")
+    both = pairs.join(known.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(known.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1000):
+            good = [similarity(x, y, size) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(verify, "a bigint, b bigint")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, sketch_size: int = 256) -> DataFrame:
+    """``docs`` with the document of smallest id of each group of near copies; all columns and null ids stay.
+
+    Groups are the components of texts whose ``shingle``-word shingle sets have the similarity or more.
+    """
+    links_ = similar_pairs(docs, id_col, text_col, shingle, similarity, sketch_size)
+    parts = connected_components(links_, "simhash-cc")
+    gone = parts.filter("node <> component").select(F.col("node").alias("__id"))
+    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")

@@ -51,9 +51,6 @@ def test_simhash_equals_brute_force(spark):
     want = components(len(rows), links)
     got = {r["doc_id"]: (r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.near_duplicates(df).collect()}
     assert got == {i: (fps[i], want[i]) for i, _ in rows}
-    kept = simhash.keep_one(df, shingle=3)
-    assert kept.columns == df.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
 def test_hot_anchor_ties_the_same_components(spark):
@@ -124,3 +121,34 @@ def test_subspace_join_equals_brute_force(spark):
 def test_subspace_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert subspace.near_vectors(df, 64).count() == 0
+
+
+def test_keep_one_catches_near_copies_and_leaves_the_rest(spark):
+    g = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    base = [g.choices(words, k=g.choice([60, 200, 600])) for _ in range(150)]
+    rows, near = [], set()
+    for t in base:
+        rows.append(" ".join(t))
+    for t in base[:100]:
+        for share in (0.0, 0.005, 0.012):
+            u = list(t)
+            for _ in range(int(len(u) * share)):
+                u[g.randrange(len(u))] = g.choice(words)
+            near.add(len(rows))
+            rows.append(" ".join(u))
+    ids = list(range(len(rows)))
+    df = spark.createDataFrame([(i, rows[i], "en", "s", 0, "x", "y") for i in ids] + [(9000, None, "", "", 0, "", ""), (9001, "", "", "", 0, "", "")], DOC)
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    got = {r["doc_id"] for r in kept.collect()}
+    assert set(range(150)) <= got and 9000 in got and 9001 not in got
+    assert len(got & near) <= 0.05 * len(near)
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_sketches_are_exact_for_small_sets():
+    a, b = "a b c d e f g h", "a b c d e f g x"
+    s = [simhash.sketch(t, 5, 256) for t in (a, b)]
+    assert simhash.similarity(*s, 256) == 3 / 5
+    assert simhash.similarity([], [], 256) == 1.0 and simhash.similarity([1], [], 256) == 0.0
