@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.windows import lead
 from tapeworks.operators import backtest as bt
-from tapeworks.operators import charts, decision, factors, indicators, levels, research, signals
+from tapeworks.operators import charts, decision, factors, gann, indicators, levels, research, signals, wave, wyckoff
 from tapeworks.plans.sql import FACTORS, NAMES, r6, upto
 from tapeworks.sources import bars as src
+from tapeworks.sources import catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -141,7 +142,7 @@ def _metrics_sql() -> str:
     return upto("trades", f"""select symbol, grp as "group", count(*) as trade_count, round(avg(cast(r > 0 as double)) * 100, 2) as win_rate, round(avg(r) filter (where r > 0), 4) as average_win_r, round(abs(avg(r) filter (where r < 0)), 4) as average_loss_r,
         round(avg(cast(r > 0 as double)) * coalesce(avg(r) filter (where r > 0), 0) - (1 - avg(cast(r > 0 as double))) * coalesce(abs(avg(r) filter (where r < 0)), 0), 4) + 0.0 as expectancy_r,
         round(coalesce(sum(r) filter (where r > 0), 0) / nullif(abs(coalesce(sum(r) filter (where r < 0), 0)), 0), 4) as profit_factor, round(avg(holding_bars), 2) as average_holding_bars,
-        round(least(min(fall), 0.0) * 100, 3) + 0.0 as max_drawdown, round((arg_max(v, entry_date) - 1) * 100, 3) + 0.0 as cumulative_return, round(case when arg_max(v, entry_date) > 0 then (pow(arg_max(v, entry_date), 252.0 / greatest(sum(holding_bars), 1)) - 1) * 100 else -100.0 end, 3) + 0.0 as annualized_return,
+        round(least(min(fall), 0.0) * 100, 3) + 0.0 as max_drawdown, round((arg_max(v, entry_date) - 1) * 100, 3) + 0.0 as cumulative_return, round(case when arg_max(v, entry_date) > 0 and 1 + round((pow(arg_max(v, entry_date), 252.0 / greatest(sum(holding_bars), 1)) - 1) * 100, 3) / 100 > 0 then ln(1 + round((pow(arg_max(v, entry_date), 252.0 / greatest(sum(holding_bars), 1)) - 1) * 100, 3) / 100) end, 6) + 0.0 as annualized_return,
         round(case when stddev_samp(ret) > 0 then avg(ret) / stddev_samp(ret) * sqrt(252 / greatest(avg(holding_bars), 1.0)) end, 4) + 0.0 as sharpe, {q}
         from (select *, v / greatest(1.0, max(v) over (partition by symbol, grp order by entry_date rows unbounded preceding)) - 1 as fall from (
             select *, product(1 + ret) over (partition by symbol, grp order by entry_date rows unbounded preceding) as v from (
@@ -150,7 +151,9 @@ def _metrics_sql() -> str:
 
 @query("trade_metrics_by_regime", _metrics_sql())
 def _(spark, sf_dir):
-    return bt.metrics(traded(spark, sf_dir)[0])
+    m = bt.metrics(traded(spark, sf_dir)[0])
+    # shown as a logarithm: over few bars the annual figure has more digits than a double
+    return m.withColumn("annualized_return", F.round(F.ln(1 + F.col("annualized_return") / 100), 6))
 
 
 CROSS = """, crossed as (select *, case when close > MA20 and MA20 > MA60 and lag(DIF) over w <= lag(DEA) over w and DIF > DEA then 1 when close < MA20 and MA20 < MA60 and lag(DIF) over w >= lag(DEA) over w and DIF < DEA then -1 else 0 end as side,
@@ -264,3 +267,99 @@ def _(spark, sf_dir):
     select symbol, datetime, case when d > 0 then 'golden' else 'death' end as kind, round(case when d > 0 then low * 0.985 else high * 1.015 end, 6) as marker from x where (d0 <= 0 and d > 0) or (d0 >= 0 and d < 0) qualify row_number() over (partition by symbol order by pos desc) <= 8"""))
 def _(spark, sf_dir):
     return bt.rounded(charts.macd_crossings(enriched(spark, sf_dir)))
+
+
+def _rows(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
+    """A query without SQL: folds with list state."""
+
+    @query(name)
+    def _(spark, sf_dir):
+        return build(enriched(spark, sf_dir).cache())
+
+
+_rows("wave_pivots", lambda b: wave.states(b))
+_rows("wave_candidates", lambda b: wave.current(b))
+_rows("wave_history", lambda b: wave.history(b))
+_rows("wyckoff_events", lambda b: wyckoff.events(b))
+_rows("wyckoff_current", lambda b: wyckoff.current(b))
+_rows("wyckoff_history", lambda b: wyckoff.history(b))
+_rows("gann_pivots", lambda b: gann.pivots(b))
+_rows("gann_anchors", lambda b: gann.lifecycles(b))
+_rows("gann_fan", lambda b: gann.fan(b))
+_rows("gann_price_zones", lambda b: gann.price_zones(gann.price_levels(b, levels.nearest_levels(b))))
+_rows("gann_cycles", lambda b: gann.base_cycles(b))
+_rows("gann_time_windows", lambda b: gann.time_windows(b))
+_rows("gann_confluence", lambda b: gann.confluence(b, levels.nearest_levels(b)))
+_rows("gann_scenarios", lambda b: gann.scenarios(b))
+_rows("gann_snapshots", lambda b: gann.snapshots(gann.scenarios(b)))
+_rows("gann_angle_events", lambda b: gann.angle_events(b))
+_rows("gann_event_summary", lambda b: gann.event_summary(gann.angle_events(b)))
+_rows("gann_walk_forward", lambda b: gann.walk_forward(gann.angle_events(b)))
+_rows("gann_score_buckets", lambda b: gann.score_buckets(gann.angle_events(b)))
+_rows("gann_survival", lambda b: gann.survival(b))
+_rows("gann_window_study", lambda b: gann.window_study(b))
+_rows("gann_calibration", lambda b: gann.calibrate(b))
+_rows("chart_ranges", lambda b: charts.default_ranges(b))
+
+
+@query("gann_context")
+def _(spark, sf_dir):
+    full = analysed(spark, sf_dir).cache()
+    return gann.context(gann.scenarios(full), decision.decide(signals.signals(full), full))
+
+
+@query("instrument_search", "select code, name from (select cast(c_custkey as varchar) as code, c_name as name from customer) where contains(upper(code), '12') or contains(upper(name), '12') order by not starts_with(upper(code), '12'), code limit 10")
+def _(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("code"), F.col("c_name").alias("name"))
+    return catalog.search(c, "12")
+
+
+@query("insert_only", "select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 40)")
+def _(spark, sf_dir):
+    old = table(spark, sf_dir, "lineitem").filter("l_quantity > 40").select(F.col("l_orderkey").alias("o_orderkey"))
+    return src.insert_only(old, table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query("coverage_gaps", """with w as (select event_type as symbol, date '2020-01-01' as a, date '2030-12-31' as z from events group by 1), h as (select event_type as symbol, min(cast(ts as date)) as h0, max(cast(ts as date)) as h1 from events group by 1)
+    select symbol, a as start, least(z, cast(h0 - 1 as date)) as "end" from w join h using (symbol) where a < h0 union all select symbol, greatest(a, cast(h1 + 1 as date)), z from w join h using (symbol) where z > h1""")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("symbol")).agg(F.min(F.to_date("ts")).alias("start"), F.max(F.to_date("ts")).alias("end"))
+    wanted = e.select("symbol", F.lit("2020-01-01").cast("date").alias("start"), F.lit("2030-12-31").cast("date").alias("end"))
+    return src.coverage_gaps(wanted, e)
+
+
+@query("dedupe_keep_last", "select user_id, event_type, arg_max(event_id, (ts, event_id)) as event_id, arg_max(value, (ts, event_id)) as value from events group by 1, 2")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", "value")
+    return src.keep_last(e, ["user_id", "event_type"], F.struct("ts", "event_id")).select("user_id", "event_type", "event_id", "value")
+
+
+@query("normalize_bars", """with n as (select symbol, datetime, open, high, low, close, volume from (
+    select event_type as symbol, cast(ts as timestamp) as datetime, value as open, case when event_id % 7 = 0 then value / 2 else value + 1 end as high, value - 0.005 as low, value as close, case when event_id % 5 = 0 then null else 10.0 end as volume from events)
+    where high >= greatest(open, close, low) and low <= least(open, close, high) and least(open, high, low, close) >= 0)
+    select symbol, count(*) as bars, count(volume) as with_volume, round(sum(high), 4) as high_sum from n group by 1""")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    raw = e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("string").alias("日期"), F.col("value").cast("string").alias("开盘"), F.when(F.col("event_id") % 7 == 0, F.col("value") / 2).otherwise(F.col("value") + 1).alias("最高"),
+                   (F.col("value") - 0.005).alias("最低"), F.col("value").alias("收盘"), F.when(F.col("event_id") % 5 == 0, "bad").otherwise("10").alias("成交量"), "event_id")
+    n = src.normalize(raw, sequence="event_id")
+    return n.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.count("volume").alias("with_volume"), F.round(F.sum("high"), 4).alias("high_sum"))
+
+
+@query("adjust_factor_join", """with b as (select event_type as symbol, cast(ts as date) as day, arg_max(value, (ts, event_id)) as close from events group by 1, 2)
+    select symbol, day, round((close * (1 + 0.1 * (day_of(day) % 3))) / close, 6) as factor from (select *, day from b)""".replace("day_of(day)", "dayofmonth(day)"))
+def _(spark, sf_dir):
+    raw = src.bars_from_ticks(table(spark, sf_dir, "events"), "event_type", "ts", "value", "event_id", "1 day")
+    adjusted = raw.withColumn("close", F.col("close") * (1 + 0.1 * (F.dayofmonth("datetime") % 3)))
+    return bt.rounded(src.adjust_factors(raw, adjusted))
+
+
+@query("changes", upto("bars", "select symbol, datetime, round(close - lag(close) over w, 6) + 0.0 as change, round((close / nullif(lag(close) over w, 0) - 1) * 100, 6) + 0.0 as pct_change, round((high - low) / nullif(lag(close) over w, 0) * 100, 6) + 0.0 as amplitude from bars window w as (partition by symbol order by datetime)"))
+def _(spark, sf_dir):
+    return bt.rounded(src.fill_changes(src.event_bars(spark, sf_dir)).select("symbol", "datetime", "change", "pct_change", "amplitude"))
+
+
+@query("execution_fill", upto("trades", "select symbol, pos, setup, reason, round(fill_price, 6) as fill_price, round(fill_price * 0.0003, 6) as fee from filled"))
+def _(spark, sf_dir):
+    full = analysed(spark, sf_dir).cache()
+    return bt.rounded(bt.fills(signals.signals(full), full).select("symbol", "pos", "setup", "reason", "fill_price", "fee"))
