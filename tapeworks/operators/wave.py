@@ -185,12 +185,11 @@ def history(bars: DataFrame, lookahead: int = 20, least: int = 80, most: int = 4
     found = candidates(known).join(spans, ["symbol", "scale", "at"]).join(size, "symbol")
     found = found.withColumns({"start": F.greatest("at", F.lit(least)), "end": F.least(F.coalesce("until", F.col("n")), F.col("n") - lookahead)}).filter(F.col("start") < F.col("end"))
     # the first bar of its time at which a candidate isn't lost already
-    b = sample.select("symbol", "pos", F.col("close").alias("close"))
-    seen = found.join(b, (found["symbol"] == b["symbol"]) & (b["pos"] >= F.col("start")) & (b["pos"] < F.col("end"))).drop(b["symbol"])
+    seen = found.join(sample.select("symbol", F.col("pos").alias("at_pos"), "close"), "symbol").filter((F.col("at_pos") >= F.col("start")) & (F.col("at_pos") < F.col("end")))
     alive = F.when(F.col("path") > 0, F.col("close") >= F.col("invalidation")).otherwise(F.col("close") <= F.col("invalidation"))
     keys = ["symbol", "scale", "pattern", "direction", "status", "positions"]
     rest = ["fit", "path", "confirmation", "invalidation", "zone_low", "zone_high", "close"]
-    cases = seen.filter(alive).groupBy(*keys).agg(F.min("pos").alias("at"), F.min_by(F.struct(*rest), "pos").alias("c")).select(*keys, "at", "c.*")
+    cases = seen.filter(alive).groupBy(*keys).agg(F.min("at_pos").alias("at"), F.min_by(F.struct(*rest), "at_pos").alias("c")).select(*keys, "at", "c.*")
     up = F.col("path") > 0
     over = lambda c, level: F.when(up, c > F.col(level)).otherwise(c < F.col(level))
     cases = cases.withColumn("already", over(F.col("close"), "confirmation")).drop("close")

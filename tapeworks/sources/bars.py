@@ -116,7 +116,7 @@ def resample(bars: DataFrame, period: str, label: str = "calendar", complete: bo
     )
     if complete:
         latest = F.max("last").over(Window.partitionBy("symbol"))
-        out = out.filter(F.col("end") <= F.to_date(latest))
+        out = out.withColumn("__latest", F.to_date(latest)).filter(F.col("end") <= F.col("__latest"))
     at = F.col("last") if label == "trading" else F.col("end").cast("timestamp_ntz")
     return out.select("symbol", at.alias("datetime"), "open", "high", "low", "close", "volume", "amount")
 

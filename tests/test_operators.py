@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeworks.operators import backtest as bt
 from tapeworks.operators import factors, gann, indicators, levels, research, signals, wave, wyckoff
 from tapeworks.operators.indicators import smoothed
-from tapeworks.sources.bars import with_pos
+from tapeworks.sources.bars import event_bars, with_pos
 
 SCHEMA = "symbol string, datetime timestamp_ntz, open double, high double, low double, close double, volume double, amount double"
 
@@ -63,7 +63,7 @@ def test_exponential_mean_with_gaps():
 
 
 def barrier(spark, path, **conf):
-    b = spark.createDataFrame([("a", dt.datetime(2024, 1, 1 + i), o, h, lo, c, 1.0, 1.0) for i, (o, h, lo, c) in enumerate(path)], SCHEMA)
+    b = spark.createDataFrame([("a", dt.datetime(2024, 1, 1 + i), float(o), float(h), float(lo), float(c), 1.0, 1.0) for i, (o, h, lo, c) in enumerate(path)], SCHEMA)
     e = spark.createDataFrame([("a", 1, 0, 10.0, 9.0, 12.0)], "symbol string, key int, fill_pos int, fill_price double, stop double, target double")
     ex = spark.createDataFrame(conf.pop("exits", []), "symbol string, pos int")
     r = bt.barriers(e, with_pos(b), ex, bt.Execution(**conf)).collect()
@@ -80,8 +80,8 @@ def test_barriers_count_the_stop_first(spark):
         bt.Execution(max_holding_bars=0)
 
 
-def test_trades_do_not_overlap(spark):
-    full = analysed(frame(spark, 500, ("a", "b"))).cache()
+def test_trades_do_not_overlap(spark, sf_dir):
+    full = analysed(event_bars(spark, sf_dir)).cache()
     trades, _ = bt.strategy(signals.signals(full), full)
     at = full.select("symbol", "datetime", "pos")
     t = trades.join(at.withColumnsRenamed({"datetime": "exit_date", "pos": "exit_pos"}), ["symbol", "exit_date"]).orderBy("symbol", "pos").collect()
