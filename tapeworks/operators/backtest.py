@@ -181,5 +181,7 @@ def similar(trades: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    cols: list[Column] = [F.round(f.name, digits).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema]
+    """Doubles to ``digits`` places by floor(x + 1/2), which all engines compute alike."""
+    to = lambda c: F.floor(F.col(c) * 10.0**digits + 0.5) / 10.0**digits
+    cols: list[Column] = [to(f.name).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema]
     return df.select(*cols)

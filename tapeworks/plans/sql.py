@@ -239,8 +239,8 @@ def upto(step: str, select: str) -> str:
 
 
 def r6(*cols: str) -> str:
-    """Rounded columns; adding zero turns a negative zero into zero."""
-    return ", ".join(f"round({c}, 6) + 0.0 as {c}" for c in cols)
+    """Columns rounded to six places by floor(x + 1/2)."""
+    return ", ".join(f"floor({c} * 1000000.0::double + 0.5) / 1000000.0::double as {c}" for c in cols)
 
 
 __all__ = ["FACTORS", "NAMES", "STEPS", "r6", "upto"]
