@@ -181,3 +181,14 @@ def history(bars: DataFrame, lookahead: int = 20, most: int = 420, stride: int =
         F.when(F.count(F.lit(1)) >= 30, F.round(sure / F.count(F.lit(1)) * 100, 1)).alias("confirmation_rate"), F.when(settled >= 30, F.round(hit / settled * 100, 1)).alias("target_first_rate"),
         *[F.count_if(F.col("phase") == p).alias(f"phase_{p}") for p in "CDE"],
     )
+
+
+def context(now: DataFrame, decisions: DataFrame) -> DataFrame:
+    """How the leading structure bears on each symbol's decision: pending before phase D, then supportive or conflicting."""
+    top = now.filter("rank = 1").select("symbol", "direction", "phase", "fit", "ambiguous")
+    wants = F.when(F.col("status").isin("long_trigger", "active_after_trigger", "watch"), 1).when(F.col("status") == "exit_trigger", -1)
+    verdict = (
+        F.when(F.col("phase").isNull() | wants.isNull(), "neutral").when(F.col("ambiguous"), "ambiguous").when(F.col("phase").isin("A", "B", "C"), "pending")
+        .when(F.col("direction") == wants, "supportive").otherwise("conflicting")
+    )
+    return decisions.join(top, "symbol", "left").select("symbol", "status", "direction", "phase", "fit", verdict.alias("context"))

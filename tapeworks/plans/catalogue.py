@@ -363,3 +363,65 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     full = analysed(spark, sf_dir).cache()
     return bt.rounded(bt.fills(signals.signals(full), full).select("symbol", "pos", "setup", "reason", "fill_price", "fee"))
+
+
+_rows("divergence", lambda b: levels.divergence(b))
+_rows("chart_price_range", lambda b: charts.price_range(b, wave.current(b)))
+_rows("chart_wave_overlay", lambda b: charts.overlay(wave.states(b), wave.current(b)))
+_rows("chart_scenario_path", lambda b: charts.scenario_path(wave.current(b), b))
+_rows("futures_levels", lambda b: levels.lower_confidence(levels.nearest_levels(b)))
+
+
+@query("gann_higher_timeframe")
+def _(spark, sf_dir):
+    # eight-hour bars stand in for the higher timeframe: the events span too few weeks for 25 weekly bars
+    return gann.higher_timeframe(indicators.add_indicators(src.event_bars(spark, sf_dir, "8 hours")))
+
+
+@query("wyckoff_context")
+def _(spark, sf_dir):
+    full = analysed(spark, sf_dir).cache()
+    return wyckoff.context(wyckoff.current(full), decision.decide(signals.signals(full), full))
+
+
+@query("chart_colours", upto("enriched", f"select symbol, datetime, {r6('volume', 'MACD')}, case when close >= open then 'up' else 'down' end as volume_side, case when MACD >= 0 then 'up' when MACD < 0 then 'down' end as macd_side from enriched"))
+def _(spark, sf_dir):
+    return bt.rounded(charts.colours(enriched(spark, sf_dir)))
+
+
+@query("chart_trigger_markers", upto("signals", "select symbol, pos, setup, round(score, 1) as score, datetime, floor(low * 1000000.0::double + 0.5) / 1000000.0::double as low from signals where long"))
+def _(spark, sf_dir):
+    full = analysed(spark, sf_dir).cache()
+    return bt.rounded(charts.trigger_markers(signals.signals(full), full))
+
+
+@query("r_summary", upto("trades", "select symbol, count(*) as samples, floor(avg(cast(r > 0 as double)) * 1000000.0::double + 0.5) / 1000000.0::double as win_rate, floor(avg(r) * 1000000.0::double + 0.5) / 1000000.0::double as mean_r, floor(coalesce(sum(r) filter (where r > 0), 0) / nullif(abs(coalesce(sum(r) filter (where r < 0), 0)), 0) * 1000000.0::double + 0.5) / 1000000.0::double as profit_factor from (select symbol, net / (fill_price - stop_at) as r from trades) group by 1"))
+def _(spark, sf_dir):
+    return bt.rounded(research.summarize_r(traded(spark, sf_dir)[0], "r_multiple", ("symbol",)))
+
+
+@query("cache_keys", "select distinct event_type as symbol, sha256('cn_stock:' || event_type || ':daily:none') as key from events")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol")).distinct()
+    return e.select("symbol", catalog.cache_key(F.lit("cn_stock"), F.col("symbol"), F.lit("daily"), F.lit("none")).alias("key"))
+
+
+@query("live_cache", "select o_orderkey as key, o_orderdate as expires_at from orders where o_orderdate > timestamp '1996-01-01' and o_orderkey in (select l_orderkey from lineitem where l_quantity > 45)")
+def _(spark, sf_dir):
+    cache = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").alias("expires_at"))
+    asked = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("key"))
+    return catalog.cache_get(cache, asked, F.lit("1996-01-01").cast("timestamp_ntz"))
+
+
+@query("merge_history", "select event_type as symbol, count(*) as rows, round(sum(case when event_id % 2 = 0 then value * 2 else value end), 2) as total from events group by 1")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), F.col("ts").alias("datetime"), "event_id", "value")
+    new = e.filter("event_id % 2 = 0").withColumn("value", F.col("value") * 2)
+    both = src.merge_history(e, new, ("symbol", "datetime", "event_id"))
+    return both.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("exchange_prefix", "select distinct cast(c_custkey % 10 as integer) as digit, case when c_custkey % 10 in (4, 8) then 'bj' when c_custkey % 10 in (5, 6, 9) then 'sh' else 'sz' end as exchange from customer")
+def _(spark, sf_dir):
+    d = (F.col("c_custkey") % 10).cast("int")
+    return table(spark, sf_dir, "customer").select(d.alias("digit"), catalog.exchange(F.concat(d.cast("string"), F.lit("00000"))).alias("exchange")).distinct()
