@@ -168,6 +168,8 @@ def fingerprint_hex(fp):
 #: Odd multipliers that turn one hash of a shingle into several (fixed values).
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 TABLES = 2 * len(MULTIPLIERS)
+#: Sketches whose similarity is this near the limit don't decide: four standard errors of a sketch of 256.
+MARGIN = 0.1
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -195,12 +197,12 @@ def short_prints(text: str | None) -> list[int]:
     return out
 
 
-def sketch(text: str | None, shingle: int, size: int) -> list[int]:
+def sketch(text: str | None, shingle: int, size: int | None) -> list[int]:
     """The ``size`` smallest different hashes of the shingles: two sketches tell the shingle sets' similarity, exactly for small sets."""
     return np.sort(np.unique(shingle_hashes(text, shingle)))[:size].view(np.int64).tolist()
 
 
-def similarity(a: list[int], b: list[int], size: int) -> float:
+def similarity(a: list[int], b: list[int], size: int | None) -> float:
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     a, b = np.asarray(a, np.int64).view(np.uint64), np.asarray(b, np.int64).view(np.uint64)
@@ -213,7 +215,7 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, lea
 
     Within a table, texts of one fingerprint are compared with their smallest id only, and different fingerprints meet
     at anchors; both are linear in the texts, since a fingerprint has 30 others at one bit. Twelve tables give a pair of
-    similar texts many chances to meet; the sketches then decide.
+    similar texts many chances to meet. Sketches then decide, and near the limit the whole shingle sets.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -240,22 +242,30 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, lea
     near = copies.join(homes, (F.col("at") == F.col("h_at")) & (F.col("h_fp") < F.col("fp")) & (F.bit_count(F.col("h_fp").bitwiseXOR(F.col("fp"))) <= 1))
     met = near.select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b")).filter("a <> b")
     pairs = materialize(same.union(met).distinct(), "simhash-candidates")
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1000):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(t, shingle, size) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "s"])
-
-    known = texts.dropDuplicates(["id"]).join(asked, "id", "left_semi").mapInArrow(sketches, f"id {kind}, s array<bigint>")
-    known = materialize(known, "simhash-sketches")
-    both = pairs.join(known.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(known.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1000):
-            good = [similarity(x, y, size) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(verify, "a bigint, b bigint")
+    def judged(pairs: DataFrame, most: int | None) -> DataFrame:
+        """``pairs`` with their similarity, and whether it is exact, from sketches of at most ``most`` hashes."""
+
+        def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, 200):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(t, shingle, most) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "s"])
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, 200):
+                x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
+                s = [similarity(i, j, most) for i, j in zip(x, y, strict=True)]
+                exact = [most is None or (len(i) < most and len(j) < most) for i, j in zip(x, y, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array(exact, pa.bool_())], names=["a", "b", "s", "exact"])
+
+        asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        known = texts.dropDuplicates(["id"]).join(asked, "id", "left_semi").mapInArrow(sketches, f"id {kind}, s array<bigint>")
+        known = materialize(known, "simhash-sketches")
+        both = pairs.select("a", "b").join(known.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(known.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
+        return materialize(both.select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint, s double, exact boolean"), "simhash-judged")
+
+    rough = judged(pairs, size)
+    clear = F.col("exact") | (F.col("s") >= least + MARGIN)
+    fine = judged(rough.filter(~F.col("exact") & (F.abs(F.col("s") - least) < MARGIN)), None)
+    return rough.filter(clear & (F.col("s") >= least)).select("a", "b").union(fine.filter(F.col("s") >= least).select("a", "b"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, sketch_size: int = 256) -> DataFrame:
