@@ -100,7 +100,9 @@ def token_bytes(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
     The tokenizer drops white space and no token spans it, so a text's ids are those of its parts between white space;
     each different part is tokenized once. 
     """
-    words = _WORDS.setdefault(path, None) or _WORDS.update({path: WordIds(path)}) or _WORDS[path]
+    if path not in _WORDS:
+        _WORDS[path] = WordIds(path)  # one per worker process
+    words = _WORDS[path]
     end, out = end_id.to_bytes(4, "little"), []
     cut = str.maketrans("\t\n\r\x0b\x0c", "     ")  # str.split() also cuts at the separators below, the tokenizer doesn't
     group: list[list[str]] = []
