@@ -89,10 +89,11 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
     for _ in range(max_rounds):
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
-        low = low.select("k", F.least("k", "m").alias("m"))
+        # minima are a table of their own: joined straight from their aggregation, a hot node's rows couldn't be split
+        low = materialize(low.select("k", F.least("k", "m").alias("m")), name)
         large = both.filter("b > a").join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        low = large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
+        large = materialize(large.filter("a <> b").distinct(), name)
+        low = materialize(large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")), name)
         small = large.join(low, F.col("a") == F.col("k"))
         small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         cur = materialize(small.select("e.a", "e.b").filter("a <> b").distinct(), name)

@@ -198,14 +198,19 @@ def short_prints(text: str | None) -> list[int]:
 
 
 def sketch(text: str | None, shingle: int, size: int | None) -> list[int]:
-    """The ``size`` smallest different hashes of the shingles: two sketches tell the shingle sets' similarity, exactly for small sets."""
-    return np.sort(np.unique(shingle_hashes(text, shingle)))[:size].view(np.int64).tolist()
+    """The ``size`` smallest different hashes of the shingles, their upper 32 bits; or all of them, whole.
+
+    Two sketches tell the similarity of the shingle sets, and exactly so where neither set exceeds them.
+    """
+    h = np.unique(shingle_hashes(text, shingle))
+    return h.view(np.int64).tolist() if size is None else (h[:size] >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
 
 
 def similarity(a: list[int], b: list[int], size: int | None) -> float:
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    a, b = np.asarray(a, np.int64).view(np.uint64), np.asarray(b, np.int64).view(np.uint64)
+    kind = (np.int64, np.uint64) if size is None else (np.int32, np.uint32)
+    a, b = (np.asarray(x, kind[0]).view(kind[1]) for x in (a, b))
     both = np.union1d(a, b)[:size]
     return float(np.isin(both, np.intersect1d(a, b)).sum() / len(both))
 
@@ -228,26 +233,31 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, lea
     distinct = materialize(each.groupBy("table", "fp").agg(F.min("id").alias("node")), "simhash-short-distinct")
     same = each.join(distinct, ["table", "fp"]).filter("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
 
-    def spread(reach: int, names: list[str]):
+    def spread(reach: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, 20000):
-                table, fps, node = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-                row, at, _ = anchors(fps.astype(np.int64), reach, SHORT)
-                yield pa.RecordBatch.from_arrays([pa.array((table[row].astype(np.int64) << 16 | at).astype(np.int32)), pa.array(fps[row]), pa.array(node[row])], names=names)
+                table, fps = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+                row, at, _ = anchors(fps, reach, SHORT)
+                yield pa.RecordBatch.from_arrays([pa.array((table[row] << 16 | at) << 30 | fps[row])], names=["x"])
 
         return run
 
-    copies = distinct.mapInArrow(spread(1, ["at", "fp", "node"]), "at int, fp int, node bigint")
-    homes = distinct.mapInArrow(spread(0, ["h_at", "h_fp", "h_node"]), "h_at int, h_fp int, h_node bigint")
-    near = copies.join(homes, (F.col("at") == F.col("h_at")) & (F.col("h_fp") < F.col("fp")) & (F.bit_count(F.col("h_fp").bitwiseXOR(F.col("fp"))) <= 1))
-    met = near.select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b")).filter("a <> b")
+    # one number a copy, table, anchor and fingerprint, since all copies are shuffled; texts are looked up for what met
+    copies = distinct.select("table", "fp").mapInArrow(spread(1), "x bigint")
+    homes = distinct.select("table", "fp").mapInArrow(spread(0), "x bigint").withColumnRenamed("x", "h")
+    apart = F.col("x").bitwiseXOR(F.col("h"))
+    near = copies.join(homes, (F.shiftright("x", 30) == F.shiftright("h", 30)) & (F.col("h") < F.col("x")) & (F.bit_count(apart) == 1))
+    low = lambda c: F.col(c).bitwiseAND((1 << 30) - 1).cast("int")
+    near = near.select(F.shiftright("x", 46).cast("int").alias("table"), low("x").alias("fp"), low("h").alias("fp2"))
+    near = near.join(distinct, ["table", "fp"]).select("table", F.col("fp2").alias("fp"), F.col("node").alias("n1")).join(distinct, ["table", "fp"])
+    met = near.select(F.least("node", "n1").alias("a"), F.greatest("node", "n1").alias("b")).filter("a <> b")
     pairs = materialize(same.union(met).distinct(), "simhash-candidates")
     def judged(pairs: DataFrame, most: int | None) -> DataFrame:
         """``pairs`` with their similarity, and whether it is exact, from sketches of at most ``most`` hashes."""
 
         def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, 200):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(t, shingle, most) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "s"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(t, shingle, most) for t in b.column(1).to_pylist()], pa.list_(pa.int64() if most is None else pa.int32()))], names=["id", "s"])
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, 200):
@@ -257,7 +267,7 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, lea
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array(exact, pa.bool_())], names=["a", "b", "s", "exact"])
 
         asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        known = texts.dropDuplicates(["id"]).join(asked, "id", "left_semi").mapInArrow(sketches, f"id {kind}, s array<bigint>")
+        known = texts.dropDuplicates(["id"]).join(asked, "id", "left_semi").mapInArrow(sketches, f"id {kind}, s array<{'bigint' if most is None else 'int'}>")
         known = materialize(known, "simhash-sketches")
         both = pairs.select("a", "b").join(known.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(known.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
         return materialize(both.select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint, s double, exact boolean"), "simhash-judged")
