@@ -35,6 +35,16 @@ def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose rows go to Python in Arrow batches of at most 4 MB from now on, in the whole session.
+
+    Texts have no bound, so that the usual bound on a batch's rows bounds nothing: ten thousand long documents would be
+    held by the JVM and again by Python.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The batches cut to at most ``rows`` rows, to bound the Python objects alive at once."""
     for batch in batches:

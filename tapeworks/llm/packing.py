@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.llm.bpe import byte_chars
-from tapeworks.llm.common import gapless_rank, materialize, no_cycle_search, slices
+from tapeworks.llm.common import bounded, gapless_rank, materialize, no_cycle_search, slices
 
 
 class WordIds(dict):
@@ -149,7 +149,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity
             yield pa.RecordBatch.from_arrays(arrays[: 5 + with_ids], names=["id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
     schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import connected_components, materialize, slices
+from tapeworks.llm.common import bounded, connected_components, materialize, slices
 
 #: Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 (fixed value).
 GOLAY = 0b101011100011
@@ -56,7 +56,7 @@ def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, shingle: int =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    return bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 
 
 @lru_cache(4)
@@ -223,7 +223,7 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, lea
     similar texts many chances to meet. Sketches then decide, and near the limit the whole shingle sets.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = bounded(docs).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1000):
