@@ -226,10 +226,14 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, lea
     texts = bounded(docs).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1000):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([short_prints(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["id", "fps"])
-
-    each = materialize(texts.mapInArrow(prints, f"id {kind}, fps array<int>"), "simhash-short").select("id", F.posexplode("fps").alias("table", "fp"))
+        for b in slices(batches, 500):
+            found = b.column(1).to_pylist()
+            fps, s = pa.array([short_prints(t) for t in found], pa.list_(pa.int32())), pa.array([sketch(t, shingle, size) for t in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), fps, s], names=["id", "fps", "s"])
+
+    # one pass over the texts: sketches are made here too, so that no text moves for the first comparison
+    made = materialize(texts.mapInArrow(prints, f"id {kind}, fps array<int>, s array<int>"), "simhash-short")
+    each = made.select("id", F.posexplode("fps").alias("table", "fp"))
     distinct = materialize(each.groupBy("table", "fp").agg(F.min("id").alias("node")), "simhash-short-distinct")
     same = each.join(distinct, ["table", "fp"]).filter("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
 
@@ -252,12 +256,13 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, lea
     near = near.join(distinct, ["table", "fp"]).select("table", F.col("fp2").alias("fp"), F.col("node").alias("n1")).join(distinct, ["table", "fp"])
     met = near.select(F.least("node", "n1").alias("a"), F.greatest("node", "n1").alias("b")).filter("a <> b")
     pairs = materialize(same.union(met).distinct(), "simhash-candidates")
+
     def judged(pairs: DataFrame, most: int | None) -> DataFrame:
         """``pairs`` with their similarity, and whether it is exact, from sketches of at most ``most`` hashes."""
 
         def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, 200):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(t, shingle, most) for t in b.column(1).to_pylist()], pa.list_(pa.int64() if most is None else pa.int32()))], names=["id", "s"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(t, shingle, None) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "s"])
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, 200):
@@ -266,9 +271,13 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, lea
                 exact = [most is None or (len(i) < most and len(j) < most) for i, j in zip(x, y, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array(exact, pa.bool_())], names=["a", "b", "s", "exact"])
 
-        asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        known = texts.dropDuplicates(["id"]).join(asked, "id", "left_semi").mapInArrow(sketches, f"id {kind}, s array<{'bigint' if most is None else 'int'}>")
-        known = materialize(known, "simhash-sketches")
+        if most is None:
+            asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+            found = texts.join(asked, "id", "left_semi").mapInArrow(sketches, f"id {kind}, s array<bigint>")
+            known = materialize(found, "simhash-sketches")
+        else:
+            known = made.select("id", "s")
+        known = known.groupBy("id").agg(F.min("s").alias("s"))  # repeated ids: one of their texts stands for them
         both = pairs.select("a", "b").join(known.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(known.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
         return materialize(both.select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint, s double, exact boolean"), "simhash-judged")
 
