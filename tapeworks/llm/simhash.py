@@ -215,6 +215,19 @@ def similarity(a: list[int], b: list[int], size: int | None) -> float:
     return float(np.isin(both, np.intersect1d(a, b)).sum() / len(both))
 
 
+def probably_in(rows: DataFrame, ids: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """``rows`` whose id may be in ``ids``, found without moving them: a bitmap of hashed ids is broadcast.
+
+    It has ``bits`` bits at most (8 MB), whatever the tables; some other rows stay, none of those asked for goes.
+    """
+    at = F.pmod(F.xxhash64(F.col("id")), F.lit(bits))
+    bucket, place = F.bitmap_bucket_number(at).alias("__bucket"), F.bitmap_bit_position(at)
+    maps = ids.select(bucket, place.alias("__place")).groupBy("__bucket").agg(F.bitmap_construct_agg("__place").alias("__map"))
+    byte = F.conv(F.hex(F.expr("substring(__map, cast(__place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    met = rows.select("*", bucket, place.alias("__place")).join(F.broadcast(maps), "__bucket")
+    return met.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(__place % 8 as int))")) != 0).select(rows.columns)
+
+
 def similar_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, size: int) -> DataFrame:
     """Links (a, b) of similarity ``least`` or more between shingle sets, found by short fingerprints at most one bit apart.
 
@@ -271,12 +284,13 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, lea
                 exact = [most is None or (len(i) < most and len(j) < most) for i, j in zip(x, y, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array(exact, pa.bool_())], names=["a", "b", "s", "exact"])
 
+        asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         if most is None:
-            asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-            found = texts.join(asked, "id", "left_semi").mapInArrow(sketches, f"id {kind}, s array<bigint>")
+            # an inner join (asked has no id twice): Spark would do a semi join before the filter, on all texts
+            found = probably_in(texts, asked).join(asked, "id").select("id", "text").mapInArrow(sketches, f"id {kind}, s array<bigint>")
             known = materialize(found, "simhash-sketches")
         else:
-            known = made.select("id", "s")
+            known = probably_in(made.select("id", "s"), asked)
         known = known.groupBy("id").agg(F.min("s").alias("s"))  # repeated ids: one of their texts stands for them
         both = pairs.select("a", "b").join(known.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(known.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
         return materialize(both.select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint, s double, exact boolean"), "simhash-judged")

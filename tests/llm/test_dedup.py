@@ -152,3 +152,14 @@ def test_sketches_are_exact_for_small_sets():
     s = [simhash.sketch(t, 5, 256) for t in (a, b)]
     assert simhash.similarity(*s, 256) == 3 / 5
     assert simhash.similarity([], [], 256) == 1.0 and simhash.similarity([1], [], 256) == 0.0
+
+
+def test_bitmap_keeps_what_is_asked_and_little_else(spark):
+    rows = spark.range(-2000, 20000).selectExpr("id", "cast(id as string) as text")
+    asked = spark.range(-2000, 20000, 7).select("id")
+    got = {r["id"] for r in simhash.probably_in(rows, asked).collect()}
+    want = {r["id"] for r in asked.collect()}
+    assert want <= got and len(got) < len(want) + 100
+    few = {r["id"] for r in simhash.probably_in(rows, asked, bits=64).collect()}
+    assert want <= few
+    assert simhash.probably_in(rows, asked.limit(0)).count() == 0
