@@ -81,9 +81,8 @@ def code_tables(bits: int, generator: int, radius: int, reach: int) -> tuple[np.
     return syndrome, by_level
 
 
-#: Blocks of a fingerprint and their codes: (bits, generator, radius). TWO_GOLAY covers 46 bits, SHORT 30.
+#: Blocks of a fingerprint and their codes: (bits, generator, radius). TWO_GOLAY covers 46 bits.
 TWO_GOLAY = ((23, GOLAY, 3), (23, GOLAY, 3))
-SHORT = ((23, GOLAY, 3), (7, 0b1011, 1))
 
 
 def anchors(fps: np.ndarray, reach: int = 2, code: tuple = TWO_GOLAY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,10 +165,11 @@ def fingerprint_hex(fp):
 
 
 #: Odd multipliers that turn one hash of a shingle into several (fixed values).
-MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
-TABLES = 2 * len(MULTIPLIERS)
-#: Sketches whose similarity is this near the limit don't decide: four standard errors of a sketch of 256.
-MARGIN = 0.1
+MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+#: Sketches whose similarity is this near the limit don't decide: six standard errors of a sketch of 256.
+MARGIN = 0.15
+#: Buckets of hashed shingles whose counts order the shingles, and buckets in one row of counts.
+BUCKETS, CHUNK = 1 << 21, 4096
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -181,28 +181,32 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.frombuffer(b"".join([digest(s, 42) for s in map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False))]), ">u8").astype(np.uint64)
 
 
-def short_prints(text: str | None) -> list[int]:
-    """TABLES independent fingerprints of 30 bits over 3-word shingles."""
-    h = shingle_hashes(text, 3)
+def least_hashes(h: np.ndarray) -> list[int]:
+    """The least of the hashes under each of the multipliers: two sets share one with their similarity as probability."""
     out = []
-    for m in MULTIPLIERS:
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), 1 << 14):
-            x = h[at : at + (1 << 14)] * m
-            x ^= x >> np.uint64(29)
-            x *= MULTIPLIERS[1]
-            ones += np.unpackbits((x ^ x >> np.uint64(32)).view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-        bits = int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big") if len(h) else 0
-        out += [bits & (1 << 30) - 1, bits >> 32 & (1 << 30) - 1]
+    for m in MULTIPLIERS if len(h) else ():
+        x = h * m
+        x ^= x >> np.uint64(29)
+        x *= MULTIPLIERS[1]
+        out.append(int((x ^ x >> np.uint64(32)).min().view(np.int64)))
     return out
 
 
-def sketch(text: str | None, shingle: int, size: int | None) -> list[int]:
-    """The ``size`` smallest different hashes of the shingles, their upper 32 bits; or all of them, whole.
+def prefix(h: np.ndarray, levels: np.ndarray, least: float) -> np.ndarray:
+    """The rarest shingles of a set (different hashes ``h``), in the order of all sets: by their bucket's level, then by hash.
+
+    They are as many as a set may lack of one that is similar by ``least``, and one more: two such sets share one.
+    """
+    key = np.sort(levels[(h % np.uint64(BUCKETS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8))
+    return key[: int((1 - least) * len(h) + 1e-6) + 1].view(np.int64)
+
+
+def sketch(text: str | np.ndarray | None, shingle: int, size: int | None) -> list[int]:
+    """The ``size`` smallest different hashes of the shingles (or of such hashes, sorted), their upper 32 bits; or all of them, whole.
 
     Two sketches tell the similarity of the shingle sets, and exactly so where neither set exceeds them.
     """
-    h = np.unique(shingle_hashes(text, shingle))
+    h = text if isinstance(text, np.ndarray) else np.unique(shingle_hashes(text, shingle))
     return h.view(np.int64).tolist() if size is None else (h[:size] >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
 
 
@@ -229,46 +233,82 @@ def probably_in(rows: DataFrame, ids: DataFrame, bits: int = 1 << 26) -> DataFra
 
 
 def similar_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, size: int) -> DataFrame:
-    """Links (a, b) of similarity ``least`` or more between shingle sets, found by short fingerprints at most one bit apart.
-
-    Within a table, texts of one fingerprint are compared with their smallest id only, and different fingerprints meet
-    at anchors; both are linear in the texts, since a fingerprint has 30 others at one bit. Twelve tables give a pair of
-    similar texts many chances to meet. Sketches then decide, and near the limit the whole shingle sets.
+    """Links (a, b) between texts whose closure is that of all pairs whose shingle sets have the similarity ``least`` or more.
+
+    Equal sets are one class, tied to its smallest id. Texts that share one of four least hashes are held against the
+    smallest id that has it; that is linear and ties most copies. The rest is exact, by the prefix filter: in one order
+    of all shingles, rare ones first, two similar sets share a shingle among the first (1 - least) of each, at places
+    that leave both enough to share. All pairs that do are met, but for those tied to one text already. The order comes
+    from counts by hashed bucket, of bounded size; it moves work only, never a result. Sketches then decide, and near
+    the limit the whole shingle sets.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = bounded(docs).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 500):
-            found = b.column(1).to_pylist()
-            fps, s = pa.array([short_prints(t) for t in found], pa.list_(pa.int32())), pa.array([sketch(t, shingle, size) for t in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), fps, s], names=["id", "fps", "s"])
-
-    # one pass over the texts: sketches are made here too, so that no text moves for the first comparison
-    made = materialize(texts.mapInArrow(prints, f"id {kind}, fps array<int>, s array<int>"), "simhash-short")
-    each = made.select("id", F.posexplode("fps").alias("table", "fp"))
-    distinct = materialize(each.groupBy("table", "fp").agg(F.min("id").alias("node")), "simhash-short-distinct")
-    same = each.join(distinct, ["table", "fp"]).filter("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
-
-    def spread(reach: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, 20000):
-                table, fps = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
-                row, at, _ = anchors(fps, reach, SHORT)
-                yield pa.RecordBatch.from_arrays([pa.array((table[row] << 16 | at) << 30 | fps[row])], names=["x"])
-
-        return run
-
-    # one number a copy, table, anchor and fingerprint, since all copies are shuffled; texts are looked up for what met
-    copies = distinct.select("table", "fp").mapInArrow(spread(1), "x bigint")
-    homes = distinct.select("table", "fp").mapInArrow(spread(0), "x bigint").withColumnRenamed("x", "h")
-    apart = F.col("x").bitwiseXOR(F.col("h"))
-    near = copies.join(homes, (F.shiftright("x", 30) == F.shiftright("h", 30)) & (F.col("h") < F.col("x")) & (F.bit_count(apart) == 1))
-    low = lambda c: F.col(c).bitwiseAND((1 << 30) - 1).cast("int")
-    near = near.select(F.shiftright("x", 46).cast("int").alias("table"), low("x").alias("fp"), low("h").alias("fp2"))
-    near = near.join(distinct, ["table", "fp"]).select("table", F.col("fp2").alias("fp"), F.col("node").alias("n1")).join(distinct, ["table", "fp"])
-    met = near.select(F.least("node", "n1").alias("a"), F.greatest("node", "n1").alias("b")).filter("a <> b")
-    pairs = materialize(same.union(met).distinct(), "simhash-candidates")
+    made_type = f"id {kind}, whole binary, n int, least array<bigint>, s array<int>, chunk int, counts binary"
+
+    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = ["id", "whole", "n", "least", "s", "chunk", "counts"], np.zeros(BUCKETS, np.uint32)
+        types = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        id_type = None
+        for b in slices(batches, 200):
+            id_type, rows = b.schema.field(0).type, []
+            for t in b.column(1).to_pylist():
+                h = np.unique(shingle_hashes(t, shingle))
+                np.add.at(counts, (h % np.uint64(BUCKETS)).astype(np.int64), np.uint32(1))
+                rows.append((xxhash.xxh3_128_digest(h.tobytes()), len(h), least_hashes(h), sketch(h, shingle, size)))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names=names)
+        if id_type is not None:
+            parts = np.minimum(counts, 65535).astype("<u2").reshape(-1, CHUNK)
+            none = [pa.nulls(len(parts), t) for t in (id_type, *types)]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=names)
+
+    # one pass over the texts for all that is small; each task's counts come last, as rows of their own
+    both = materialize(texts.mapInArrow(first_pass, made_type), "simhash-sets")
+    made = both.filter("chunk is null").select("id", "whole", "n", "least", "s")
+    classes = made.groupBy("whole").agg(F.min("id").alias("node"))
+    equal = made.select("id", "whole").join(classes, "whole").filter("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    equal = materialize(equal.distinct(), "simhash-equal")
+    reps = materialize(classes.select(F.col("node").alias("id")).distinct(), "simhash-classes")
+
+    each = made.join(reps, "id").select("id", "n", F.posexplode("least").alias("table", "h"))
+    first = each.groupBy("table", "h").agg(F.min(F.struct("id", "n")).alias("to"))
+    alike = (F.col("id") != F.col("to.id")) & (F.least("n", "to.n") >= least * F.greatest("n", "to.n") - 1e-6)
+    rough = each.join(first, ["table", "h"]).filter(alike).select(F.col("to.id").alias("a"), F.col("id").alias("b"))
+    rough = materialize(rough.distinct(), "simhash-candidates")
+
+    def sum_counts(rows: pa.Table) -> pa.Table:
+        total = np.zeros(CHUNK, np.int64)
+        for x in rows.column("counts"):
+            total += np.frombuffer(x.as_buffer(), "<u2")
+        level = np.minimum(np.rint(8 * np.log2(1 + total)), 255).astype(np.uint8)
+        return pa.table({"chunk": rows.column("chunk").slice(0, 1), "level": pa.array([level.tobytes()], pa.binary())})
+
+    found = both.filter("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(sum_counts, "chunk int, level binary").toArrow()
+    levels = np.zeros(BUCKETS, np.uint8)
+    for chunk, level in zip(found.column("chunk").to_pylist(), found.column("level").to_pylist(), strict=True):
+        levels[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(level, np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(levels)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 100):
+            token, row, place = [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                h = np.unique(shingle_hashes(t, shingle))
+                if len(h):
+                    token.append(prefix(h, sent.value, least))
+                    row.append(np.full(len(token[-1]), i))
+                    place.append(len(h) << 32 | np.arange(len(token[-1])))
+            if token:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), b.column(0).take(pa.array(np.concatenate(row))), pa.array(np.concatenate(place))], names=["token", "id", "place"])
+
+    # texts of classes that the bitmap lets pass by mistake cost pairs that are tied already
+    tokens = materialize(probably_in(texts, reps).mapInArrow(rarest, f"token bigint, id {kind}, place bigint"), "simhash-prefixes")
+    n = lambda c: F.shiftright(c, 32)
+    left = lambda c: n(c) - F.col(c).bitwiseAND((1 << 32) - 1)
+    # a pair's first shared shingle has nothing shared before it; both sides are one exchange, read twice
+    fits = (F.col("a") < F.col("b")) & (F.least(left("pa"), left("pb")) >= least / (1 + least) * (n("pa") + n("pb")) - 1e-6)
+    met = tokens.toDF("token", "a", "pa").join(tokens.toDF("token", "b", "pb"), "token").filter(fits).select("a", "b").distinct()
 
     def judged(pairs: DataFrame, most: int | None) -> DataFrame:
         """``pairs`` with their similarity, and whether it is exact, from sketches of at most ``most`` hashes."""
@@ -295,10 +335,17 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, lea
         both = pairs.select("a", "b").join(known.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(known.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
         return materialize(both.select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint, s double, exact boolean"), "simhash-judged")
 
-    rough = judged(pairs, size)
-    clear = F.col("exact") | (F.col("s") >= least + MARGIN)
-    fine = judged(rough.filter(~F.col("exact") & (F.abs(F.col("s") - least) < MARGIN)), None)
-    return rough.filter(clear & (F.col("s") >= least)).select("a", "b").union(fine.filter(F.col("s") >= least).select("a", "b"))
+    def similar(pairs: DataFrame) -> DataFrame:
+        seen = judged(pairs, size)
+        clear = F.col("exact") | (F.col("s") >= least + MARGIN)
+        fine = judged(seen.filter(~F.col("exact") & (F.abs(F.col("s") - least) < MARGIN)), None)
+        return seen.filter(clear & (F.col("s") >= least)).select("a", "b").union(fine.filter(F.col("s") >= least).select("a", "b"))
+
+    tied = materialize(equal.union(similar(rough)), "simhash-tied")
+    to = materialize(tied.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to")), "simhash-tied-to")
+    met = met.join(to.toDF("a", "ta"), "a", "left").join(to.toDF("b", "tb"), "b", "left")
+    met = met.filter(F.coalesce("ta", "a") != F.coalesce("tb", "b")).filter(F.coalesce(F.col("tb") != F.col("a"), F.lit(True)) & F.coalesce(F.col("ta") != F.col("b"), F.lit(True)))
+    return tied.union(similar(materialize(met.select("a", "b"), "simhash-met")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, sketch_size: int = 256) -> DataFrame:

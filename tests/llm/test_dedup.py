@@ -163,3 +163,22 @@ def test_bitmap_keeps_what_is_asked_and_little_else(spark):
     few = {r["id"] for r in simhash.probably_in(rows, asked, bits=64).collect()}
     assert want <= few
     assert simhash.probably_in(rows, asked.limit(0)).count() == 0
+
+
+def kept_of(spark, rows):
+    return {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+
+
+def exact_kept(rows, k=5):
+    sets = [frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if (w := t.split()) else frozenset() for t in rows]
+    links = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return {i for i, c in enumerate(components(len(rows), links)) if i == c}
+
+
+def test_keep_one_finds_copies_in_a_crowd_of_one_repeated_line(spark):
+    g = random.Random(11)
+    line = [f"b{i}" for i in range(11)] * 40
+    tails = [[f"w{g.randrange(10**6)}" for _ in range(60)] for _ in range(150)]
+    near = [t[:59] + ["other"] for t in tails[:100]]
+    rows = [" ".join(line + t) for t in tails + tails[:100] + near]
+    assert kept_of(spark, rows) == set(range(150))
