@@ -182,3 +182,32 @@ def test_keep_one_finds_copies_in_a_crowd_of_one_repeated_line(spark):
     near = [t[:59] + ["other"] for t in tails[:100]]
     rows = [" ".join(line + t) for t in tails + tails[:100] + near]
     assert kept_of(spark, rows) == set(range(150))
+
+
+def test_keep_one_finds_every_shape_just_above_the_limit(spark):
+    g = random.Random(12)
+    rows, n = [], 0
+
+    def new(m):
+        nonlocal n
+        n += m
+        return [f"w{i}" for i in range(n - m, n)]
+
+    for size in (40, 148, 400, 904):  # words; shingles are 4 less
+        most = (size - 4) // 9  # of the shingles may be replaced, a fourth of them added
+        for _ in range(12):
+            for above in (0, 1):
+                t = new(size)
+                at = g.randrange(4, size - most - 4)
+                rows += [t, t[:at] + new(most - 4 + above) + t[at + most - 4 + above :]]
+                t = new(size)
+                rows += [t, t + new((size - 4) // 4 + above)]
+            t = new(size)
+            u = list(t)
+            for i in range(4, 4 + 5 * (most // 5), 5):
+                u[i] = new(1)[0]
+            rows += [t, u]
+    rows = [" ".join(t) for t in rows]
+    want = exact_kept(rows)
+    assert len(want) == len(rows) - 4 * 12 * 3
+    assert kept_of(spark, rows) == want
