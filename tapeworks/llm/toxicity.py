@@ -1,6 +1,6 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A text's words go through in overlapping windows, all of them. A word's input is its own vector (for the training
+A text's words go through in overlapping windows, all of them; words of more than 60 bytes as consecutive pieces. A word's input is its own vector (for the training
 words that are frequent enough; one shared vector for the rest) beside the mean of its character trigrams' vectors.
 Two recurrent passes, one each way, give a state per word; attention pools a window's states into one logit. A
 document's score is a logistic function of its largest logit, fitted on the training documents.
@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from tapeworks.llm.common import bounded, no_cycle_search, slices
 
 WINDOW, STEP = 32, 24
+PIECE = 60
 WORD, CHAR, HIDDEN = 8, 8, 8
 GRAMS = 4096
 DECAY = 0.05
@@ -34,6 +35,23 @@ def normal(word: str) -> str:
     return word.strip(EDGES).lower()
 
 
+def positions(text: str | None) -> list[str]:
+    """The text's words; one of more than PIECE bytes is cut, between characters, into pieces of at most so many."""
+    out = []
+    for w in (text or "").split():
+        if len(w) <= PIECE // 4 or len(raw := w.encode("utf-8", "surrogatepass")) <= PIECE:
+            out.append(w)
+            continue
+        at = 0
+        while at < len(raw):
+            end = min(at + PIECE, len(raw))
+            while end < len(raw) and raw[end] & 0xC0 == 0x80:
+                end -= 1
+            out.append(raw[at:end].decode("utf-8", "surrogatepass"))
+            at = end
+    return out
+
+
 def starts(n: int) -> range | list[int]:
     """Where the windows over n words begin: every STEP words, the last one ending with the text."""
     if n <= WINDOW:
@@ -45,7 +63,7 @@ def gram_mean(words: list[str], table: np.ndarray) -> np.ndarray:
     """The mean vector of each word's byte trigrams, with a mark at both ends."""
     if not words:
         return np.zeros((0, table.shape[1]), table.dtype)
-    raw = [b"\x02" + w.encode("utf-8", "replace")[:60] + b"\x03\x03" for w in words]
+    raw = [b"\x02" + w.encode("utf-8", "replace") + b"\x03\x03" for w in words]
     flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
     size = np.array([len(r) for r in raw])
     code = (flat[:-2] * np.uint32(0x9E3779B1) ^ flat[1:-1] * np.uint32(0x85EBCA6B) ^ flat[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F) >> np.uint32(20)
@@ -58,7 +76,7 @@ def gram_mean(words: list[str], table: np.ndarray) -> np.ndarray:
 
 def gram_rows(word: str) -> np.ndarray:
     """The trigram numbers of one word, as gram_mean has them."""
-    raw = np.frombuffer(b"\x02" + word.encode("utf-8", "replace")[:60] + b"\x03\x03", np.uint8).astype(np.uint32)
+    raw = np.frombuffer(b"\x02" + word.encode("utf-8", "replace") + b"\x03\x03", np.uint8).astype(np.uint32)
     return ((raw[:-2] * np.uint32(0x9E3779B1) ^ raw[1:-1] * np.uint32(0x85EBCA6B) ^ raw[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F) >> np.uint32(20)).astype(np.int64)
 
 
@@ -267,7 +285,7 @@ class Scorer:
         self.row.update(zip(new, range(n, n + len(new)), strict=True))
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        parts = [(t or "").split() or [""] for t in texts]
+        parts = [positions(t) or [""] for t in texts]
         with no_cycle_search():
             self.learn(set().union(*parts, ("",)))
         get = self.row.__getitem__
@@ -308,7 +326,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in slices(batches, 200):
             out = []
             for t in b.column(1).to_pylist():
-                words = (t or "").split() or [""]
+                words = positions(t) or [""]
                 words += [""] * (WINDOW - len(words))
                 at = starts(len(words))
                 at = at if len(at) <= windows else [at[int(i * len(at) / windows)] for i in range(windows)]

@@ -173,6 +173,18 @@ def test_toxicity_learns_and_handles_odd_texts(spark):
     assert toxicity.score(odd.limit(0), net).count() == 0
 
 
+def test_toxicity_sees_every_byte_of_long_words():
+    for t in ("x" * 1000, "漢字" * 333, "é" * 31, "a" + "é" * 40, "😀" * 50, "short " + "-_/." * 99):
+        cut = toxicity.positions(t)
+        assert "".join(cut) == t.replace(" ", "") and all(len(p.encode()) <= 60 for p in cut)
+    assert toxicity.positions(" a " + "b" * 60 + "\n") == ["a", "b" * 60] and toxicity.positions(None) == []
+    scorer = toxicity.Scorer(toxicity.Network([]), most=1000)
+    for base in ("good_" * 100, "漢字" * 200):
+        changed = [base, *(base[:at] + "Z" + base[at + 1 :] for at in range(70, len(base), 45))]
+        first, *rest = scorer.scores(changed)
+        assert all(x != first for x in rest)
+
+
 def test_held_out_is_crc32_of_the_id(spark):
     rows = spark.range(200).select("id", toxicity.held_out("id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
