@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import bounded, no_cycle_search, slices
+from tapeworks.llm.common import bounded, in_worker, no_cycle_search, slices
 
 
 @lru_cache(1)
@@ -67,9 +67,9 @@ def serialise(tokens: list[bytes]) -> bytes:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary; pre-tokens seen before are looked up, within a bound on their number."""
+    """Encoder and decoder of one vocabulary; chunks seen before are looked up, within a bound on their bytes."""
 
-    def __init__(self, path: str, pattern: str, most: int = 700_000):
+    def __init__(self, path: str, pattern: str, most: int = 128 << 20):
         import regex
         import sentencepiece
 
@@ -85,7 +85,7 @@ class Codec:
         self.chars = byte_chars()
         back = {c: bytes([b]) for b, c in enumerate(self.chars)}
         self.pieces = [b"".join([back[c] for c in self.model.id_to_piece(i)]) for i in range(len(self.tokens))]
-        self.most, self.chunks, self.pretokens = most, {}, {}
+        self.most, self.held, self.chunks, self.pretokens = most, 0, {}, {}
 
     def encode_pretokens(self, pretokens: list[str]) -> list[list[int]]:
         """Ids of each pre-token: the token itself where the vocabulary has it whole, else the merges."""
@@ -109,10 +109,14 @@ class Codec:
     def learn(self, chunks: set[str]) -> None:
         """Tokens, ids in decimal joined by commas, and decoded bytes of each chunk not yet known."""
         new = [c for c in chunks if c not in self.chunks]
-        if len(self.chunks) + len(new) > self.most:
+        # a chunk of n characters, its ids and its bytes take about 400 + 8 n bytes, with their places in both dictionaries
+        size = 400 * len(new) + 8 * sum(map(len, new))
+        if self.chunks and self.held + size > self.most:
             self.chunks.clear()
             self.pretokens.clear()
-            new = list(chunks)
+            self.held, new = 0, list(chunks)
+            size = 400 * len(new) + 8 * sum(map(len, new))
+        self.held += size
         found: dict[str, list[str]] = {}
         rest = []
         for c in new:  # most are letters with at most one mark behind them, after a space
@@ -167,22 +171,12 @@ class Codec:
         return [int(i) for i in ids.split(",")] if ids else []
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
-def codec(path: str, pattern: str) -> Codec:
-    """One codec per worker process and vocabulary."""
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
-
-
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids: array of int, decoded: binary) per row; null texts count as empty, rows are kept as they are."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c = Codec(path, pattern)
         for b in slices(batches, 200):
             ids, decoded = [], []
             for t in b.column(1).to_pylist():
@@ -190,7 +184,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 decoded.append(c.decode(ids[-1]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
 
-    return bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+    return bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(in_worker(run), f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,7 +192,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
+        c = Codec(path, pattern)
         for b in slices(batches, 500):
             n, enc, dec = [], [], []
             for tokens, ids, raw in c.parts([t or "" for t in b.column(1).to_pylist()]):
@@ -208,4 +202,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(in_worker(run), schema).withColumnRenamed("id", id_col)

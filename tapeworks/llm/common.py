@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+import weakref
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -15,9 +17,22 @@ from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that all machines see: spark.checkpoint.dir, or (unset, as in tests) one below the warehouse."""
+    """Folder that all machines see: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Where neither is set, a local session (as in tests) takes one below the warehouse; a cluster has no such place.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    if not root and (found := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        root = found.get()
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return root
+
+
+#: Where each table of ``materialize`` lies, for ``discard``.
+_TABLES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -28,23 +43,64 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(nullable(df.schema)).parquet(path)
+    out = spark.read.schema(nullable(df.schema)).parquet(path)
+    _TABLES[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialize`` that nothing will read again."""
+    for df in tables:
+        if path := _TABLES.pop(df, None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
+#: Bytes of an Arrow batch that takes texts to Python.
+BATCH_BYTES = 4 << 20
+
+
 def bounded(df: DataFrame) -> DataFrame:
-    """``df``, whose rows go to Python in Arrow batches of at most 4 MB from now on, in the whole session.
+    """``df``, in a session whose Arrow batches have at most 4 MB; a smaller bound of the user's own stays.
 
     Texts have no bound, so that the usual bound on a batch's rows bounds nothing: ten thousand long documents would be
-    held by the JVM and again by Python.
+    held by the JVM and again by Python. Spark reads this setting when it plans a result that the caller may run at any
+    later time, so it can't be put back here; it changes how rows are handed over, never what they are.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key, "4m"))
+    if now <= 0 or now > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
     return df
 
 
+def in_worker(run: Callable) -> Callable:
+    """``run`` for mapInArrow, after which the worker gives its memory back.
+
+    Workers live on and serve other operators' tasks beside the executor's heap; what a task has freed would stay with
+    the allocators' pools. Caches belong to the task (local variables of ``run``), so that they end with it as well.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def give_back() -> None:
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The batches cut to at most ``rows`` rows, to bound the Python objects alive at once."""
     for batch in batches:
@@ -103,10 +159,12 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
         low = materialize(low.select("k", F.least("k", "m").alias("m")), name)
         large = both.filter("b > a").join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(large.filter("a <> b").distinct(), name)
+        discard(cur, low)
         low = materialize(large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")), name)
         small = large.join(low, F.col("a") == F.col("k"))
         small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         cur = materialize(small.select("e.a", "e.b").filter("a <> b").distinct(), name)
+        discard(large, low)
         # a forest of stars: every node has one parent, no parent is itself a child, and the edge set stays as it was
         state = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:

@@ -18,17 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.llm.bpe import byte_chars
-from tapeworks.llm.common import bounded, gapless_rank, materialize, no_cycle_search, slices
+from tapeworks.llm.common import bounded, gapless_rank, in_worker, materialize, no_cycle_search, slices
 
 
 class WordIds(dict):
-    """Ids of a string without ASCII white space as little-endian uint32 bytes; emptied when it holds too many.
+    """Ids of a string without ASCII white space as little-endian uint32 bytes; emptied when its strings hold too many bytes.
 
     Follows the tokenizer file: NFC, lower case by character, then its pre-token pattern; each different pre-token is
     given to the tokenizer's model once. Strings that may hold a special token go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 64 << 20):
         import json
 
         import regex
@@ -43,15 +43,20 @@ class WordIds(dict):
         self.find = regex.compile(steps["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\n").findall
         self.special = [t["content"][:2] for t in steps["added_tokens"]]
         self.pretokens: dict[str, bytes] = {}
+        self.held = 0
         self.chars = byte_chars()
         self.marks = {c: self.pretoken(c) for c in ".,;:!?|)"}
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.most:
+        # a string of n characters and its ids take about 200 + 5 n bytes, with their places in both dictionaries
+        size = 200 * len(new) + 5 * sum(map(len, new))
+        if self and self.held + size > self.most:
             self.clear()
             self.pretokens.clear()
-            new = list(words)
+            self.held, new = 0, list(words)
+            size = 200 * len(new) + 5 * sum(map(len, new))
+        self.held += size
         joined = "\n".join(new)
         if odd := [w for w in new if any(s in w for s in self.special)] if any(s in joined for s in self.special) else []:
             for w, e in zip(odd, self.tok.encode_batch(odd, add_special_tokens=False), strict=True):
@@ -91,18 +96,12 @@ def pack_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_WORDS: dict[str, WordIds] = {}
-
-
-def token_bytes(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
+def token_bytes(texts: list[str | None], words: WordIds, end_id: int) -> list[bytes]:
     """Each text's ids and ``end_id`` as little-endian uint32s.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its parts between white space;
-    each different part is tokenized once. 
+    each different part is tokenized once.
     """
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)  # one per worker process
-    words = _WORDS[path]
     end, out = end_id.to_bytes(4, "little"), []
     cut = str.maketrans("\t\n\r\x0b\x0c", "     ")  # str.split() also cuts at the separators below, the tokenizer doesn't
     group: list[list[str]] = []
@@ -134,11 +133,11 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        width = 4 * capacity
-        for b in slices(batches, 500):
+        width, words = 4 * capacity, WordIds(tokenizer)
+        for b in slices(batches, 250):
             ids, cols = b.column(0).to_pylist(), ([], [], [], [], [], [])
             with no_cycle_search():
-                found = token_bytes(b.column(1).to_pylist(), tokenizer, end_id)
+                found = token_bytes(b.column(1).to_pylist(), words, end_id)
             for k, raw in zip(ids, found, strict=True):
                 for n, at in enumerate(range(0, len(raw), width)):
                     part = raw[at : at + width]
@@ -149,7 +148,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity
             yield pa.RecordBatch.from_arrays(arrays[: 5 + with_ids], names=["id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
     schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
-    return bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(in_worker(run), schema)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
