@@ -1,10 +1,13 @@
 """Secret scans with inferred grammars.
 
 Fixed patterns find the base spans. Beside them, a probabilistic automaton per credential format is inferred from
-labelled examples: a prefix tree of the examples, whose states are merged where their next-symbol frequencies are
-statistically compatible (Hoeffding bound, checked down the tree). A background automaton comes from the bounded sample
-of ordinary tokens. Every other token that could be a credential is scored by its log-likelihood per symbol under the
-best format against the background; enough of an advantage makes it a span of kind ``format``.
+labelled examples (made-up ones of public formats, and values of the documents' own base spans): a prefix tree of the
+examples, whose states are merged where their next-symbol frequencies are statistically compatible (Hoeffding bound,
+checked down the tree). The background is an automaton too: its states are the last two symbols, its transitions come
+from the symbols of all documents' tokens outside base spans. Every maximal token of at least 16 symbols that touches no
+base span is scored by its log-likelihood under the best format against the background. All of these are distributions
+over strings, so a token of the background exceeds odds of t under one format with a chance of 1 / t at most; the limit on the
+odds is the operator's one parameter, and no margin is fitted. Tokens beyond it are spans of kind ``format``.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import bounded, slices
+from tapeworks.llm.common import bounded, discard, in_worker, materialize, slices
 
 #: Fixed patterns of the base spans.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -31,6 +35,14 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 END = "\x00"
 
 UPPER, LOWER, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+SYMBOLS = UPPER + LOWER + DIGIT + "+/_=-"
+#: Number of the symbols and the end (0); the number of each byte, 0 for others; the number of each symbol's small letter.
+WIDTH = len(SYMBOLS) + 1
+CODE = np.zeros(256, np.int64)
+CODE[[ord(c) for c in SYMBOLS]] = range(1, WIDTH)
+LOWERED = np.array([0, *(CODE[ord(c.lower())] for c in SYMBOLS)])
+#: What every symbol's count in a state of a format is raised by.
+RAISE = 0.05
 #: Public credential formats: a fixed prefix, the symbols that follow and their number.
 FORMATS = {
     "access_key": ("AKIA", UPPER + DIGIT, 16),
@@ -122,59 +134,106 @@ class Automaton:
                     stack.append((e[0], to))
 
     def _tables(self, states: list[int]) -> None:
-        """Transitions and log-probabilities over 128 symbols; a symbol not seen in a state costs as one in 4 n and keeps it."""
+        """Transitions and log-probabilities over the symbols and the end; a symbol not seen in a state keeps it.
+
+        Each state's probabilities sum to 1: counts are raised by RAISE for every symbol.
+        """
         number = {s: i for i, s in enumerate(states)}
-        self.go = np.tile(np.arange(len(states))[:, None], (1, 128))
-        self.cost = np.empty((len(states), 128))
+        self.go = np.tile(np.arange(len(states))[:, None], (1, WIDTH))
+        count = np.full((len(states), WIDTH), RAISE)
         for s, i in number.items():
-            n, k = sum(e[1] for e in self.next[s].values()), len(self.next[s])
-            self.cost[i] = -math.log(4 * (n + k + 1))
             for ch, (to, c) in self.next[s].items():
-                self.cost[i, ord(ch)] = math.log((c + 0.5) / (n + 0.5 * (k + 1)))
+                count[i, CODE[ord(ch)]] += c
                 if to in number:
-                    self.go[i, ord(ch)] = number[to]
+                    self.go[i, CODE[ord(ch)]] = number[to]
+        self.cost = np.log(count / count.sum(1, keepdims=True))
+
+
+class Background:
+    """Ordinary tokens: each symbol depends on the two before it.
+
+    ``count`` holds, for every two symbols and the next one (0: none, before the start or at the end), how often they
+    follow each other. Longer contexts fall back on shorter ones in proportion to how many symbols have followed
+    them. A token may also be written in capitals, be a number or repeat one symbol, each with a chance of 1 in 1000.
+    """
+
+    def __init__(self, count: np.ndarray):
+        lower = np.full((1, WIDTH), 1 / WIDTH)
+        three = count.reshape(WIDTH, WIDTH, WIDTH).astype(float)
+        for level in (three.sum((0, 1))[None], three.sum(0), three.reshape(-1, WIDTH)):
+            kinds = np.maximum((level > 0).sum(1, keepdims=True), 1)
+            lower = np.tile(lower, (len(level) // len(lower), 1))  # a context's fallback is that of its last symbols
+            lower = (level + kinds * lower) / (level.sum(1, keepdims=True) + kinds)
+        self.cost = np.log(lower)
+        self.go = (np.arange(WIDTH * WIDTH) % WIDTH)[:, None] * WIDTH + np.arange(WIDTH)
+
+    @classmethod
+    def of(cls, tokens: list[str]) -> Background:
+        return cls(follow_counts(" ".join(tokens).encode("utf-8", "replace")))
 
     def likelihood(self, codes: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Log-likelihood per symbol of padded strings (n, width) with their ends."""
-        at, sums = np.zeros(len(codes), np.int64), np.zeros(len(codes))
-        for k in range(codes.shape[1]):
-            live = k < length
-            sums += np.where(live, self.cost[at, codes[:, k]], 0)
-            at = np.where(live, self.go[at, codes[:, k]], at)
-        return (sums + self.cost[at, 0]) / (length + 1)
+        out = walk(self, codes, length)
+        live = np.arange(codes.shape[1])[None] < length[:, None]
+        low = (codes == LOWERED[codes]) | ~live
+        capitals = walk(self, LOWERED[codes], length) - math.log(1000)
+        out = np.where(low.all(1), out, np.logaddexp(out, capitals))
+        digits = (np.isin(codes, CODE[[ord(c) for c in DIGIT]]) | ~live).all(1)
+        out = np.where(digits, np.logaddexp(out, length * math.log(0.09) + math.log(1e-4)), out)
+        same = ((codes == codes[:, :1]) | ~live).all(1)
+        return np.where(same, np.logaddexp(out, length * math.log(0.9) - math.log(1e4 * WIDTH)), out)
+
+
+def follow_counts(raw: bytes) -> np.ndarray:
+    """How often each symbol follows each two others in tokens of these bytes; other bytes end a token."""
+    code = CODE[np.frombuffer(b" " + raw + b" ", np.uint8)]
+    one = code[:-1]
+    two = np.where(one == 0, 0, np.concatenate([[0], code[:-2]]))
+    now = code[1:]
+    some = (now > 0) | (one > 0)
+    return np.bincount(((two * WIDTH + one) * WIDTH + now)[some], minlength=WIDTH**3)
+
+
+def walk(automaton: Automaton | Background, codes: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Log-likelihood of padded strings (n, width) with their ends."""
+    at, sums = np.zeros(len(codes), np.int64), np.zeros(len(codes))
+    for k in range(codes.shape[1]):
+        live = k < length
+        sums += np.where(live, automaton.cost[at, codes[:, k]], 0)
+        at = np.where(live, automaton.go[at, codes[:, k]], at)
+    return sums + automaton.cost[at, 0]
 
 
 class Grammars:
-    """The formats' automata, the background, and the advantage per symbol that makes a credential."""
+    """The formats' automata, the background, and the odds at which a token is a credential."""
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], margin: float = 0.3):
-        self.formats = [Automaton(v) for v in labelled.values()]
-        self.background, self.margin = Automaton(ordinary or ["the"]), margin
+    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str] | Background, odds: float = 1e6):
+        self.formats = [Automaton(v) for v in labelled.values() if v]
+        self.background = ordinary if isinstance(ordinary, Background) else Background.of(ordinary or ["the"])
+        self.odds = odds
 
     def credential(self, tokens: list[str]) -> np.ndarray:
-        """Whether each token is likelier under a format than as an ordinary token, by the margin per symbol."""
-        out = np.zeros(len(tokens), bool)
+        """Whether each token is likelier under a format than as an ordinary token, by the odds and more."""
+        return self.advantage(tokens) > math.log(self.odds)
+
+    def advantage(self, tokens: list[str]) -> np.ndarray:
+        """Logarithm of the odds of the best format against the background; the formats share the chance equally."""
+        out = np.zeros(len(tokens))
         order = sorted(range(len(tokens)), key=lambda i: len(tokens[i]))
-        for b in range(0, len(order), 4096):
-            some = order[b : b + 4096]
+        at = 0
+        while at < len(order):
             # the whole token counts; tokens are padded to the longest of a group of like lengths
+            most = max(1, 1 << 20 >> len(tokens[order[at]]).bit_length())
+            some = order[at : at + min(4096, most)]
+            some = [i for i in some if len(tokens[i]) <= 2 * len(tokens[some[0]])]
+            at += len(some)
             length = np.array([len(tokens[i]) for i in some])
-            wide = int(length[-1])
-            if wide > 4096:  # one by one where padding would cost most
-                for i in some:
-                    codes = np.frombuffer(tokens[i].encode(), np.uint8).astype(np.int64)[None]
-                    out[i] = self._wins(codes, np.array([codes.shape[1]]))[0]
-                continue
-            codes = np.zeros((len(some), wide), np.int64)
+            codes = np.zeros((len(some), int(length[-1])), np.int64)
             for r, i in enumerate(some):
-                codes[r, : length[r]] = np.frombuffer(tokens[i].encode(), np.uint8)
-            out[some] = self._wins(codes, length)
+                codes[r, : length[r]] = CODE[np.frombuffer(tokens[i].encode(), np.uint8)]
+            best = np.max([walk(a, codes, length) for a in self.formats], 0) - math.log(len(self.formats))
+            out[some] = best - self.background.likelihood(codes, length)
         return out
 
-    def _wins(self, codes: np.ndarray, length: np.ndarray) -> np.ndarray:
-        best = np.max([a.likelihood(codes, length) for a in self.formats], 0)
-        return best > self.background.likelihood(codes, length) + self.margin
-
 
 def base_spans(text: str) -> list[tuple[int, str, int, int]]:
     """(start, kind, end, start of the value), by start, then kind as listed."""
@@ -185,19 +244,12 @@ def base_spans(text: str) -> list[tuple[int, str, int, int]]:
     return [(s, KINDS[k], e, v) for s, k, e, v in sorted(found)]
 
 
-def mixed(token: str) -> bool:
-    """Letters beside digits, or of both cases inside: credentials are, prose and plain numbers aren't."""
-    letters = sum(c.isalpha() for c in token)
-    digits = sum(c.isdigit() for c in token)
-    return letters > 0 and (digits > 0 or not (token.islower() or token.isupper() or token.istitle()))
-
-
 def all_spans(texts: list[str], grammars: Grammars) -> list[list[tuple[int, str, int, int]]]:
     base = [base_spans(t) for t in texts]
     tokens, where = [], []
     for k, t in enumerate(texts):
         for m in CANDIDATE.finditer(t):
-            if mixed(m.group()) and not any(s < m.end() and m.start() < e for s, _, e, _ in base[k]):
+            if not any(s < m.end() and m.start() < e for s, _, e, _ in base[k]):
                 tokens.append(m.group())
                 where.append((k, m.start(), m.end()))
     added: list[list] = [[] for _ in texts]
@@ -208,26 +260,52 @@ def all_spans(texts: list[str], grammars: Grammars) -> list[list[tuple[int, str,
     return [sorted(b + a, key=lambda x: (x[0], rank[x[1]])) if a else b for a, b in zip(added, base, strict=True)]
 
 
-def ordinary_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 400) -> list[str]:
-    """Words of ``most`` documents, the first by a hash of their ids, at most 50 a document spread over its text: the background's examples."""
-    order = F.xxhash64(F.col(id_col).cast("string"))
-    # ids are chosen first, so that no more than ``most`` texts leave their partitions
-    chosen = docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(order, id_col).limit(most)
-    rows = bounded(docs).select(id_col, text_col).filter(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col, "left_semi").select(text_col)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 200):
-            out = []
-            for t in b.column(0).to_pylist():
-                words = [w for w in re.findall(r"[A-Za-z0-9+/_=-]{3,40}", t) if not HEX.search(w) and not ACCESS.search(w)]
-                out.append(words[:: max(1, len(words) // 50)][:50])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], names=["words"])
-
-    return sorted({w for r in rows.mapInArrow(cut, "words array<string>").toArrow().to_pylist() for w in r["words"]})
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 150, few: int = 20) -> Grammars:
+    """Grammars for ``docs``: public formats, the documents' own labelled values, and the background of all their tokens.
 
+    Of each kind of base span, at most ``most`` different values of 16 to 200 symbols are examples, the first by a hash;
+    fewer than ``few`` make no automaton. The background counts every token of every text outside base spans: a task
+    gives its counts, of bounded number, and they are summed in Spark.
+    """
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Grammars:
-    return Grammars(examples(), ordinary_tokens(docs, id_col, text_col))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(WIDTH**3, np.int64)
+        values: dict[str, set[tuple[int, str]]] = {k: set() for k in KINDS[:3]}
+        for b in slices(batches, 500):
+            kept = []
+            for t in b.column(0).to_pylist():
+                at = 0
+                for s, kind, e, v in base_spans(t):
+                    value = t[v:e]
+                    if 16 <= len(value) <= 200 and CANDIDATE.fullmatch(value):
+                        values[kind].add((xxhash.xxh64_intdigest(value.encode(), 9) >> 1, value))
+                    if s >= at:
+                        kept.append(t[at:s])
+                    at = max(at, e)
+                kept.append(t[at:])
+            total += follow_counts(" ".join(kept).encode("utf-8", "replace"))
+            for k, found in values.items():
+                if len(found) > 10 * most:
+                    values[k] = set(sorted(found)[:most])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(at), pa.array(total[at]), pa.nulls(len(at), pa.string())], names=["kind", "at", "n", "value"])
+        rows = [(k, h, v) for k, found in values.items() for h, v in sorted(found)[:most]]
+        if rows:
+            k, h, v = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(h, pa.int64()), pa.nulls(len(k), pa.int64()), pa.array(v)], names=["kind", "at", "n", "value"])
+
+    texts = bounded(docs).select(text_col).filter(F.col(text_col).isNotNull())
+    seen = materialize(texts.mapInArrow(in_worker(run), "kind string, at bigint, n bigint, value string"), "secrets-seen")
+    sums = seen.filter("kind is null").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most WIDTH ** 3 rows
+    count = np.zeros(WIDTH**3, np.int64)
+    count[sums["at"].to_numpy()] = sums["n"].to_numpy()
+    labelled = examples()
+    for kind in KINDS[:3]:
+        rows = seen.filter(F.col("kind") == kind).select("at", "value").distinct().orderBy("at", "value").limit(most).collect()
+        if len(rows) >= few:
+            labelled[kind] = [r["value"] for r in rows]
+    discard(seen)
+    return Grammars(labelled, Background(count))
 
 
 def scan(docs: DataFrame, grammars: Grammars, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,7 +323,7 @@ def scan(docs: DataFrame, grammars: Grammars, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], names=[id_col, "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return bounded(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, spans array<struct<kind:string,start:bigint,end:bigint,value:bigint>>")
+    return bounded(docs).select(id_col, text_col).mapInArrow(in_worker(run), f"`{id_col}` {kind}, spans array<struct<kind:string,start:bigint,end:bigint,value:bigint>>")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -271,7 +349,7 @@ def redact(docs: DataFrame, grammars: Grammars, text_col: str = "text", mark: st
                 out.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
 
-    return bounded(docs).mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(in_worker(run), docs.schema)
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
