@@ -1,18 +1,17 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A text's words go through in overlapping windows, all of them; words of more than 60 bytes as consecutive pieces. A word's input is its own vector (for the training
-words that are frequent enough; one shared vector for the rest) beside the mean of its character trigrams' vectors.
-Two recurrent passes, one each way, give a state per word; attention pools a window's states into one logit. A
-document's score is a logistic function of its largest logit, fitted on the training documents.
-
-Training takes a bounded, hash-ordered sample of labelled documents (``most`` of each label) and, of each, up to
-``windows`` windows spread evenly over the whole text. First all windows carry their document's label; then, of toxic
-documents, only the windows of largest logit do, against the worst windows of the others.
+A text's words go through in overlapping windows, all of them, each half over the next; words of more than 60 bytes as
+consecutive pieces. A word's inputs are its own vector (for the training words that are frequent enough; one shared
+vector for the rest), the mean of its character trigrams' vectors and the sum of its beginnings'. Two recurrent passes,
+one each way, give a state per word; attention pools a window's states into one logit. A document's score is a logistic
+function of its largest logit, fitted on training documents that the network has not seen, with all their windows.
+
+Training takes a bounded, hash-ordered sample of labelled documents, each whole (``most`` of label 1, twice as many of
+label 0, ``most_bytes`` in all).
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeworks.llm.common import bounded, no_cycle_search, slices
+from tapeworks.llm.common import bounded, in_worker, no_cycle_search, slices
 
-WINDOW, STEP = 32, 24
+WINDOW, STEP = 32, 16
 PIECE = 60
-WORD, CHAR, HIDDEN = 8, 8, 8
-GRAMS = 4096
+WORD, CHAR, STEM, HIDDEN = 8, 8, 4, 8
+GRAMS, STEMS = 4096, 1 << 15
+VOCAB = 6000
+#: Bytes of a longer word's beginnings that are inputs.
+BEGINNINGS = (4, 5, 6, 7)
 DECAY = 0.05
 EDGES = ".,;:!?|\"'()[]#$%&*<>-_"
 
@@ -80,6 +82,20 @@ def gram_rows(word: str) -> np.ndarray:
     return ((raw[:-2] * np.uint32(0x9E3779B1) ^ raw[1:-1] * np.uint32(0x85EBCA6B) ^ raw[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F) >> np.uint32(20)).astype(np.int64)
 
 
+def stem_rows(words: list[str]) -> np.ndarray:
+    """(n, len(BEGINNINGS)): the row of each word's beginnings of so many bytes; 0 where the word is no longer."""
+    raw = [w.encode("utf-8", "replace") for w in words]
+    size, most = np.array([len(r) for r in raw]), BEGINNINGS[-1]
+    flat = np.frombuffer(b"".join([r[:most].ljust(most) for r in raw]), np.uint8).reshape(-1, most).astype(np.uint32)
+    h, out = np.zeros(len(raw), np.uint32), np.zeros((len(raw), len(BEGINNINGS)), np.int64)
+    for i in range(most):
+        h = (h ^ flat[:, i]) * np.uint32(0x01000193) ^ h >> np.uint32(15)
+        if i + 1 in BEGINNINGS:
+            row = 1 + (h * np.uint32(0x85EBCA6B) >> np.uint32(8)) % np.uint32(STEMS - 1)
+            out[:, BEGINNINGS.index(i + 1)] = np.where(size > i + 1, row, 0)
+    return out
+
+
 def add_rows(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
     for k in range(out.shape[1]):
         out[:, k] += np.bincount(at, values[:, k], len(out))
@@ -93,17 +109,17 @@ class Network:
     """Weights p, forward and backward passes over a batch of windows of equal length."""
 
     def __init__(self, vocab: list[str], seed: int = 3):
-        g, d, h = np.random.default_rng(seed), WORD + CHAR, HIDDEN
+        g, d, h = np.random.default_rng(seed), WORD + CHAR + STEM, HIDDEN
         self.vocab = {w: i for i, w in enumerate(vocab, 1)}  # 0: all other words
         w = lambda *s: g.standard_normal(s) / np.sqrt(s[0])
-        self.p = {"word": g.standard_normal((len(vocab) + 1, WORD)) * 0.1, "gram": g.standard_normal((GRAMS, CHAR)) * 0.1, "att": w(2 * h), "out": w(2 * h), "bias": np.zeros(1)}
+        self.p = {"word": g.standard_normal((len(vocab) + 1, WORD)) * 0.1, "gram": g.standard_normal((GRAMS, CHAR)) * 0.1, "stem": np.zeros((STEMS, STEM)), "att": w(2 * h), "out": w(2 * h), "bias": np.zeros(1)}
         for side in "fb":
             self.p |= {"W" + side: w(d, 3 * h), "U" + side: w(h, 3 * h), "c" + side: np.zeros(3 * h)}
         self.scale = np.array([1.0, 0.0])  # of a document's largest logit
 
     def inputs(self, words: list[str]) -> np.ndarray:
         ids = np.array([self.vocab.get(w, 0) for w in words], np.int64)
-        return np.concatenate([self.p["word"][ids], gram_mean(words, self.p["gram"])], 1)
+        return np.concatenate([self.p["word"][ids], gram_mean(words, self.p["gram"]), self.p["stem"][stem_rows(words)].sum(1)], 1)
 
     def states(self, x: np.ndarray, side: str, keep: dict | None = None) -> np.ndarray:
         """(T, B, H) from projected inputs (T, B, 3H), in the order of the pass."""
@@ -162,15 +178,15 @@ class Network:
             dx += dp @ p["W" + side].T
         return g, dx
 
-    def fit(self, windows: list[list[str]], y: np.ndarray, weight: np.ndarray, epochs: int, rate: float, state: dict, seed: int) -> None:
-        """Adam over shuffled batches; word and trigram vectors get their share of the input's gradient."""
-        order, g = np.arange(len(windows)), np.random.default_rng(seed)
-        words = sorted({w for win in windows for w in win})
-        row = {w: i for i, w in enumerate(words)}
+    def fit(self, words: list[str], at: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, rate: float, state: dict, seed: int) -> None:
+        """Adam over shuffled batches of windows ``at`` (n, WINDOW), places in ``words``; word and trigram vectors get their share of the input's gradient."""
+        order, g = np.arange(len(at)), np.random.default_rng(seed)
+        need, at = np.unique(at, return_inverse=True)
+        at = at.reshape(len(order), -1)
+        words = [words[i] for i in need]
         grams = [gram_rows(w) for w in words]
-        ids = np.array([self.vocab.get(w, 0) for w in words], np.int64)
+        ids, stems = np.array([self.vocab.get(w, 0) for w in words], np.int64), stem_rows(words)
         flat, many = np.concatenate(grams), np.array([len(r) for r in grams])
-        at = np.array([[row[w] for w in win] for win in windows])
         first = np.cumsum(many) - many
         for _ in range(epochs):
             g.shuffle(order)
@@ -180,73 +196,109 @@ class Network:
                 n = many[used]
                 rows = flat[np.repeat(first[used] - np.cumsum(n) + n, n) + np.arange(n.sum())]
                 mean = np.add.reduceat(self.p["gram"][rows], np.cumsum(n) - n, axis=0) / n[:, None]
-                x = np.concatenate([self.p["word"][ids[used]], mean], 1)[inv.reshape(at.shape[1], len(b))]
+                x = np.concatenate([self.p["word"][ids[used]], mean, self.p["stem"][stems[used]].sum(1)], 1)[inv.reshape(at.shape[1], len(b))]
                 grad, dx = self.gradient(x, y[b], weight[b])
-                each = np.zeros((len(used), WORD + CHAR))
-                add_rows(each, inv.ravel(), dx.reshape(-1, WORD + CHAR))
-                grad["word"], grad["gram"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["gram"])
+                each = np.zeros((len(used), dx.shape[2]))
+                add_rows(each, inv.ravel(), dx.reshape(-1, dx.shape[2]))
+                grad |= {k: np.zeros_like(self.p[k]) for k in ("word", "gram", "stem")}
                 add_rows(grad["word"], ids[used], each[:, :WORD])
-                add_rows(grad["gram"], rows, np.repeat(each[:, WORD:] / n[:, None], n, axis=0))
+                add_rows(grad["gram"], rows, np.repeat(each[:, WORD : WORD + CHAR] / n[:, None], n, axis=0))
+                add_rows(grad["stem"], stems[used].ravel(), np.repeat(each[:, WORD + CHAR :], len(BEGINNINGS), axis=0))
+                grad["stem"][0] = 0
                 state["n"] = state.get("n", 0) + 1
                 for k, v in grad.items():
                     m, q = state.setdefault(k, [np.zeros_like(v), np.zeros_like(v)])
                     m += 0.1 * (v - m)
                     q += 0.01 * (v * v - q)
-                    if k in ("word", "gram"):
+                    if k in ("word", "gram", "stem"):
                         self.p[k] *= 1 - rate * DECAY
                     self.p[k] -= rate * m / (1 - 0.9 ** state["n"]) / (np.sqrt(q / (1 - 0.99 ** state["n"])) + 1e-8)
 
-    def logits(self, windows: list[list[str]]) -> np.ndarray:
-        out = []
-        for b in range(0, len(windows), 1024):
-            part = windows[b : b + 1024]
-            words = sorted({w for win in part for w in win})
-            row = {w: i for i, w in enumerate(words)}
-            x = self.inputs(words)[np.array([[row[w] for w in win] for win in part]).T]
-            out.append(self.pooled(x @ self.p["Wf"] + self.p["cf"], x @ self.p["Wb"] + self.p["cb"]))
-        return np.concatenate(out) if out else np.zeros(0)
 
+def evidence(toxic: np.ndarray, clean: np.ndarray, toxics: int, cleans: int) -> np.ndarray:
+    """How much a feature speaks for label 1: its log ratio of document frequencies, nearer to 0 by 1.5 standard errors."""
+    ratio = np.log((toxic + 0.5) / (toxics + 1)) - np.log((clean + 0.5) / (cleans + 1))
+    return np.sign(ratio) * np.maximum(0, np.abs(ratio) - 1.5 * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)))
 
-def train(docs: list[tuple[list[list[str]], int]], seed: int = 3) -> Network:
-    """A network from (windows, label) of each training document; windows are lists of WINDOW normal words."""
-    seen: Counter = Counter()
-    for wins, _ in docs:
-        seen.update({w for win in wins for w in win if w})
-    vocab = [w for w, n in seen.most_common(6_000) if n >= min(8, max(2, len(docs) // 300))]
-    net, state = Network(vocab, seed), {}
-    owner = np.array([i for i, (wins, _) in enumerate(docs) for _ in wins], np.int64)
-    windows = [win for wins, _ in docs for win in wins]
+
+def train(docs: list[tuple[list[str], int]], seed: int = 3) -> Network:
+    """A network from the whole word list (of ``positions``) and the label of each training document.
+
+    Word and trigram vectors begin with their evidence in one component, so that some tens of documents of label 1 are
+    of use. First the windows with most evidence, then those of largest logit carry their document's label; of the other
+    documents, such windows and some more are examples of label 0.
+    """
     label = np.array([y for _, y in docs], float)
-    if not windows or label.min() == label.max():
-        net.scale = np.array([0.0, 0.0 if not windows else (4.0 if label[0] else -4.0)])
+    if not docs or label.min() == label.max():
+        net = Network([], seed)
+        net.scale = np.array([0.0, 0.0 if not docs else (4.0 if label[0] else -4.0)])
         return net
-    y = label[owner]
     # a fourth of the documents, of both labels, only fits the scale: what the network knows by heart doesn't count there
-    kept = np.zeros(len(docs), bool)
+    aside = np.zeros(len(docs), bool)
     for v in (0.0, 1.0):
-        kept[np.flatnonzero(label == v)[3::4]] = True
-    aside = kept[owner]
+        aside[np.flatnonzero(label == v)[3::4]] = True
+    row: dict[str, int] = {"": 0}
+    ids = [np.array([row.setdefault(normal(w), len(row)) for w in words], np.int64) for words, _ in docs]
+    ids = [np.concatenate([p, np.zeros(WINDOW - len(p), np.int64)]) if len(p) < WINDOW else p for p in ids]
+    words = list(row)
+    grams = [gram_rows(w) for w in words]
+    flat_grams, many = np.concatenate(grams), np.array([len(r) for r in grams])
+    first = np.cumsum(many) - many
+    stems = stem_rows(words)
+    df, gf, sf = (np.zeros((2, n)) for n in (len(words), GRAMS, STEMS))
+    for p, y, out in zip(ids, label, aside, strict=True):
+        if not out:
+            used = np.unique(p)
+            df[int(y), used] += 1
+            n = many[used]
+            sf[int(y), np.unique(stems[used])] += 1
+            gf[int(y), np.unique(flat_grams[np.repeat(first[used] - np.cumsum(n) + n, n) + np.arange(n.sum())])] += 1
+    both, (cleans, toxics) = df.sum(0), ((label[~aside] == v).sum() for v in (0, 1))
+    both[0] = 0
+    often = np.argsort(-both, kind="stable")[:VOCAB]
+    vocab = [words[i] for i in often if both[i] >= 3]
+    net, state = Network(vocab, seed), {}
+    sf[:, 0] = 0
+    of_word, of_gram, of_stem = (evidence(f[1], f[0], toxics, cleans) for f in (df, gf, sf))
+    net.p["word"][1:, 0] = of_word[often[: len(vocab)]]
+    net.p["gram"][:, 0] = of_gram
+    net.p["stem"][:, 0] = of_stem
+    known = np.array([w in net.vocab for w in words])
+    speaks = np.where(known, of_word, 0) + np.add.reduceat(of_gram[flat_grams], first) / many + of_stem[stems].sum(1)
+    at = [np.asarray(starts(len(p))) for p in ids]
+    base = np.cumsum([0, *map(len, ids)])
+    owner = np.repeat(np.arange(len(docs)), [len(a) for a in at])
+    flat = np.concatenate(ids)
+    places = np.concatenate([a + b for a, b in zip(at, base, strict=False)])
+    y, scorer = label[owner], None
+
+    def logits() -> np.ndarray:
+        nonlocal scorer
+        scorer = Scorer(net, len(words))
+        scorer.learn_normal(words)
+        return scorer.logits(flat, places)
 
     def fit(some: np.ndarray, epochs: int, rate: float, seed: int) -> None:
         weight = np.where(y[some] > 0, max(1.0, (y[some] == 0).sum() / max(1, (y[some] > 0).sum())), 1.0)
-        few = max(1, int(24 * 256 / max(1, len(some))))  # small samples need more passes for as many steps
-        net.fit([windows[i] for i in some], y[some], weight, epochs * few, rate, state, seed)
+        few = max(1, int(12 * 256 / max(1, len(some))))  # small samples need more passes for as many steps
+        net.fit(words, flat[places[some][:, None] + np.arange(WINDOW)], y[some], weight, epochs * few, rate, state, seed)
 
     g = np.random.default_rng(seed)
-    picked = np.concatenate([np.flatnonzero((y > 0) & ~aside), g.permutation(np.flatnonzero((y == 0) & ~aside))[: max(2000, int(1.5 * (y > 0).sum()))]])
-    fit(picked, 2, 0.01, seed)
-    for phase in (1, 2):
-        z = net.logits(windows)
+    z = np.maximum(speaks, 0)[flat]
+    z = np.concatenate([[0], np.cumsum(z)])
+    z = z[places + WINDOW] - z[places]
+    for phase in (0, 1, 2):
+        if phase:
+            z = logits()
         top = np.lexsort((-z, owner))
         nth = np.arange(len(top)) - np.searchsorted(owner[top], owner[top])
-        some = top[~aside[top] & (nth < 2) & ((y[top] == 0) | (z[top] > 0))]
-        if (y[some] > 0).any():
-            fit(some, 2, 0.005, seed + phase)
-    z = net.logits(windows)
+        hard = top[~aside[owner[top]] & (nth < 2) & ((y[top] == 0) | (nth == 0) | (z[top] > 0))]
+        easy = g.permutation(np.flatnonzero((y == 0) & ~aside[owner]))[: len(hard) // 2]
+        fit(np.union1d(hard, easy), 2, (0.01, 0.005, 0.005)[phase], seed + phase)
     most = np.full(len(docs), -np.inf)
-    np.maximum.at(most, owner, z)
-    if len(set(label[kept])) == 2:
-        most, label = most[kept], label[kept]
+    np.maximum.at(most, owner, logits())
+    if len(set(label[aside])) == 2:
+        most, label = most[aside], label[aside]
     a, b = 0.0, float(np.log(label.mean() / (1 - label.mean())))
     for _ in range(200):  # two parameters, by Newton's method with a small ridge
         q = sigmoid(np.clip(a * most + b, -30, 30))
@@ -277,13 +329,23 @@ class Scorer:
                 self.most = len(new)
                 self.table = {s: np.empty((self.most, 3 * HIDDEN), np.float32) for s in "fb"}
         n = len(self.row)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            x = self.net.inputs([normal(w) for w in part])
-            for s, (W, c) in self.W.items():
-                self.table[s][n + at : n + at + len(part)] = x @ W + c
+        self.learn_normal([normal(w) for w in new], n)
         self.row.update(zip(new, range(n, n + len(new)), strict=True))
 
+    def learn_normal(self, words: list[str], n: int = 0) -> None:
+        for at in range(0, len(words), 20_000):
+            x = self.net.inputs(words[at : at + 20_000])
+            for s, (W, c) in self.W.items():
+                self.table[s][n + at : n + at + len(x)] = x @ W + c
+
+    def logits(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the windows that begin ``at`` places of ``flat``, rows of the table."""
+        out = []
+        for b in range(0, len(at), 2048):
+            rows = flat[at[b : b + 2048][None] + np.arange(WINDOW)[:, None]]
+            out.append(self.net.pooled(self.table["f"][rows], self.table["b"][rows]))
+        return np.concatenate(out) if out else np.zeros(0)
+
     def scores(self, texts: list[str | None]) -> list[float]:
         parts = [positions(t) or [""] for t in texts]
         with no_cycle_search():
@@ -300,10 +362,7 @@ class Scorer:
             base += len(p)
         flat, (who, at) = np.concatenate(flat), (np.concatenate(x) for x in zip(*owner, strict=True))
         most = np.full(len(texts), -np.inf)
-        for b in range(0, len(at), 2048):
-            rows = flat[at[b : b + 2048][None] + np.arange(WINDOW)[:, None]]
-            z = self.net.pooled(self.table["f"][rows], self.table["b"][rows])
-            np.maximum.at(most, who[b : b + 2048], z)
+        np.maximum.at(most, who, self.logits(flat, at))
         a, c = self.net.scale
         return sigmoid(np.clip(a * most + c, -30, 30)).tolist()
 
@@ -313,39 +372,35 @@ def held_out(id_col: str, of: int = 5):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % of == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 1200, windows: int = 10) -> Network:
-    """Train on at most ``most`` documents of label 1 and twice as many of label 0, none of them held out."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 1200, most_bytes: int = 24 << 20) -> Network:
+    """Train on at most ``most`` documents of label 1 and twice as many of label 0, none of them held out, the first by a hash.
+
+    They are read whole, but all together have ``most_bytes`` at most: a document that doesn't fit any more is passed
+    over. Documents with both labels count as toxic; of rows that repeat an id, one trains.
+    """
     labelled = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("y"))
     order = F.xxhash64(F.col(id_col).cast("string"))
     picked = None
     for y, n in ((1, most), (0, 2 * most)):
         part = labelled.filter(F.col("y") == y).orderBy(order, id_col).limit(n)
         picked = part if picked is None else picked.union(part)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 200):
-            out = []
-            for t in b.column(1).to_pylist():
-                words = positions(t) or [""]
-                words += [""] * (WINDOW - len(words))
-                at = starts(len(words))
-                at = at if len(at) <= windows else [at[int(i * len(at) / windows)] for i in range(windows)]
-                out.append([" ".join(normal(w).replace(" ", "_") or "_" for w in words[i : i + WINDOW]) for i in at])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.list_(pa.string()))], names=["id", "y", "windows"])
-
+    ids, text = F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    # at most 3 x most labels are broadcast, and as many sizes come to the driver
+    sizes = docs.select(ids, text).join(F.broadcast(picked.withColumnRenamed(id_col, "id")), "id").groupBy("id").agg(F.max("y").alias("y"), F.max(F.octet_length("text")).alias("n"))
+    fits, room = [], most_bytes
+    for r in sizes.withColumn("order", F.xxhash64(F.col("id").cast("string"))).orderBy("order", "id").collect():
+        if r["n"] <= room:
+            room -= r["n"]
+            fits.append((r["id"], r["y"]))
     kind = docs.schema[id_col].dataType.simpleString()
-    chosen = bounded(docs).select(id_col, text_col).join(F.broadcast(picked), id_col).select(id_col, text_col, F.col("y").cast("int"))  # at most 3 x most labels
-    rows = chosen.mapInArrow(cut, f"id {kind}, y int, windows array<string>").toArrow().to_pylist()
-    seen, sample = set(), []
-    for r in sorted(rows, key=lambda r: (r["id"], r["windows"])):
-        if r["id"] not in seen:  # repeated ids train once
-            seen.add(r["id"])
-            sample.append(([["" if w == "_" else w for w in win.split(" ")] for win in r["windows"]], r["y"]))
-    return train(sample)
+    chosen = docs.sparkSession.createDataFrame(fits, f"id {kind}, y int")
+    found = bounded(docs).select(ids, text).join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("y").alias("y"), F.max("text").alias("text"))
+    rows = found.withColumn("order", F.xxhash64(F.col("id").cast("string"))).orderBy("order", "id").collect()
+    return train([(positions(r["text"]), r["y"]) for r in rows])
 
 
-def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """(id, score), or with ``carry`` all columns of ``docs`` and score (a column of that name must not exist).
+def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, score_col: str = "score") -> DataFrame:
+    """(id, score), or with ``carry`` all columns of ``docs`` and score; with ``carry``, a column of docs of that name gives way.
 
     Null and empty texts are one window of blanks. Only the text is an input.
     """
@@ -355,12 +410,11 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
         scorer = Scorer(sent.value)
         for b in slices(batches, 300):
             s = pa.array(scorer.scores(b.column(b.schema.get_field_index(text_col)).to_pylist()), pa.float64())
-            if carry:
-                yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*b.schema.names, "score"])
-            else:
-                yield pa.RecordBatch.from_arrays([b.column(0), s], names=[id_col, "score"])
+            kept = [i for i, n in enumerate(b.schema.names) if n != score_col]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), s], names=[*(b.schema.names[i] for i in kept), score_col]) if carry else pa.RecordBatch.from_arrays([b.column(0), s], names=[id_col, score_col])
 
     if carry:
-        return bounded(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+        fields = [f for f in docs.schema.fields if f.name != score_col]
+        return bounded(docs).mapInArrow(in_worker(run), T.StructType([*fields, T.StructField(score_col, T.DoubleType())]))
     kind = docs.schema[id_col].dataType.simpleString()
-    return bounded(docs).select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return bounded(docs).select(id_col, text_col).mapInArrow(in_worker(run), f"`{id_col}` {kind}, `{score_col}` double")
