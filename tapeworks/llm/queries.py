@@ -55,16 +55,25 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Captures made of pages: the page number is the time, the url is cut to its section, and a page fetched with a query
-    or a fragment is a revisit. The tag is that of the section, but outdated for full responses in ``/de``."""
+    """Captures made of all pages: the page number is the time, the url is cut to its section, and a page fetched with a
+    query or a fragment is a revisit. Of every fourth page the section has a query, whose parameters stand in another
+    order for revisits. Two in three captures carry a validator: a tag, outdated for full responses in ``/de``, or a date."""
     site = F.regexp_replace(F.regexp_replace(F.regexp_extract("url", r"^[^?#]*", 0), r"(?:\.html|/)$", ""), r"/[0-9]+$", "")
-    again = F.col("url").rlike("[?#]")
+    again = F.coalesce(F.col("url").rlike("[?#]"), F.lit(False))
+    query = F.when(F.col("page_id") % 4 == 0, F.when(again, "?page=2&ref=x").otherwise("?ref=x&page=2")).otherwise("")
     tag = F.when(~again & site.contains("/de"), F.concat(F.lit("old-"), F.md5(site))).otherwise(F.md5(site))
-    headers = F.create_map(F.lit("etag"), tag, F.lit("date"), F.col("page_id").cast("string"), F.lit("server"), F.when(again, "cache").otherwise("origin"))
-    return pages.filter("url is not null").select(
-        F.col("page_id").alias("id"), site.alias("url"), F.col("page_id").alias("ts"), F.when(again, 304).otherwise(200).alias("status"),
+    date = F.concat(F.lit("m"), F.when(again, 0).otherwise(F.col("page_id") % 2).cast("string"))
+    headers = F.map_filter(
+        F.create_map(
+            F.lit("etag"), F.when(F.col("page_id") % 3 == 1, tag), F.lit("last-modified"), F.when(F.col("page_id") % 3 == 0, date),
+            F.lit("date"), F.col("page_id").cast("string"), F.lit("server"), F.when(again, "cache").otherwise("origin"),
+        ),
+        lambda k, v: v.isNotNull(),
+    )
+    return pages.select(
+        F.col("page_id").alias("id"), F.concat(site, query).alias("url"), F.col("page_id").alias("ts"), F.when(again, 304).otherwise(200).alias("status"),
         headers.alias("headers"), F.when(~again, F.md5("html")).alias("payload"),
-    )
+    )
 
 
 def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,24 +133,29 @@ ORACLE_SQL: dict[str, str] = {
         from embeddings e""",
     "op7_revisits": """
         with p as (
-            select page_id, regexp_replace(regexp_replace(regexp_extract(url, '^[^?#]*'), '(\\.html|/)$', ''), '/[0-9]+$', '') as url,
-                   regexp_matches(url, '[?#]') as again, html from pages where url is not null
+            select page_id, regexp_replace(regexp_replace(regexp_extract(url, '^[^?#]*'), '(\\.html|/)$', ''), '/[0-9]+$', '') as site,
+                   coalesce(regexp_matches(url, '[?#]'), false) as again, html from pages
         ), c as (
-            select page_id, url, again,
-                   case when not again and contains(url, '/de') then 'old-' || md5(url) else md5(url) end as tag,
+            select page_id, again,
+                   site || case when page_id % 4 = 0 then case when again then '?page=2&ref=x' else '?ref=x&page=2' end else '' end as url,
+                   regexp_replace(lower(regexp_extract(site, '^[^:/?#]+://([^/?#]*)', 1)), '^www\\.', '') || regexp_extract(site, '^[^:/?#]+://[^/?#]*(.*)$', 1)
+                       || case when page_id % 4 = 0 then '?page=2&ref=x' else '' end as key,
+                   case when page_id % 3 = 1 then case when not again and contains(site, '/de') then 'old-' || md5(site) else md5(site) end end as tag,
+                   case when page_id % 3 = 0 then 'm' || cast(case when again then 0 else page_id % 2 end as varchar) end as modified,
                    case when not again then md5(html) end as payload
             from p
-        ), k as (
-            select *, regexp_replace(lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)), '^www\\.', '') || regexp_extract(url, '^[^:/?#]+://[^/?#]*(.*)$', 1) as key from c
+        ), k as (select *, coalesce(key, '') as k from c
         ), j as (
-            select a.*, f.page_id as source_id, f.tag as full_tag, f.payload as full_payload
-            from k a asof left join (select * from k where not again) f on a.key = f.key and a.page_id > f.page_id
+            select a.*, f.page_id as source_id, f.payload as full_payload,
+                   case when a.tag is not null and f.tag is not null then a.tag = f.tag
+                        when a.modified is not null and f.modified is not null then a.modified = f.modified else true end as agree
+            from k a asof left join (select * from k where not again) f on a.k = f.k and a.page_id > f.page_id
         )
         select page_id, url,
-               case when not again then 'full' when source_id is null then 'orphan' when tag = full_tag then 'resolved' else 'mismatch' end as outcome,
+               case when not again then 'full' when source_id is null then 'orphan' when agree then 'resolved' else 'mismatch' end as outcome,
                case when again then source_id end as source_id,
-               case when again and tag = full_tag then full_payload else payload end as payload,
-               case when again and not (source_id is not null and tag = full_tag) then 'cache' else 'origin' end as server,
+               case when again and source_id is not null and agree then full_payload else payload end as payload,
+               case when again and not (source_id is not null and agree) then 'cache' else 'origin' end as server,
                cast(page_id as varchar) as date
         from j""",
 }

@@ -33,43 +33,55 @@ def canonical(url: Column) -> Column:
 
 
 def resolve(captures: DataFrame, buckets: int = 64) -> DataFrame:
-    """``captures`` with outcome, source_id, payload and headers resolved.
+    """``captures`` with outcome, source_id, payload and headers resolved; one row per row.
 
-    Columns: id (tells captures apart), url, ts (orderable; ties in order of id), status, headers (map, lower-case
-    names) and payload. A full response has status 200. outcome is ``full``, ``resolved``, ``mismatch``, ``orphan``
-    (a 304 without an earlier full response) or ``other``. Null urls are one URL, the empty one. Other columns stay.
+    Columns: id, url, ts (orderable; ties in order of id, null times first), status, headers (map, lower-case names)
+    and payload. A full response has status 200. outcome is ``full``, ``resolved``, ``mismatch``, ``orphan`` (a 304
+    without an earlier full response) or ``other``. Null urls are one URL, the empty one. Rows of one id are told apart
+    by their other columns; rows equal in all are resolved alike. Other columns stay, but those of the input named
+    outcome or source_id give way to the results. An empty table gives an empty result.
     """
-    full, again = F.col("status") == 200, F.col("status") == 304
     cuts = captures.agg(F.percentile_approx("ts", [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
     bucket = F.lit(0)
     for c in sorted(set(cuts or [])):
         bucket = bucket + F.when(F.col("ts") > F.lit(c), 1).otherwise(0)
-    rows = captures.withColumn("__key", F.coalesce(canonical(F.col("url")), F.lit(""))).withColumn("__bucket", bucket)
-    # only what the join needs moves through it; the payload is fetched afterwards, by id
-    slim = rows.select("__key", "__bucket", "ts", "id", "status")
-    mark = F.when(full, F.struct("ts", "id"))
-    inner = Window.partitionBy("__key", "__bucket").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
-    slim = slim.withColumn("__near", F.last(mark, ignorenulls=True).over(inner))
-    lasts = slim.filter(full).groupBy("__key", "__bucket").agg(F.max(F.struct("ts", "id")).alias("__last"))
-    need = slim.filter(again & F.col("__near").isNull()).select("__key", "__bucket").distinct()
-    steps = lasts.withColumn("asks", F.lit(False)).union(need.select("__key", "__bucket", F.lit(None).cast(lasts.schema["__last"].dataType), F.lit(True)))
-    earlier = Window.partitionBy("__key").orderBy("__bucket").rangeBetween(Window.unboundedPreceding, -1)
-    carried = steps.withColumn("__before", F.max("__last").over(earlier)).filter("asks").select("__key", "__bucket", "__before")
-    found = slim.filter(again).join(carried, ["__key", "__bucket"], "left")
-    found = found.select(F.col("id").alias("__id"), F.coalesce("__near", "__before")["id"].alias("source_id"))
-    found = materialize(found.filter("source_id is not null"), "revisit-sources")
-    source = rows.filter(full).select(F.col("id").alias("__sid"), F.col("headers").alias("__headers"), F.col("payload").alias("__payload"))
-    with_source = found.join(source, F.col("source_id") == F.col("__sid")).drop("__sid")
-    out = rows.join(with_source, F.col("id") == F.col("__id"), "left").drop("__id")
-    tag = lambda h, k: F.col(h)[k]
-    both = lambda k: tag("headers", k).isNotNull() & tag("__headers", k).isNotNull()
+    content = [F.array_sort(F.map_entries(c)) if c == "headers" else F.col(c) for c in ("id", "url", "ts", "status", "headers", "payload")]
+    rows = captures.select(
+        F.struct(*captures.columns).alias("row"),
+        F.coalesce(canonical(F.col("url")), F.lit("")).alias("key"), bucket.alias("bucket"), "ts", "id", "status",
+        F.xxhash64(*content).alias("u"), F.xxhash64(F.lit(1), *content).alias("v"),
+    )
+    full, again = F.col("status") == 200, F.col("status") == 304
+    # only what the join needs moves through it; the payload is fetched afterwards, once per different row
+    slim = rows.select("key", "bucket", "ts", "id", "status", "u", "v")
+    mark = F.when(full, F.struct("ts", "id", "u", "v"))
+    inner = Window.partitionBy("key", "bucket").orderBy("ts", "id", "u", "v").rowsBetween(Window.unboundedPreceding, -1)
+    slim = slim.withColumn("near", F.last(mark, ignorenulls=True).over(inner))
+    lasts = slim.filter(full).groupBy("key", "bucket").agg(F.max(F.struct("ts", "id", "u", "v")).alias("last"))
+    need = slim.filter(again & F.col("near").isNull()).select("key", "bucket").distinct()
+    steps = lasts.withColumn("asks", F.lit(False)).union(need.select("key", "bucket", F.lit(None).cast(lasts.schema["last"].dataType), F.lit(True)))
+    earlier = Window.partitionBy("key").orderBy("bucket").rangeBetween(Window.unboundedPreceding, -1)
+    carried = steps.withColumn("before", F.max("last").over(earlier)).filter("asks").select("key", "bucket", "before")
+    found = slim.filter(again).join(carried, ["key", "bucket"], "left")
+    # rows equal in all columns are one here, so that none is multiplied below
+    found = found.groupBy("u", "v").agg(F.max(F.coalesce("near", "before")).alias("source")).filter("source is not null")
+    found = materialize(found, "revisit-sources")
+    asked = found.select(F.col("source.u").alias("su"), F.col("source.v").alias("sv"))
+    source = rows.filter(full).select(F.col("u").alias("su"), F.col("v").alias("sv"), F.col("row.headers").alias("headers"), F.col("row.payload").alias("payload"))
+    source = source.join(asked.distinct(), ["su", "sv"], "left_semi").groupBy("su", "sv").agg(F.first(F.struct("headers", "payload")).alias("of"))
+    with_source = found.select("u", "v", F.col("source.id").alias("source_id"), F.col("source.u").alias("su"), F.col("source.v").alias("sv"))
+    out = rows.join(with_source.join(source, ["su", "sv"]), ["u", "v"], "left")
+    mine, theirs = (lambda k: F.col("row.headers")[k]), (lambda k: F.col("of.headers")[k])
+    both = lambda k: mine(k).isNotNull() & theirs(k).isNotNull()
     strong = lambda c: F.regexp_replace(c, "^W/", "")
-    agree = F.when(both("etag"), strong(tag("headers", "etag")) == strong(tag("__headers", "etag"))).when(both("last-modified"), tag("headers", "last-modified") == tag("__headers", "last-modified")).otherwise(True)
-    outcome = F.when(full, "full").when(~F.coalesce(again, F.lit(False)), "other").when(F.col("source_id").isNull(), "orphan").when(agree, "resolved").otherwise("mismatch")
-    allowed = F.map_filter("headers", lambda k, v: k.isin(*UPDATES))
-    kept = F.map_filter("__headers", lambda k, v: ~F.coalesce(F.map_contains_key(allowed, k), F.lit(False)))
-    merged = F.map_concat(kept, F.coalesce(allowed, F.create_map().cast("map<string,string>")))
-    out = out.withColumn("outcome", outcome)
-    done = F.col("outcome") == "resolved"
-    out = out.withColumn("headers", F.when(done, merged).otherwise(F.col("headers"))).withColumn("payload", F.when(done, F.col("__payload")).otherwise(F.col("payload")))
-    return out.drop("__key", "__bucket", "__headers", "__payload")
+    agree = F.when(both("etag"), strong(mine("etag")) == strong(theirs("etag"))).when(both("last-modified"), mine("last-modified") == theirs("last-modified")).otherwise(True)
+    outcome = F.when(full, "full").when(~F.coalesce(again, F.lit(False)), "other").when(F.col("source_id").isNull() & F.col("of").isNull(), "orphan").when(agree, "resolved").otherwise("mismatch")
+    allowed = F.map_filter("row.headers", lambda k, v: k.isin(*UPDATES))
+    kept = F.map_filter("of.headers", lambda k, v: ~F.coalesce(F.map_contains_key(allowed, k), F.lit(False)))
+    none = F.create_map().cast("map<string,string>")
+    merged = F.map_concat(F.coalesce(kept, none), F.coalesce(allowed, none))
+    out = out.withColumn("result", outcome)
+    done = F.col("result") == "resolved"
+    new = {"headers": F.when(done, merged).otherwise(F.col("row.headers")), "payload": F.when(done, F.col("of.payload")).otherwise(F.col("row.payload"))}
+    same = [new.get(c, F.col("row")[c]).alias(c) for c in captures.columns if c not in ("outcome", "source_id")]
+    return out.select(*same, F.col("source_id"), F.col("result").alias("outcome"))

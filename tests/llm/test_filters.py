@@ -83,25 +83,91 @@ def test_grammars_tell_held_out_credentials_from_words():
     g = secrets.Grammars(secrets.examples(), words)
     for made in secrets.examples(50, seed=77).values():
         assert g.credential(made).mean() > 0.95
-    assert not g.credential(["achlichkeitqueleunde", "onerentthtionthereover"]).any()
-
-
-def test_shards_are_even_and_keep_copies(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert not g.credential(["achlichkeitqueleunde", "onerentthtionthereover", "ACHLICHKEITQUELEUNDE", "4111111111111111", "=" * 40, "-" * 3000]).any()
+
+
+def test_grammars_do_not_hang_on_the_background():
+    made = secrets.examples(50, seed=78)
+    for words in (["the"], ["ab"] * 10_000, ["x1y2z3"] * 50, ["der", "Die", "DAS", "2024-05-06", "a_b/c"] * 30, []):
+        g = secrets.Grammars(secrets.examples(), words)
+        assert all(g.credential(v).mean() > 0.95 for v in made.values()), words[:3]
+
+
+def plain_walk(automaton, token):
+    at, out = 0, 0.0
+    for c in token:
+        k = 1 + secrets.SYMBOLS.index(c)
+        out, at = out + automaton.cost[at, k], automaton.go[at, k]
+    return out + automaton.cost[at, 0]
+
+
+def test_states_are_distributions_and_scores_equal_brute_force():
+    words = ["over", "there", "Undsch", "ab-12", "x"] * 7
+    g = secrets.Grammars(secrets.examples(40), words)
+    for a in [*g.formats, g.background]:
+        assert np.exp(a.cost).sum(1) == pytest.approx(1)
+    made = [v for vs in secrets.examples(3, seed=5).values() for v in vs] + ["overthereoverthere", "x" * 16, "Ab" * 5000, "A1_/+-=" * 3]
+    text = " ".join(made)
+    best = [max(plain_walk(a, t) for a in g.formats) - np.log(len(g.formats)) for t in made]
+    low = [plain_walk(g.background, t.lower()) - np.log(1000) for t in made]
+    want = [b - (np.logaddexp(plain_walk(g.background, t), c) if t != t.lower() else plain_walk(g.background, t)) for t, b, c in zip(made, best, low, strict=True)]
+    got = g.advantage(made)
+    alike = [len(set(t)) > 1 for t in made]
+    assert got[alike] == pytest.approx(np.array(want)[alike])
+    spans = secrets.all_spans([text], g)[0]
+    base = secrets.base_spans(text)
+    clear = [(m.start(), m.end()) for m in secrets.CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e, _ in base)]
+    assert [(s, e) for s, k, e, _ in spans if k == "format"] == [(s, e) for s, e in clear if g.advantage([text[s:e]])[0] > np.log(1e6)]
+    follow = secrets.follow_counts(b"ab a").reshape((secrets.WIDTH,) * 3)
+    assert follow[0, 0, 27] == 2 and follow[0, 27, 28] == 1 and follow[27, 28, 0] == 1 and follow[0, 27, 0] == 1 and follow.sum() == 5
+
+
+def test_learning_counts_all_tokens_and_takes_labelled_values(spark):
+    rows = [(i, f"word other{i % 7} token = {('%016x' % (i * 7919))}Zq tail") for i in range(60)] + [(None, None), (60, ""), (60, "word " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"value": F.lit(1), "kind": F.lit(2), "at": F.lit(3), "n": F.lit(4)})
+    g = secrets.learn(df)
+    assert len(g.formats) == len(secrets.FORMATS) + 1
+    kept = " ".join(re.sub("token = \\w+", "", t) for _, t in rows if t)
+    assert g.background.cost == pytest.approx(secrets.Background.of([kept]).cost)
+    found = secrets.digest(secrets.scan(df, g))
+    assert found.count() == len(rows) and secrets.redact(df, g).columns == df.columns
+    assert secrets.digest(secrets.scan(df.limit(0), secrets.learn(df.limit(0)))).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_shards_are_even_and_keep_copies(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     rows = sharding.shard_documents(docs).collect()
     assert len(rows) == docs.count()
     text = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
-    by, home = defaultdict(list), defaultdict(set)
+    by, home, weight = defaultdict(list), defaultdict(set), defaultdict(int)
     for r in rows:
-        assert r["size"] == len(text[r["doc_id"]]) + 1 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]]) and r["law"] == "bytes" and r["grown_shard"] is None
+        raw = text[r["doc_id"]]
+        assert r["size"] == len(raw) + 1 and r["text_crc32"] == zlib.crc32(raw) and r["law"] == "bytes" and r["grown_shard"] is None
         by[r["shard"]].append(r)
-        home[text[r["doc_id"]]].add(r["shard"])
-    largest = max(r["size"] for r in rows)
-    share = sum(r["size"] for r in rows) / 16
+        home[raw].add(r["shard"])
+        weight[raw] += r["size"]
+    sizes = [sum(r["size"] for r in part) for part in by.values()]
+    share = sum(sizes) / 16
+    assert max(weight.values()) < share and all(len(s) == 1 for s in home.values())
     assert set(by) == set(range(16))
+    assert max(sizes) - min(sizes) <= max(max(weight.values()), 0.05 * share)
     for part in by.values():
         assert sorted(r["slot"] for r in part) == list(range(len(part)))
-        assert abs(sum(r["size"] for r in part) - share) <= 2 * largest
+
+
+def test_shards_follow_the_widest_dimension(spark):
+    """Equal sizes, one language and source: ids are the widest dimension, so shards are runs of ids but for borders."""
+    rows = [(i, f"{i:06d}", "en", "s") for i in range(4096)]
+    got = sorted((r["doc_id"], r["shard"]) for r in sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), shards=4).collect())
+    shard = [s for _, s in got]
+    assert [shard.count(k) for k in range(4)] == [1024] * 4
+    assert sum(a != b for a, b in zip(shard, shard[1:], strict=False)) <= 3 * 64
+
+
+def test_cut_comes_nearest_the_goal():
+    assert sorted(sharding._fill([(5.0, 1), (4.0, 2), (3.0, 3)], 8.0)) == [1, 3]
+    assert sharding._fill([(10.0, 7)], 6.0) == [7] and sharding._fill([(10.0, 7)], 4.0) == [] and sharding._fill([], 3.0) == []
 
 
 def test_shards_of_a_hot_text_nulls_and_nothing(spark):
@@ -116,6 +182,17 @@ def test_shards_of_a_hot_text_nulls_and_nothing(spark):
     assert sharding.shard_documents(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_shards_of_equal_rows_and_clashing_columns(spark):
+    rows = [(7, "one text", "en", "s", "a", 5)] * 900 + [(8, None, None, None, None, None)] * 100
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard string, size int"), shards=4).collect()
+    assert len(got) == 1000 and {r["text_crc32"] for r in got if r["doc_id"] == 8} == {0}
+    for k in {r["shard"] for r in got}:
+        part = [r["slot"] for r in got if r["shard"] == k]
+        assert sorted(part) == list(range(len(part)))
+    named = sharding.shard_documents(spark.createDataFrame([("x", "long text " * 9), ("y", "b")], "doc_id string, text string"), shards=2).collect()
+    assert {r["shard"] for r in named} == {0, 1}
+
+
 def test_top_k_equals_brute_force(spark):
     g = np.random.default_rng(8)
     vecs = g.standard_normal((700, 16)).astype(np.float32)
@@ -151,6 +228,23 @@ def test_revisits(spark):
     assert revisit.resolve(df.limit(0)).count() == 0
 
 
+def test_revisits_of_repeated_rows_and_clashing_columns(spark):
+    rows = [
+        (1, "http://a.com/x", 1, 200, {"etag": "1"}, "p1", "mine"), (1, "http://a.com/x", 1, 200, {"etag": "1"}, "p1", "mine"), (1, "http://b.com/", 1, 200, {}, "pb", "other"),
+        (2, "http://a.com/x", 2, 304, {"etag": "1"}, None, "mine"), (2, "http://a.com/x", 2, 304, {"etag": "1"}, None, "mine"), (2, "http://b.com/", 2, 304, None, None, "mine"),
+        (None, "http://a.com/x", None, 304, None, None, None), (3, None, 5, 304, {}, None, None), (None, None, 4, 200, {"etag": "n"}, "pn", None),
+    ]
+    df = spark.createDataFrame(rows, "id long, url string, ts long, status int, headers map<string,string>, payload string, outcome string").withColumns({"source_id": F.lit("x"), "key": F.lit(1), "__key": F.lit(2)})
+    for buckets in (1, 8):
+        out = revisit.resolve(df, buckets)
+        assert sorted(out.columns) == sorted(df.columns)
+        got = sorted((str(r["id"]), r["url"] or "", r["outcome"], str(r["source_id"]), str(r["payload"])) for r in out.collect())
+        assert got == sorted(
+            [("1", "http://a.com/x", "full", "None", "p1")] * 2 + [("1", "http://b.com/", "full", "None", "pb"), ("2", "http://b.com/", "resolved", "1", "pb")]
+            + [("2", "http://a.com/x", "resolved", "1", "p1")] * 2 + [("None", "http://a.com/x", "orphan", "None", "None"), ("3", "", "resolved", "None", "pn"), ("None", "", "full", "None", "pn")]
+        )
+
+
 def test_toxicity_learns_and_handles_odd_texts(spark):
     g = np.random.default_rng(9)
     words, bad = [f"w{i}" for i in range(300)], ["vile", "rotten", "filthy"]
