@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapeworks.functions.windows import lead
 from tapeworks.operators import backtest as bt
 from tapeworks.operators import charts, decision, factors, gann, indicators, levels, research, signals, wave, wyckoff
+from tapeworks.plans import level_sql
 from tapeworks.plans.sql import FACTORS, NAMES, r6, upto
 from tapeworks.sources import bars as src
 from tapeworks.sources import catalog
@@ -130,11 +131,13 @@ def _(spark, sf_dir):
     return bt.rounded(traded(spark, sf_dir)[0])
 
 
-@query("rejected_signals", upto("trades", """select f.symbol, f.reason, count(*) as n from (select *, datetime as ts from filled where long and (reason is not null)) f
-    where not exists (select 1 from trades t where t.symbol = f.symbol and f.ts >= t.entry_date and f.ts < t.exit_date) group by 1, 2"""))
+@query("rejected_signals", upto("trades", """select f.symbol, f.reason, count(*) as n from (select * replace (coalesce(reason, case when not coalesce(fill_atr > 0, false) then 'INVALID_ATR' when fill_pos = (select max(pos) from bars b where b.symbol = filled.symbol) then 'NO_EXIT_BAR' end) as reason), datetime as ts from filled where long) f
+    where f.reason is not null and not exists (select 1 from trades t where t.symbol = f.symbol and f.ts >= t.entry_date and f.ts < t.exit_date) group by 1, 2""").replace("b.volume <= 0", "(b.pos % 3 = 0 or b.volume <= 0)"))
 def _(spark, sf_dir):
-    done, cand = traded(spark, sf_dir)
-    return bt.rejections(cand.filter("reason not in ('INVALID_ATR', 'NO_EXIT_BAR')"), done)
+    # every third bar without volume, so that some fills are refused
+    full = analysed(spark, sf_dir).cache()
+    done, cand = bt.strategy(signals.signals(full), full.withColumn("volume", F.when(F.col("pos") % 3 == 0, 0.0).otherwise(F.col("volume"))))
+    return bt.rejections(cand, done)
 
 
 def _metrics_sql() -> str:
@@ -202,25 +205,25 @@ def _(spark, sf_dir):
     return bt.rounded(levels.swings(src.event_bars(spark, sf_dir)).select("symbol", "kind", "position", "price"))
 
 
-@query("levels_topk")
+@query("levels_topk", level_sql.LEVELS_TOPK)
 def _(spark, sf_dir):
     return levels.nearest_levels(enriched(spark, sf_dir))
 
 
-@query("level_scenario")
+@query("level_scenario", level_sql.LEVEL_SCENARIO)
 def _(spark, sf_dir):
     return levels.scenario(levels.nearest_levels(enriched(spark, sf_dir)))
 
 
-@query("technical_score")
+@query("technical_score", level_sql.TECHNICAL_SCORE)
 def _(spark, sf_dir):
     return levels.technical_score(enriched(spark, sf_dir))
 
 
-@query("decision_current")
+@query("decision_current", level_sql.DECISION)
 def _(spark, sf_dir):
     full = analysed(spark, sf_dir).cache()
-    return decision.decide(signals.signals(full), full)
+    return bt.rounded(decision.decide(signals.signals(full), full))
 
 
 @query("similar_stats", upto("trades", """, l as (select symbol, regime, unnest([x for x in [""" + ", ".join(f"case when {s} or {s}_trigger then '{s}' end" for s in NAMES) + """] if x is not null]) as setup from setups qualify pos = max(pos) over (partition by symbol))
@@ -269,10 +272,10 @@ def _(spark, sf_dir):
     return bt.rounded(charts.macd_crossings(enriched(spark, sf_dir)))
 
 
-def _rows(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
-    """A query without SQL: folds with list state."""
+def _rows(name: str, build: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+    """A query on the bars with their indicators; those without SQL are folds with list state."""
 
-    @query(name)
+    @query(name, sql)
     def _(spark, sf_dir):
         return build(enriched(spark, sf_dir).cache())
 
@@ -299,7 +302,7 @@ _rows("gann_score_buckets", lambda b: gann.score_buckets(gann.angle_events(b)))
 _rows("gann_survival", lambda b: gann.survival(b))
 _rows("gann_window_study", lambda b: gann.window_study(b))
 _rows("gann_calibration", lambda b: gann.calibrate(b))
-_rows("chart_ranges", lambda b: charts.default_ranges(b))
+_rows("chart_ranges", lambda b: charts.default_ranges(b), level_sql.CHART_RANGES)
 
 
 @query("gann_context")
@@ -365,11 +368,11 @@ def _(spark, sf_dir):
     return bt.rounded(bt.fills(signals.signals(full), full).select("symbol", "pos", "setup", "reason", "fill_price", "fee"))
 
 
-_rows("divergence", lambda b: levels.divergence(b))
+_rows("divergence", lambda b: levels.divergence(b), level_sql.DIVERGENCE_SQL)
 _rows("chart_price_range", lambda b: charts.price_range(b, wave.current(b)))
 _rows("chart_wave_overlay", lambda b: charts.overlay(wave.states(b), wave.current(b)))
 _rows("chart_scenario_path", lambda b: charts.scenario_path(wave.current(b), b))
-_rows("futures_levels", lambda b: levels.lower_confidence(levels.nearest_levels(b)))
+_rows("futures_levels", lambda b: levels.lower_confidence(levels.nearest_levels(b)), level_sql.FUTURES_LEVELS)
 
 
 @query("gann_higher_timeframe")
@@ -425,3 +428,87 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     d = (F.col("c_custkey") % 10).cast("int")
     return table(spark, sf_dir, "customer").select(d.alias("digit"), catalog.exchange(F.concat(d.cast("string"), F.lit("00000"))).alias("exchange")).distinct()
+
+
+def _listed(spark, sf_dir, funds: bool) -> tuple[DataFrame, DataFrame]:
+    """Symbols to identify and a list of instruments, made of customers; the list has funds or none."""
+    c = table(spark, sf_dir, "customer")
+    code = F.lpad(((F.col("c_custkey") * 7919) % 1000000).cast("string"), 6, "0")
+    kind = F.element_at(F.array(*map(F.lit, ("auto", "us_stock", "us_index", "cn_etf", "auto", "global_future"))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    asked = c.select(F.when(F.col("c_custkey") % 12 == 5, "gc").otherwise(code).alias("symbol"), kind.alias("asset_type"))
+    listed = c.filter("c_custkey % 5 = 0").select(code.alias("code"), F.col("c_name").alias("name"), F.lit("cn_etf" if funds else "cn_stock").alias("asset_type"))
+    return asked, listed
+
+
+def _identify_sql(funds: bool) -> str:
+    fund = "l.code is not null" if funds else f"symbol[1:2] in ({', '.join(repr(p) for p in catalog.FUND_PREFIXES)})"
+    return f"""with c as (select c_custkey as k, lpad(cast((c_custkey * 7919) % 1000000 as varchar), 6, '0') as code, c_name from customer),
+        a as (select case when k % 12 = 5 then 'GC' else code end as symbol, ['auto', 'us_stock', 'us_index', 'cn_etf', 'auto', 'global_future'][k % 6 + 1] as asked from c),
+        l as (select code, max(c_name) as name from c where k % 5 = 0 group by 1)
+        select symbol, case asked when 'us_stock' then 'us_stock' when 'us_index' then null when 'cn_etf' then 'cn_etf' when 'global_future' then case when symbol = 'GC' then 'global_future' end
+                            else case when {fund} then 'etf' else 'stock' end end as asset_type,
+               coalesce(l.name, symbol) as name, case when asked <> 'auto' then 'asked' else '{"list" if funds else "prefix"}' end as method
+        from a left join l on l.code = a.symbol"""
+
+
+@query("identify", _identify_sql(True))
+def _(spark, sf_dir):
+    return catalog.identify(*_listed(spark, sf_dir, True))
+
+
+@query("identify_by_prefix", _identify_sql(False))
+def _(spark, sf_dir):
+    return catalog.identify(*_listed(spark, sf_dir, False))
+
+
+@query("market_clock", """select event_id, case when dayofweek(l) in (0, 6) then 'closed' when cast(l as time) between time '09:30:00' and time '11:30:00' or cast(l as time) between time '13:00:00' and time '15:00:00' then 'open'
+    when cast(l as time) < time '09:30:00' then 'before' else 'after' end as status from (select event_id, cast(ts as timestamp) + interval 8 hour as l from events)""")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", catalog.market_status(F.to_timestamp(F.col("ts").cast("string"))).alias("status"))
+
+
+@query("request_problems", """with r as (select o_orderkey as id, case when o_orderkey % 3 = 0 then '.NDX' when o_orderkey % 3 = 1 then lpad(cast(o_orderkey % 1000000 as varchar), 6, '0') else 'A' || cast(o_custkey as varchar) end as symbol,
+        ['auto', 'us_stock', 'us_index', 'global_future', 'bond'][o_custkey % 5 + 1] as asset_type, ['daily', '1m', '5m', 'yearly'][o_orderkey % 4 + 1] as period, ['none', 'qfq'][o_custkey % 2 + 1] as adjust,
+        cast(o_orderdate as date) as a, cast(o_orderdate as date) + cast((o_orderkey % 7 - 1) * 1000 as integer) as z from orders)
+    select id, case when asset_type = 'bond' then 'asset_type' when period = 'yearly' then 'period'
+        when not case asset_type when 'auto' then regexp_full_match(symbol, '[0-9]{6}') when 'us_index' then symbol = '.NDX' else regexp_full_match(symbol, '[A-Z0-9][A-Z0-9.-]{0,15}') end then 'symbol'
+        when a > z then 'range' when z - a > 5475 then 'span' when asset_type in ('us_index', 'global_future') and (adjust <> 'none' or period <> 'daily') then 'unsupported'
+        when asset_type = 'us_stock' and period <> 'daily' and (period <> '1m' or adjust <> 'none') then 'unsupported' end as problem from r""")
+def _(spark, sf_dir):
+    o, k, c = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda at, *xs: F.element_at(F.array(*map(F.lit, xs)), (at + 1).cast("int"))
+    symbol = F.when(k % 3 == 0, " .ndx").when(k % 3 == 1, F.lpad((k % 1000000).cast("string"), 6, "0")).otherwise(F.concat(F.lit("a"), c.cast("string")))
+    day = F.col("o_orderdate").cast("date")
+    r = o.select(k.alias("id"), symbol.alias("symbol"), pick(c % 5, "auto", "us_stock", "us_index", "global_future", "bond").alias("asset_type"), pick(k % 4, "daily", "1m", "5m", "yearly").alias("period"),
+                 pick(c % 2, "none", "qfq").alias("adjust"), day.alias("start"), F.date_add(day, ((k % 7 - 1) * 1000).cast("int")).alias("end"))
+    return catalog.valid_requests(r).select("id", "problem")
+
+
+def _cache(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").cast("timestamp_ntz").alias("expires_at"), F.col("o_totalprice").alias("payload"))
+
+
+@query("cache_put", """select o_orderkey as key, cast(o_orderdate as timestamp) + case when l_orderkey is null then interval 0 day else interval 10 day end as expires_at, case when l_orderkey is null then o_totalprice else -1.0::double end as payload
+    from orders left join (select distinct l_orderkey from lineitem where l_quantity > 45) on l_orderkey = o_orderkey""")
+def _(spark, sf_dir):
+    new = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("key")).distinct()
+    cache = _cache(spark, sf_dir)
+    fresh = cache.join(new, "key", "left_semi").withColumns({"expires_at": F.col("expires_at") + F.expr("interval 10 days"), "payload": F.lit(-1.0)})
+    return catalog.cache_put(cache, fresh.select(*cache.columns))
+
+
+@query("cache_purge", "select o_orderkey as key, cast(o_orderdate as timestamp) as expires_at, o_totalprice as payload from orders where o_orderdate > timestamp '1997-06-01'")
+def _(spark, sf_dir):
+    return catalog.purge(_cache(spark, sf_dir), F.lit("1997-06-01").cast("timestamp_ntz"))
+
+
+@query("futures_snapshot", upto("bars", """, s as (select event_type as symbol, arg_max(value, (ts, event_id)) as latest, arg_max(event_id, (ts, event_id)) as hold, strftime(max(ts), '%Y-%m-%d') as day from events where event_type <> (select min(event_type) from events) group by 1)
+    select b.symbol, b.datetime, b.close, s.latest, cast(s.hold as double) as open_interest, s.day || ' last' as source_timestamp from (select symbol, max(datetime) as datetime, arg_max(close, datetime) as close from bars group by 1) b left join s using (symbol)"""))
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    first = e.agg(F.min("event_type").alias("event_type"))
+    raw = e.join(first, "event_type", "left_anti").groupBy(F.col("event_type").alias("symbol")).agg(
+        F.max_by("value", F.struct("ts", "event_id")).alias("current_price"), F.max_by("event_id", F.struct("ts", "event_id")).alias("hold"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("日期"), F.lit("last").alias("time"))
+    done = catalog.with_snapshot(src.event_bars(spark, sf_dir), catalog.future_snapshots(raw))
+    return done.select("symbol", "datetime", "close", "snapshot.latest", "snapshot.open_interest", "snapshot.source_timestamp")

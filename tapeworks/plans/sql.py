@@ -51,7 +51,7 @@ def _rec() -> str:
 )"""
 
 
-def _gate(n: int, agg: str, c: str, ago: int = 0) -> str:
+def gate(n: int, agg: str, c: str, ago: int = 0) -> str:
     frame = f"(w rows between {n - 1 + ago} preceding and {'current row' if not ago else f'{ago} preceding'})"
     return f"case when count({c}) over {frame} = {n} then {agg}({c}) over {frame} end"
 
@@ -63,8 +63,8 @@ IND = f"""ind as (
            case when b.pos >= 8 then r.k end as K, case when b.pos >= 8 then r.d end as D, case when b.pos >= 8 then 3 * r.k - 2 * r.d end as J,
            case when b.pos >= 13 then r.atr end as ATR14, case when b.pos >= 13 and r.atr <> 0 then 100 * r.p / r.atr end as PLUS_DI14,
            case when b.pos >= 13 and r.atr <> 0 then 100 * r.m / r.atr end as MINUS_DI14, case when r.seen >= 14 then r.adx end as ADX14,
-           {', '.join(f"{_gate(n, 'avg', 'b.close')} as MA{n}" for n in (5, 10, 20, 60, 120, 250))}, {_gate(5, 'avg', 'b.volume')} as VOL_MA5, {_gate(10, 'avg', 'b.volume')} as VOL_MA10,
-           {_gate(20, 'stddev_samp', 'b.close')} as sd20, b.volume / nullif({_gate(5, 'avg', 'b.volume', 1)}, 0) as VOL_RATIO, b.tr as TR,
+           {', '.join(f"{gate(n, 'avg', 'b.close')} as MA{n}" for n in (5, 10, 20, 60, 120, 250))}, {gate(5, 'avg', 'b.volume')} as VOL_MA5, {gate(10, 'avg', 'b.volume')} as VOL_MA10,
+           {gate(20, 'stddev_samp', 'b.close')} as sd20, b.volume / nullif({gate(5, 'avg', 'b.volume', 1)}, 0) as VOL_RATIO, b.tr as TR,
            sum(coalesce(sign(b.ch) * coalesce(b.volume, 0), 0)) over (w rows unbounded preceding) as OBV
     from rec r join step b on b.symbol = r.symbol and b.pos = r.pos window w as (partition by b.symbol order by b.pos)
 ), enriched as (
@@ -72,9 +72,9 @@ IND = f"""ind as (
 )"""
 
 
-def _swing(c: str, agg: str) -> str:
-    w = "(partition by symbol order by pos rows between 4 preceding and 4 following)"
-    return f"(count({c}) over {w} = 9 and {c} = {agg}({c}) over {w} and len(list_filter(list({c}) over {w}, lambda v: v = {c})) = 1)"
+def swing_sql(c: str, agg: str, width: int = 4) -> str:
+    w = f"(partition by symbol order by pos rows between {width} preceding and {width} following)"
+    return f"(count({c}) over {w} = {2 * width + 1} and {c} = {agg}({c}) over {w} and len(list_filter(list({c}) over {w}, lambda v: v = {c})) = 1)"
 
 
 def _share(c: str) -> str:
@@ -97,17 +97,17 @@ def _factors() -> str:
     f |= {f"return_{n}": f"close / nullif({lag('close', n)}, 0) - 1" for n in (5, 20, 60, 120)}
     f |= {f"rsi{n}": f"RSI{n}" for n in (6, 12, 24)} | {"rsi12_delta_3": f"RSI12 - {lag('RSI12', 3)}"}
     f |= {"macd_dif": "DIF", "macd_dea": "DEA", "macd_hist": "MACD", "macd_hist_delta_3": f"MACD - {lag('MACD', 3)}", "price_momentum_20": f"close / nullif({lag('close', 20)}, 0) - 1"}
-    f |= {f"volume_ratio_{n}": f"volume / nullif({_gate(n, 'avg', 'volume', 1)}, 0)" for n in (5, 20)}
-    total = _gate(20, "sum", "volume")
-    f |= {f"{d}_volume_ratio_20": f"{_gate(20, 'sum', d + 'v')} / nullif({total}, 0)" for d in ("up", "down")}
-    f |= {"breakout_volume_ratio": f"volume / nullif({_gate(20, 'avg', 'volume', 1)}, 0)", "atr_pct": f"ATR14 / {n0('close')}", "boll_width": f"(BOLL_UPPER - BOLL_LOWER) / {n0('BOLL_MID')}"}
+    f |= {f"volume_ratio_{n}": f"volume / nullif({gate(n, 'avg', 'volume', 1)}, 0)" for n in (5, 20)}
+    total = gate(20, "sum", "volume")
+    f |= {f"{d}_volume_ratio_20": f"{gate(20, 'sum', d + 'v')} / nullif({total}, 0)" for d in ("up", "down")}
+    f |= {"breakout_volume_ratio": f"volume / nullif({gate(20, 'avg', 'volume', 1)}, 0)", "atr_pct": f"ATR14 / {n0('close')}", "boll_width": f"(BOLL_UPPER - BOLL_LOWER) / {n0('BOLL_MID')}"}
     f |= {f"max_drawdown_{n}": _drawdown(n) for n in (20, 60)}
-    f |= {f"distance_{n}d_high": f"(close - {_gate(n, 'max', 'high')}) / {n0('ATR14')}" for n in (20, 60, 120)}
-    f |= {f"{a}_count_20": _gate(20, "sum", x) for a, x in (("higher_high", "hh"), ("higher_low", "hl"), ("lower_high", "lh"), ("lower_low", "ll"))}
+    f |= {f"distance_{n}d_high": f"(close - {gate(n, 'max', 'high')}) / {n0('ATR14')}" for n in (20, 60, 120)}
+    f |= {f"{a}_count_20": gate(20, "sum", x) for a, x in (("higher_high", "hh"), ("higher_low", "hl"), ("lower_high", "lh"), ("lower_low", "ll"))}
     first = ", ".join(f"{v} as {k}" for k, v in f.items())
     near = lambda l, s: f"len(list_filter({l}, lambda v: abs(v - {s}) <= greatest(close * 0.008, ATR14 * 0.5)))"
     return f"""marked as (
-    select *, {_swing('high', 'max')} as sh, {_swing('low', 'min')} as sl, close - {lag('close', 1)} as chg,
+    select *, {swing_sql('high', 'max')} as sh, {swing_sql('low', 'min')} as sl, close - {lag('close', 1)} as chg,
            coalesce(case when close > {lag('close', 1)} then volume end, 0.0) as upv, coalesce(case when close < {lag('close', 1)} then volume end, 0.0) as downv,
            coalesce(cast(high > {lag('high', 1)} as double), 0) as hh, coalesce(cast(low > {lag('low', 1)} as double), 0) as hl,
            coalesce(cast(high < {lag('high', 1)} as double), 0) as lh, coalesce(cast(low < {lag('low', 1)} as double), 0) as ll, ln(close / {lag('close', 1)}) as lr
@@ -120,7 +120,7 @@ def _factors() -> str:
     from told window w as (partition by symbol order by pos)
 ), f1 as (
     select *, list_max(list_filter(ls, lambda v: v < close)) as sup, list_min(list_filter(hs, lambda v: v > close)) as res, {first},
-           {_gate(20, 'stddev_samp', 'lr')} * sqrt(252) as realized_volatility_20
+           {gate(20, 'stddev_samp', 'lr')} * sqrt(252) as realized_volatility_20
     from known window w as (partition by symbol order by pos)
 ), factored as (
     select * exclude (sh, sl, chg, upv, downv, hh, hl, lh, ll, lr, nh, nl, hs, ls, sup, res),
@@ -151,7 +151,7 @@ REGIME = f"""voted as (
 )"""
 
 SETUPS = f"""ready as (
-    select *, {_gate(20, 'max', 'high', 1)} as top, {_gate(20, 'min', 'low', 1)} as bottom, lag(high) over w as h1, lag(close) over w as c1, lag(MA20) over w as m1
+    select *, {gate(20, 'max', 'high', 1)} as top, {gate(20, 'min', 'low', 1)} as bottom, lag(high) over w as h1, lag(close) over w as c1, lag(MA20) over w as m1
     from regimes window w as (partition by symbol order by pos)
 ), s1 as (
     select *, coalesce(regime = 'UPTREND' and close > MA60 and MA20 > MA60 and ma20_slope_5 > 0
@@ -243,4 +243,4 @@ def r6(*cols: str) -> str:
     return ", ".join(f"floor({c} * 1000000.0::double + 0.5) / 1000000.0::double as {c}" for c in cols)
 
 
-__all__ = ["FACTORS", "NAMES", "STEPS", "r6", "upto"]
+__all__ = ["FACTORS", "NAMES", "STEPS", "gate", "r6", "swing_sql", "upto"]

@@ -7,25 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Names under which vendors deliver each column.
+#: The names under which vendors deliver each column, in the order in which they are looked for.
 ALIASES = {
-    "datetime": ("datetime", "date", "day", "time", "日期", "时间"),
-    "open": ("open", "开盘", "开盘价"),
-    "high": ("high", "最高", "最高价"),
-    "low": ("low", "最低", "最低价"),
-    "close": ("close", "收盘", "收盘价"),
+    "datetime": ("datetime", "日期", "时间", "day", "date"),
+    "open": ("open", "开盘"),
+    "high": ("high", "最高"),
+    "low": ("low", "最低"),
+    "close": ("close", "收盘", "最新价"),
     "volume": ("volume", "成交量"),
     "amount": ("amount", "成交额"),
     "amplitude": ("amplitude", "振幅"),
     "pct_change": ("pct_change", "涨跌幅"),
     "change": ("change", "涨跌额"),
     "turnover": ("turnover", "换手率"),
-    "open_interest": ("open_interest", "持仓量"),
-    "settlement": ("settlement", "结算价"),
+    "open_interest": ("open_interest", "持仓量", "hold"),
+    "settlement": ("settlement", "结算价", "昨结算"),
     "currency": ("currency", "币种"),
-    "source": ("source", "来源"),
-    "source_timestamp": ("source_timestamp",),
-    "captured_at": ("captured_at",),
+    "source": ("source", "数据源"),
+    "source_timestamp": ("source_timestamp", "数据时间", "行情时间"),
+    "captured_at": ("captured_at", "采集时间"),
 }
 TIMES = ("datetime", "source_timestamp", "captured_at")
 TEXTS = ("currency", "source")
