@@ -21,6 +21,7 @@ ANGLES = (("8x1", 8.0), ("4x1", 4.0), ("2x1", 2.0), ("1x1", 1.0), ("1x2", 0.5),
 MULTIPLES = (0.5, 1.0, 1.5, 2.0, 3.0)
 WEIGHTS = {"angle": 20.0, "time": 20.0, "price_level": 15.0, "horizontal": 15.0, "fibonacci": 10.0, "higher_timeframe": 10.0, "momentum": 5.0, "volume": 5.0}
 HORIZONS = {"daily": 15, "weekly": 6, "monthly": 4}
+CAP = 20
 RETURNS = (1, 3, 5, 10, 20)
 
 
@@ -46,6 +47,25 @@ class Config:
 PIVOT = "symbol string, no int, kind string, position int, confirm int, price double, atr double, swing double, duration int, prev_kind string, prev_price double, prev_position int, opp_price double, opp_position int"
 
 
+@dataclass(frozen=True)
+class Parts:
+    """What several results of one query share, computed once."""
+
+    pivots: DataFrame
+    active: DataFrame
+    last: DataFrame
+
+    def release(self) -> None:
+        for df in (self.pivots, self.active, self.last):
+            df.unpersist()
+
+
+def prepare(bars: DataFrame, conf: Config = Config()) -> Parts:
+    """Pivots, active anchors and last bars, kept in executors' memory or on their disks until released; rows are few against bars."""
+    found = pivots(bars, conf).persist()
+    return Parts(found, active(bars, conf, found).persist(), last_bar(bars).persist())
+
+
 def lone(c: Column, width: int, high: bool) -> Column:
     """An extreme of its window to which no other value is close (relative 1e-5, absolute 1e-8)."""
     w = ordered().rowsBetween(-width, width)
@@ -90,9 +110,9 @@ def pivots(bars: DataFrame, conf: Config = Config()) -> DataFrame:
     return raw.groupBy("symbol").applyInPandas(fold, PIVOT)
 
 
-def anchors(bars: DataFrame, conf: Config = Config()) -> DataFrame:
-    """Pivots with an earlier opposite one, scored from 0 to 100 on bars up to their confirmation only."""
-    p = pivots(bars, conf).filter("opp_price is not null")
+def anchors(bars: DataFrame, conf: Config = Config(), found: DataFrame | None = None) -> DataFrame:
+    """Pivots (``found``, if known) with an earlier opposite one, scored from 0 to 100 on bars up to their confirmation only."""
+    p = (pivots(bars, conf) if found is None else found).filter("opp_price is not null")
     b = bars.select("symbol", "pos", "high", "low", "close", "volume")
     seg = p.select("symbol", "no", "position", "confirm", "price", "atr").withColumn("pos", F.explode(F.sequence(F.greatest(F.col("position") - 20, F.lit(0)), F.col("confirm")))).join(b, ["symbol", "pos"])
     near = lambda c: F.count_if(F.abs(F.col(c) - F.col("price")) <= F.col("atr") * 0.35)
@@ -110,28 +130,38 @@ def anchors(bars: DataFrame, conf: Config = Config()) -> DataFrame:
         "s_volume": F.coalesce(F.when(c("median") > 0, unit(c("volume") / c("median") / 2)), F.lit(0.5)) * 10, "s_reversal": unit((c("after") - c("before")) * sign / c("atr") / 2) * 10, "s_time": unit(c("duration") / 20) * 5,
     }
     out = p.join(g, ["symbol", "no"]).withColumns({k: F.round(v, 2) for k, v in parts.items()})
-    total = sum((c(k) for k in parts), F.lit(0.0))
+    total = sum(c(k).cast("decimal(10,2)") for k in parts)  # exact, so that its rounding hangs on no order of addition
     ident = F.substring(F.sha1(F.concat_ws("|", "symbol", "kind", "position", F.format_number("price", 8))), 1, 16)
-    out = out.withColumns({"score": F.round(total, 1), "direction": F.when(c("kind") == "low", "up").otherwise("down"), "anchor_id": ident})
+    out = out.withColumns({"score": F.round(total, 1).cast("double"), "direction": F.when(c("kind") == "low", "up").otherwise("down"), "anchor_id": ident})
     return out.drop("touches", "median", "volume", "before", "after")
 
 
-def lifecycles(bars: DataFrame, conf: Config = Config()) -> DataFrame:
+def alive(found: DataFrame, until: Column) -> DataFrame:
+    """A row per bar (pos) of each anchor's life, from the bar after its confirmation to the one before ``until``.
+
+    Lives of one direction don't overlap, so there are at most twice as many rows as bars.
+    """
+    lives = found.filter(F.col("confirm") + 1 < until)
+    return lives.withColumn("pos", F.explode(F.sequence(F.col("confirm") + 1, (until - 1).cast("int"))))
+
+
+def lifecycles(bars: DataFrame, conf: Config = Config(), found: DataFrame | None = None) -> DataFrame:
     """Anchors with their successor, the first close that breaches them before it, and status."""
-    a = anchors(bars, conf).drop("swing")
+    a = anchors(bars, conf, found).drop("swing")
     w = Window.partitionBy("symbol", "direction").orderBy("no")
     a = a.withColumns({"next_confirm": F.lead("confirm").over(w), "replacement": F.lead("anchor_id").over(w)})
-    b = bars.select("symbol", "pos", "close")
+    b, n = bars.select("symbol", "pos", "close"), bars.groupBy("symbol").agg(F.count(F.lit(1)).cast("int").alias("n"))
     breach = F.when(F.col("direction") == "up", F.col("close") < F.col("price") - F.col("atr") * 0.15).otherwise(F.col("close") > F.col("price") + F.col("atr") * 0.15)
-    life = a.select("symbol", "no", "direction", "confirm", "next_confirm", "price", "atr").join(b, "symbol").filter((F.col("pos") > F.col("confirm")) & (F.col("pos") < F.coalesce("next_confirm", F.lit(1 << 30))) & breach)
+    slim = a.select("symbol", "no", "direction", "confirm", "next_confirm", "price", "atr").join(n, "symbol")
+    life = alive(slim, F.coalesce("next_confirm", "n")).join(b, ["symbol", "pos"]).filter(breach)
     first = life.groupBy("symbol", "no").agg(F.min("pos").alias("breached_at"))
     status = F.when(F.col("breached_at").isNotNull(), "invalidated").when(F.col("replacement").isNotNull(), "replaced").otherwise("active")
     return a.join(first, ["symbol", "no"], "left").withColumn("status", status)
 
 
-def active(bars: DataFrame, conf: Config = Config()) -> DataFrame:
+def active(bars: DataFrame, conf: Config = Config(), found: DataFrame | None = None) -> DataFrame:
     """The latest anchor per symbol and direction, with the best older score as a reference."""
-    a = anchors(bars, conf)
+    a = anchors(bars, conf, found)
     w = Window.partitionBy("symbol", "direction").orderBy(F.desc("no"))
     older = F.max("score").over(Window.partitionBy("symbol", "direction").orderBy("no").rowsBetween(Window.unboundedPreceding, -1))
     return a.withColumns({"reference_score": older, "__n": F.row_number().over(w)}).filter("__n = 1").drop("__n")
@@ -152,9 +182,10 @@ def last_bar(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.max_by(F.struct(*keep), "pos").alias("l")).select("symbol", F.col("l.pos").alias("latest"), *[F.col(f"l.{k}").alias(f"now_{k}") for k in keep[1:]])
 
 
-def fan(bars: DataFrame, conf: Config = Config(), horizon: int = 12) -> DataFrame:
+def fan(bars: DataFrame, conf: Config = Config(), horizon: int = 12, parts: Parts | None = None) -> DataFrame:
     """The seven lines of each active anchor at the last bar and at the horizon, and the anchor's state."""
-    a = active(bars, conf).join(last_bar(bars), "symbol")
+    parts = parts or prepare(bars, conf)
+    a = parts.active.join(parts.last, "symbol")
     sign = F.when(F.col("direction") == "up", 1).otherwise(-1)
     ok = lambda r: (F.col("now_close") - line(r, F.col("latest"), conf)) * sign >= 0
     state = F.when(ok(2.0), "STRONG_BULL").when(ok(1.0), "BULL").when(ok(0.5), "NEUTRAL").otherwise("BEAR")
@@ -166,9 +197,10 @@ def fan(bars: DataFrame, conf: Config = Config(), horizon: int = 12) -> DataFram
                     F.round(line(F.col("ratio"), F.col("latest") + horizon, conf), 6).alias("end_price"), F.col("angle").isin("2x1", "1x1", "1x2").alias("default_visible"))
 
 
-def price_levels(bars: DataFrame, horizontal: DataFrame | None = None, conf: Config = Config()) -> DataFrame:
+def price_levels(bars: DataFrame, horizontal: DataFrame | None = None, conf: Config = Config(), parts: Parts | None = None) -> DataFrame:
     """(anchor, source, label, price, weight): eighths, retracements, the prior pivot, indicators and given horizontal levels."""
-    a = active(bars, conf).join(last_bar(bars), "symbol")
+    parts = parts or prepare(bars, conf)
+    a = parts.active.join(parts.last, "symbol")
     lo, hi, sign = F.least("price", "opp_price"), F.greatest("price", "opp_price"), F.when(F.col("direction") == "up", 1).otherwise(-1)
     s = lambda src, label, price, weight: F.struct(F.lit(src).alias("source"), F.lit(label).alias("label"), F.round(price, 6).alias("level"), F.lit(weight).alias("weight"))
     made = [s("eighth", f"{i}/8", lo + (hi - lo) * (i / 8), 15.0 if i == 4 else 10.0) for i in range(1, 9)]
@@ -196,9 +228,9 @@ def price_zones(levels: DataFrame, conf: Config = Config()) -> DataFrame:
     return z.withColumn("rank", rank).withColumn("default_visible", F.col("rank") <= conf.visible)
 
 
-def base_cycles(bars: DataFrame, conf: Config = Config()) -> DataFrame:
+def base_cycles(bars: DataFrame, conf: Config = Config(), parts: Parts | None = None) -> DataFrame:
     """(symbol, key, cycle, strength): the last, the previous and the median duration of recent swings, each length once."""
-    p = pivots(bars, conf).filter("duration >= 2").groupBy("symbol").agg(F.reverse(F.array_sort(F.collect_list(F.struct("no", "duration")))).alias("d"))
+    p = (parts.pivots if parts else pivots(bars, conf)).filter("duration >= 2").groupBy("symbol").agg(F.reverse(F.array_sort(F.collect_list(F.struct("no", "duration")))).alias("d"))
     d = F.slice(F.transform("d", lambda x: x["duration"].cast("double")), 1, conf.cycles)
     p = p.select("symbol", d.alias("d")).withColumn("n", F.size("d"))
     mean = F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / F.col("n")
@@ -216,13 +248,24 @@ def base_cycles(bars: DataFrame, conf: Config = Config()) -> DataFrame:
 WINDOW = "symbol string, anchor_id string, center int, start int, end int, bars_from_now int, score double, cycles int"
 
 
-def time_windows(bars: DataFrame, conf: Config = Config(), horizon: int = 12) -> DataFrame:
-    """Windows after the last bar at multiples of the base cycles from each active anchor; overlapping ones are merged in order."""
-    a = active(bars, conf).select("symbol", "anchor_id", "position").join(last_bar(bars).select("symbol", "latest"), "symbol").join(base_cycles(bars, conf), "symbol")
+def time_windows(bars: DataFrame, zones: DataFrame | None = None, higher: DataFrame | None = None, conf: Config = Config(), horizon: int = CAP, parts: Parts | None = None) -> DataFrame:
+    """Windows after the last bar, up to the hard horizon, at multiples of the base cycles from each active anchor; overlapping ones are merged in order.
+
+    ``zones`` are the anchors' price zones: up to six of them raise a window's score (without, three are taken); so does a ``higher`` timeframe
+    (symbol, direction) that goes the anchor's way.
+    """
+    parts = parts or prepare(bars, conf)
+    a = parts.active.select("symbol", "anchor_id", "direction", "position").join(parts.last.select("symbol", "latest"), "symbol").join(base_cycles(bars, conf, parts), "symbol")
+    a = with_higher(a, higher)
+    if zones is None:
+        a = a.withColumn("zones", F.lit(3))
+    else:
+        a = a.join(zones.groupBy("symbol", "anchor_id").agg(F.count(F.lit(1)).alias("zones")), ["symbol", "anchor_id"], "left")
+    a = a.withColumn("extra", 8.0 + F.when(F.col("aligned"), 12.0).otherwise(6.0) + F.least(F.lit(1.0), F.coalesce("zones", F.lit(0)) / 6) * 15.0 + 15.0)
 
     def build(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("cycle", kind="stable")
-        at, latest, found = int(g["position"].iloc[0]), int(g["latest"].iloc[0]), []
+        at, latest, extra, found = int(g["position"].iloc[0]), int(g["latest"].iloc[0]), float(g["extra"].iloc[0]), []
         for cycle, strength in zip(g["cycle"].astype(int), g["strength"], strict=True):
             for m in MULTIPLES:
                 center = at + round(cycle * m)
@@ -232,7 +275,7 @@ def time_windows(bars: DataFrame, conf: Config = Config(), horizon: int = 12) ->
                     continue
                 tol = max(1, round(cycle * conf.tolerance))
                 overlap = sum(abs(center - (at + round(int(o) * m))) <= tol for o in g["cycle"])
-                score = min(30.0, strength * 0.3) + min(20.0, max(0, overlap - 1) * 10.0) + 8.0 + 6.0 + 7.5 + 15.0 - (8.0 if m >= 3 else 3.0 if m >= 2 else 0.0)
+                score = min(30.0, strength * 0.3) + min(20.0, max(0, overlap - 1) * 10.0) + extra - (8.0 if m >= 3 else 3.0 if m >= 2 else 0.0)
                 found.append([max(latest + 1, center - tol), -round(max(0.0, min(100.0, score)), 1), center, min(latest + horizon, center + tol)])
         merged: list[list] = []
         for start, minus, center, end in sorted(found):
@@ -247,15 +290,25 @@ def time_windows(bars: DataFrame, conf: Config = Config(), horizon: int = 12) ->
     return a.groupBy("symbol", "anchor_id").applyInPandas(build, WINDOW)
 
 
+def with_higher(anchors_: DataFrame, higher: DataFrame | None) -> DataFrame:
+    """Anchors with a column aligned: whether the higher timeframe of their symbol goes their way."""
+    if higher is None:
+        return anchors_.withColumn("aligned", F.lit(False))
+    h = higher.select("symbol", F.col("direction").alias("__way"))
+    return anchors_.join(h, "symbol", "left").withColumn("aligned", F.coalesce(F.col("__way") == F.col("direction"), F.lit(False))).drop("__way")
+
+
 def decay(ahead: Column) -> Column:
     return F.when(ahead <= 5, 1.0).when(ahead <= 10, 0.85).when(ahead <= 15, 0.65).otherwise(0.45)
 
 
-def confluence(bars: DataFrame, horizontal: DataFrame | None = None, conf: Config = Config(), horizon: int = 12) -> DataFrame:
+def confluence(bars: DataFrame, horizontal: DataFrame | None = None, conf: Config = Config(), higher: DataFrame | None = None, horizon: int = CAP, parts: Parts | None = None) -> DataFrame:
     """Zones where a line at a time window meets a price zone, per active anchor: a join on the anchor with a tolerance."""
-    a = active(bars, conf).join(last_bar(bars), "symbol").select("symbol", "anchor_id", "direction", "price", "atr", "position", "score", "latest", "now_close", "now_DIF", "now_DEA", "now_VOL_RATIO").withColumnRenamed("score", "anchor_score")
-    z = price_zones(price_levels(bars, horizontal, conf), conf).drop("rank", "default_visible")
-    w = time_windows(bars, conf, horizon).withColumnRenamed("score", "window_score")
+    parts = parts or prepare(bars, conf)
+    a = parts.active.join(parts.last, "symbol").select("symbol", "anchor_id", "direction", "price", "atr", "position", "score", "latest", "now_close", "now_DIF", "now_DEA", "now_VOL_RATIO").withColumnRenamed("score", "anchor_score")
+    a = with_higher(a, higher)
+    z = price_zones(price_levels(bars, horizontal, conf, parts), conf).drop("rank", "default_visible")
+    w = time_windows(bars, z, higher, conf, horizon, parts).withColumnRenamed("score", "window_score")
     lines = F.explode(F.array(*[F.struct(F.lit(n).alias("angle"), F.lit(r).alias("ratio")) for n, r in ANGLES if n in ("2x1", "1x1", "1x2")]))
     x = a.join(w, ["symbol", "anchor_id"]).withColumn("f", lines).withColumns({"angle": F.col("f.angle"), "projected": line(F.col("f.ratio"), F.col("center"), conf), "tol": F.greatest(F.col("atr") * conf.confluence_atr, F.col("price") * 0.001)})
     z = z.withColumnRenamed("center", "zone_center")
@@ -265,7 +318,7 @@ def confluence(bars: DataFrame, horizontal: DataFrame | None = None, conf: Confi
     take = lambda cond, k: F.when(cond, WEIGHTS[k]).otherwise(0.0)
     raw = (
         WEIGHTS["angle"] + WEIGHTS["time"] * F.least(F.lit(1.0), F.col("window_score") / 70) + take(has("eighth", "prior_pivot"), "price_level") + take(has("horizontal"), "horizontal")
-        + take(has("fibonacci"), "fibonacci") + take((F.col("now_DIF") - F.col("now_DEA")) * sign > 0, "momentum") + take(F.col("now_VOL_RATIO") >= 1, "volume")
+        + take(has("fibonacci"), "fibonacci") + take(F.col("aligned"), "higher_timeframe") + take((F.col("now_DIF") - F.col("now_DEA")) * sign > 0, "momentum") + take(F.col("now_VOL_RATIO") >= 1, "volume")
     )
     met = met.withColumns({"raw_score": F.round(F.least(F.lit(100.0), raw), 1), "mid": (F.col("projected") + F.col("zone_center")) / 2})
     met = met.withColumns({
@@ -288,21 +341,47 @@ def confluence(bars: DataFrame, horizontal: DataFrame | None = None, conf: Confi
     return one.withColumn("rank", rank).withColumn("default_visible", (F.col("rank") <= conf.visible) & (F.col("score") >= 65)).drop("tol")
 
 
-def scenarios(bars: DataFrame, horizontal: DataFrame | None = None, conf: Config = Config(), horizon: int = 12) -> DataFrame:
-    """Break and reject scenarios of each active anchor; confidences are a softmax of the two scores at temperature 12."""
-    f = fan(bars, conf, horizon).groupBy("symbol", "anchor_id", "direction", "score", "state").agg(F.max(F.when(F.col("angle") == "1x1", F.col("current_price"))).alias("one"), F.max(F.when(F.col("angle") == "1x2", F.col("current_price"))).alias("slow"))
-    z = confluence(bars, horizontal, conf, horizon).select("symbol", "anchor_id", "mid", F.col("score").alias("z"))
-    sign = F.when(F.col("direction") == "up", 1).otherwise(-1)
-    ahead = f.join(z, ["symbol", "anchor_id"], "left").withColumn("z", F.when((F.col("mid") - F.col("one")) * sign > 0, F.when(F.col("z") >= 65, F.col("z"))))
-    g = ahead.groupBy("symbol", "anchor_id", "direction", "score", "state", "one", "slow").agg(F.coalesce(F.max("z"), F.lit(0.0)).alias("z"))
-    go = F.col("score") * 0.45 + F.when(F.col("state") == "NEUTRAL", 12.0).otherwise(25.0) + F.col("z") * 0.2
-    stop = F.col("score") * 0.35 + F.when(F.col("state") == "NEUTRAL", 25.0).otherwise(15.0) + 15
+def scenarios(bars: DataFrame, horizontal: DataFrame | None = None, conf: Config = Config(), higher: DataFrame | None = None, horizon: int = 12, cap: int = CAP, parts: Parts | None = None) -> DataFrame:
+    """Break and reject scenarios of each active anchor; confidences are a softmax of the two scores at temperature 12.
+
+    The break aims at the first two of the (at most three) confluence zones of 65 or more beyond the 1x1 line, else at
+    the best one beyond it, else at the nearest price level beyond it, else two ATR beyond it; the reject at the 1x2
+    line. Both name the first two time windows of 55 or more, else the best one.
+    """
+    parts = parts or prepare(bars, conf)
+    c = F.col
+    lines = fan(bars, conf, horizon, parts).groupBy("symbol", "anchor_id", "direction", "score", "state").agg(F.max(F.when(c("angle") == "1x1", c("current_price"))).alias("one"), F.max(F.when(c("angle") == "1x2", c("current_price"))).alias("slow"))
+    f = lines.join(parts.active.select("symbol", "anchor_id", "atr"), ["symbol", "anchor_id"]).withColumn("sign", F.when(c("direction") == "up", 1).otherwise(-1))
+    slim = f.select("symbol", "anchor_id", "one", "sign")
+    found = price_levels(bars, horizontal, conf, parts)
+    beyond = lambda x: (c(x) - c("one")) * c("sign") > 0
+    met = confluence(bars, horizontal, conf, higher, cap, parts).select("symbol", "anchor_id", "rank", "mid", "zone_low", "zone_high", c("score").alias("z"))
+    met = met.join(slim, ["symbol", "anchor_id"]).filter(beyond("mid"))
+    pair = F.struct("rank", F.array(F.round("zone_low", 6), F.round("zone_high", 6)).alias("zone"), "z")
+    best = F.array_sort(F.collect_list(F.when(c("z") >= 65, pair)))
+    met = met.groupBy("symbol", "anchor_id").agg(F.slice(best, 1, 3).alias("strong"), F.min_by(pair, "rank").alias("any"))
+    level = found.join(slim, ["symbol", "anchor_id"]).filter(beyond("level")).groupBy("symbol", "anchor_id").agg(F.min_by("level", F.abs(c("level") - c("one"))).alias("level"))
+    windows = time_windows(bars, price_zones(found, conf), higher, conf, cap, parts)
+    w = F.struct("center", "start", "end", c("score"))
+    windows = windows.groupBy("symbol", "anchor_id").agg(F.slice(F.array_sort(F.collect_list(F.when(c("score") >= 55, w))), 1, 2).alias("shown"), F.max_by(w, F.struct("score", -c("center"))).alias("most"))
+    g = f.join(met, ["symbol", "anchor_id"], "left").join(level, ["symbol", "anchor_id"], "left").join(windows, ["symbol", "anchor_id"], "left")
+    around = lambda x: F.array(F.round(x - c("atr") * 0.25, 6), F.round(x + c("atr") * 0.25, 6))
+    strong = F.coalesce(F.size("strong"), F.lit(0)) > 0
+    target = F.when(strong, F.transform(F.slice("strong", 1, 2), lambda x: x["zone"])).when(c("any").isNotNull(), F.array(c("any.zone"))).otherwise(F.array(around(F.coalesce("level", c("one") + c("sign") * c("atr") * 2))))
+    chosen = F.when(F.coalesce(F.size("shown"), F.lit(0)) > 0, c("shown")).when(c("most").isNotNull(), F.array("most")).otherwise(F.slice(F.array("most"), 1, 0))
+    bonus = F.coalesce(F.array_max(F.transform("strong", lambda x: x["z"])), F.lit(0.0))
+    go = c("score") * 0.45 + F.when(c("state") == "NEUTRAL", 12.0).otherwise(25.0) + bonus * 0.2
+    stop = c("score") * 0.35 + F.when(c("state") == "NEUTRAL", 25.0).otherwise(15.0) + 15
     p = 1 / (1 + F.exp((stop - go) / 12))
-    g = g.withColumns({"go": go, "stop": stop, "p": p})
-    other = F.when(F.col("direction") == "up", "down").otherwise("up")
-    row = lambda k, d, s, q: F.struct(F.lit(k).alias("scenario"), d.alias("path"), F.round(s, 1).alias("scenario_score"), F.round(q, 4).alias("confidence"), F.round(q * decay(F.lit(horizon)), 4).alias("effective_confidence"))
-    both = F.explode(F.array(row("break_1x1", F.col("direction"), F.col("go"), F.col("p")), row("reject_1x1", other, F.col("stop"), 1 - F.col("p"))))
-    return g.select("symbol", "anchor_id", F.col("one").alias("trigger"), F.col("slow").alias("invalidation"), both.alias("s")).select("symbol", "anchor_id", "trigger", "invalidation", "s.*")
+    g = g.withColumns({"go": go, "stop": stop, "p": p, "windows": chosen})
+    other = F.when(c("direction") == "up", "down").otherwise("up")
+
+    def row(k: str, d: Column, s: Column, q: Column, zones: Column, invalid: str) -> Column:
+        return F.struct(F.lit(k).alias("scenario"), d.alias("path"), F.round(s, 1).alias("scenario_score"), F.round(q, 4).alias("confidence"), F.round(q * decay(F.lit(horizon)), 4).alias("effective_confidence"),
+                        c("one").alias("trigger"), c(invalid).alias("invalidation"), zones.alias("target_zones"))
+
+    both = F.explode(F.array(row("break_1x1", c("direction"), c("go"), c("p"), target, "slow"), row("reject_1x1", other, c("stop"), 1 - c("p"), F.array(around(c("slow"))), "one")))
+    return g.select("symbol", "anchor_id", both.alias("s"), "windows").select("symbol", "anchor_id", "s.*", "windows")
 
 
 def higher_timeframe(weekly: DataFrame, conf: Config = Config()) -> DataFrame:
@@ -312,13 +391,14 @@ def higher_timeframe(weekly: DataFrame, conf: Config = Config()) -> DataFrame:
     return a.groupBy("symbol").agg(F.max_by("direction", F.struct("score", "confirm")).alias("direction"), F.max("score").alias("score"))
 
 
-def angle_events(bars: DataFrame, conf: Config = Config()) -> DataFrame:
+def angle_events(bars: DataFrame, conf: Config = Config(), found: DataFrame | None = None) -> DataFrame:
     """Crossings and rejections of an anchor's lines while it lives, with what the next 20 bars brought in its direction."""
-    life = lifecycles(bars, conf).select("symbol", "no", "anchor_id", "direction", "price", "atr", "position", "confirm", F.col("score").alias("anchor_score"), "next_confirm")
+    life = lifecycles(bars, conf, found).select("symbol", "no", "anchor_id", "direction", "price", "atr", "position", "confirm", F.col("score").alias("anchor_score"), "next_confirm")
     ahead = ordered().rowsBetween(1, 20)
     b = bars.withColumns({f"r{h}": lead("close", h) / F.col("close") - 1 for h in RETURNS} | {"close0": lag("close"), "top": F.max("high").over(ahead), "bottom": F.min("low").over(ahead), "n": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
     b = b.select("symbol", "pos", "datetime", "high", "low", "close", "close0", "top", "bottom", "n", *[f"r{h}" for h in RETURNS])
-    x = life.join(b, "symbol").filter((F.col("pos") > F.col("confirm")) & (F.col("pos") < F.least(F.coalesce("next_confirm", F.col("n")), F.col("n") - max(RETURNS))))
+    n = bars.groupBy("symbol").agg(F.count(F.lit(1)).cast("int").alias("last"))
+    x = alive(life.join(n, "symbol"), F.least(F.coalesce("next_confirm", "last"), F.col("last") - max(RETURNS))).join(b, ["symbol", "pos"])
     sign, here, before = F.when(F.col("direction") == "up", 1).otherwise(-1), F.col("pos"), F.col("pos") - 1
     x = x.withColumns({"l1": line(1.0, here, conf), "p1": line(1.0, before, conf), "l2": line(0.5, here, conf), "p2": line(0.5, before, conf)})
     x = x.withColumns({"s": (F.col("close") - F.col("l1")) * sign, "s0": (F.col("close0") - F.col("p1")) * sign, "q": (F.col("close") - F.col("l2")) * sign, "q0": (F.col("close0") - F.col("p2")) * sign})
@@ -367,38 +447,77 @@ def survival(bars: DataFrame, conf: Config = Config()) -> DataFrame:
     return g.join(n, "symbol").select("symbol", "anchors", F.round("survival", 6).alias("survival"), F.round(F.greatest(F.col("anchors") - 2, F.lit(0)) / F.col("bars"), 6).alias("revision_frequency"))
 
 
-def window_study(bars: DataFrame, conf: Config = Config()) -> DataFrame:
-    """Bars at multiples of each anchor's own swing duration against as many other bars spread evenly: local extremes, wider range, breakouts."""
-    hi, lo = ordered().rowsBetween(-2, 2), ordered().rowsBetween(-20, -1)
+def window_study(bars: DataFrame, conf: Config = Config(), found: DataFrame | None = None) -> DataFrame:
+    """One bar per pivot, the base cycle of the swings visible then after it, against as many other bars spread evenly.
+
+    Rates of local extremes (2 bars on both sides), of ranges that widen by a quarter over the 10 bars before, and of
+    closes beyond those bars' extremes within 4 bars; ``edge`` is the windows' rate of turns less the baseline's.
+    """
+    p = pivots(bars, conf) if found is None else found
+    by = Window.partitionBy("symbol").orderBy("no")
+    long = p.filter("duration >= 2").select("symbol", "no", F.collect_list("duration").over(by.rowsBetween(1 - conf.cycles, 0)).alias("d"))
+    p = p.join(long, ["symbol", "no"], "left").withColumns({"d": F.last("d", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("no").over(by)})
+    s, n = F.array_sort("d"), F.size("d")
+    median = (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor((n + 2) / 2).cast("int"))) / 2
+    three = F.array(F.element_at("d", -1), F.coalesce(F.try_element_at("d", F.lit(-2)), F.element_at("d", -1)), F.bround(median).cast("int"))
+    cycle = F.element_at(F.array_distinct(F.transform(three, lambda x: F.greatest(x, F.lit(2)))), -1)
+    size = bars.groupBy("symbol").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    at = p.filter("next is not null and d is not null").select("symbol", "confirm", (F.col("position") + cycle).alias("pos")).join(size, "symbol")
+    at = at.filter((F.col("pos") >= F.col("confirm")) & (F.col("pos") < F.col("n") - 2)).select("symbol", "pos").distinct()
+
+    near, before, ahead = ordered().rowsBetween(-2, 2), ordered().rowsBetween(-10, -1), ordered().rowsBetween(0, 3)
     span = F.col("high") - F.col("low")
+    high, low = F.col("high") >= F.max("high").over(near), F.col("low") <= F.min("low").over(near)
+    room = (F.col("pos") >= 10) & (F.col("pos") + 3 < F.count(F.lit(1)).over(Window.partitionBy("symbol")))
     flags = bars.withColumns({
-        "turn": (F.col("high") == F.max("high").over(hi)) | (F.col("low") == F.min("low").over(hi)), "wide": span > F.avg(span).over(lo) * 1.2,
-        "out": (F.col("close") > F.max("high").over(lo)) | (F.col("close") < F.min("low").over(lo)),
-    }).select("symbol", "pos", *[F.coalesce(F.col(k), F.lit(False)).cast("double").alias(k) for k in ("turn", "wide", "out")])
-    a = anchors(bars, conf).filter("duration >= 2")
-    at = F.explode(F.array(*[F.col("position") + F.bround(F.col("duration") * m).cast("int") for m in MULTIPLES]))
-    hit = a.select("symbol", "confirm", at.alias("pos")).filter("pos > confirm").select("symbol", "pos").distinct().join(flags, ["symbol", "pos"])
-    rest = flags.join(hit.select("symbol", "pos"), ["symbol", "pos"], "left_anti")
-    sizes = hit.groupBy("symbol").agg(F.count(F.lit(1)).alias("k"))
-    order = F.row_number().over(Window.partitionBy("symbol").orderBy("pos")) - 1
-    rest = rest.withColumns({"i": order, "n": F.count(F.lit(1)).over(Window.partitionBy("symbol"))}).join(sizes, "symbol").filter(F.floor(F.col("i") * F.col("k") / F.col("n")) != F.floor((F.col("i") - 1) * F.col("k") / F.col("n")))
-    both = hit.withColumn("group", F.lit("window")).unionByName(rest.select("symbol", "pos", "turn", "wide", "out").withColumn("group", F.lit("baseline")))
-    return both.groupBy("symbol", "group").agg(F.count(F.lit(1)).alias("samples"), *[F.round(F.avg(k) * 100, 1).alias(f"{k}_rate") for k in ("turn", "wide", "out")])
+        "high_": high, "low_": low, "turn": high | low, "wide": room & (F.avg(span).over(ahead) > F.percentile(span, 0.5).over(before) * 1.25),
+        "out": room & ((F.max("close").over(ahead) > F.max("high").over(before)) | (F.min("close").over(ahead) < F.min("low").over(before))),
+    })
+    names = ("turn", "wide", "out", "high_", "low_")
+    flags = flags.join(size, "symbol").filter((F.col("pos") >= 2) & (F.col("pos") < F.col("n") - 2)).select("symbol", "pos", *[F.coalesce(F.col(k), F.lit(False)).cast("double").alias(k) for k in names])
+    hit = flags.join(at, ["symbol", "pos"], "left_semi")
+    rest = flags.join(at, ["symbol", "pos"], "left_anti").withColumns({"i": F.row_number().over(Window.partitionBy("symbol").orderBy("pos")) - 1, "m": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
+    sizes = at.groupBy("symbol").agg(F.count(F.lit(1)).alias("k"))
+    take = sizes.join(rest.select("symbol", "m").distinct(), "symbol").withColumn("k", F.least("k", "m"))
+    j = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
+    take = take.select("symbol", "k", "m", j.alias("j")).select("symbol", F.when((F.col("j") == F.col("k") - 1) & (F.col("k") > 1), F.col("m") - 1).otherwise(F.floor(F.col("j") * ((F.col("m") - 1) / F.greatest(F.col("k") - 1, F.lit(1))))).alias("i"))
+    base = rest.join(take, ["symbol", "i"])
+    rate = lambda df, pre: df.groupBy("symbol").agg(F.count(F.lit(1)).alias(f"{pre}samples"), *[F.avg(k).alias(f"{pre}{k.strip('_')}_rate") for k in names])
+    out = rate(hit, "").join(rate(base, "baseline_"), "symbol", "left").withColumn("edge", F.round((F.col("turn_rate") - F.col("baseline_turn_rate")) * 100, 1))
+    return out.withColumns({c: F.round(F.col(c) * 100, 1) for c in out.columns if c.endswith("_rate")})
 
 
 def calibrate(bars: DataFrame, multipliers: tuple[float, ...] = (0.125, 0.25, 0.5)) -> DataFrame:
-    """The multiplier with the best accuracy on each symbol's middle fifth of events, with its accuracy on the last fifth."""
+    """Per symbol of 90 bars or more: the multiplier with the best accuracy after five bars, then most events, then first in order, on the
+    60 to 80 percent part of the bars; its figures on the first 60 percent, and on the last 20 percent, which no choice has seen.
+
+    Each part is a series of its own, so that no event looks over its end. Pivots don't depend on the multiplier.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
+    b = bars.withColumn("__n", n).filter("__n >= 90")
+    a, z = F.floor(F.col("__n") * 0.6), F.floor(F.col("__n") * 0.8)
+    b = b.withColumn("__part", F.when(F.col("pos") < a, "train").when(F.col("pos") < z, "validation").otherwise("test"))
+    first = F.when(F.col("__part") == "train", 0).when(F.col("__part") == "validation", a).otherwise(z)
+    b = b.withColumns({"pos": (F.col("pos") - first).cast("int"), "symbol": F.concat_ws("\x1f", "symbol", "__part")}).drop("__n", "__part")
+    found = pivots(b).persist()
     out = None
-    for m in multipliers:
-        w = walk_forward(angle_events(bars, Config(atr_multiplier=m))).groupBy("symbol").pivot("part", ["train", "validation", "test"]).agg(F.first("accuracy_5")).withColumn("atr_multiplier", F.lit(m))
-        out = w if out is None else out.unionByName(w)
-    best = F.struct(F.coalesce("validation", F.lit(-1.0)), -F.col("atr_multiplier"))
-    return out.groupBy("symbol").agg(F.max_by(F.struct("atr_multiplier", "train", "validation", "test"), best).alias("b")).select("symbol", "b.*")
+    for i, m in enumerate(multipliers):
+        e = angle_events(b, Config(atr_multiplier=m), found).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("return_5") > 0).cast("double")) * 100, 1).alias("acc"))
+        e = e.withColumns({"i": F.lit(i), "atr_multiplier": F.lit(m)})
+        out = e if out is None else out.union(e)
+    cut = F.split("symbol", "\x1f")
+    out = out.select(F.element_at(cut, 1).alias("symbol"), F.element_at(cut, 2).alias("part"), "i", "atr_multiplier", "n", "acc")
+    of = lambda p, c: F.max(F.when(F.col("part") == p, F.col(c)))
+    g = out.groupBy("symbol", "i", "atr_multiplier").agg(*[of(p, c).alias(f"{p}_{k}") for p in ("train", "validation", "test") for c, k in (("n", "samples"), ("acc", "accuracy"))])
+    counts = [f"{p}_samples" for p in ("train", "validation", "test")]
+    g = g.filter("validation_accuracy is not null").fillna(0, counts)
+    best = F.max_by(F.struct(*[c for c in g.columns if c not in ("symbol", "i")]), F.struct("validation_accuracy", "validation_samples", -F.col("i")))
+    return g.groupBy("symbol").agg(best.alias("b")).select("symbol", "b.*").withColumn("calibrated", F.col("test_samples") >= 30)
 
 
 def snapshots(scen: DataFrame) -> DataFrame:
     """Immutable rows: an id from symbol and anchor, a fingerprint of the content; to be stored insert-only."""
-    g = scen.groupBy("symbol", "anchor_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("scenario", "path", "scenario_score", "confidence", "trigger", "invalidation")))).alias("payload"))
+    g = scen.groupBy("symbol", "anchor_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("scenario", "path", "scenario_score", "confidence", "trigger", "invalidation", "target_zones", "windows")))).alias("payload"))
     return g.withColumns({"snapshot_id": F.substring(F.sha2(F.concat_ws(":", "symbol", "anchor_id"), 256), 1, 32), "fingerprint": F.sha2("payload", 256)})
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeworks.functions.windows import lead
 from tapeworks.operators import backtest as bt
 from tapeworks.operators import charts, decision, factors, gann, indicators, levels, research, signals, wave, wyckoff
-from tapeworks.plans import level_sql
+from tapeworks.plans import gann_sql, level_sql
 from tapeworks.plans.sql import FACTORS, NAMES, r6, upto
 from tapeworks.sources import bars as src
 from tapeworks.sources import catalog
@@ -286,29 +286,44 @@ _rows("wave_history", lambda b: wave.history(b))
 _rows("wyckoff_events", lambda b: wyckoff.events(b))
 _rows("wyckoff_current", lambda b: wyckoff.current(b))
 _rows("wyckoff_history", lambda b: wyckoff.history(b))
-_rows("gann_pivots", lambda b: gann.pivots(b))
-_rows("gann_anchors", lambda b: gann.lifecycles(b))
-_rows("gann_fan", lambda b: gann.fan(b))
-_rows("gann_price_zones", lambda b: gann.price_zones(gann.price_levels(b, levels.nearest_levels(b))))
-_rows("gann_cycles", lambda b: gann.base_cycles(b))
-_rows("gann_time_windows", lambda b: gann.time_windows(b))
-_rows("gann_confluence", lambda b: gann.confluence(b, levels.nearest_levels(b)))
-_rows("gann_scenarios", lambda b: gann.scenarios(b))
-_rows("gann_snapshots", lambda b: gann.snapshots(gann.scenarios(b)))
-_rows("gann_angle_events", lambda b: gann.angle_events(b))
-_rows("gann_event_summary", lambda b: gann.event_summary(gann.angle_events(b)))
-_rows("gann_walk_forward", lambda b: gann.walk_forward(gann.angle_events(b)))
-_rows("gann_score_buckets", lambda b: gann.score_buckets(gann.angle_events(b)))
-_rows("gann_survival", lambda b: gann.survival(b))
-_rows("gann_window_study", lambda b: gann.window_study(b))
-_rows("gann_calibration", lambda b: gann.calibrate(b))
+def _gann(name: str, build: Callable[[DataFrame, gann.Parts, DataFrame], DataFrame], sql: str | None = None) -> None:
+    """A query on the bars, the parts that price-time results share, and the higher timeframe."""
+
+    @query(name, sql)
+    def _(spark, sf_dir):
+        b = enriched(spark, sf_dir).cache()
+        return build(b, gann.prepare(b), _higher(spark, sf_dir))
+
+
+def _higher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # eight-hour bars stand in for the higher timeframe: the events span too few weeks for 25 weekly bars
+    return gann.higher_timeframe(indicators.add_indicators(src.event_bars(spark, sf_dir, "8 hours")))
+
+
+_rows("gann_pivots", lambda b: bt.rounded(gann.pivots(b)), gann_sql.PIVOTS)
+_rows("gann_anchors", lambda b: bt.rounded(gann.lifecycles(b)), gann_sql.LIFECYCLES)
+_rows("gann_angle_events", lambda b: gann.angle_events(b), gann_sql.EVENTS)
+_rows("gann_event_summary", lambda b: gann.event_summary(gann.angle_events(b)), gann_sql.SUMMARY)
+_rows("gann_walk_forward", lambda b: gann.walk_forward(gann.angle_events(b)), gann_sql.WALK_FORWARD)
+_rows("gann_score_buckets", lambda b: gann.score_buckets(gann.angle_events(b)), gann_sql.BUCKETS)
+_rows("gann_survival", lambda b: gann.survival(b), gann_sql.SURVIVAL)
+_rows("gann_window_study", lambda b: gann.window_study(b), gann_sql.STUDY)
+_rows("gann_calibration", lambda b: gann.calibrate(b), gann_sql.CALIBRATION)
+_gann("gann_fan", lambda b, p, h: gann.fan(b, parts=p))
+_gann("gann_price_zones", lambda b, p, h: gann.price_zones(gann.price_levels(b, levels.nearest_levels(b), parts=p)))
+_gann("gann_cycles", lambda b, p, h: gann.base_cycles(b, parts=p))
+_gann("gann_time_windows", lambda b, p, h: gann.time_windows(b, gann.price_zones(gann.price_levels(b, levels.nearest_levels(b), parts=p)), h, parts=p))
+_gann("gann_confluence", lambda b, p, h: gann.confluence(b, levels.nearest_levels(b), higher=h, parts=p))
+_gann("gann_scenarios", lambda b, p, h: gann.scenarios(b, levels.nearest_levels(b), higher=h, parts=p))
+_gann("gann_snapshots", lambda b, p, h: gann.snapshots(gann.scenarios(b, levels.nearest_levels(b), higher=h, parts=p)))
 _rows("chart_ranges", lambda b: charts.default_ranges(b), level_sql.CHART_RANGES)
 
 
 @query("gann_context")
 def _(spark, sf_dir):
     full = analysed(spark, sf_dir).cache()
-    return gann.context(gann.scenarios(full), decision.decide(signals.signals(full), full))
+    found = gann.scenarios(full, levels.nearest_levels(full), higher=_higher(spark, sf_dir), parts=gann.prepare(full))
+    return gann.context(found, decision.decide(signals.signals(full), full))
 
 
 @query("instrument_search", "select code, name from (select cast(c_custkey as varchar) as code, c_name as name from customer) where contains(upper(code), '12') or contains(upper(name), '12') order by not starts_with(upper(code), '12'), code limit 10")
@@ -377,8 +392,7 @@ _rows("futures_levels", lambda b: levels.lower_confidence(levels.nearest_levels(
 
 @query("gann_higher_timeframe")
 def _(spark, sf_dir):
-    # eight-hour bars stand in for the higher timeframe: the events span too few weeks for 25 weekly bars
-    return gann.higher_timeframe(indicators.add_indicators(src.event_bars(spark, sf_dir, "8 hours")))
+    return _higher(spark, sf_dir)
 
 
 @query("wyckoff_context")

@@ -172,6 +172,39 @@ def test_gann_pivots_never_move(spark):
         gann.Config(mode="other")
 
 
+def test_gann_higher_timeframe_and_targets(spark):
+    b = indicators.add_indicators(frame(spark, 320)).cache()
+    parts = gann.prepare(b)
+    ways = {r["anchor_id"]: (r["direction"], r["position"], r["atr"], r["price"]) for r in parts.active.collect()}
+    assert ways
+    window = lambda h: {(r["anchor_id"], r["center"]): (r["score"], r["cycles"]) for r in gann.time_windows(b, None, h, parts=parts).collect()}
+    plain, up = window(None), window(spark.createDataFrame([(b.first()["symbol"], "up")], "symbol string, direction string"))
+    assert set(plain) == set(up) and plain
+    for k, (score, cycles) in up.items():
+        # a window of one cycle gains six points where the higher timeframe goes its way; scores end at 100
+        gain = score - plain[k][0]
+        assert gain == (0 if ways[k[0]][0] == "down" else min(6.0, round(100 - plain[k][0], 1))) or (cycles > 1 and gain >= 0)
+    rows = gann.scenarios(b, parts=parts).collect()
+    zones = {}
+    for r in gann.confluence(b, parts=parts).collect():
+        zones.setdefault(r["anchor_id"], []).append(r)
+    assert len(rows) == 2 * len(ways)
+    for r in rows:
+        direction, _, atr, _ = ways[r["anchor_id"]]
+        assert 1 <= len(r["target_zones"]) <= 2 and all(a <= z for a, z in r["target_zones"]) and len(r["windows"]) <= 2
+        if r["scenario"] == "reject_1x1":
+            assert r["invalidation"] == r["trigger"] and r["path"] != direction
+            continue
+        sign = 1 if direction == "up" else -1
+        ahead = [z for z in sorted(zones.get(r["anchor_id"], []), key=lambda z: z["rank"]) if (z["mid"] - r["trigger"]) * sign > 0]
+        strong = [z for z in ahead if z["score"] >= 65][:3]
+        if strong or ahead:
+            assert r["target_zones"] == [[round(z["zone_low"], 6), round(z["zone_high"], 6)] for z in (strong[:2] or ahead[:1])]
+        else:
+            assert r["target_zones"][0][1] - r["target_zones"][0][0] == pytest.approx(atr / 2, abs=1e-5)
+    parts.release()
+
+
 def test_gann_on_an_empty_table(spark):
     b = indicators.add_indicators(frame(spark, 40).limit(0))
     for build in (gann.time_windows, gann.confluence, gann.scenarios, gann.angle_events, wave.current, wyckoff.current):
