@@ -28,7 +28,7 @@ class WordIds(dict):
     given to the tokenizer's model once. Strings that may hold a special token go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 64 << 20):
+    def __init__(self, path: str, most: int = 40 << 20):
         import json
 
         import regex

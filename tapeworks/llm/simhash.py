@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import bounded, connected_components, materialize, slices
+from tapeworks.llm.common import bounded, connected_components, discard, in_worker, materialize, slices
 
 #: Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 (fixed value).
 GOLAY = 0b101011100011
@@ -56,7 +56,7 @@ def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, shingle: int =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    return bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(in_worker(run), f"id {kind}, fp bigint")
 
 
 @lru_cache(4)
@@ -123,7 +123,8 @@ def links(prints: DataFrame, hot: int = 64) -> DataFrame:
             row, at, home = anchors(fps)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(fps[row]), pa.array(node[row]), pa.array(home)], names=["anchor", "fp", "node", "home"])
 
-    copies = prints.select("fp", "node").mapInArrow(spread, "anchor int, fp bigint, node bigint, home boolean")
+    kind = prints.schema["node"].dataType.simpleString()
+    copies = prints.select("fp", "node").mapInArrow(in_worker(spread), f"anchor int, fp bigint, node {kind}, home boolean")
 
     def home_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 20000):
@@ -131,10 +132,10 @@ def links(prints: DataFrame, hot: int = 64) -> DataFrame:
             row, at, _ = anchors(fps, reach=0)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column(0), b.column(1)], names=["at", "hfp", "hnode"])
 
-    homes = prints.select("fp", "node").mapInArrow(home_of, "at int, hfp bigint, hnode bigint")
+    homes = prints.select("fp", "node").mapInArrow(in_worker(home_of), f"at int, hfp bigint, hnode {kind}")
     count = homes.groupBy("at").agg(F.count(F.lit(1)).alias("n"))
     cool = homes.join(count.filter(F.col("n") <= hot), "at", "left_semi").select("at", "hfp", "hnode")
-    marks = count.filter(F.col("n") > hot).select("at", F.lit(None).cast("long").alias("hfp"), F.lit(None).cast("long").alias("hnode"))
+    marks = count.filter(F.col("n") > hot).select("at", F.lit(None).cast("long").alias("hfp"), F.lit(None).cast(kind).alias("hnode"))
     near = (F.col("hfp") < F.col("fp")) & (F.bit_count(F.col("hfp").bitwiseXOR(F.col("fp"))) <= 2)
     met = copies.join(cool.union(marks), (F.col("anchor") == F.col("at")) & (F.col("hfp").isNull() | near))
     met = materialize(met.select("fp", "node", "hfp", "hnode"), "simhash-met")
@@ -232,13 +233,14 @@ def probably_in(rows: DataFrame, ids: DataFrame, bits: int = 1 << 26) -> DataFra
     return met.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(__place % 8 as int))")) != 0).select(rows.columns)
 
 
-def similar_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, size: int) -> DataFrame:
-    """Links (a, b) between texts whose closure is that of all pairs whose shingle sets have the similarity ``least`` or more.
+def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, size: int) -> DataFrame:
+    """(node, component) of texts that have a similar one; components are those of all pairs whose shingle sets have the similarity ``least`` or more.
 
     Equal sets are one class, tied to its smallest id. Texts that share one of four least hashes are held against the
-    smallest id that has it; that is linear and ties most copies. The rest is exact, by the prefix filter: in one order
-    of all shingles, rare ones first, two similar sets share a shingle among the first (1 - least) of each, at places
-    that leave both enough to share. All pairs that do are met, but for those tied to one text already. The order comes
+    smallest id that has it; that is linear and ties most copies into groups. The rest is exact, by the prefix filter: in
+    one order of all shingles, rare ones first, two similar sets share a shingle among the first (1 - least) of each, at
+    places that leave both enough to share. All pairs that do are met, but for those within a group: shingles of one
+    group alone are left out, and pairs are made between the groups of a shingle, never within one. The order comes
     from counts by hashed bucket, of bounded size; it moves work only, never a result. Sketches then decide, and near
     the limit the whole shingle sets.
     """
@@ -264,27 +266,37 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, lea
             yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=names)
 
     # one pass over the texts for all that is small; each task's counts come last, as rows of their own
-    both = materialize(texts.mapInArrow(first_pass, made_type), "simhash-sets")
+    both = materialize(texts.mapInArrow(in_worker(first_pass), made_type), "simhash-sets")
     made = both.filter("chunk is null").select("id", "whole", "n", "least", "s")
-    classes = made.groupBy("whole").agg(F.min("id").alias("node"))
+    # the classes are a table of their own: joined straight from their aggregation, a large class's rows couldn't be split
+    classes = materialize(made.groupBy("whole").agg(F.min("id").alias("node")), "simhash-classes")
     equal = made.select("id", "whole").join(classes, "whole").filter("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
     equal = materialize(equal.distinct(), "simhash-equal")
-    reps = materialize(classes.select(F.col("node").alias("id")).distinct(), "simhash-classes")
+    reps = materialize(classes.select(F.col("node").alias("id")).distinct(), "simhash-reps")
 
     each = made.join(reps, "id").select("id", "n", F.posexplode("least").alias("table", "h"))
-    first = each.groupBy("table", "h").agg(F.min(F.struct("id", "n")).alias("to"))
+    first = materialize(each.groupBy("table", "h").agg(F.min(F.struct("id", "n")).alias("to")), "simhash-first")
     alike = (F.col("id") != F.col("to.id")) & (F.least("n", "to.n") >= least * F.greatest("n", "to.n") - 1e-6)
     rough = each.join(first, ["table", "h"]).filter(alike).select(F.col("to.id").alias("a"), F.col("id").alias("b"))
     rough = materialize(rough.distinct(), "simhash-candidates")
 
-    def sum_counts(rows: pa.Table) -> pa.Table:
+    def summed(rows: pa.Table) -> np.ndarray:
         total = np.zeros(CHUNK, np.int64)
         for x in rows.column("counts"):
-            total += np.frombuffer(x.as_buffer(), "<u2")
-        level = np.minimum(np.rint(8 * np.log2(1 + total)), 255).astype(np.uint8)
+            total += np.frombuffer(x.as_buffer(), f"<u{len(x.as_buffer()) // CHUNK}").astype(np.int64)
+        return total
+
+    def part_sums(rows: pa.Table) -> pa.Table:
+        return pa.table({"chunk": rows.column("chunk").slice(0, 1), "counts": pa.array([summed(rows).astype("<u8").tobytes()], pa.binary())})
+
+    def to_levels(rows: pa.Table) -> pa.Table:
+        level = np.minimum(np.rint(8 * np.log2(1 + summed(rows))), 255).astype(np.uint8)
         return pa.table({"chunk": rows.column("chunk").slice(0, 1), "level": pa.array([level.tobytes()], pa.binary())})
 
-    found = both.filter("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(sum_counts, "chunk int, level binary").toArrow()
+    # in two steps, so that no group holds the counts of more than some hundreds of tasks
+    counted = both.filter("chunk is not null").select("chunk", "counts", F.floor(F.spark_partition_id() / 512).alias("part"))
+    counted = counted.groupBy("chunk", "part").applyInArrow(part_sums, "chunk int, counts binary")
+    found = counted.groupBy("chunk").applyInArrow(to_levels, "chunk int, level binary").toArrow()
     levels = np.zeros(BUCKETS, np.uint8)
     for chunk, level in zip(found.column("chunk").to_pylist(), found.column("level").to_pylist(), strict=True):
         levels[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(level, np.uint8)
@@ -292,23 +304,14 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, lea
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 100):
-            token, row, place = [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
+            rows = []
+            for t in b.column(1).to_pylist():
                 h = np.unique(shingle_hashes(t, shingle))
-                if len(h):
-                    token.append(prefix(h, sent.value, least))
-                    row.append(np.full(len(token[-1]), i))
-                    place.append(len(h) << 32 | np.arange(len(token[-1])))
-            if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), b.column(0).take(pa.array(np.concatenate(row))), pa.array(np.concatenate(place))], names=["token", "id", "place"])
-
-    # texts of classes that the bitmap lets pass by mistake cost pairs that are tied already
-    tokens = materialize(probably_in(texts, reps).mapInArrow(rarest, f"token bigint, id {kind}, place bigint"), "simhash-prefixes")
-    n = lambda c: F.shiftright(c, 32)
-    left = lambda c: n(c) - F.col(c).bitwiseAND((1 << 32) - 1)
-    # a pair's first shared shingle has nothing shared before it; both sides are one exchange, read twice
-    fits = (F.col("a") < F.col("b")) & (F.least(left("pa"), left("pb")) >= least / (1 + least) * (n("pa") + n("pb")) - 1e-6)
-    met = tokens.toDF("token", "a", "pa").join(tokens.toDF("token", "b", "pb"), "token").filter(fits).select("a", "b").distinct()
+                rows.append((len(h), prefix(h, sent.value, least) if len(h) else h.view(np.int64)))
+            n, tokens = zip(*rows, strict=True)
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), lists], names=["id", "n", "tokens"])
 
     def judged(pairs: DataFrame, most: int | None) -> DataFrame:
         """``pairs`` with their similarity, and whether it is exact, from sketches of at most ``most`` hashes."""
@@ -327,13 +330,13 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, lea
         asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         if most is None:
             # an inner join (asked has no id twice): Spark would do a semi join before the filter, on all texts
-            found = probably_in(texts, asked).join(asked, "id").select("id", "text").mapInArrow(sketches, f"id {kind}, s array<bigint>")
+            found = probably_in(texts, asked).join(asked, "id").select("id", "text").mapInArrow(in_worker(sketches), f"id {kind}, s array<bigint>")
             known = materialize(found, "simhash-sketches")
         else:
             known = probably_in(made.select("id", "s"), asked)
         known = known.groupBy("id").agg(F.min("s").alias("s"))  # repeated ids: one of their texts stands for them
         both = pairs.select("a", "b").join(known.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(known.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
-        return materialize(both.select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint, s double, exact boolean"), "simhash-judged")
+        return materialize(both.select("a", "b", "sa", "sb").mapInArrow(in_worker(compare), f"a {kind}, b {kind}, s double, exact boolean"), "simhash-judged")
 
     def similar(pairs: DataFrame) -> DataFrame:
         seen = judged(pairs, size)
@@ -342,10 +345,32 @@ def similar_pairs(docs: DataFrame, id_col: str, text_col: str, shingle: int, lea
         return seen.filter(clear & (F.col("s") >= least)).select("a", "b").union(fine.filter(F.col("s") >= least).select("a", "b"))
 
     tied = materialize(equal.union(similar(rough)), "simhash-tied")
-    to = materialize(tied.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to")), "simhash-tied-to")
-    met = met.join(to.toDF("a", "ta"), "a", "left").join(to.toDF("b", "tb"), "b", "left")
-    met = met.filter(F.coalesce("ta", "a") != F.coalesce("tb", "b")).filter(F.coalesce(F.col("tb") != F.col("a"), F.lit(True)) & F.coalesce(F.col("ta") != F.col("b"), F.lit(True)))
-    return tied.union(similar(materialize(met.select("a", "b"), "simhash-met")))
+    group = materialize(connected_components(tied, "simhash-groups"), "simhash-groups")
+    # texts of classes that the bitmap lets pass by mistake cost pairs of groups that are tied already
+    prefixes = materialize(probably_in(texts, reps).mapInArrow(in_worker(rarest), f"id {kind}, n int, tokens array<bigint>"), "simhash-prefixes")
+    tokens = prefixes.select("id", "n", F.posexplode("tokens").alias("place", "token"))
+    # most tokens are of one text alone: they are counted, after partial sums, and stay where they are
+    twice = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token"), "simhash-twice")
+    some = probably_in(tokens.select(F.col("token").alias("id"), F.struct("id", F.expr("n - place").alias("left"), "n").alias("t")), twice.toDF("id"))
+    some = some.select(F.col("id").alias("token"), "t.*").join(twice, "token").join(group.toDF("id", "of"), "id", "left")
+    some = materialize(some.select("token", "id", "left", "n", F.coalesce("of", "id").alias("of")), "simhash-tokens")
+    # of the others, those of one group alone make no pairs
+    shared = materialize(some.groupBy("token").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).filter("lo < hi").select("token"), "simhash-shared")
+    some = materialize(some.join(shared, "token"), "simhash-tokens")
+    discard(prefixes, twice)
+    groups = materialize(some.select("token", "of").distinct(), "simhash-token-groups")
+    two = groups.toDF("token", "x").join(groups.toDF("token", "y"), "token").filter("x < y")
+    both = two.join(some.select("token", F.col("of").alias("x"), F.col("id").alias("a"), F.col("left").alias("la"), F.col("n").alias("na")), ["token", "x"])
+    both = both.join(some.select("token", F.col("of").alias("y"), F.col("id").alias("b"), F.col("left").alias("lb"), F.col("n").alias("nb")), ["token", "y"])
+    # a pair's first shared shingle has nothing shared before it
+    fits = F.least("la", "lb") >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-6
+    met = materialize(both.filter(fits).select("a", "b").distinct(), "simhash-met")
+    more = similar(met)
+    for side in "ab":
+        more = more.join(group.toDF(side, f"of_{side}"), side, "left").withColumn(side, F.coalesce(f"of_{side}", side)).drop(f"of_{side}")
+    wider = materialize(connected_components(more.select("a", "b"), "simhash-cc"), "simhash-wider")
+    inner = group.join(wider.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return inner.union(wider).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, sketch_size: int = 256) -> DataFrame:
@@ -353,7 +378,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Groups are the components of texts whose ``shingle``-word shingle sets have the similarity or more.
     """
-    links_ = similar_pairs(docs, id_col, text_col, shingle, similarity, sketch_size)
-    parts = connected_components(links_, "simhash-cc")
+    parts = similar_groups(docs, id_col, text_col, shingle, similarity, sketch_size)
     gone = parts.filter("node <> component").select(F.col("node").alias("__id"))
     return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")

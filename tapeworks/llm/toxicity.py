@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeworks.llm.common import bounded, in_worker, no_cycle_search, slices
+from tapeworks.llm.common import bounded, give_back, in_worker, no_cycle_search, slices
 
 WINDOW, STEP = 32, 16
 PIECE = 60
@@ -65,6 +65,12 @@ def gram_mean(words: list[str], table: np.ndarray) -> np.ndarray:
     """The mean vector of each word's byte trigrams, with a mark at both ends."""
     if not words:
         return np.zeros((0, table.shape[1]), table.dtype)
+    rows, n = gram_rows(words)
+    return np.add.reduceat(table[rows], np.cumsum(n) - n, axis=0) / n[:, None]
+
+
+def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' trigram numbers one after the other, and how many each has."""
     raw = [b"\x02" + w.encode("utf-8", "replace") + b"\x03\x03" for w in words]
     flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
     size = np.array([len(r) for r in raw])
@@ -72,14 +78,7 @@ def gram_mean(words: list[str], table: np.ndarray) -> np.ndarray:
     first = np.cumsum(size) - size
     keep = np.ones(len(flat), bool)
     keep[first + size - 1] = keep[first + size - 2] = False
-    rows = code[keep[: len(code)]]
-    return np.add.reduceat(table[rows], np.cumsum(size - 2) - (size - 2), axis=0) / (size - 2)[:, None]
-
-
-def gram_rows(word: str) -> np.ndarray:
-    """The trigram numbers of one word, as gram_mean has them."""
-    raw = np.frombuffer(b"\x02" + word.encode("utf-8", "replace") + b"\x03\x03", np.uint8).astype(np.uint32)
-    return ((raw[:-2] * np.uint32(0x9E3779B1) ^ raw[1:-1] * np.uint32(0x85EBCA6B) ^ raw[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F) >> np.uint32(20)).astype(np.int64)
+    return code[keep[: len(code)]].astype(np.int32), size - 2
 
 
 def stem_rows(words: list[str]) -> np.ndarray:
@@ -184,9 +183,8 @@ class Network:
         need, at = np.unique(at, return_inverse=True)
         at = at.reshape(len(order), -1)
         words = [words[i] for i in need]
-        grams = [gram_rows(w) for w in words]
         ids, stems = np.array([self.vocab.get(w, 0) for w in words], np.int64), stem_rows(words)
-        flat, many = np.concatenate(grams), np.array([len(r) for r in grams])
+        flat, many = gram_rows(words)
         first = np.cumsum(many) - many
         for _ in range(epochs):
             g.shuffle(order)
@@ -221,8 +219,8 @@ def evidence(toxic: np.ndarray, clean: np.ndarray, toxics: int, cleans: int) ->
     return np.sign(ratio) * np.maximum(0, np.abs(ratio) - 1.5 * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)))
 
 
-def train(docs: list[tuple[list[str], int]], seed: int = 3) -> Network:
-    """A network from the whole word list (of ``positions``) and the label of each training document.
+def train(docs: list[tuple[str | None, int]], seed: int = 3) -> Network:
+    """A network from the whole text and the label of each training document.
 
     Word and trigram vectors begin with their evidence in one component, so that some tens of documents of label 1 are
     of use. First the windows with most evidence, then those of largest logit carry their document's label; of the other
@@ -238,11 +236,11 @@ def train(docs: list[tuple[list[str], int]], seed: int = 3) -> Network:
     for v in (0.0, 1.0):
         aside[np.flatnonzero(label == v)[3::4]] = True
     row: dict[str, int] = {"": 0}
-    ids = [np.array([row.setdefault(normal(w), len(row)) for w in words], np.int64) for words, _ in docs]
-    ids = [np.concatenate([p, np.zeros(WINDOW - len(p), np.int64)]) if len(p) < WINDOW else p for p in ids]
+    # a text's words are numbers from here on: lists of millions of strings would be the driver's largest part
+    ids = [np.array([row.setdefault(normal(w), len(row)) for w in positions(t)], np.int32) for t, _ in docs]
+    ids = [np.concatenate([p, np.zeros(WINDOW - len(p), np.int32)]) if len(p) < WINDOW else p for p in ids]
     words = list(row)
-    grams = [gram_rows(w) for w in words]
-    flat_grams, many = np.concatenate(grams), np.array([len(r) for r in grams])
+    flat_grams, many = gram_rows(words)
     first = np.cumsum(many) - many
     stems = stem_rows(words)
     df, gf, sf = (np.zeros((2, n)) for n in (len(words), GRAMS, STEMS))
@@ -270,10 +268,9 @@ def train(docs: list[tuple[list[str], int]], seed: int = 3) -> Network:
     owner = np.repeat(np.arange(len(docs)), [len(a) for a in at])
     flat = np.concatenate(ids)
     places = np.concatenate([a + b for a, b in zip(at, base, strict=False)])
-    y, scorer = label[owner], None
+    y = label[owner]
 
     def logits() -> np.ndarray:
-        nonlocal scorer
         scorer = Scorer(net, len(words))
         scorer.learn_normal(words)
         return scorer.logits(flat, places)
@@ -284,8 +281,7 @@ def train(docs: list[tuple[list[str], int]], seed: int = 3) -> Network:
         net.fit(words, flat[places[some][:, None] + np.arange(WINDOW)], y[some], weight, epochs * few, rate, state, seed)
 
     g = np.random.default_rng(seed)
-    z = np.maximum(speaks, 0)[flat]
-    z = np.concatenate([[0], np.cumsum(z)])
+    z = np.concatenate([[0], np.cumsum(np.maximum(speaks, 0)[flat])])
     z = z[places + WINDOW] - z[places]
     for phase in (0, 1, 2):
         if phase:
@@ -372,7 +368,7 @@ def held_out(id_col: str, of: int = 5):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % of == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 1200, most_bytes: int = 24 << 20) -> Network:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 1200, most_bytes: int = 16 << 20) -> Network:
     """Train on at most ``most`` documents of label 1 and twice as many of label 0, none of them held out, the first by a hash.
 
     They are read whole, but all together have ``most_bytes`` at most: a document that doesn't fit any more is passed
@@ -396,7 +392,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = docs.sparkSession.createDataFrame(fits, f"id {kind}, y int")
     found = bounded(docs).select(ids, text).join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("y").alias("y"), F.max("text").alias("text"))
     rows = found.withColumn("order", F.xxhash64(F.col("id").cast("string"))).orderBy("order", "id").collect()
-    return train([(positions(r["text"]), r["y"]) for r in rows])
+    net = train([(r["text"], r["y"]) for r in rows])
+    del rows
+    give_back()
+    return net
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, score_col: str = "score") -> DataFrame:

@@ -87,6 +87,15 @@ def test_simhash_empty_and_null_ids(spark):
     assert got == [("5", "5"), ("7", "7"), ("7", "7"), ("None", "5"), ("None", "None")]
 
 
+def test_ids_may_be_strings_and_rows_repeat(spark):
+    copies = ["the cat sat on the mat by the door", "a quite different text of several words", "the cat sat on the mat by the door"]
+    df = spark.createDataFrame([(f"d{i}", t, 1) for i, t in enumerate(copies)] * 2, "doc_id string, text string, node int")
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()}
+    assert got == {("d0", "d0"), ("d1", "d1"), ("d2", "d0")}
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == ["d0", "d0", "d1", "d1"]
+
+
 def test_components_on_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 200)] + [(300, 300)]
     got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -184,6 +193,31 @@ def test_keep_one_finds_copies_in_a_crowd_of_one_repeated_line(spark):
     assert kept_of(spark, rows) == set(range(150))
 
 
+def test_keep_one_joins_a_group_of_near_copies_without_meeting_all_pairs(spark, monkeypatch):
+    """A chain of edits: neighbours are similar, the ends are not; two such groups tied by one text between them."""
+    g = random.Random(13)
+    rows = []
+    for _ in range(2):
+        t = [f"w{g.randrange(10**7)}" for _ in range(100)]
+        for _ in range(120):
+            t = list(t)
+            t[g.randrange(len(t))] = f"w{g.randrange(10**7)}"
+            rows.append(" ".join(t))
+    a, b = rows[10].split(), rows[150].split()
+    rows += [" ".join(a + b[:20]), " ".join(a[:95]), " ".join(a + b)]
+    sizes = {}
+    write = simhash.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    assert kept_of(spark, rows) == exact_kept(rows)
+    assert sizes["simhash-met"] + sizes["simhash-candidates"] < 12 * len(rows)
+
+
 def test_keep_one_finds_every_shape_just_above_the_limit(spark):
     g = random.Random(12)
     rows, n = [], 0
