@@ -1,8 +1,9 @@
 """URL filter by link-graph propagation, on DataFrame functions only.
 
-Pages give host edges: the hosts of absolute links, and a host's parent domain in both directions (a site's hosts vouch
-for each other). Trust is personalised PageRank along the edges from hosts with allowed pages; distrust runs on the
-reversed edges from hosts with blocked pages. A host whose distrust exceeds ``ratio`` times its trust is blocked.
+Pages give host edges: the hosts of absolute links, and a host's parent domains, each to the next and back (a site's
+hosts vouch for each other). Trust is personalised PageRank along the edges from hosts with allowed pages; distrust runs
+on the reversed edges from hosts with blocked pages. Each sums to 1. A host whose distrust exceeds ``ratio`` times its
+trust is blocked.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import ascii_lower, materialize
+from tapeworks.llm.common import ascii_lower, discard, materialize
 
 
 @dataclass(frozen=True)
@@ -46,41 +47,61 @@ def matched(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
 
 
 def host_edges(pages: DataFrame, url_col: str, html_col: str, host: str = "host") -> DataFrame:
-    """(src, dst, w): links between hosts, counted, and links between a host and the hosts above it of two labels or more."""
+    """(src, dst, w): links between hosts, counted, and links between a host, the host above it, and so on up to two labels, both ways."""
     href = r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^\s"'<>]+)"""
     links = pages.select(F.col(host).alias("src"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(href), F.lit(1))).alias("to"))
     to = F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).otherwise(F.col("to"))
     linked = links.select("src", host_of(to).alias("dst")).groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
     hosts = pages.select(F.col(host).alias("src")).distinct().filter("src <> ''")
-    above = F.regexp_extract("src", r"^[^.]+\.([^.]+\..+)$", 1)
-    up = hosts.select("src", above.alias("dst")).filter("dst <> ''")
+    chain = F.expr("transform(sequence(0, size(split(src, '[.]')) - 2), i -> array_join(slice(split(src, '[.]'), i + 1, size(split(src, '[.]')) - i), '.'))")
+    chain = F.when(F.size(F.split("src", "[.]")) > 2, chain)
+    up = hosts.select(F.posexplode(F.slice(chain, 2, F.greatest(F.size(chain) - 1, F.lit(0)))).alias("i", "dst"), chain.alias("c"))
+    up = up.select(F.element_at("c", F.col("i") + 1).alias("src"), "dst").filter("src <> '' and dst <> ''").distinct()
     family = up.union(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select("src", "dst", F.lit(1.0).alias("w"))
     return linked.union(family).filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, every: int = 4) -> DataFrame:
-    """(host, rank): ``rounds`` steps of PageRank that restarts at ``seeds`` (host, weight summing to 1).
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, most: int = 200, every: int = 4) -> DataFrame:
+    """(kind, host, rank): PageRank that restarts at the seeds, for all kinds at once; each kind's ranks sum to 1.
 
-    Ranks that leave at hosts without links are lost, which scales all hosts alike. Ranks only move along edges, so one
-    join and one pre-aggregated sum per round; every few rounds the ranks become a table in the shared folder.
+    ``edges`` are (kind, src, dst, w), ``seeds`` (kind, host, weight), both of one row per key. What leaves at hosts
+    without links goes back to the seeds, which is the same as scaling the result to 1 at the end. A round sends on only
+    what the round before has moved: one join on the edges, which stay partitioned by their source, and one
+    pre-aggregated sum, written as a table. It ends when what has not been sent on yet is at most ``tolerance`` of all.
     """
-    out = edges.groupBy("src").agg(F.sum("w").alias("total"))
-    share = materialize(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")), "pagerank-edges")
-    start = seeds.select("host", (F.col("weight") * (1 - damping)).alias("rank"))
-    rank = seeds.select("host", F.col("weight").alias("rank"))
-    for k in range(1, rounds + 1):
-        moved = share.join(rank, F.col("src") == F.col("host")).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("p") * F.col("rank")) * damping).alias("rank"))
-        rank = moved.union(start).groupBy("host").agg(F.sum("rank").alias("rank"))
+    spark = edges.sparkSession
+    out = edges.groupBy("kind", "src").agg(F.sum("w").alias("total"))
+    share = materialize(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("total")).alias("p")), "pagerank-edges")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = share.repartition(parts, "kind", "src").persist()  # lost partitions come again from the table
+    moved = [materialize(seeds.select("kind", "host", (F.col("weight") * (1 - damping)).alias("rank")), "pagerank-moved")]
+    for k in range(1, most + 1):
+        last = moved[-1].select("kind", F.col("host").alias("src"), "rank").repartition(parts, "kind", "src")
+        sent = share.join(last, ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg((F.sum(F.col("p") * F.col("rank")) * damping).alias("rank"))
+        moved.append(materialize(sent, "pagerank-moved"))
         if k % every == 0:
-            rank = materialize(rank, "pagerank-ranks")
-    return rank
+            left = {r["kind"]: r["rank"] for r in moved[-1].groupBy("kind").agg(F.sum("rank").alias("rank")).collect()}  # a row per kind
+            if max(left.values(), default=0.0) * damping / (1 - damping) <= tolerance:
+                break
+    all_moved = moved[0]
+    for m in moved[1:]:
+        all_moved = all_moved.union(m)
+    rank = materialize(all_moved.groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "pagerank-ranks")
+    share.unpersist()
+    discard(*moved)
+    totals = {r["kind"]: r["rank"] for r in rank.groupBy("kind").agg(F.sum("rank").alias("rank")).collect()}
+    scale = F.lit(1.0)
+    for kind, total in totals.items():
+        scale = F.when(F.col("kind") == kind, F.lit(total)).otherwise(scale)
+    return rank.select("kind", "host", (F.col("rank") / scale).alias("rank"))
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ratio: float = 1.0) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) for every row of ``pages``.
 
     A fitting rule decides; elsewhere the host's propagated trust and distrust do, and hosts that neither reaches are
-    allowed. Null urls and urls without "://" have empty host and path. Null html has no links. Repeated rows stay.
+    allowed. Null urls and urls without "://" have empty host and path. Null html has no links. Repeated rows stay, each
+    with its links; columns of the input that are named like those of the result don't matter.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     name, verdict = matched(F.col("host"), F.col("path"), rules)
@@ -88,15 +109,15 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     judged = keyed.select("id", "host", "path", name.alias("rule"), verdict.alias("ruled"))
     edges = materialize(host_edges(keyed, url_col, "__html"), "host-edges")
 
-    def seeds(v: str) -> DataFrame:
-        """A host's share of the verdict's pages."""
-        n = judged.filter((F.col("ruled") == v) & (F.col("host") != "")).groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-        return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all")))).select("host", (F.col("n") / F.col("all")).alias("weight"))
-
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    trust = personalised_pagerank(edges, materialize(seeds("allow"), "seeds"))
-    distrust = personalised_pagerank(back, materialize(seeds("block"), "seeds"))
-    scores = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full_outer")
+    kind = F.when(F.col("ruled") == "allow", "trust").otherwise("distrust")
+    seeds = judged.filter(F.col("ruled").isNotNull() & (F.col("host") != "")).groupBy(kind.alias("kind"), "host").agg(F.count(F.lit(1)).alias("n"))
+    seeds = materialize(seeds, "seeds")
+    total = {r["kind"]: r["n"] for r in seeds.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # two rows
+    weight = F.col("n") / F.when(F.col("kind") == "trust", total.get("trust", 1)).otherwise(total.get("distrust", 1))
+    both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "w").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), F.col("w")))
+    rank = personalised_pagerank(both, seeds.select("kind", "host", weight.alias("weight")))
+    of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k)
+    scores = rank.groupBy("host").agg(of("trust"), of("distrust"))
     out = judged.join(scores, "host", "left").fillna(0.0, ["trust", "distrust"])
     method = F.when(F.col("distrust") > F.col("trust") * ratio, F.lit("block")).otherwise(F.lit("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "trust", "distrust")

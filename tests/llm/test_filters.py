@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -27,20 +27,75 @@ def test_rules_hosts_and_paths(spark):
     assert linkgraph.filter_urls(pages.limit(0), queries.RULES).count() == 0
 
 
-def test_pagerank_equals_power_iteration(spark):
-    edges = [("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 1.0), ("c", "a", 2.0), ("d", "a", 1.0), ("c", "d", 2.0)]
-    names = sorted({x for e in edges for x in e[:2]})
+def solved(edges, seeds, damping=0.85):
+    """Ranks by solving the linear system; what leaves at nodes without links goes back to the seeds."""
+    names = sorted({x for e in edges for x in e[:2]} | set(seeds))
     at = {n: i for i, n in enumerate(names)}
-    m = np.zeros((len(names),) * 2)
+    m, v = np.zeros((len(names),) * 2), np.array([seeds.get(n, 0.0) for n in names])
     for s, d, w in edges:
         m[at[d], at[s]] += w
-    m /= m.sum(0)
-    start = np.array([0.5, 0.5, 0, 0])
-    r = start.copy()
-    for _ in range(12):
-        r = 0.85 * m @ r + 0.15 * start
-    got = linkgraph.personalised_pagerank(spark.createDataFrame(edges, "src string, dst string, w double"), spark.createDataFrame([("a", 0.5), ("b", 0.5)], "host string, weight double"))
-    assert {x["host"]: pytest.approx(x["rank"]) for x in got.collect()} == {n: pytest.approx(r[at[n]]) for n in names}
+    v /= v.sum() or 1
+    out = m.sum(0)
+    m = np.where(out > 0, m / np.where(out > 0, out, 1), v[:, None])
+    return dict(zip(names, np.linalg.solve(np.eye(len(names)) - damping * m, (1 - damping) * v), strict=True))
+
+
+def test_pagerank_equals_the_linear_system(spark):
+    edges = [("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 1.0), ("c", "a", 2.0), ("d", "a", 1.0), ("c", "d", 2.0), ("c", "end", 3.0)]
+    both = [("x", *e) for e in edges] + [("y", d, s, w) for s, d, w in edges]
+    seeds = [("x", "a", 0.5), ("x", "b", 0.5), ("y", "end", 1.0)]
+    got = linkgraph.personalised_pagerank(spark.createDataFrame(both, "kind string, src string, dst string, w double"), spark.createDataFrame(seeds, "kind string, host string, weight double"), tolerance=1e-6)
+    got = {(r["kind"], r["host"]): r["rank"] for r in got.collect()}
+    want = {("x", k): v for k, v in solved(edges, {"a": 1, "b": 1}).items()} | {("y", k): v for k, v in solved([(d, s, w) for s, d, w in edges], {"end": 1}).items()}
+    assert {k: got.get(k, 0.0) for k in want} == pytest.approx(want, abs=1e-5)
+    none = spark.createDataFrame([], "kind string, src string, dst string, w double")
+    assert linkgraph.personalised_pagerank(none, spark.createDataFrame(seeds, "kind string, host string, weight double")).count() == 3
+
+
+def test_verdicts_equal_brute_force_from_html(spark, sf_dir):
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    rows += [(900000, "http://a.b.c.deep.io/x", '<a href="//spam-farm.example.net/">'), (900001, "http://deep.io/", None), (900001, "http://deep.io/", None), (900002, None, "<a href='http://x.io'>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "trust": F.lit("t"), "src": F.lit(2)})
+    got = linkgraph.filter_urls(df, queries.RULES)
+    seen = {(r["page_id"], r["host"], r["rule"], r["verdict"], r["trust"], r["distrust"]) for r in got.collect()}
+    assert got.count() == len(rows)
+    count, seeds, ruled = Counter(), {"allow": Counter(), "block": Counter()}, {}
+    for i, url, html in rows:
+        host, path = host_and_path(url)
+        fits = [r for r in queries.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        rule = max(fits, key=lambda r: len(r.name), default=None)
+        ruled[i] = (host, rule)
+        if rule:
+            seeds[rule.verdict][host] += 1
+        for m in re.finditer(r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^\s"'<>]+)""", html or ""):
+            to = host_and_path(m[1] if "://" in m[1].split("/")[0] + "//" or not m[1].startswith("//") else "http:" + m[1])[0]
+            if host and to and host != to:
+                count[host, to] += 1
+    family = set()
+    for host in {h for h, _ in ruled.values() if h}:
+        labels = host.split(".")
+        names = [".".join(labels[k:]) for k in range(len(labels) - 1)]
+        family |= {x for a, b in zip(names, names[1:], strict=False) if a and b for x in ((a, b), (b, a))}
+    for e in family:
+        count[e] += 1
+    edges = [(s, d, float(w)) for (s, d), w in count.items()]
+    trust, distrust = solved(edges, seeds["allow"]), solved([(d, s, w) for s, d, w in edges], seeds["block"])
+    for i, host, rule, verdict, t, d in seen:
+        want = ruled[i]
+        assert host == want[0] and rule == (want[1] and want[1].name)
+        t0, d0 = trust.get(host, 0.0), distrust.get(host, 0.0)
+        assert (t, d) == (pytest.approx(t0, abs=1e-3), pytest.approx(d0, abs=1e-3))
+        if want[1] or abs(t0 - d0) > 2e-3 or t0 == d0 == 0:
+            assert verdict == (want[1].verdict if want[1] else "block" if d0 > t0 else "allow")
+    assert {i for i, *_ in seen} == {i for i, *_ in rows}
+
+
+def host_and_path(url):
+    if not url or "://" not in url:
+        return "", ""
+    rest = url.partition("://")[2]
+    host = re.split("[/?#]", rest)[0]
+    return host.translate({c: c + 32 for c in range(65, 91)}), re.split("[?#]", rest[len(host) :])[0]
 
 
 def test_distrust_flows_back_along_links(spark):
