@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tapeworks.functions.windows import full, lag, ordered, ratio, swing, trailing
 
@@ -38,29 +41,58 @@ def drawdown(c: Column, n: int) -> Column:
     return F.when(F.count(c).over(w) == n, F.aggregate(F.collect_list(c).over(w), start, step)["deep"])
 
 
-def published_levels(bars: DataFrame, width: int = 4) -> DataFrame:
-    """Adds the arrays __highs and __lows: prices of the swings known at each bar, ``width`` bars after they happened."""
-    known = Window.partitionBy("symbol").orderBy("datetime").rowsBetween(Window.unboundedPreceding, 0)
-    out = bars
-    for name, c, high in (("__highs", "high", True), ("__lows", "low", False)):
-        out = out.withColumn("__swing", swing(F.col(c), width, high)).withColumn("__new", F.when(F.lag("__swing", width).over(ordered()), F.lag(c, width).over(ordered())))
-        out = out.withColumn(name, F.collect_list("__new").over(known)).drop("__swing", "__new")
-    return out
-
-
-def level_factors() -> dict[str, Column]:
-    """Distance to the nearest known swing below and above the close, in ATR, and the number of its kind near it."""
-    c, atr = F.col("close"), F.col("ATR14")
-    band = F.greatest(c * 0.008, atr * 0.5)
-    usable = atr > 0
-    support = F.array_max(F.filter("__lows", lambda x: x < c))
-    resistance = F.array_min(F.filter("__highs", lambda x: x > c))
-    near = lambda all_, one: F.size(F.filter(all_, lambda x: F.abs(x - one) <= band)).cast("double")
-    return {
-        "distance_to_support_atr": F.when(usable, (c - support) / atr), "distance_to_resistance_atr": F.when(usable, (resistance - c) / atr),
-        "nearest_support_strength": F.when(usable & support.isNotNull(), near("__lows", support)),
-        "nearest_resistance_strength": F.when(usable & resistance.isNotNull(), near("__highs", resistance)),
-    }
+LEVEL_FACTORS = ("distance_to_support_atr", "distance_to_resistance_atr", "nearest_support_strength", "nearest_resistance_strength")
+
+
+def published(bars: DataFrame, width: int = 4) -> DataFrame:
+    """(symbol, pos, close, atr, high, low): the prices of the swings that become known at each bar, ``width`` bars after they happened."""
+    out = bars.withColumns({f"__{c}": swing(F.col(c), width, c == "high") for c in ("high", "low")})
+    new = {c: F.when(F.lag(f"__{c}", width).over(ordered()), F.lag(c, width).over(ordered())) for c in ("high", "low")}
+    return out.select("symbol", "pos", "close", F.col("ATR14").alias("atr"), *[v.alias(c) for c, v in new.items()])
+
+
+def near_count(levels: list[float], at: float, band: float) -> int:
+    """How many of the sorted ``levels`` differ from ``at`` by ``band`` at most."""
+    i, j = bisect_left(levels, at - band), bisect_right(levels, at + band)
+    while i > 0 and abs(levels[i - 1] - at) <= band:
+        i -= 1
+    while i < j and abs(levels[i] - at) > band:
+        i += 1
+    while j < len(levels) and abs(levels[j] - at) <= band:
+        j += 1
+    while j > i and abs(levels[j - 1] - at) > band:
+        j -= 1
+    return j - i
+
+
+def _nearest(g: pd.DataFrame) -> pd.DataFrame:
+    """One pass over a symbol's bars that keeps the known swings sorted: a search per bar instead of all of them."""
+    g = g.sort_values("pos")
+    highs: list[float] = []
+    lows: list[float] = []
+    out = np.full((len(g), 4), np.nan)
+    for k, (c, atr, high, low) in enumerate(g[["close", "atr", "high", "low"]].astype(float).itertuples(index=False)):
+        if high == high:
+            insort(highs, high)
+        if low == low:
+            insort(lows, low)
+        if not atr > 0 or c != c:
+            continue
+        band = max(c * 0.008, atr * 0.5)
+        if (i := bisect_left(lows, c)) > 0:
+            out[k, 0], out[k, 2] = (c - lows[i - 1]) / atr, near_count(lows, lows[i - 1], band)
+        if (i := bisect_right(highs, c)) < len(highs):
+            out[k, 1], out[k, 3] = (highs[i] - c) / atr, near_count(highs, highs[i], band)
+    done = pd.DataFrame(out, columns=LEVEL_FACTORS)
+    done.insert(0, "pos", g["pos"].to_numpy())
+    done.insert(0, "symbol", g["symbol"].to_numpy())
+    return done
+
+
+def level_factors(bars: DataFrame) -> DataFrame:
+    """(symbol, pos) with the distance to the nearest known swing below and above the close, in ATR, and the number of its kind near it."""
+    found = published(bars).groupBy("symbol").applyInPandas(_nearest, "symbol string, pos int, " + ", ".join(f"{c} double" for c in LEVEL_FACTORS))
+    return found.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in LEVEL_FACTORS})
 
 
 def add_factors(bars: DataFrame) -> DataFrame:
@@ -83,7 +115,7 @@ def add_factors(bars: DataFrame) -> DataFrame:
     new |= {"__log": F.ln(ratio(c, lag("close"))), "max_drawdown_20": drawdown(c, 20), "max_drawdown_60": drawdown(c, 60)}
     new |= {f"distance_{n}d_high": ratio(c - full(F.max, col("high"), n), atr) for n in (20, 60, 120)}
     new |= {"higher_high_count_20": count20(dh > 0), "higher_low_count_20": count20(dl > 0), "lower_high_count_20": count20(dh < 0), "lower_low_count_20": count20(dl < 0)}
-    out = published_levels(bars).withColumns(new).withColumns(level_factors()).drop("__highs", "__lows")
+    out = bars.withColumns(new).join(level_factors(bars), ["symbol", "pos"], "left")
     out = out.withColumns({
         "realized_volatility_20": full(F.stddev_samp, col("__log"), 20) * 252**0.5,
         "atr_percentile_250": share_not_above(col("atr_pct"), 250, 20), "boll_width_percentile_250": share_not_above(col("boll_width"), 250, 20),
