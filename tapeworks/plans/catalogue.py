@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeworks.functions.windows import lead
 from tapeworks.operators import backtest as bt
 from tapeworks.operators import charts, decision, factors, gann, indicators, levels, research, signals, wave, wyckoff
-from tapeworks.plans import gann_sql, level_sql
+from tapeworks.plans import gann_sql, level_sql, wave_sql
 from tapeworks.plans.sql import FACTORS, NAMES, r6, upto
 from tapeworks.sources import bars as src
 from tapeworks.sources import catalog
@@ -280,8 +280,8 @@ def _rows(name: str, build: Callable[[DataFrame], DataFrame], sql: str | None =
         return build(enriched(spark, sf_dir).cache())
 
 
-_rows("wave_pivots", lambda b: wave.states(b))
-_rows("wave_candidates", lambda b: wave.current(b))
+_rows("wave_pivots", lambda b: bt.rounded(wave.states(b).select("symbol", "scale", "at", F.posexplode(F.arrays_zip("kinds", "pos", "price", "macd", "vol")).alias("nth", "e")).select("symbol", "scale", "at", "nth", F.col("e.kinds").alias("kind"), "e.pos", "e.price", "e.macd", "e.vol")), wave_sql.PIVOTS)
+_rows("wave_candidates", lambda b: wave.current(b).withColumn("positions", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",")), wave_sql.CURRENT)
 _rows("wave_history", lambda b: wave.history(b))
 _rows("wyckoff_events", lambda b: wyckoff.events(b))
 _rows("wyckoff_current", lambda b: wyckoff.current(b))
@@ -309,9 +309,9 @@ _rows("gann_score_buckets", lambda b: gann.score_buckets(gann.angle_events(b)),
 _rows("gann_survival", lambda b: gann.survival(b), gann_sql.SURVIVAL)
 _rows("gann_window_study", lambda b: gann.window_study(b), gann_sql.STUDY)
 _rows("gann_calibration", lambda b: gann.calibrate(b), gann_sql.CALIBRATION)
-_gann("gann_fan", lambda b, p, h: gann.fan(b, parts=p))
-_gann("gann_price_zones", lambda b, p, h: gann.price_zones(gann.price_levels(b, levels.nearest_levels(b), parts=p)))
-_gann("gann_cycles", lambda b, p, h: gann.base_cycles(b, parts=p))
+_rows("gann_fan", lambda b: gann.fan(b), gann_sql.FAN)
+_rows("gann_price_zones", lambda b: bt.rounded(gann.price_zones(gann.price_levels(b, levels.nearest_levels(b))).withColumn("sources", F.array_join("sources", ","))), gann_sql.ZONES)
+_rows("gann_cycles", lambda b: gann.base_cycles(b), gann_sql.CYCLES)
 _gann("gann_time_windows", lambda b, p, h: gann.time_windows(b, gann.price_zones(gann.price_levels(b, levels.nearest_levels(b), parts=p)), h, parts=p))
 _gann("gann_confluence", lambda b, p, h: gann.confluence(b, levels.nearest_levels(b), higher=h, parts=p))
 _gann("gann_scenarios", lambda b, p, h: gann.scenarios(b, levels.nearest_levels(b), higher=h, parts=p))
@@ -384,13 +384,13 @@ def _(spark, sf_dir):
 
 
 _rows("divergence", lambda b: levels.divergence(b), level_sql.DIVERGENCE_SQL)
-_rows("chart_price_range", lambda b: charts.price_range(b, wave.current(b)))
-_rows("chart_wave_overlay", lambda b: charts.overlay(wave.states(b), wave.current(b)))
-_rows("chart_scenario_path", lambda b: charts.scenario_path(wave.current(b), b))
+_rows("chart_price_range", lambda b: charts.price_range(b, wave.current(b)), wave_sql.PRICE_RANGE)
+_rows("chart_wave_overlay", lambda b: charts.overlay(wave.states(b), wave.current(b)), wave_sql.OVERLAY)
+_rows("chart_scenario_path", lambda b: bt.rounded(charts.scenario_path(wave.current(b), b)), wave_sql.PATH)
 _rows("futures_levels", lambda b: levels.lower_confidence(levels.nearest_levels(b)), level_sql.FUTURES_LEVELS)
 
 
-@query("gann_higher_timeframe")
+@query("gann_higher_timeframe", gann_sql.HIGHER)
 def _(spark, sf_dir):
     return _higher(spark, sf_dir)
 

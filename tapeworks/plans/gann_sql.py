@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tapeworks.operators.gann import RETURNS
+from tapeworks.operators.gann import ANGLES, RETURNS
+from tapeworks.plans.level_sql import LEVELS
 from tapeworks.plans.sql import r6, upto
 
 
@@ -170,3 +171,62 @@ def _calibration() -> str:
 
 
 CALIBRATION = _calibration()
+
+
+ACTIVE = """, gact as (
+    select * exclude (r), max(score) over (partition by symbol, direction order by no rows between unbounded preceding and 1 preceding) as reference_score from (select *, row_number() over (partition by symbol, direction order by no desc) as r from ganc) qualify r = 1
+), glast as (
+    select symbol, max(pos) as latest, arg_max(close, pos) as now_close, arg_max(coalesce(MA20, 'nan'), pos) as MA20, arg_max(coalesce(MA60, 'nan'), pos) as MA60, arg_max(coalesce(BOLL_UPPER, 'nan'), pos) as BOLL_UPPER, arg_max(coalesce(BOLL_LOWER, 'nan'), pos) as BOLL_LOWER from enriched group by 1
+)"""
+
+
+def _fan() -> str:
+    side = lambda r: f"(now_close - ({_line(r, 'latest', 0.25)})) * sign >= 0"
+    angles = ", ".join(f"struct_pack(angle := '{n}', ratio := {r}::double)" for n, r in ANGLES)
+    at = lambda pos: f"a.price + greatest({pos} - a.position, 0) * f.ratio * (a.atr * 0.25::double) * case when a.direction = 'up' then 1.0::double else -1.0::double end"
+    return upto("enriched", _pivots(BARS) + ANCHORS + ACTIVE + f""", ga as (
+        select a.*, l.latest, l.now_close, case when direction = 'up' then 1 else -1 end as sign from gact a join glast l using (symbol)
+    ), gs as (
+        select *, case when {side(2.0)} then 1 when {side(1.0)} then 2 when {side(0.5)} then 3 else 4 end as s from ga a
+    ) select symbol, anchor_id, direction, score, case when direction = 'up' then ['STRONG_BULL', 'BULL', 'NEUTRAL', 'BEAR'][s] else ['STRONG_BEAR', 'BEAR', 'NEUTRAL', 'BULL'][s] end as state, f.angle,
+        {rounded(at('latest'), 6)} as current_price, {rounded(at('(latest + 12)'), 6)} as end_price, f.angle in ('2x1', '1x1', '1x2') as default_visible from (select *, unnest([{angles}]) as f from gs) a""")
+
+
+FAN = _fan()
+
+
+def _zones() -> str:
+    made = [f"struct_pack(source := 'eighth', label := '{i}/8', level := {rounded(f'lo + (hi - lo) * ({i} / 8)', 6)}, weight := {15.0 if i == 4 else 10.0}::double)" for i in range(1, 9)]
+    made += [f"struct_pack(source := 'fibonacci', label := '{f:g}', level := {rounded(f'price + sign * (hi - lo) * {f}::double', 6)}, weight := 15.0::double)" for f in (0.382, 0.5, 0.618, 1.0)]
+    made += [f"struct_pack(source := 'prior_pivot', label := 'prior', level := {rounded('opp_price', 6)}, weight := 15.0::double)"]
+    made += [f"struct_pack(source := 'indicator', label := '{m}', level := case when not isnan({m}) then {rounded(m, 6)} end, weight := 10.0::double)" for m in ("MA20", "MA60", "BOLL_UPPER", "BOLL_LOWER")]
+    return upto("factored", LEVELS + _pivots(BARS) + ANCHORS + ACTIVE + f""", ga as (
+        select a.*, l.* exclude (symbol), least(price, opp_price) as lo, greatest(price, opp_price) as hi, case when direction = 'up' then 1 else -1 end as sign from gact a join glast l using (symbol)
+    ), glevel as (
+        select symbol, anchor_id, price, atr, f.source, f.label, f.level, f.weight from (select *, unnest([{', '.join(made)}]) as f from ga)
+        union all select a.symbol, a.anchor_id, a.price, a.atr, 'horizontal', 'horizontal', {rounded('n.price', 6)}, 15.0::double from ga a join near n using (symbol)
+    ), gstep as (
+        select *, greatest(atr * 0.2::double, price * 0.0005::double) as tol from glevel where level is not null
+    ), gzone as (
+        select *, sum(cast(gap as integer)) over (partition by symbol, anchor_id order by level, source, label rows unbounded preceding) as zone
+        from (select *, coalesce(level - lag(level) over (partition by symbol, anchor_id order by level, source, label) > tol, false) as gap from gstep)
+    ), gsum as (
+        select symbol, anchor_id, cast(zone as bigint) as zone, min(level) - max(tol) * 0.15::double as price_low, max(level) + max(tol) * 0.15::double as price_high, avg(level) as center, count(*) as factors,
+               array_to_string(list_sort(list_distinct(list(source))), ',') as sources, {rounded("least(100.0::double, 20.0::double + sum(weight) * 0.7::double + count(distinct source) * 8.0::double)", 1)} as strength from gzone group by 1, 2, 3
+    ), granked as (select *, cast(row_number() over (partition by symbol, anchor_id order by strength desc, factors desc, price_low) as integer) as rank from gsum)
+    select symbol, anchor_id, zone, factors, sources, rank, rank <= 3 as default_visible, {r6('price_low', 'price_high', 'center', 'strength')} from granked""")
+
+
+ZONES = _zones()
+
+CYCLES = upto("enriched", _pivots(BARS) + f""", gd as (
+        select symbol, list_transform(list(duration order by no desc)[1:7], lambda x: cast(x as double)) as d from gpiv where duration >= 2 group by 1
+    ), gq as (select *, len(d) as n, list_sum(d) / len(d) as mean from gd
+    ), gr as (
+        select *, {rounded("45 + (1 - least(sqrt(list_sum(list_transform(d, lambda x: (x - mean) * (x - mean))) / n) / greatest(mean, 1.0::double), 1.0::double)) * 35 + least(n, 5) * 4", 1)} as strength from gq
+    ), ge as (
+        select symbol, strength, unnest([struct_pack(i := 0, key := 'recent', x := d[1]), struct_pack(i := 1, key := 'previous', x := coalesce(d[2], d[1])), struct_pack(i := 2, key := 'median', x := list_median(d))]) as e from gr
+    ) select symbol, key, cycle, strength from (select symbol, strength, e.i as i, e.key as key, greatest(2, cast(round_even(e.x, 0) as integer)) as cycle from ge) qualify row_number() over (partition by symbol, cycle order by i) = 1""")
+
+HIGHER = upto("enriched", _pivots(BARS.replace("from enriched", "from enriched where symbol in (select symbol from bars group by 1 having count(*) >= 25)")) + ANCHORS + ACTIVE
+              + " select symbol, arg_max(direction, (score, confirm)) as direction, max(score) as score from gact group by 1").replace("interval 1 hour", "interval 8 hour")
