@@ -67,16 +67,22 @@ def serialise(tokens: list[bytes]) -> bytes:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary; chunks seen before are looked up, within a bound on their bytes."""
+    """Encoder and decoder of one vocabulary; chunks seen before are looked up, within a bound on their bytes.
+
+    With the public pattern a chunk is a word with the space before it, cut into pre-tokens once; with any other pattern
+    it is a pre-token, found in the whole text.
+    """
 
     def __init__(self, path: str, pattern: str, most: int = 128 << 20):
+        import public_tokenizers
         import regex
         import sentencepiece
 
+        self.known_pattern = pattern == public_tokenizers.PATTERN
         self.tokens = read_ranks(path)
         self.whole = {t: i for i, t in enumerate(self.tokens)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.tokens))
-        self.find = regex.compile(pattern).findall
+        self.find, self.matches = regex.compile(pattern).findall, regex.compile(pattern).finditer
         # a space that follows a character other than white space begins a pre-token
         self.chunk = regex.compile(r"(?<=\S)(?= )").split
         self.odd = regex.compile(r"\s ").search
@@ -101,6 +107,8 @@ class Codec:
 
     def split(self, text: str) -> list[str]:
         """Chunks of whole pre-tokens: a space that follows a character other than white space begins one."""
+        if not self.known_pattern:
+            return [m.group() for m in self.matches(text) if m.group()]
         if self.odd(text) or text[:1] == " ":
             return [c for c in self.chunk(text) if c]
         first, *rest = text.split(" ")
@@ -119,6 +127,8 @@ class Codec:
         self.held += size
         found: dict[str, list[str]] = {}
         rest = []
+        if not self.known_pattern:
+            found, new = {c: [c] for c in new}, []
         for c in new:  # most are letters with at most one mark behind them, after a space
             body = c[1:] if c[0] == " " else c
             if body.isalpha():

@@ -193,7 +193,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return out
 
 
-def pack(parts: DataFrame, capacity: int = 2048, buckets: int = 32) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = 2048, bucket_rows: int = 50_000) -> DataFrame:
     """``parts`` (rows with a positive length up to ``capacity``, told apart by id and piece) with sequence_id and offset.
 
     No piece is dropped; sequences overlap nowhere and have no gaps before their end. An empty table stays empty.
@@ -201,6 +201,8 @@ def pack(parts: DataFrame, capacity: int = 2048, buckets: int = 32) -> DataFrame
     spark = parts.sparkSession
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     placed = spark.createDataFrame(plan(counts, capacity), "p_length bigint, p_rank bigint, p_items bigint, p_first bigint, p_per bigint, p_offset bigint")
+    # lengths of cut pieces and of empty texts may hold most rows: the most frequent one decides on the buckets of a rank
+    buckets = max(32, -(-max(counts.values(), default=0) // bucket_rows))
     ranked = gapless_rank(parts, ["length"], ["id", "piece", "start", "ids_crc32"], "rank", buckets)
     i = F.col("rank") - F.col("p_rank")
     # the plan has a few rows per length, at most some thousands: safe to broadcast

@@ -1,7 +1,10 @@
 """The pipeline against its parts, stage by stage."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tapeworks.llm import packing, secrets, toxicity
+from tapeworks.llm.common import materialize
 from tapeworks.llm.queries import WORD_TOKENIZER
 
 
@@ -22,3 +25,26 @@ def test_pipeline(spark, sf_dir):
     want = packing.pack_documents(kept, WORD_TOKENIZER)
     key = ("doc_id", "piece", "length", "ids_crc32")
     assert sorted(out.select(*key).collect()) == sorted(want.select(*key).collect())
+
+
+def test_stages_on_odd_documents(spark, sf_dir):
+    """Nulls in every column, repeated ids and rows, ties, empty and long texts, clashing columns; and an empty table."""
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    line = "several quite ordinary words that make one line of prose without end "
+    rows = [(None, None, None, None, None), (900001, None, "en", "s", 0), (900002, "", "en", None, 0), (900003, "", None, "s", None), (900004, line * 3000, "en", "s", 1), (900005, line, "de", "s", 1), (900005, line, "de", "s", 1)]
+    rows += [(900006, "x token = abcdefghijkl y", "en", "s", 24), (900006, "another text of that id, with words enough to be told apart", "en", "s", 2)]
+    docs = real.unionByName(spark.createDataFrame(rows, real.schema)).withColumns({"score": F.lit(0.9), "node": F.lit("x"), "spans": F.lit(True), "length": F.lit(1)})
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = materialize(stage(spark, kept, sf_dir), "odd")
+        assert dict(kept.dtypes) == dict(docs.dtypes), name
+    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+    assert None in ids and 900001 in ids and 900004 in ids
+    assert ids.count(900002) + ids.count(900003) == 0  # empty texts are equal: the smallest id of them stays
+    assert kept.filter("doc_id = 900006 and text like 'x%'").first()["text"] == "x token = [secret] y"
+    packed = corpus_pipeline.pack_sequences(spark, kept, sf_dir)
+    assert packed.select("doc_id").distinct().count() == len(set(ids))
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, sf_dir)
+        assert none.count() == 0

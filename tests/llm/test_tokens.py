@@ -32,6 +32,15 @@ def test_bpe_is_the_library(spark):
     assert bpe.round_trip(df.limit(0), BYTE_RANKS, P.PATTERN).count() == 0
 
 
+def test_codec_takes_other_patterns():
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(BYTE_RANKS, "rb"))}
+    for pattern in (r"\w{1,3}|\W+", r"[a-z]+|[^a-z]"):
+        lib = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        c = bpe.Codec(BYTE_RANKS, pattern)
+        for t in ODD:
+            assert c.encode(t or "") == lib.encode_ordinary(t or ""), (pattern, t)
+
+
 def test_codec_forgets_within_its_bound():
     c = bpe.Codec(BYTE_RANKS, P.PATTERN, most=50)
     for t in ODD * 2:
