@@ -282,7 +282,7 @@ def _rows(name: str, build: Callable[[DataFrame], DataFrame], sql: str | None =
 
 _rows("wave_pivots", lambda b: bt.rounded(wave.states(b).select("symbol", "scale", "at", F.posexplode(F.arrays_zip("kinds", "pos", "price", "macd", "vol")).alias("nth", "e")).select("symbol", "scale", "at", "nth", F.col("e.kinds").alias("kind"), "e.pos", "e.price", "e.macd", "e.vol")), wave_sql.PIVOTS)
 _rows("wave_candidates", lambda b: wave.current(b).withColumn("positions", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",")), wave_sql.CURRENT)
-_rows("wave_history", lambda b: wave.history(b))
+_rows("wave_history", lambda b: wave.history(b), wave_sql.HISTORY)
 _rows("wyckoff_events", lambda b: wyckoff.events(b))
 _rows("wyckoff_current", lambda b: wyckoff.current(b))
 _rows("wyckoff_history", lambda b: wyckoff.history(b))

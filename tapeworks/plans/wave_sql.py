@@ -7,15 +7,17 @@ from tapeworks.plans.gann_sql import rounded
 from tapeworks.plans.sql import r6, swing_sql, upto
 
 
-def _raw(scale: str, width: int, least: float) -> str:
+def _raw(source: str, scale: str, width: int, least: float) -> str:
     part = lambda kind, c, agg: f"select symbol, '{scale}' as scale, {least}::double as least_move, '{kind}' as kind, pos as position, pos + {width} as confirm, {c} as price, atr_c as atr, MACD as macd, vol from w_{scale} where {agg}"
     return f"""w_{scale} as (
     select *, {swing_sql('high', 'max', width)} as is_h, {swing_sql('low', 'min', width)} as is_l, lead(ATR14, {width}) over (partition by symbol order by pos) as atr_c,
-           avg(volume) over (partition by symbol order by pos rows 2 preceding) as vol from enriched
+           avg(volume) over (partition by symbol order by pos rows 2 preceding) as vol from {source}
 ), r_{scale} as (select * from ({part('high', 'high', 'is_h')} union all {part('low', 'low', 'is_l')}) where atr > 0)"""
 
 
-STATES = ", " + ", ".join(_raw(*s) for s in SCALES) + f""", zraw as (
+
+def _states(source: str) -> str:
+    return ", " + ", ".join(_raw(source, *s) for s in SCALES) + f""", zraw as (
     select *, row_number() over (partition by symbol, scale order by confirm, position, kind) as i from ({' union all '.join(f'select * from r_{s}' for s, _, _ in SCALES)})
 ), zfold as (
     select symbol, scale, i, confirm, true as changed, [struct_pack(kind := kind, pos := position, price := price, macd := macd, vol := vol)] as p from zraw where i = 1
@@ -29,6 +31,8 @@ STATES = ", " + ", ".join(_raw(*s) for s in SCALES) + f""", zraw as (
     select symbol, scale, cast(confirm as integer) as at_bar, p from zfold where changed qualify row_number() over (partition by symbol, scale, confirm order by p[-1].pos desc, len(p) desc, i desc) = 1
 )"""
 
+
+STATES = _states("enriched")
 PIVOTS = upto("enriched", STATES + f""", zall as (select symbol, scale, at_bar, unnest(range(len(p))) as nth, p from zstate
     ) select symbol, scale, at_bar as at, cast(nth as integer) as nth, e.kind, cast(e.pos as integer) as pos, {r6('price', 'macd', 'vol')} from (select *, p[nth + 1] as e, p[nth + 1].price as price, p[nth + 1].macd as macd, p[nth + 1].vol as vol from zall)""")
 
@@ -101,3 +105,37 @@ PATH = upto("enriched", CURRENT_STEPS + f""", n as (
         select c.symbol, c.pattern, unnest([struct_pack(node := 0, at := 0, price := c.close), struct_pack(node := 1, at := 6, price := c.confirmation), struct_pack(node := 2, at := 12, price := (c.zone_low + c.zone_high) / 2)]) as e, z.latest, z.atr
         from zcur c join znow z using (symbol) where c.rank = 1
     ) select symbol, pattern, cast(e.node as integer) as node, cast(latest + e.at as integer) as pos, {r6('price', 'half_width')} from (select *, e.price as price, atr * (0.1::double + 0.65::double * e.node / 2) as half_width from n)""")
+
+
+def _history() -> str:
+    beyond = lambda c, level: f"case when path > 0 then {c} > {level} else {c} < {level} end"
+    keys = "symbol, scale, pattern, direction, status, positions"
+    n = lambda kind: f"count(*) filter (where outcome = '{kind}')"
+    return upto("enriched", """, sample as (
+        select * replace (cast(row_number() over (partition by symbol order by pos) - 1 as integer) as pos) from (select *, count(*) over (partition by symbol) as n0 from enriched) where pos >= n0 - 500
+    ), size as (select symbol, count(*) as n from sample group by 1)""" + _states("sample") + f""", zcand as ({_candidates('zstate')}
+    ), span as (select symbol, scale, at_bar, lead(at_bar) over (partition by symbol, scale order by at_bar) as until from zstate
+    ), found as (
+        select * from (select c.*, greatest(c.at_bar, 80) as start, least(coalesce(s.until, z.n), z.n - 20) as stop from zcand c join span s on s.symbol = c.symbol and s.scale = c.scale and s.at_bar = c.at_bar join size z on z.symbol = c.symbol) where start < stop
+    ), cases as (
+        select f.* exclude (start, stop, at_bar, anchor, move), s.pos as at_pos, {beyond('s.close', 'confirmation')} as already from found f join sample s on s.symbol = f.symbol and s.pos >= f.start and s.pos < f.stop
+            and case when f.path > 0 then s.close >= f.invalidation else s.close <= f.invalidation end
+        qualify row_number() over (partition by {', '.join('f.' + k for k in keys.split(', '))} order by s.pos) = 1
+    ), walk as (
+        select c.*, s.pos - c.at_pos as step, {beyond('s.close', 'confirmation')} as sure_now, case when path > 0 then s.close < invalidation else s.close > invalidation end as lost_now, case when path > 0 then s.high >= zone_low else s.low <= zone_high end as hit_now
+        from cases c join sample s on s.symbol = c.symbol and s.pos between c.at_pos + 1 and c.at_pos + 20
+    ), firsts as (
+        select *, min(step) filter (where lost_now) over (partition by {keys}) as lost, case when already then 0 else min(step) filter (where sure_now) over (partition by {keys}) end as sure from walk
+    ), met as (select {keys}, any_value(lost) as lost, any_value(sure) as sure, min(step) filter (where hit_now and step > sure) as hit from firsts group by all
+    ), done as (
+        select c.*, coalesce(m.lost, 1 << 30) as lost, coalesce(m.hit, 1 << 30) as hit, coalesce(m.sure, case when c.already then 0 end, 1 << 30) as sure
+        from cases c left join met m on m.symbol = c.symbol and m.scale = c.scale and m.pattern = c.pattern and m.direction = c.direction and m.status = c.status and m.positions = c.positions
+    ), judged as (
+        select *, case when lost < 1 << 30 and lost <= hit then 'invalidation_first' when hit < lost then 'target_first' when sure < 1 << 30 then 'unresolved' else 'unconfirmed' end as outcome from done
+    ), counted as (
+        select symbol, scale, pattern, cast(direction as integer) as direction, status, count(*) as samples, {n('target_first')} + {n('invalidation_first')} as resolved, {n('target_first')} as target_first, {n('invalidation_first')} as invalidation_first,
+               {n('unresolved')} as unresolved, {n('unconfirmed')} as unconfirmed, median(least(lost, hit)) filter (where outcome = 'target_first') as middle from judged group by 1, 2, 3, 4, 5
+    ) select * exclude (middle), case when resolved >= 30 then {rounded('target_first / resolved * 100', 1)} end as target_first_rate, case when resolved >= 30 then {rounded('middle', 1)} end as median_target_bars from counted""")
+
+
+HISTORY = _history()
