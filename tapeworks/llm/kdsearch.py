@@ -22,7 +22,7 @@ from tapeworks.llm.common import materialize
 
 
 class Tree:
-    """KD-tree over integer vectors (float64, exact below 2**53)."""
+    """KD-tree over integer vectors: float64 where all inner products are below 2**53, else int64."""
 
     def __init__(self, ids: np.ndarray, vecs: np.ndarray, leaf: int = 256):
         nodes, self.left, self.right, self.rows = [], [], [], []
@@ -48,7 +48,9 @@ class Tree:
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """The largest inner product of each query with any point of each node's box."""
-        return np.maximum(queries, 0) @ self.hi.T + np.minimum(queries, 0) @ self.lo.T
+        q, lo, hi = (x.astype(np.float64) for x in (queries, self.lo, self.hi))
+        out = np.maximum(q, 0) @ hi.T + np.minimum(q, 0) @ lo.T
+        return out if self.vecs.dtype == np.float64 else out + 1e-9 * (np.abs(q) @ np.maximum(np.abs(lo), np.abs(hi)).T) + 1
 
     def search(self, query: np.ndarray, qid: int, bound: np.ndarray, best: list, k: int) -> None:
         """Update ``best``, a min-heap of (score, -id) with at most k entries, by the candidates of this tree."""
@@ -69,7 +71,7 @@ class Tree:
                 near = near[np.lexsort((self.ids[rows[near]], -scores[near]))[: k + 1]]
             for i in near:
                 if (cid := int(self.ids[rows[i]])) != qid:
-                    item = (float(scores[i]), -cid)
+                    item = (int(scores[i]), -cid)
                     if len(best) < k:
                         heapq.heappush(best, item)
                     elif item > best[0]:
@@ -79,18 +81,26 @@ class Tree:
 def top_k(queries: DataFrame, candidates: DataFrame, dim: int, k: int = 10, shard_rows: int = 16_384, block_rows: int = 32_768) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products of each query, ties to the smaller vec_id.
 
-    Both tables have id (long) and vec (array of long, all of length ``dim`` and exact in doubles). A query's own id is
-    no candidate. Fewer candidates than k give fewer rows; empty tables give none.
+    Both tables have id (long) and vec (array of long, all of length ``dim``). A query's own id is no candidate. Repeated
+    rows are candidates each, and a repeated query has one answer. Fewer candidates than k give fewer rows; empty tables
+    give none. Vectors so large that a score may exceed a long are refused.
     """
     spark = queries.sparkSession
-    blocks = -(-queries.count() // block_rows)
+    queries = queries.dropDuplicates(["id"])
+    largest = F.max(F.greatest(F.array_max("vec"), -F.array_min("vec"))).alias("x")
+    count, most = queries.agg(F.count(F.lit(1)), largest).first()
+    limit = dim * (most or 0) * (candidates.agg(largest).first()["x"] or 0)
+    if limit >= 1 << 63:
+        raise ValueError("inner products may exceed a long")
+    number = np.float64 if limit < 1 << 53 else np.int64
+    blocks = -(-count // block_rows)
     queries = materialize(queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, blocks)))), "kd-queries")
     found = None
     for n in range(max(1, blocks)):
         # a hash deals about block_rows to a block: bounded by block_rows x dim numbers, whatever the table
         block = queries.filter(F.col("block") == n).select("id", "vec").toArrow()
         qid = block["id"].to_numpy()
-        qvec = np.array(block["vec"].combine_chunks().flatten(), dtype=np.float64).reshape(len(qid), dim)
+        qvec = np.array(block["vec"].combine_chunks().flatten(), dtype=number).reshape(len(qid), dim)
         sent = spark.sparkContext.broadcast((qid, qvec))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -100,7 +110,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, dim: int, k: int = 10, shar
 
             def use() -> None:
                 ids = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in held])
-                vecs = np.concatenate([b.column(1).flatten().to_numpy(zero_copy_only=False) for b in held]).astype(np.float64).reshape(len(ids), -1)
+                vecs = np.concatenate([b.column(1).flatten().to_numpy(zero_copy_only=False) for b in held]).astype(number).reshape(len(ids), -1)
                 for at in range(0, len(ids), shard_rows):
                     tree = Tree(ids[at : at + shard_rows], vecs[at : at + shard_rows])
                     for q0 in range(0, len(qid), 1024):

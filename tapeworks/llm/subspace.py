@@ -102,7 +102,9 @@ def _out(a, n, b) -> pa.RecordBatch:
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    """Rows of doubles, each scaled by a power of two so that its largest component is about 1: no square under- or overflows, no cosine changes."""
+    raw = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return np.ldexp(raw, -np.frexp(np.abs(raw).max(1, initial=0))[1][:, None])
 
 
 def near_vectors(df: DataFrame, dim: int, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, blocks: int = 8, cell_bits: int = 4, tile: int = 32_768) -> DataFrame:

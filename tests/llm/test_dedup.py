@@ -127,6 +127,13 @@ def test_subspace_join_equals_brute_force(spark):
         assert got == [(i, n[i], at[i], i == at[i]) for i in range(len(rows))]
 
 
+def test_subspace_of_tiny_and_huge_vectors(spark):
+    v = np.random.default_rng(6).standard_normal(64)
+    rows = [(0, (v * 1e-200).tolist()), (1, (v * 1e200).tolist()), (2, v.tolist()), (3, (-v * 1e-160).tolist())]
+    got = sorted(tuple(r) for r in subspace.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 64).collect())
+    assert got == [(0, 2, 0, True), (1, 2, 0, False), (2, 2, 0, False), (3, 0, 3, True)]
+
+
 def test_subspace_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert subspace.near_vectors(df, 64).count() == 0

@@ -268,6 +268,23 @@ def test_top_k_equals_brute_force(spark):
     assert kdsearch.top_k(whole.filter("id = 0"), whole.filter("id < 3"), 16).count() == 2
 
 
+def test_top_k_of_large_numbers_and_repeated_rows(spark):
+    g = np.random.default_rng(9)
+    vecs = g.integers(-(1 << 28), 1 << 28, (300, 8))
+    vecs[1] = vecs[0] + 1
+    rows = [(i, v.tolist()) for i, v in enumerate(vecs)] + [(0, vecs[0].tolist()), (7, vecs[7].tolist())]
+    df = spark.createDataFrame(rows, "id long, vec array<bigint>")
+    got = defaultdict(list)
+    for r in sorted(kdsearch.top_k(df.filter("id < 3"), df, 8, k=5, shard_rows=64).collect()):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q in range(3):
+        s = [sum(int(a) * int(b) for a, b in zip(vecs[q], v, strict=True)) for v in vecs]
+        want = sorted(((j, s[j]) for j, _ in rows if j != q), key=lambda x: (-x[1], x[0]))[:5]
+        assert got[q] == want
+    with pytest.raises(ValueError):
+        kdsearch.top_k(df, spark.createDataFrame([(1, [1 << 60] * 8)], df.schema), 8)
+
+
 def test_revisits(spark):
     rows = [
         (1, "http://www.A.com:80/x/#f", 1, 200, {"etag": "1", "server": "s", "date": "d1"}, "p1"), (2, "https://a.com/x", 2, 304, {"etag": "W/1", "date": "d2", "server": "cache"}, None),
