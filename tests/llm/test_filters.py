@@ -339,6 +339,19 @@ def test_toxicity_learns_and_handles_odd_texts(spark):
     assert toxicity.score(odd.limit(0), net).count() == 0
 
 
+@pytest.mark.parametrize(("sf", "auc", "recall", "false"), [("sf0.01", 0.85, 0.5, 0.05), ("sf0.1", 0.95, 0.85, 0.02)])
+def test_toxicity_of_held_out_documents(sf, auc, recall, false):
+    import pyarrow.parquet as pq
+
+    read = lambda t: pq.read_table(f"/root/testdata/{sf}/{t}.parquet").to_pandas()
+    rows = read("labels").merge(read("documents"), on="doc_id").sort_values("doc_id")
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in rows.doc_id])
+    net = toxicity.train(list(zip(rows.text[~held], rows.toxic[~held], strict=True)))
+    y, s = rows.toxic[held].to_numpy(), np.array(toxicity.Scorer(net).scores(rows.text[held].tolist()))
+    assert (s[y == 1][:, None] > s[y == 0]).mean() >= auc
+    assert (s[y == 1] >= 0.5).mean() >= recall and (s[y == 0] >= 0.5).mean() <= false
+
+
 def test_toxicity_sees_every_byte_of_long_words():
     for t in ("x" * 1000, "漢字" * 333, "é" * 31, "a" + "é" * 40, "😀" * 50, "short " + "-_/." * 99):
         cut = toxicity.positions(t)
