@@ -354,23 +354,35 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, le
     some = probably_in(tokens.select(F.col("token").alias("id"), F.struct("id", F.expr("n - place").alias("left"), "n").alias("t")), twice.toDF("id"))
     some = some.select(F.col("id").alias("token"), "t.*").join(twice, "token").join(group.toDF("id", "of"), "id", "left")
     some = materialize(some.select("token", "id", "left", "n", F.coalesce("of", "id").alias("of")), "simhash-tokens")
-    # of the others, those of one group alone make no pairs
-    shared = materialize(some.groupBy("token").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).filter("lo < hi").select("token"), "simhash-shared")
-    some = materialize(some.join(shared, "token"), "simhash-tokens")
-    discard(prefixes, twice)
-    groups = materialize(some.select("token", "of").distinct(), "simhash-token-groups")
-    two = groups.toDF("token", "x").join(groups.toDF("token", "y"), "token").filter("x < y")
-    both = two.join(some.select("token", F.col("of").alias("x"), F.col("id").alias("a"), F.col("left").alias("la"), F.col("n").alias("na")), ["token", "x"])
-    both = both.join(some.select("token", F.col("of").alias("y"), F.col("id").alias("b"), F.col("left").alias("lb"), F.col("n").alias("nb")), ["token", "y"])
+
+    def merged(group: DataFrame, links_: DataFrame) -> DataFrame:
+        """``group`` with the groups of linked texts as one."""
+        for side in "ab":
+            links_ = links_.join(group.toDF(side, f"of_{side}"), side, "left").withColumn(side, F.coalesce(f"of_{side}", side)).drop(f"of_{side}")
+        wider = materialize(connected_components(links_.select("a", "b"), "simhash-cc"), "simhash-wider")
+        inner = group.join(wider.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        return materialize(inner.union(wider).distinct(), "simhash-groups")
+
+    def of_several(some: DataFrame) -> DataFrame:
+        """The shingles that texts of more than one group have; those of one group alone make no pairs."""
+        shared = some.groupBy("token").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).filter("lo < hi").select("token")
+        return materialize(some.join(materialize(shared, "simhash-shared"), "token"), "simhash-tokens")
+
     # a pair's first shared shingle has nothing shared before it
     fits = F.least("la", "lb") >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-6
-    met = materialize(both.filter(fits).select("a", "b").distinct(), "simhash-met")
-    more = similar(met)
-    for side in "ab":
-        more = more.join(group.toDF(side, f"of_{side}"), side, "left").withColumn(side, F.coalesce(f"of_{side}", side)).drop(f"of_{side}")
-    wider = materialize(connected_components(more.select("a", "b"), "simhash-cc"), "simhash-wider")
-    inner = group.join(wider.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return inner.union(wider).distinct()
+    side = lambda df, x, i: df.select("token", F.col("of").alias(x), F.col("id").alias(i), F.col("left").alias(f"l{i}"), F.col("n").alias(f"n{i}"))
+    # first each text against one text of the shingle's first group, which is linear: most that is left of a large group joins it
+    some = of_several(some)
+    first = materialize(some.groupBy("token").agg(F.min(F.struct("of", "id", "left", "n")).alias("f")), "simhash-first")
+    star = side(some, "y", "b").join(side(first.select("token", "f.*"), "x", "a"), "token").filter((F.col("x") != F.col("y")) & fits)
+    group = merged(group, similar(materialize(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-star")))
+    # then all members of any two groups that still share a shingle
+    some = some.drop("of").join(group.toDF("id", "of"), "id", "left").withColumn("of", F.coalesce("of", "id"))
+    some = of_several(materialize(some, "simhash-tokens"))
+    groups = materialize(some.select("token", "of").distinct(), "simhash-token-groups")
+    two = groups.toDF("token", "x").join(groups.toDF("token", "y"), "token").filter("x < y")
+    both = two.join(side(some, "x", "a"), ["token", "x"]).join(side(some, "y", "b"), ["token", "y"])
+    return merged(group, similar(materialize(both.filter(fits).select("a", "b").distinct(), "simhash-met")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, sketch_size: int = 256) -> DataFrame:
