@@ -52,8 +52,13 @@ def discard(*tables: DataFrame) -> None:
     """Remove tables of ``materialize`` that nothing will read again."""
     for df in tables:
         if path := _TABLES.pop(df, None):
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def nullable(schema: T.StructType) -> T.StructType:

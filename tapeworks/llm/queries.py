@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import bpe, kdsearch, linkgraph, packing, revisit, secrets, sharding, simhash, subspace, toxicity
+from tapeworks.llm import alignment, bpe, divergence, kdsearch, linkgraph, packing, revisit, secrets, sharding, simhash, subspace, tokencount, toxicity
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
+TOKEN_LIMIT = 512
 RULES = [
     linkgraph.Rule("block", "net", "/"),
     linkgraph.Rule("allow", "example.net", "/en/"),
@@ -97,9 +100,25 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokencount.count_tokens(table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
+    return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_TOKENIZER)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_kd_search, op3_secret_scan, op4_kd_sharding, op5_subspace_dedup, op6_toxicity, op7_revisits, op8_best_fit_packing, op9_byte_bpe, op10_simhash_dedup)
+    for f in (
+        op1_url_filter, op2_kd_search, op3_secret_scan, op4_kd_sharding, op5_subspace_dedup, op6_toxicity, op7_revisits,
+        op8_best_fit_packing, op9_byte_bpe, op10_simhash_dedup, op11_source_divergence, op12_token_counts, op13_token_alignment,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -158,4 +177,38 @@ ORACLE_SQL: dict[str, str] = {
                case when again and not (source_id is not null and agree) then 'cache' else 'origin' end as server,
                cast(page_id as varchar) as date
         from j""",
+    "op11_source_divergence": r"""
+        with d as (
+            select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents
+        ), w as (
+            select id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d
+        ), g as (select distinct lang, source from d
+        ), kept as (select lang, term, count(*) as in_lang from w group by lang, term having count(distinct id) >= 3
+        ), own as (
+            select w.lang, w.source, w.term, count(*) as n from w join kept k on w.lang = k.lang and w.term = k.term group by all
+        ), every as (
+            select g.lang, g.source, k.term, k.in_lang, coalesce(o.n, 0) as n
+            from g join kept k on g.lang = k.lang left join own o on o.lang = g.lang and o.source = g.source and o.term = k.term
+        ), sized as (
+            select *, sum(n) over (partition by lang, source) as total, count(*) over (partition by lang, source) as v,
+                   sum(in_lang) over (partition by lang, source) as lang_total
+            from every
+        ), p as (
+            select lang, source, term, n, 1 + (1000000000::hugeint * (n + 1)) // (total + v) as p, 1 + (1000000000::hugeint * (in_lang + 1)) // (lang_total + v) as q
+            from sized
+        ), pair as (
+            select a.lang, a.source, b.source as item, coalesce((
+                select sum(((x.p - y.p) * (x.p - y.p)) // y.p) from p x join p y on x.term = y.term and x.lang = y.lang
+                where x.lang = a.lang and x.source = a.source and y.source = b.source), 0) as value
+            from g a join g b on a.lang = b.lang and a.source <> b.source
+        ), term as (
+            select lang, source, term as item, ((p - q) * (p - q)) // q as value from p where n > 0 and p > q
+        ), ranked as (
+            select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from pair
+            union all
+            select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item) as rank from term
+            qualify rank <= 200
+        )
+        select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked""",
 }
