@@ -7,8 +7,8 @@ as one class, and gives a plan of a few rows per length. A piece takes its place
 
 from __future__ import annotations
 
+import re
 import struct
-import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 
 from tapeworks.llm.bpe import byte_chars
 from tapeworks.llm.common import bounded, gapless_rank, in_worker, materialize, no_cycle_search, slices
+from tapeworks.llm.pretokens import LETTERS
 
 
 class WordIds(dict):
     """Ids of a string without ASCII white space as little-endian uint32 bytes; emptied when its strings hold too many bytes.
 
-    Follows the tokenizer file: NFC, lower case by character, then its pre-token pattern; each different pre-token is
-    given to the tokenizer's model once. Strings that may hold a special token go through the whole tokenizer.
+    Strings of Latin letters and printable ASCII follow the tokenizer file here: lower case, then its pre-token pattern;
+    each different pre-token is given to the tokenizer's model once. All others, and those that may hold a special token,
+    go through the whole tokenizer, whose tables of letters, cases and compositions may be of another Unicode version.
     """
 
     def __init__(self, path: str, most: int = 40 << 20):
@@ -41,6 +43,7 @@ class WordIds(dict):
             raise ValueError("not a lower-casing tokenizer that drops white space")
         self.tok, self.most = Tokenizer.from_file(path), most
         self.find = regex.compile(steps["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\n").findall
+        self.plain = re.compile(f"[!-~{LETTERS}]+").fullmatch
         self.special = [t["content"][:2] for t in steps["added_tokens"]]
         self.pretokens: dict[str, bytes] = {}
         self.held = 0
@@ -57,27 +60,26 @@ class WordIds(dict):
             self.held, new = 0, list(words)
             size = 200 * len(new) + 5 * sum(map(len, new))
         self.held += size
-        joined = "\n".join(new)
-        if odd := [w for w in new if any(s in w for s in self.special)] if any(s in joined for s in self.special) else []:
-            for w, e in zip(odd, self.tok.encode_batch(odd, add_special_tokens=False), strict=True):
-                self[w] = pack_ids(e.ids)
-            new = [w for w in new if w not in self]
-        known, marks, plain = self.pretokens, self.marks, unicodedata.is_normalized
-        rest = []
+        known, marks = self.pretokens, self.marks
+        rest, odd = [], []
         for w in new:  # most are letters with at most one mark behind them
+            if not self.plain(w):
+                odd.append(w)
+                continue
             core, tail = (w, b"") if w.isalpha() else (w[:-1], marks.get(w[-1]))
-            if tail is None or not core.isalpha() or "\u03a3" in core or not (core.isascii() or plain("NFC", w)):
+            if tail is None or not core.isalpha():
                 rest.append(w)
                 continue
             low = core.lower()
             if (ids := known.get(low)) is None:
-                if not low.isalpha():
-                    rest.append(w)
-                    continue
                 ids = known[low] = self.pretoken(low)
             self[w] = ids + tail
-        # capital sigma first: characters are lowered one by one, wherever in a word they stand
-        flat, at = self.find(unicodedata.normalize("NFC", "\n".join(rest)).replace("\u03a3", "\u03c3").lower()), 0
+        joined = "\n".join(rest)
+        if any(s in joined for s in self.special):
+            odd += [w for w in rest if any(s in w for s in self.special)]
+            rest = [w for w in rest if not any(s in w for s in self.special)]
+            joined = "\n".join(rest)
+        flat, at = self.find(joined.lower()), 0
         for p in set(flat).difference(known, "\n"):
             known[p] = self.pretoken(p)
         for w in rest:
@@ -86,6 +88,10 @@ class WordIds(dict):
                 end += 1
             self[w] = b"".join([known[p] for p in flat[at:end]])
             at = end + 1
+        for at in range(0, len(odd), 1000):
+            some = odd[at : at + 1000]
+            for w, e in zip(some, self.tok.encode_batch(some, add_special_tokens=False), strict=True):
+                self[w] = pack_ids(e.ids)
 
     def pretoken(self, p: str) -> bytes:
         mapped = p if p.isascii() and p.isalnum() else "".join([self.chars[b] for b in p.encode("utf-8", "replace")])
