@@ -4,9 +4,10 @@ A capture of status 304 stands for the latest earlier full response of the same
 the entity tags where both have one, else the modification dates where both have one, else nothing speaks against it.
 The resolved capture has that response's payload and headers, updated by the few that a 304 may change.
 
-The as-of join is a window over captures in order of time. One URL may hold a third of all captures, so time is cut
-into buckets of about equal counts: the window runs within (URL, bucket), and a capture without an earlier response
-in its bucket takes the last of the earlier buckets, carried over by a window over one row per (URL, bucket).
+The as-of join is a window over captures in order of time. One URL may hold a third of all captures, so captures are
+range-partitioned by URL and time into buckets of about equal counts: the window runs within (URL, bucket), and a capture
+without an earlier response in its bucket takes the last of the earlier buckets, carried over by a window over one row
+per (URL, bucket).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tapeworks.llm.common import ascii_lower, materialize
+from tapeworks.llm.common import ascii_lower, discard, materialize
 
 #: Headers that a 304 response may update (fixed values).
 UPDATES = ("cache-control", "content-location", "date", "etag", "expires", "vary")
@@ -32,28 +33,27 @@ def canonical(url: Column) -> Column:
     return F.when(host == "", F.coalesce(url, F.lit(""))).otherwise(out)
 
 
-def resolve(captures: DataFrame, buckets: int = 64) -> DataFrame:
+def resolve(captures: DataFrame, bucket_rows: int = 500_000) -> DataFrame:
     """``captures`` with outcome, source_id, payload and headers resolved; one row per row.
 
-    Columns: id, url, ts (orderable; ties in order of id, null times first), status, headers (map, lower-case names)
+    Columns: id, url, ts (of any type with an order; ties in order of id, null times first), status, headers (map, lower-case names)
     and payload. A full response has status 200. outcome is ``full``, ``resolved``, ``mismatch``, ``orphan`` (a 304
     without an earlier full response) or ``other``. Null urls are one URL, the empty one. Rows of one id are told apart
     by their other columns; rows equal in all are resolved alike. Other columns stay, but those of the input named
     outcome or source_id give way to the results. An empty table gives an empty result.
     """
-    cuts = captures.agg(F.percentile_approx("ts", [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
-    bucket = F.lit(0)
-    for c in sorted(set(cuts or [])):
-        bucket = bucket + F.when(F.col("ts") > F.lit(c), 1).otherwise(0)
     content = [F.array_sort(F.map_entries(c)) if c == "headers" else F.col(c) for c in ("id", "url", "ts", "status", "headers", "payload")]
     rows = captures.select(
         F.struct(*captures.columns).alias("row"),
-        F.coalesce(canonical(F.col("url")), F.lit("")).alias("key"), bucket.alias("bucket"), "ts", "id", "status",
+        F.coalesce(canonical(F.col("url")), F.lit("")).alias("key"), "ts", "id", "status",
         F.xxhash64(*content).alias("u"), F.xxhash64(F.lit(1), *content).alias("v"),
     )
     full, again = F.col("status") == 200, F.col("status") == 304
     # only what the join needs moves through it; the payload is fetched afterwards, once per different row
-    slim = rows.select("key", "bucket", "ts", "id", "status", "u", "v")
+    slim = rows.select("key", "ts", "id", "status", "u", "v")
+    buckets = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // bucket_rows))
+    # a table, so that a bucket is what it was when a task runs again
+    slim = materialize(slim.repartitionByRange(buckets, "key", "ts", "id", "u", "v").withColumn("bucket", F.spark_partition_id()), "revisit-order")
     mark = F.when(full, F.struct("ts", "id", "u", "v"))
     inner = Window.partitionBy("key", "bucket").orderBy("ts", "id", "u", "v").rowsBetween(Window.unboundedPreceding, -1)
     slim = slim.withColumn("near", F.last(mark, ignorenulls=True).over(inner))
@@ -66,6 +66,7 @@ def resolve(captures: DataFrame, buckets: int = 64) -> DataFrame:
     # rows equal in all columns are one here, so that none is multiplied below
     found = found.groupBy("u", "v").agg(F.max(F.coalesce("near", "before")).alias("source")).filter("source is not null")
     found = materialize(found, "revisit-sources")
+    discard(slim)
     asked = found.select(F.col("source.u").alias("su"), F.col("source.v").alias("sv"))
     source = rows.filter(full).select(F.col("u").alias("su"), F.col("v").alias("sv"), F.col("row.headers").alias("headers"), F.col("row.payload").alias("payload"))
     source = source.join(asked.distinct(), ["su", "sv"], "left_semi").groupBy("su", "sv").agg(F.first(F.struct("headers", "payload")).alias("of"))
