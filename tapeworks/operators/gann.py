@@ -49,21 +49,50 @@ PIVOT = "symbol string, no int, kind string, position int, confirm int, price do
 
 @dataclass(frozen=True)
 class Parts:
-    """What several results of one query share, computed once."""
+    """What several results of one query share, computed once.
+
+    ``view`` has a row per anchor under study: the anchor, the bar that it is seen from (latest, now_*), and the
+    durations of the swings known there, newest first.
+    """
 
     pivots: DataFrame
-    active: DataFrame
-    last: DataFrame
+    view: DataFrame
 
     def release(self) -> None:
-        for df in (self.pivots, self.active, self.last):
+        for df in (self.pivots, self.view):
             df.unpersist()
 
 
+NOW = ["close", "DIF", "DEA", "VOL_RATIO", "MA20", "MA60", "BOLL_UPPER", "BOLL_LOWER"]
+
+
 def prepare(bars: DataFrame, conf: Config = Config()) -> Parts:
-    """Pivots, active anchors and last bars, kept in executors' memory or on their disks until released; rows are few against bars."""
+    """Pivots, and active anchors seen from the last bar, kept in executors' memory or on their disks until released; rows are few against bars."""
+    found = pivots(bars, conf).persist()
+    last = known(found, conf).groupBy("symbol").agg(F.max_by("d", "no").alias("d"))
+    view = active(bars, conf, found).join(last_bar(bars), "symbol").join(last, "symbol", "left")
+    return Parts(found, view.persist())
+
+
+def replay(bars: DataFrame, conf: Config = Config()) -> Parts:
+    """Pivots, and every anchor seen from the bar of its own confirmation, with the swings known by then: an as-of join on the version.
+
+    Pivots are appended and never moved, so that those known at a confirmation are the ones up to the anchor's number.
+    """
     found = pivots(bars, conf).persist()
-    return Parts(found, active(bars, conf, found).persist(), last_bar(bars).persist())
+    seen = bars.select("symbol", F.col("pos").alias("confirm"), F.col("datetime").alias("now_datetime"), *[F.col(c).alias(f"now_{c}") for c in NOW])
+    view = anchors(bars, conf, found).join(seen, ["symbol", "confirm"]).withColumn("latest", F.col("confirm")).join(known(found, conf), ["symbol", "no"])
+    return Parts(found, view.persist())
+
+
+def known(found: DataFrame, conf: Config = Config()) -> DataFrame:
+    """(symbol, no, d): the last swings' durations of two bars or more that are known with each pivot, newest first."""
+    by = Window.partitionBy("symbol").orderBy("no")
+    long = F.when(F.col("duration") >= 2, F.col("duration").cast("double"))
+    # durations of long swings are numbered, so that the last ones of any pivot are those of the last numbers
+    x = found.select("symbol", "no", long.alias("long"), F.count(long).over(by).alias("k"))
+    at = x.filter("long is not null").select("symbol", "k", F.reverse(F.collect_list("long").over(Window.partitionBy("symbol").orderBy("no").rowsBetween(1 - conf.cycles, 0))).alias("d"))
+    return x.select("symbol", "no", "k").join(at, ["symbol", "k"], "left").select("symbol", "no", "d")
 
 
 def lone(c: Column, width: int, high: bool) -> Column:
@@ -178,14 +207,14 @@ def line(ratio_: Column | float, pos: Column, conf: Config) -> Column:
 
 
 def last_bar(bars: DataFrame) -> DataFrame:
-    keep = ["pos", "datetime", "close", "DIF", "DEA", "VOL_RATIO", "MA20", "MA60", "BOLL_UPPER", "BOLL_LOWER"]
+    keep = ["pos", "datetime", *NOW]
     return bars.groupBy("symbol").agg(F.max_by(F.struct(*keep), "pos").alias("l")).select("symbol", F.col("l.pos").alias("latest"), *[F.col(f"l.{k}").alias(f"now_{k}") for k in keep[1:]])
 
 
 def fan(bars: DataFrame, conf: Config = Config(), horizon: int = 12, parts: Parts | None = None) -> DataFrame:
     """The seven lines of each active anchor at the last bar and at the horizon, and the anchor's state."""
     parts = parts or prepare(bars, conf)
-    a = parts.active.join(parts.last, "symbol")
+    a = parts.view
     sign = F.when(F.col("direction") == "up", 1).otherwise(-1)
     ok = lambda r: (F.col("now_close") - line(r, F.col("latest"), conf)) * sign >= 0
     state = F.when(ok(2.0), "STRONG_BULL").when(ok(1.0), "BULL").when(ok(0.5), "NEUTRAL").otherwise("BEAR")
@@ -200,7 +229,7 @@ def fan(bars: DataFrame, conf: Config = Config(), horizon: int = 12, parts: Part
 def price_levels(bars: DataFrame, horizontal: DataFrame | None = None, conf: Config = Config(), parts: Parts | None = None) -> DataFrame:
     """(anchor, source, label, price, weight): eighths, retracements, the prior pivot, indicators and given horizontal levels."""
     parts = parts or prepare(bars, conf)
-    a = parts.active.join(parts.last, "symbol")
+    a = parts.view
     lo, hi, sign = F.least("price", "opp_price"), F.greatest("price", "opp_price"), F.when(F.col("direction") == "up", 1).otherwise(-1)
     s = lambda src, label, price, weight: F.struct(F.lit(src).alias("source"), F.lit(label).alias("label"), F.round(price, 6).alias("level"), F.lit(weight).alias("weight"))
     made = [s("eighth", f"{i}/8", lo + (hi - lo) * (i / 8), 15.0 if i == 4 else 10.0) for i in range(1, 9)]
@@ -220,7 +249,8 @@ def price_zones(levels: DataFrame, conf: Config = Config()) -> DataFrame:
     w = Window.partitionBy("symbol", "anchor_id").orderBy("level", "source", "label")
     x = levels.withColumns({"tol": tol, "__gap": (F.col("level") - F.lag("level").over(w)) > tol}).withColumn("zone", F.sum(F.when(F.col("__gap"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     z = x.groupBy("symbol", "anchor_id", "zone").agg(
-        (F.min("level") - F.max("tol") * 0.15).alias("price_low"), (F.max("level") + F.max("tol") * 0.15).alias("price_high"), F.avg("level").alias("center"), F.count(F.lit(1)).alias("factors"),
+        F.round(F.min("level") - F.max("tol") * 0.15, 6).alias("price_low"), F.round(F.max("level") + F.max("tol") * 0.15, 6).alias("price_high"), F.round(F.avg("level"), 6).alias("center"),
+        F.count(F.lit(1)).alias("factors"),
         F.array_sort(F.collect_set("source")).alias("sources"), F.sum("weight").alias("__w"),
     )
     z = z.withColumn("strength", F.round(F.least(F.lit(100.0), 20.0 + F.col("__w") * 0.7 + F.size("sources") * 8.0), 1)).drop("__w")
@@ -228,66 +258,115 @@ def price_zones(levels: DataFrame, conf: Config = Config()) -> DataFrame:
     return z.withColumn("rank", rank).withColumn("default_visible", F.col("rank") <= conf.visible)
 
 
+def middle(d: Column) -> Column:
+    """Median of an array without nulls."""
+    s, n = F.array_sort(d), F.size(d)
+    return (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor((n + 2) / 2).cast("int"))) / 2
+
+
+def cycle_lengths(d: Column) -> Column:
+    """The last, the previous and the median duration, each length once."""
+    return F.array_distinct(F.transform(F.array(F.get(d, F.lit(0)), F.coalesce(F.get(d, F.lit(1)), F.get(d, F.lit(0))), F.bround(middle(d))), lambda x: F.greatest(F.lit(2), x.cast("int"))))
+
+
+def cycle_strength(d: Column) -> Column:
+    n = F.size(d)
+    mean = F.aggregate(d, F.lit(0.0), lambda a, x: a + x) / n
+    sd = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
+    return F.round(45 + (1 - F.least(sd / F.greatest(mean, F.lit(1.0)), F.lit(1.0))) * 35 + F.least(n, F.lit(5)) * 4, 1)
+
+
 def base_cycles(bars: DataFrame, conf: Config = Config(), parts: Parts | None = None) -> DataFrame:
     """(symbol, key, cycle, strength): the last, the previous and the median duration of recent swings, each length once."""
-    p = (parts.pivots if parts else pivots(bars, conf)).filter("duration >= 2").groupBy("symbol").agg(F.reverse(F.array_sort(F.collect_list(F.struct("no", "duration")))).alias("d"))
-    d = F.slice(F.transform("d", lambda x: x["duration"].cast("double")), 1, conf.cycles)
-    p = p.select("symbol", d.alias("d")).withColumn("n", F.size("d"))
-    mean = F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / F.col("n")
-    p = p.withColumn("mean", mean).withColumn("sd", F.sqrt(F.aggregate("d", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.col("n")))
-    s = F.array_sort("d")
-    median = (F.element_at(s, F.floor((F.col("n") + 1) / 2).cast("int")) + F.element_at(s, F.floor((F.col("n") + 2) / 2).cast("int"))) / 2
-    strength = F.round(45 + (1 - F.least(F.col("sd") / F.greatest("mean", F.lit(1.0)), F.lit(1.0))) * 35 + F.least("n", F.lit(5)) * 4, 1)
-    one = lambda i, k, x: F.struct(F.lit(i).alias("i"), F.lit(k).alias("key"), F.greatest(F.lit(2), F.bround(x).cast("int")).alias("cycle"))
-    each = F.explode(F.array(one(0, "recent", F.element_at("d", 1)), one(1, "previous", F.coalesce(F.get("d", F.lit(1)), F.element_at("d", 1))), one(2, "median", median)))
-    out = p.select("symbol", strength.alias("strength"), each.alias("e")).select("symbol", "e.*", "strength")
-    w = Window.partitionBy("symbol", "cycle").orderBy("i")
-    return out.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "i")
+    last = known(parts.pivots if parts else pivots(bars, conf), conf).groupBy("symbol").agg(F.max_by("d", "no").alias("d")).filter("d is not null")
+    d = F.col("d")
+    three = F.array(F.lit("recent"), F.lit("previous"), F.lit("median"))
+    of = [F.get(d, F.lit(0)), F.coalesce(F.get(d, F.lit(1)), F.get(d, F.lit(0))), F.bround(middle(d))]
+    named = F.arrays_zip(three.alias("key"), F.transform(F.array(*of), lambda x: F.greatest(F.lit(2), x.cast("int"))).alias("cycle"))
+    each = last.select("symbol", cycle_strength(d).alias("strength"), cycle_lengths(d).alias("lengths"), named.alias("named"))
+    first = F.transform("lengths", lambda x: F.struct(F.get(F.filter("named", lambda k: k["cycle"] == x), F.lit(0))["key"].alias("key"), x.alias("cycle")))
+    return each.select("symbol", F.explode(first).alias("e"), "strength").select("symbol", "e.*", "strength")
+
+
+def tenths(x: Column) -> Column:
+    """A value from 8 to 512 rounded to one decimal by its exact binary value, half to even: whole numbers of 2**-50 decide."""
+    n = (x * float(1 << 50)).cast("decimal(38,0)") * 10
+    unit_ = F.lit(1 << 50).cast("decimal(38,0)")
+    whole = F.call_function("div", n, unit_)
+    rest = n - whole.cast("decimal(20,0)") * unit_
+    half = F.lit(1 << 49).cast("decimal(38,0)")
+    return (whole + F.when((rest > half) | ((rest == half) & (whole % 2 == 1)), 1).otherwise(0)).cast("double") / 10
+
+
+def future_time(latest: Column, ahead: Column, period: str) -> Column:
+    """Time of the ``ahead``-th bar after ``latest``: business days, weeks, month ends or minutes; days for other periods."""
+    minutes = {"1m": 1, "5m": 5, "15m": 15, "30m": 30, "60m": 60}.get(period)
+    day = F.to_date(latest)
+    if minutes:
+        return latest + F.make_dt_interval(mins=ahead * minutes)
+    if period == "daily":
+        # a weekend counts as the Friday before it; then whole weeks, and the days left, over the next weekend if they reach it
+        start = F.date_sub(day, F.greatest(F.weekday(day) - 4, F.lit(0)))
+        rest = ahead % 5
+        to = F.date_add(start, (F.floor(ahead / 5) * 7 + rest + F.when(F.weekday(start) + rest > 4, 2).otherwise(0)).cast("int"))
+    elif period == "monthly":
+        to = F.last_day(F.add_months(day, ahead - F.when(day == F.last_day(day), 0).otherwise(1)))
+    else:
+        to = F.date_add(day, (ahead * (7 if period == "weekly" else 1)).cast("int"))
+    return latest + F.make_dt_interval(days=F.date_diff(to, day))
+
 
+def windows_of(conf: Config, horizon: int) -> tuple[Column, Column, Column]:
+    """Columns lengths and strength (from d), and from these and position, latest, aligned and nearby an array of (center, start, end, score, cycles) in order of time.
 
-WINDOW = "symbol string, anchor_id string, center int, start int, end int, bars_from_now int, score double, cycles int"
+    At most 15 candidates, one per base cycle and multiple; overlapping ones become one, in order of start, then of
+    falling score: the first's centre, the widest end, the highest score so far and 7 more for each that joins.
+    """
+    c = F.col
+    lengths, strength = cycle_lengths(c("d")), cycle_strength(c("d"))
+
+    def one(x: Column, i: Column, m: float, k: int) -> Column:
+        first = (c("position") + F.bround(x * m)).cast("int")
+        center = F.when(first <= c("latest"), first + x * (F.floor((c("latest") - first) / x) + 1)).otherwise(first).cast("int")
+        tol = F.greatest(F.lit(1), F.bround(x * conf.tolerance).cast("int"))
+        overlap = F.size(F.filter("lengths", lambda o: F.abs(center - (c("position") + F.bround(o * m))) <= tol))
+        total = F.least(F.lit(30.0), c("strength") * 0.3) + F.least(F.lit(20.0), F.greatest(overlap - 1, F.lit(0)) * 10.0) + 8.0 + F.when(c("aligned"), 12.0).otherwise(6.0)
+        total = total + F.least(F.lit(15.0), c("nearby") * 15.0) + 15.0 - (8.0 if m >= 3 else 3.0 if m >= 2 else 0.0)
+        score = tenths(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)))
+        start, end = F.greatest(c("latest") + 1, center - tol), F.least(c("latest") + horizon, center + tol)
+        return F.struct(start.cast("int").alias("start"), (-score).alias("minus"), (i * len(MULTIPLES) + k).alias("order"), center.alias("center"), end.cast("int").alias("end"))
+
+    made = F.flatten(F.transform("lengths", lambda x, i: F.array(*[one(x, i, m, k) for k, m in enumerate(MULTIPLES)])))
+    made = F.array_sort(F.filter(made, lambda w: w["center"] <= c("latest") + horizon))
+    kind = "array<struct<center:int,start:int,end:int,score:double,cycles:int>>"
+
+    def joined(done: Column, w: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        fresh = F.struct(w["center"].alias("center"), w["start"].alias("start"), w["end"].alias("end"), (-w["minus"]).alias("score"), F.lit(1).alias("cycles"))
+        more = F.round(F.least(F.lit(100.0), F.greatest(last["score"], -w["minus"]) + 7), 1)
+        wider = F.struct(last["center"].alias("center"), last["start"].alias("start"), F.greatest(last["end"], w["end"]).alias("end"), more.alias("score"), (last["cycles"] + 1).alias("cycles"))
+        return F.when((F.size(done) > 0) & (w["start"] <= last["end"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(wider)).cast(kind)).otherwise(F.concat(done, F.array(fresh)).cast(kind))
 
+    return lengths, strength, F.aggregate(made, F.array().cast(kind), joined)
 
-def time_windows(bars: DataFrame, zones: DataFrame | None = None, higher: DataFrame | None = None, conf: Config = Config(), horizon: int = CAP, parts: Parts | None = None) -> DataFrame:
-    """Windows after the last bar, up to the hard horizon, at multiples of the base cycles from each active anchor; overlapping ones are merged in order.
+
+def time_windows(bars: DataFrame, zones: DataFrame | None = None, higher: DataFrame | None = None, conf: Config = Config(), horizon: int = CAP, parts: Parts | None = None, period: str = "60m") -> DataFrame:
+    """Windows after the bar that each anchor is seen from, up to the hard horizon, at multiples of the base cycles; overlapping ones are merged in order.
 
     ``zones`` are the anchors' price zones: up to six of them raise a window's score (without, three are taken); so does a ``higher`` timeframe
-    (symbol, direction) that goes the anchor's way.
+    (symbol, direction) that goes the anchor's way. Times of future bars are those of the ``period``.
     """
     parts = parts or prepare(bars, conf)
-    a = parts.active.select("symbol", "anchor_id", "direction", "position").join(parts.last.select("symbol", "latest"), "symbol").join(base_cycles(bars, conf, parts), "symbol")
-    a = with_higher(a, higher)
+    a = with_higher(parts.view.filter("d is not null").select("symbol", "anchor_id", "direction", "position", "latest", "now_datetime", "d"), higher)
     if zones is None:
-        a = a.withColumn("zones", F.lit(3))
+        a = a.withColumn("nearby", F.lit(0.5))
     else:
         a = a.join(zones.groupBy("symbol", "anchor_id").agg(F.count(F.lit(1)).alias("zones")), ["symbol", "anchor_id"], "left")
-    a = a.withColumn("extra", 8.0 + F.when(F.col("aligned"), 12.0).otherwise(6.0) + F.least(F.lit(1.0), F.coalesce("zones", F.lit(0)) / 6) * 15.0 + 15.0)
-
-    def build(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("cycle", kind="stable")
-        at, latest, extra, found = int(g["position"].iloc[0]), int(g["latest"].iloc[0]), float(g["extra"].iloc[0]), []
-        for cycle, strength in zip(g["cycle"].astype(int), g["strength"], strict=True):
-            for m in MULTIPLES:
-                center = at + round(cycle * m)
-                while center <= latest:
-                    center += cycle
-                if center > latest + horizon:
-                    continue
-                tol = max(1, round(cycle * conf.tolerance))
-                overlap = sum(abs(center - (at + round(int(o) * m))) <= tol for o in g["cycle"])
-                score = min(30.0, strength * 0.3) + min(20.0, max(0, overlap - 1) * 10.0) + extra - (8.0 if m >= 3 else 3.0 if m >= 2 else 0.0)
-                found.append([max(latest + 1, center - tol), -round(max(0.0, min(100.0, score)), 1), center, min(latest + horizon, center + tol)])
-        merged: list[list] = []
-        for start, minus, center, end in sorted(found):
-            if merged and start <= merged[-1][2]:
-                w = merged[-1]
-                w[2], w[3], w[4] = max(w[2], end), round(min(100.0, max(w[3], -minus) + 7), 1), w[4] + 1
-            else:
-                merged.append([center, start, end, -minus, 1])
-        head = (g["symbol"].iloc[0], g["anchor_id"].iloc[0])
-        return pd.DataFrame([(*head, c, s, e, c - latest, score, n) for c, s, e, score, n in merged], columns=[c.split()[0] for c in WINDOW.split(", ")])
-
-    return a.groupBy("symbol", "anchor_id").applyInPandas(build, WINDOW)
+        a = a.withColumn("nearby", F.least(F.lit(1.0), F.coalesce("zones", F.lit(0)) / 6))
+    lengths, strength, windows = windows_of(conf, horizon)
+    a = a.withColumns({"lengths": lengths, "strength": strength}).withColumn("w", F.explode(windows))
+    when = lambda k: future_time(F.col("now_datetime"), F.col(f"w.{k}") - F.col("latest"), period).alias(f"{k}_time")
+    return a.select("symbol", "anchor_id", "w.center", "w.start", "w.end", (F.col("w.center") - F.col("latest")).alias("bars_from_now"), "w.score", "w.cycles", when("start"), when("center"), when("end"))
 
 
 def with_higher(anchors_: DataFrame, higher: DataFrame | None) -> DataFrame:
@@ -305,12 +384,21 @@ def decay(ahead: Column) -> Column:
 def confluence(bars: DataFrame, horizontal: DataFrame | None = None, conf: Config = Config(), higher: DataFrame | None = None, horizon: int = CAP, parts: Parts | None = None) -> DataFrame:
     """Zones where a line at a time window meets a price zone, per active anchor: a join on the anchor with a tolerance."""
     parts = parts or prepare(bars, conf)
-    a = parts.active.join(parts.last, "symbol").select("symbol", "anchor_id", "direction", "price", "atr", "position", "score", "latest", "now_close", "now_DIF", "now_DEA", "now_VOL_RATIO").withColumnRenamed("score", "anchor_score")
+    z = price_zones(price_levels(bars, horizontal, conf, parts), conf).drop("default_visible").withColumnRenamed("rank", "zone_rank")
+    w = time_windows(bars, z, higher, conf, horizon, parts)
+    rank = F.row_number().over(Window.partitionBy("symbol", "anchor_id").orderBy(F.desc("score"), "center", "angle_no", "zone_rank"))
+    one = meetings(w, z, higher, conf, parts).withColumn("rank", rank).withColumn("default_visible", (F.col("rank") <= conf.visible) & (F.col("score") >= 65))
+    return one.drop("tol", "angle_no", "zone_rank")
+
+
+def meetings(w: DataFrame, z: DataFrame, higher: DataFrame | None, conf: Config, parts: Parts) -> DataFrame:
+    """Where a line at one of the windows ``w`` meets one of the zones ``z`` of its anchor; of those close in price and time the best."""
+    a = parts.view.select("symbol", "anchor_id", "direction", "price", "atr", "position", "score", "latest", "now_close", "now_DIF", "now_DEA", "now_VOL_RATIO").withColumnRenamed("score", "anchor_score")
     a = with_higher(a, higher)
-    z = price_zones(price_levels(bars, horizontal, conf, parts), conf).drop("rank", "default_visible")
-    w = time_windows(bars, z, higher, conf, horizon, parts).withColumnRenamed("score", "window_score")
-    lines = F.explode(F.array(*[F.struct(F.lit(n).alias("angle"), F.lit(r).alias("ratio")) for n, r in ANGLES if n in ("2x1", "1x1", "1x2")]))
-    x = a.join(w, ["symbol", "anchor_id"]).withColumn("f", lines).withColumns({"angle": F.col("f.angle"), "projected": line(F.col("f.ratio"), F.col("center"), conf), "tol": F.greatest(F.col("atr") * conf.confluence_atr, F.col("price") * 0.001)})
+    w = w.select("symbol", "anchor_id", "center", "start", "bars_from_now", F.col("score").alias("window_score"))
+    lines = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(n).alias("angle"), F.lit(r).alias("ratio")) for i, (n, r) in enumerate(ANGLES) if n in ("2x1", "1x1", "1x2")]))
+    x = a.join(w, ["symbol", "anchor_id"]).withColumn("f", lines)
+    x = x.withColumns({"angle": F.col("f.angle"), "angle_no": F.col("f.no"), "projected": line(F.col("f.ratio"), F.col("center"), conf), "tol": F.greatest(F.col("atr") * conf.confluence_atr, F.col("price") * 0.001)})
     z = z.withColumnRenamed("center", "zone_center")
     met = x.join(z, ["symbol", "anchor_id"]).filter((F.col("projected") >= F.col("price_low") - F.col("tol")) & (F.col("projected") <= F.col("price_high") + F.col("tol")))
     has = lambda *names: F.arrays_overlap("sources", F.array(*map(F.lit, names)))
@@ -320,25 +408,69 @@ def confluence(bars: DataFrame, horizontal: DataFrame | None = None, conf: Confi
         WEIGHTS["angle"] + WEIGHTS["time"] * F.least(F.lit(1.0), F.col("window_score") / 70) + take(has("eighth", "prior_pivot"), "price_level") + take(has("horizontal"), "horizontal")
         + take(has("fibonacci"), "fibonacci") + take(F.col("aligned"), "higher_timeframe") + take((F.col("now_DIF") - F.col("now_DEA")) * sign > 0, "momentum") + take(F.col("now_VOL_RATIO") >= 1, "volume")
     )
-    met = met.withColumns({"raw_score": F.round(F.least(F.lit(100.0), raw), 1), "mid": (F.col("projected") + F.col("zone_center")) / 2})
+    met = met.withColumns({"raw_score": F.round(F.least(F.lit(100.0), raw), 1), "middle": (F.col("projected") + F.col("zone_center")) / 2})
     met = met.withColumns({
-        "score": F.round(F.least(F.lit(100.0), raw) * decay(F.col("bars_from_now")), 1), "zone_low": F.least("price_low", F.col("mid") - F.col("tol") * 0.3), "zone_high": F.greatest("price_high", F.col("mid") + F.col("tol") * 0.3),
-        "type": F.when(F.col("mid") >= F.col("now_close"), "resistance").otherwise("support"), "start_bar": F.col("start") - F.col("latest"),
+        "score": F.round(F.least(F.lit(100.0), raw) * decay(F.col("bars_from_now")), 1), "mid": F.round("middle", 6), "zone_low": F.round(F.least("price_low", F.col("middle") - F.col("tol") * 0.3), 6),
+        "zone_high": F.round(F.greatest("price_high", F.col("middle") + F.col("tol") * 0.3), 6), "type": F.when(F.col("middle") >= F.col("now_close"), "resistance").otherwise("support"), "start_bar": F.col("start") - F.col("latest"),
     })
-    cols = ["symbol", "anchor_id", "direction", "anchor_score", "angle", "center", "start_bar", "mid", "zone_low", "zone_high", "raw_score", "score", "type", "tol"]
-    schema = met.select(*cols).schema
+    # an anchor has some hundred meetings at most: 15 windows, three lines, the zones of its few levels
+    row = F.struct((-F.col("score")).alias("minus"), "center", "angle_no", "zone_rank", "direction", "anchor_score", "angle", "start_bar", "mid", "zone_low", "zone_high", "raw_score", "score", "type", "tol")
+    ranked = met.groupBy("symbol", "anchor_id").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    close = lambda r, k: (F.abs(r["mid"] - k["mid"]) <= r["tol"] * 0.5) & (F.abs(r["start_bar"] - k["start_bar"]) <= 1)
+    kept = F.aggregate("all", F.slice("all", 1, 0), lambda done, r: F.when(F.exists(done, lambda k: close(r, k)), done).otherwise(F.concat(done, F.array(r))))
+    cols = ["direction", "anchor_score", "angle", "center", "start_bar", "mid", "zone_low", "zone_high", "raw_score", "score", "type", "tol", "angle_no", "zone_rank"]
+    return ranked.select("symbol", "anchor_id", F.explode(kept).alias("k")).select("symbol", "anchor_id", *[f"k.{c}" for c in cols])
+
+
+def confluence_events(bars: DataFrame, conf: Config = Config(), least: float = 60.0, parts: Parts | None = None) -> DataFrame:
+    """Zones of a raw score of ``least`` or more as they stood when each anchor was confirmed, and what came of them.
+
+    The whole zone engine runs once over all anchors, each seen from its own confirmation (``replay``): levels, zones and
+    windows of the swings and indicators known then, without horizontal levels or a higher timeframe. A zone is entered
+    at the close of its window's first bar, if the next anchor of the direction is not confirmed by then; the 20 bars
+    after it tell the moves for and against, in ATR of the anchor. Anchors confirmed before bar 29, or with under 21 bars behind the
+    confirmation, take no part.
+    """
+    parts = parts or replay(bars, conf)
+    z = price_zones(price_levels(bars, None, conf, parts), conf).withColumnRenamed("rank", "zone_rank")
+    met = meetings(time_windows(bars, None, None, conf, CAP, parts), z, None, conf, parts).filter(F.col("raw_score") >= least)
+    w = Window.partitionBy("symbol", "direction").orderBy("no")
+    size = bars.groupBy("symbol").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    of = parts.view.select("symbol", "anchor_id", "confirm", "atr", F.lead("confirm").over(w).alias("next_confirm")).join(size, "symbol")
+    of = of.filter((F.col("confirm") >= 29) & (F.col("confirm") + 21 < F.col("n")))
+    met = met.join(of, ["symbol", "anchor_id"]).withColumn("pos", (F.col("confirm") + F.col("start_bar")).cast("int"))
+    met = met.filter((F.col("pos") < F.coalesce("next_confirm", "n")) & (F.col("pos") + 20 < F.col("n")))
+    ahead = ordered().rowsBetween(1, 20)
+    b = bars.select("symbol", "pos", "close", F.max("high").over(ahead).alias("top"), F.min("low").over(ahead).alias("bottom"), *[(lead("close", h) / F.col("close") - 1).alias(f"r{h}") for h in RETURNS])
+    sign = F.when(F.col("direction") == "up", 1).otherwise(-1)
+    up, down = F.col("top") - F.col("close"), F.col("close") - F.col("bottom")
+    gain, loss = F.when(sign > 0, up).otherwise(down), F.when(sign > 0, down).otherwise(up)
+    in_atr = lambda x: F.round(F.greatest(F.lit(0.0), x) / F.col("atr"), 3)
+    return met.join(b, ["symbol", "pos"]).select(
+        "symbol", "anchor_id", "direction", "pos", "angle", "center", "mid", F.col("raw_score").alias("raw_score"), "score", (gain >= F.col("atr")).alias("target_hit"), (loss >= F.col("atr")).alias("invalidated"),
+        *[F.round(F.col(f"r{h}") * sign, 6).alias(f"return_{h}") for h in RETURNS], *[(F.col(f"r{h}") * sign > 0).alias(f"correct_{h}") for h in RETURNS], in_atr(gain).alias("mfe_atr"), in_atr(loss).alias("mae_atr"),
+    )
+
 
-    def thin(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["score", "center", "mid"], ascending=[False, True, True], kind="stable")
-        kept: list[int] = []
-        for i, (mid, bar, tol) in enumerate(zip(g["mid"], g["start_bar"], g["tol"], strict=True)):
-            if not any(abs(mid - g["mid"].iloc[k]) <= tol * 0.5 and abs(bar - g["start_bar"].iloc[k]) <= 1 for k in kept):
-                kept.append(i)
-        return g.iloc[kept]
+def confluence_study(events: DataFrame) -> DataFrame:
+    """Per symbol and bucket of raw score (60, 70, 80 and 90 upwards; ``80+`` for all from 80): hits, invalidations, moves, accuracies and returns.
 
-    one = met.select(*cols).groupBy("symbol", "anchor_id").applyInPandas(thin, schema)
-    rank = F.row_number().over(Window.partitionBy("symbol", "anchor_id").orderBy(F.desc("score"), "center", "mid"))
-    return one.withColumn("rank", rank).withColumn("default_visible", (F.col("rank") <= conf.visible) & (F.col("score") >= 65)).drop("tol")
+    ``monotonic`` tells whether the accuracy after five bars never falls from one of a symbol's four buckets to the next.
+    """
+    s = F.col("raw_score")
+    own = F.when(s >= 90, "90+").when(s >= 80, "80~90").when(s >= 70, "70~80").otherwise("60~70")
+    x = events.withColumn("bucket", F.explode(F.filter(F.array(own, F.when(s >= 80, "80+")), lambda k: k.isNotNull())))
+    rate = lambda c: F.round(F.avg(c.cast("double")) * 100, 1)
+    g = x.groupBy("symbol", "bucket").agg(
+        F.count(F.lit(1)).alias("samples"), rate(F.col("target_hit")).alias("target_hit_rate"), rate(F.col("invalidated")).alias("invalidation_rate"),
+        F.round(F.percentile("mfe_atr", 0.5), 3).alias("median_mfe_atr"), F.round(F.percentile("mae_atr", 0.5), 3).alias("median_mae_atr"),
+        *[rate(F.col(f"return_{h}") > 0).alias(f"accuracy_{h}") for h in RETURNS], *[rate(F.col(f"correct_{h}")).alias(f"correct_{h}") for h in RETURNS],
+        *[F.round(F.percentile(f"return_{h}", 0.5) * 100, 3).alias(f"median_return_{h}") for h in RETURNS],
+    )
+    # the bucket of all from 80 stands outside the order
+    w = Window.partitionBy("symbol", F.col("bucket") == "80+").orderBy("bucket")
+    rises = F.when(F.col("bucket") != "80+", F.coalesce(F.col("accuracy_5") >= F.lag("accuracy_5").over(w), F.lit(True)))
+    return g.withColumn("__r", rises).withColumn("monotonic", F.min("__r").over(Window.partitionBy("symbol"))).drop("__r")
 
 
 def scenarios(bars: DataFrame, horizontal: DataFrame | None = None, conf: Config = Config(), higher: DataFrame | None = None, horizon: int = 12, cap: int = CAP, parts: Parts | None = None) -> DataFrame:
@@ -351,7 +483,7 @@ def scenarios(bars: DataFrame, horizontal: DataFrame | None = None, conf: Config
     parts = parts or prepare(bars, conf)
     c = F.col
     lines = fan(bars, conf, horizon, parts).groupBy("symbol", "anchor_id", "direction", "score", "state").agg(F.max(F.when(c("angle") == "1x1", c("current_price"))).alias("one"), F.max(F.when(c("angle") == "1x2", c("current_price"))).alias("slow"))
-    f = lines.join(parts.active.select("symbol", "anchor_id", "atr"), ["symbol", "anchor_id"]).withColumn("sign", F.when(c("direction") == "up", 1).otherwise(-1))
+    f = lines.join(parts.view.select("symbol", "anchor_id", "atr"), ["symbol", "anchor_id"]).withColumn("sign", F.when(c("direction") == "up", 1).otherwise(-1))
     slim = f.select("symbol", "anchor_id", "one", "sign")
     found = price_levels(bars, horizontal, conf, parts)
     beyond = lambda x: (c(x) - c("one")) * c("sign") > 0
@@ -362,7 +494,7 @@ def scenarios(bars: DataFrame, horizontal: DataFrame | None = None, conf: Config
     met = met.groupBy("symbol", "anchor_id").agg(F.slice(best, 1, 3).alias("strong"), F.min_by(pair, "rank").alias("any"))
     level = found.join(slim, ["symbol", "anchor_id"]).filter(beyond("level")).groupBy("symbol", "anchor_id").agg(F.min_by("level", F.abs(c("level") - c("one"))).alias("level"))
     windows = time_windows(bars, price_zones(found, conf), higher, conf, cap, parts)
-    w = F.struct("center", "start", "end", c("score"))
+    w = F.struct("center", "start", "end", c("score"), "start_time", "center_time", "end_time")
     windows = windows.groupBy("symbol", "anchor_id").agg(F.slice(F.array_sort(F.collect_list(F.when(c("score") >= 55, w))), 1, 2).alias("shown"), F.max_by(w, F.struct("score", -c("center"))).alias("most"))
     g = f.join(met, ["symbol", "anchor_id"], "left").join(level, ["symbol", "anchor_id"], "left").join(windows, ["symbol", "anchor_id"], "left")
     around = lambda x: F.array(F.round(x - c("atr") * 0.25, 6), F.round(x + c("atr") * 0.25, 6))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeworks.functions.windows import lead
 from tapeworks.operators import backtest as bt
 from tapeworks.operators import charts, decision, factors, gann, indicators, levels, research, signals, wave, wyckoff
-from tapeworks.plans import gann_sql, level_sql, wave_sql
+from tapeworks.plans import gann_sql, gann_zones_sql, level_sql, wave_sql
 from tapeworks.plans.sql import FACTORS, NAMES, r6, upto
 from tapeworks.sources import bars as src
 from tapeworks.sources import catalog
@@ -312,8 +312,10 @@ _rows("gann_calibration", lambda b: gann.calibrate(b), gann_sql.CALIBRATION)
 _rows("gann_fan", lambda b: gann.fan(b), gann_sql.FAN)
 _rows("gann_price_zones", lambda b: bt.rounded(gann.price_zones(gann.price_levels(b, levels.nearest_levels(b))).withColumn("sources", F.array_join("sources", ","))), gann_sql.ZONES)
 _rows("gann_cycles", lambda b: gann.base_cycles(b), gann_sql.CYCLES)
-_gann("gann_time_windows", lambda b, p, h: gann.time_windows(b, gann.price_zones(gann.price_levels(b, levels.nearest_levels(b), parts=p)), h, parts=p))
-_gann("gann_confluence", lambda b, p, h: gann.confluence(b, levels.nearest_levels(b), higher=h, parts=p))
+_gann("gann_time_windows", lambda b, p, h: gann.time_windows(b, gann.price_zones(gann.price_levels(b, levels.nearest_levels(b), parts=p)), h, parts=p), gann_zones_sql.WINDOWS)
+_gann("gann_confluence", lambda b, p, h: gann.confluence(b, levels.nearest_levels(b), higher=h, parts=p), gann_zones_sql.CONFLUENCE)
+_rows("gann_confluence_events", lambda b: gann.confluence_events(b), gann_zones_sql.EVENTS)
+_rows("gann_confluence_study", lambda b: gann.confluence_study(gann.confluence_events(b)), gann_zones_sql.STUDY)
 _gann("gann_scenarios", lambda b, p, h: gann.scenarios(b, levels.nearest_levels(b), higher=h, parts=p))
 _gann("gann_snapshots", lambda b, p, h: gann.snapshots(gann.scenarios(b, levels.nearest_levels(b), higher=h, parts=p)))
 _rows("chart_ranges", lambda b: charts.default_ranges(b), level_sql.CHART_RANGES)

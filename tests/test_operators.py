@@ -175,7 +175,7 @@ def test_gann_pivots_never_move(spark):
 def test_gann_higher_timeframe_and_targets(spark):
     b = indicators.add_indicators(frame(spark, 320)).cache()
     parts = gann.prepare(b)
-    ways = {r["anchor_id"]: (r["direction"], r["position"], r["atr"], r["price"]) for r in parts.active.collect()}
+    ways = {r["anchor_id"]: (r["direction"], r["position"], r["atr"], r["price"]) for r in parts.view.collect()}
     assert ways
     window = lambda h: {(r["anchor_id"], r["center"]): (r["score"], r["cycles"]) for r in gann.time_windows(b, None, h, parts=parts).collect()}
     plain, up = window(None), window(spark.createDataFrame([(b.first()["symbol"], "up")], "symbol string, direction string"))
@@ -205,9 +205,63 @@ def test_gann_higher_timeframe_and_targets(spark):
     parts.release()
 
 
+def test_confluence_replay_equals_one_run_per_prefix(spark):
+    """Every anchor's zones, from one pass over 300 bars, are those of a run that ends at its confirmation."""
+    b = indicators.add_indicators(frame(spark, 300)).cache()
+    parts = gann.replay(b)
+    z = gann.price_zones(gann.price_levels(b, parts=parts)).withColumnRenamed("rank", "zone_rank")
+    names = ("anchor_id", "angle", "center", "mid", "zone_low", "zone_high", "raw_score", "score", "type", "start_bar")
+    at = {r["anchor_id"]: r["confirm"] for r in parts.view.collect()}
+    got = {}
+    for r in gann.meetings(gann.time_windows(b, parts=parts), z, None, gann.Config(), parts).collect():
+        got.setdefault(r["anchor_id"], set()).add(tuple(r[n] for n in names))
+    # prefixes as symbols of their own; an anchor's identity holds its symbol, so that they are told apart by their confirmation
+    ends = sorted(set(at.values()))
+    cut = spark.createDataFrame([(e,) for e in ends], "end int")
+    prefixes = b.crossJoin(cut).filter("pos <= end").withColumn("symbol", F.concat_ws("@", "symbol", "end")).drop("end")
+    many = gann.prepare(prefixes)
+    own = {(r["symbol"], r["anchor_id"]): r["confirm"] for r in many.view.collect()}
+    zones = gann.price_zones(gann.price_levels(prefixes, parts=many)).withColumnRenamed("rank", "zone_rank")
+    want = {}
+    for r in gann.meetings(gann.time_windows(prefixes, parts=many), zones, None, gann.Config(), many).collect():
+        end = int(r["symbol"].split("@")[1])
+        if own[r["symbol"], r["anchor_id"]] == end:
+            want.setdefault(end, set()).add(tuple(r[n] for n in names if n != "anchor_id"))
+    assert sum(map(len, got.values())) > 50
+    assert {at[k]: {x[1:] for x in v} for k, v in got.items()} == want
+    events = gann.confluence_events(b, parts=parts).collect()
+    bars = {r["pos"]: r for r in b.select("pos", "close", "high", "low").collect()}
+    assert events and all(r["raw_score"] >= 60 for r in events)
+    for r in events:
+        sign, here = 1 if r["direction"] == "up" else -1, bars[r["pos"]]["close"]
+        assert r["return_5"] == pytest.approx((bars[r["pos"] + 5]["close"] / here - 1) * sign, abs=1e-6)
+    study = gann.confluence_study(gann.confluence_events(b, parts=parts)).collect()
+    assert sum(r["samples"] for r in study if r["bucket"] != "80+") == len(events)
+
+
+def test_times_of_future_bars(spark):
+    day = lambda y, m, d, h=0: dt.datetime(y, m, d, h)
+    rows = [
+        ("daily", day(2024, 3, 8, 15), 1, day(2024, 3, 11, 15)), ("daily", day(2024, 3, 8), 6, day(2024, 3, 18)), ("daily", day(2024, 3, 9), 1, day(2024, 3, 11)), ("daily", day(2024, 3, 10), 5, day(2024, 3, 15)), ("daily", day(2024, 3, 6), 13, day(2024, 3, 25)),
+        ("weekly", day(2024, 3, 8), 3, day(2024, 3, 29)), ("monthly", day(2024, 1, 30), 1, day(2024, 1, 31)), ("monthly", day(2024, 1, 31), 1, day(2024, 2, 29)), ("monthly", day(2023, 12, 5), 3, day(2024, 2, 29)),
+        ("60m", day(2024, 3, 8, 23), 2, day(2024, 3, 9, 1)), ("15m", day(2024, 3, 8), 4, day(2024, 3, 8, 1)), ("other", day(2024, 2, 28), 2, day(2024, 3, 1)),
+    ]
+    df = spark.createDataFrame(rows, "period string, latest timestamp_ntz, ahead int, want timestamp_ntz")
+    for period in {r[0] for r in rows}:
+        for r in df.filter(F.col("period") == period).withColumn("got", gann.future_time(F.col("latest"), F.col("ahead"), period)).collect():
+            assert r["got"] == r["want"], r
+
+
+def test_tenths_round_as_python_does(spark):
+    g = np.random.default_rng(4)
+    xs = [float(x) for x in np.concatenate([g.integers(2000, 20000, 3000) * 0.005, g.random(500) * 90 + 9])]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert all(r["y"] == round(r["x"], 1) for r in df.withColumn("y", gann.tenths(F.col("x"))).collect())
+
+
 def test_gann_on_an_empty_table(spark):
     b = indicators.add_indicators(frame(spark, 40).limit(0))
-    for build in (gann.time_windows, gann.confluence, gann.scenarios, gann.angle_events, wave.current, wyckoff.current):
+    for build in (gann.time_windows, gann.confluence, gann.scenarios, gann.angle_events, gann.confluence_events, wave.current, wyckoff.current):
         assert build(b).count() == 0
 
 
