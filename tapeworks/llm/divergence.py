@@ -23,58 +23,76 @@ from pyspark.sql.window import Window
 from tapeworks.llm.common import bounded, discard, in_worker, materialize, no_cycle_search, slices
 
 #: Entries that a task sums up before it passes them on; terms of a chunk, chunks of a band, sources of a block.
-ENTRIES, CHUNK, BAND, BLOCK = 600_000, 4096, 64, 32
+ENTRIES, CHUNK, BAND, BLOCK = 1_000_000, 4096, 64, 32
 SCALE = 1_000_000_000
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: A term in UTF-8, A-Z lower-cased: bytes beyond ASCII belong to characters beyond it.
+TERM = re.compile(rb"[a-z\x80-\xFF]+")
+
+
+class Sums:
+    """Occurrences and documents of each term by language and source."""
+
+    def __init__(self) -> None:
+        self.of: dict[str, dict[str, tuple[Counter, Counter]]] = defaultdict(lambda: defaultdict(lambda: (Counter(), Counter())))
+
+    def add(self, lang: str, source: str, text: bytes) -> None:
+        n, df = self.of[lang][source]
+        found = TERM.findall(text.lower())  # of bytes: A-Z only
+        n.update(found)
+        df.update(iter(dict.fromkeys(found)))  # in the same order, so that both keep their terms in one order
+
+    def entries(self) -> int:
+        return sum(len(n) for sources in self.of.values() for n, _ in sources.values())
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """A row per language and term, with lists of the sources that have it."""
+        for lang, sources in self.of.items():
+            at: dict[bytes, int] = {}
+            rows, source_no, n, df = [], [], [], []
+            for k, (counted, docs) in enumerate(sources.values()):
+                rows += [at.setdefault(t, len(at)) for t in counted]
+                source_no.append(np.full(len(counted), k, np.int32))
+                n += counted.values()
+                df += docs.values()
+            order = np.argsort(np.array(rows, np.int64), kind="stable")
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(np.array(rows, np.int64), minlength=len(at)))]).astype(np.int32)
+            columns = [pa.array(list(sources), pa.string()).take(pa.array(np.concatenate(source_no)[order])), pa.array(np.array(n, np.int64)[order]), pa.array(np.array(df, np.int64)[order])]
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), c) for c in columns]
+            terms = pa.array(list(at), pa.binary()).view(pa.string())
+            whole = pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(at)), terms, *lists], names=["lang", "term", "source", "n", "df"])
+            yield from slices(iter([whole]), 20_000)
+        self.of.clear()
 
 
 def term_counts(docs: DataFrame, lang_col: str, source_col: str, text_col: str) -> DataFrame:
-    """(lang, source, term, n, df): occurrences and documents; each group also has a row with the term null, so that none is lost."""
+    """(lang, term, source, n, df) per task, the last three as arrays; a language's row with the term null lists all its sources, so that none is lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        docs_of: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        groups: set[tuple[str, str]] = set()
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            types = [pa.string()] * 3 + [pa.int64()] * 2
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["lang", "source", "term", "n", "df"])
-
-        def summed() -> Iterator[pa.RecordBatch]:
-            rows = []
-            for group, terms in counts.items():
-                df = docs_of[group]
-                for term, n in terms.items():
-                    rows.append((*group, term, n, df[term]))
-                    if len(rows) == 20_000:
-                        yield batch(rows)
-                        rows = []
-            if rows:
-                yield batch(rows)
-            counts.clear()
-            docs_of.clear()
-
+        sums, groups = Sums(), defaultdict(set)
         for b in slices(batches, 200):
             with no_cycle_search():
                 for lang, source, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    groups.add((lang, source))
-                    found = Counter(TERM.findall(text.translate(LOWER)))
-                    counts[lang, source].update(found)
-                    docs_of[lang, source].update(found.keys())
-            if sum(map(len, counts.values())) > ENTRIES:
-                yield from summed()
-        yield from summed()
+                    groups[lang].add(source)
+                    sums.add(lang, source, text)
+            if sums.entries() > ENTRIES:
+                yield from sums.batches()
+        yield from sums.batches()
         if groups:
-            yield batch([(*g, None, 0, 0) for g in sorted(groups)])
+            sources = [sorted(s) for s in groups.values()]
+            zeros = [[0] * len(s) for s in sources]
+            types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            columns = [list(groups), [None] * len(groups), sources, zeros, zeros]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=["lang", "term", "source", "n", "df"])
 
-    return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang_col, source_col, text_col))).toDF("lang", "source", "text").mapInArrow(in_worker(run), "lang string, source string, term string, n bigint, df bigint")
+    lang, source, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang_col, source_col, text_col))
+    return docs.select(lang.alias("lang"), source.alias("source"), text.cast("binary").alias("text")).mapInArrow(in_worker(run), "lang string, term string, source array<string>, n array<bigint>, df array<bigint>")
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:
-    """1 + floor(SCALE * (n + 1) / (total + kept)), in whole numbers of up to 38 digits."""
-    wide = (n + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)")
-    return F.lit(1) + F.call_function("div", wide, (total + kept).cast("decimal(20,0)")).cast("long")
+    """1 + floor(SCALE * (n + 1) / (total + kept)), in whole numbers: of 64 bits while they hold the product, else of up to 38 digits."""
+    size = total + kept
+    wide = F.call_function("div", (n + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)"), size.cast("decimal(20,0)")).cast("long")
+    return F.lit(1) + F.when(n < 9_000_000_000, F.call_function("div", (n + 1) * F.lit(SCALE).cast("long"), size)).otherwise(wide)
 
 
 def excess(p: Column, q: Column) -> Column:
@@ -186,13 +204,16 @@ def audit(docs: DataFrame, least_docs: int = 3, top_terms: int = 200, lang_col:
     item by its UTF-8 bytes. Null texts, languages and sources are ''; a source without any kept term is compared like
     all others; ids and other columns play no part; an empty table gives an empty result.
     """
-    cells = term_counts(bounded(docs), lang_col, source_col, text_col).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
-    cells = materialize(cells, "divergence-cells")
-    kept = cells.filter("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("in_lang"), F.sum("df").alias("df")).filter(F.col("df") >= least_docs)
-    kept = materialize(kept.select("lang", "term", "in_lang"), "divergence-kept")
+    # everything about a term of a language meets in one place: counts by source, then the language's sums over them
+    parts = term_counts(bounded(docs), lang_col, source_col, text_col).repartition("lang", "term")
+    each = parts.select("lang", "term", F.explode(F.arrays_zip("source", "n", "df")).alias("e")).select("lang", "term", "e.*")
+    cells = each.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    term = Window.partitionBy("lang", "term")
+    cells = cells.withColumns({"in_lang": F.sum("n").over(term), "df": F.sum("df").over(term), "first": F.row_number().over(term.orderBy("source")) == 1})
+    cells = materialize(cells.filter(F.col("term").isNull() | (F.col("df") >= least_docs)).drop("df"), "divergence-cells")
+    own = cells.filter("term is not null").select("lang", "source", "term", "n", "in_lang")
+    kept = cells.filter("term is not null and first").select("lang", "term", "in_lang")
     chunks = max(1, -(-kept.count() // chunk_terms))
-    own = cells.filter("term is not null").select("lang", "source", "term", "n").join(kept, ["lang", "term"])
-    own = materialize(own, "divergence-own")
 
     # one row per source or language
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("in_lang").alias("lang_n"))
@@ -203,16 +224,15 @@ def audit(docs: DataFrame, least_docs: int = 3, top_terms: int = 200, lang_col:
 
     met = own.join(groups, ["lang", "source"])
     p, q = share(F.col("n"), F.col("total"), F.col("v")), share(F.col("in_lang"), F.col("lang_n"), F.col("v"))
-    terms = met.filter("n > 0").select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).filter("p > q")
+    terms = met.select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).filter("p > q")
     terms = terms.select("lang", "source", F.lit("term").alias("part"), "item", excess(F.col("p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     terms = terms.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_terms)
 
-    # places of terms in their chunk, which holds about chunk_terms of all languages
+    # a term's place in its chunk, which holds about chunk_terms of all languages; the chunk's counts then meet where they are
     chunk = F.pmod(F.xxhash64("lang", "term"), F.lit(chunks)).cast("int")
-    numbered = kept.select("lang", "term", chunk.alias("chunk"))
-    numbered = numbered.withColumn("place", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1)
-    packed = own.join(numbered, ["lang", "term"]).groupBy("lang", "source", "chunk").agg(F.collect_list(F.struct("place", "n")).alias("terms"))
+    placed = own.select("lang", "source", chunk.alias("chunk"), F.dense_rank().over(Window.partitionBy("lang", chunk).orderBy("term")).alias("place"), "n")
+    packed = placed.groupBy("lang", "source", "chunk").agg(F.collect_list(F.struct("place", "n")).alias("terms"))
     packed = packed.join(groups.select("lang", "source", "g", "blocks"), ["lang", "source"])
     packed = packed.select("lang", "g", "blocks", "chunk", F.lit(None).cast("long").alias("size"), F.col("terms.place").alias("places"), F.col("terms.n").alias("counts"))
     none = [F.lit(None).cast("array<int>").alias("places"), F.lit(None).cast("array<bigint>").alias("counts")]
@@ -235,5 +255,5 @@ def audit(docs: DataFrame, least_docs: int = 3, top_terms: int = 200, lang_col:
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", (F.col("value") + (F.col("v") - F.col("visited")) * rest).alias("value"))
     pairs = pairs.withColumn("rank", F.row_number().over(order))
     done = materialize(pairs.unionByName(terms).select("lang", "source", "part", "item", "value", "rank"), "divergence")
-    discard(cells, kept, own, groups)
+    discard(cells, groups)
     return done
