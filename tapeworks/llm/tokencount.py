@@ -12,7 +12,7 @@ frequencies, and a pre-token has one entry per block at most, however many docum
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,19 +137,37 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # sorted by word: all entries of a word follow each other, so that it is counted once
-        cut, last, n = Pretokens(path), None, 0
+        cut, last, n, held = Pretokens(path), None, 0, 0
+        of: dict[int, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
+
+        def packed() -> pa.RecordBatch:
+            rows = []
+            for block, (at, counts) in of.items():
+                at = np.array(at, np.int64)
+                order = np.argsort(at)
+                rows.append((block, pack_numbers(np.diff(at[order], prepend=0)), pack_numbers(np.array(counts, np.int64)[order])))
+            of.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "at", "n"])
+
         for b in slices(batches, 20_000):
-            counts = []
-            for w in b.column(0).to_pylist():
+            for w, block, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if w != last:
                     last, n = w, cut.count(w)
+                places, counts = of[block]
+                places.append(at)
                 counts.append(n)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(counts, pa.int32())], names=["block", "at", "n"])
+            held += b.num_rows
+            if held > 500_000:
+                yield packed()
+                held = 0
+        if of:
+            yield packed()
 
     def summed(rows: pa.Table, counts: pa.Table) -> pa.Table:
-        at = counts.column("at").to_numpy()
-        of = np.zeros(at.max() + 1 if len(at) else 0, np.int64)
-        of[at] = counts.column("n").to_numpy()
+        parts = [(np.cumsum(unpack_numbers(at)), unpack_numbers(n)) for at, n in zip(counts.column("at").to_pylist(), counts.column("n").to_pylist(), strict=True)]
+        of = np.zeros(max((int(at[-1]) for at, _ in parts), default=-1) + 1, np.int64)
+        for at, n in parts:
+            of[at] = n
         tokens = []
         for places, freqs, special in zip(*(rows.column(c).to_pylist() for c in ("places", "freqs", "n_special")), strict=True):
             tokens.append(special + int(of[np.cumsum(unpack_numbers(places))] @ unpack_numbers(freqs)))
@@ -159,7 +177,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     schema = f"block bigint, id {kind}, n_bytes bigint, n_special bigint, places binary, freqs binary, word string, at int"
     both = materialize(made.mapInArrow(in_worker(first_pass), schema), "tokencount-blocks")
     entries = both.filter("word is not null").select("word", "block", "at")
-    counts = entries.repartition("word").sortWithinPartitions("word").mapInArrow(in_worker(pieces), "block bigint, at int, n int")
+    counts = entries.repartition("word").sortWithinPartitions("word").mapInArrow(in_worker(pieces), "block bigint, at binary, n binary")
     rows = both.filter("word is null").select("block", "id", "n_bytes", "n_special", "places", "freqs")
     out = rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(summed, f"id {kind}, n_bytes bigint, n_tokens bigint")
     done = materialize(out, "tokencount")
