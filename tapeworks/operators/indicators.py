@@ -46,9 +46,12 @@ def volume_ratio(n: int = 5) -> Column:
     return ratio(F.col("volume"), full(F.avg, F.col("volume"), n, ago=1))
 
 
-def smoothed(x: np.ndarray, alpha: float, least: int) -> np.ndarray:
-    """Exponential mean: starts at the first value; a missing value keeps the mean but ages its weight; null until ``least`` values."""
-    out, mean, weight, seen = np.full(len(x), np.nan), np.nan, 1.0, 0
+def smoothed(x: np.ndarray, alpha: float, least: int, state: tuple[float, float, int] | None = None) -> np.ndarray:
+    """Exponential mean: starts at the first value; a missing value keeps the mean but ages its weight; null until ``least`` values.
+
+    ``state`` (mean, weight, values seen) is what earlier values have left.
+    """
+    out, (mean, weight, seen) = np.full(len(x), np.nan), state or (np.nan, 1.0, 0)
     for i, v in enumerate(x):
         if v == v:
             mean = v if seen == 0 else (weight * mean + alpha * v) / (weight + alpha)
@@ -60,25 +63,36 @@ def smoothed(x: np.ndarray, alpha: float, least: int) -> np.ndarray:
     return out
 
 
-def _rsi(change: np.ndarray, n: int) -> np.ndarray:
-    up, down = smoothed(np.where(change > 0, change, np.where(change == change, 0, np.nan)), 1 / n, n), smoothed(np.where(change < 0, -change, np.where(change == change, 0, np.nan)), 1 / n, n)
+def relative_strength(up: np.ndarray, down: np.ndarray) -> np.ndarray:
     with np.errstate(all="ignore"):
         r = 100 - 100 / (1 + up / np.where(down == 0, np.nan, down))
     r = np.where((down == 0) & (up > 0), 100.0, r)
     return np.where((down == 0) & (up == 0), 50.0, r)
 
 
-def _kdj(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ks, ds = np.full(len(close), np.nan), np.full(len(close), np.nan)
-    k = d = 50.0
+def _rsi(change: np.ndarray, n: int) -> np.ndarray:
+    known = change == change
+    return relative_strength(smoothed(np.where(change > 0, change, np.where(known, 0, np.nan)), 1 / n, n), smoothed(np.where(change < 0, -change, np.where(known, 0, np.nan)), 1 / n, n))
+
+
+def stochastic_raw(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 9) -> np.ndarray:
+    """The close's place between the lowest and the highest price of ``n`` bars, in percent; 50 where these are equal."""
+    out = np.full(len(close), np.nan)
     for i in range(n - 1, len(close)):
         top, bottom = high[i - n + 1 : i + 1].max(), low[i - n + 1 : i + 1].min()
-        raw = 50.0 if top == bottom else (close[i] - bottom) / (top - bottom) * 100
-        if raw == raw:
-            k += (raw - k) / 3
+        out[i] = 50.0 if top == bottom else (close[i] - bottom) / (top - bottom) * 100
+    return out
+
+
+def stochastic(raw: np.ndarray, k: float = 50.0, d: float = 50.0) -> np.ndarray:
+    """The lines K and D as two columns; a missing place leaves both as they are and has none."""
+    out = np.full((len(raw), 2), np.nan)
+    for i, v in enumerate(raw):
+        if v == v:
+            k += (v - k) / 3
             d += (k - d) / 3
-            ks[i], ds[i] = k, d
-    return ks, ds, 3 * ks - 2 * ds
+            out[i] = k, d
+    return out
 
 
 def _recursive(bars: pd.DataFrame) -> pd.DataFrame:
@@ -90,7 +104,8 @@ def _recursive(bars: pd.DataFrame) -> pd.DataFrame:
     out["MACD"] = 2 * (out["DIF"] - out["DEA"])
     for n in (6, 12, 24):
         out[f"RSI{n}"] = _rsi(c - before, n)
-    out["K"], out["D"], out["J"] = _kdj(h, lo, c)
+    out["K"], out["D"] = stochastic(stochastic_raw(h, lo, c)).T
+    out["J"] = 3 * out["K"] - 2 * out["D"]
     tr = np.fmax(h - lo, np.fmax(np.abs(h - before), np.abs(lo - before)))
     out["ATR14"] = smoothed(tr, 1 / 14, 14)
     up, down = h - np.r_[np.nan, h[:-1]], np.r_[np.nan, lo[:-1]] - lo
@@ -103,7 +118,7 @@ def _recursive(bars: pd.DataFrame) -> pd.DataFrame:
 
 
 def recursive(bars: DataFrame) -> DataFrame:
-    """``bars`` with the recursive columns: one group and one pass per symbol, whose bars are bounded by its history."""
+    """``bars`` with the recursive columns: one group and one pass per symbol; ``scan.recursive`` spreads a long symbol over many tasks."""
     schema = T.StructType([*bars.schema.fields, *[T.StructField(c, T.DoubleType()) for c in RECURSIVE]])
     done = bars.groupBy("symbol").applyInPandas(_recursive, schema)
     return done.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in RECURSIVE})
@@ -134,4 +149,4 @@ def add_indicators(bars: DataFrame, ma_periods: tuple[int, ...] = MA_PERIODS) ->
     return out.withColumn("OBV", F.sum("__obv").over(running)).drop("__obv")
 
 
-__all__ = ["MA_PERIODS", "RECURSIVE", "add_indicators", "bollinger", "ema", "obv", "recursive", "sma", "smoothed", "trailing", "true_range", "volume_ratio"]
+__all__ = ["MA_PERIODS", "RECURSIVE", "add_indicators", "bollinger", "ema", "obv", "recursive", "relative_strength", "sma", "smoothed", "stochastic", "stochastic_raw", "trailing", "true_range", "volume_ratio"]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeworks.operators import backtest as bt
-from tapeworks.operators import factors, gann, indicators, levels, research, signals, wave, wyckoff
+from tapeworks.operators import factors, gann, indicators, levels, research, scan, signals, wave, wyckoff
 from tapeworks.operators.indicators import smoothed
 from tapeworks.sources.bars import event_bars, with_pos
 
@@ -52,6 +52,35 @@ def test_warm_up(spark):
         indicators.add_indicators(frame(spark).drop("close"))
 
 
+def test_scan_equals_the_single_pass(spark):
+    """Blocks of some bars, with missing prices, flat stretches and series shorter than a block or than any warm-up."""
+    g = np.random.default_rng(7)
+    rows = []
+    for s, n in (("long", 700), ("short", 30), ("tiny", 5), ("even", 128)):
+        c = 50.0
+        for i in range(n):
+            c += 0.0 if 200 <= i < 260 else float(g.standard_normal())
+            gap = s == "long" and (g.random() < 0.05 or 300 <= i < 360)
+            o, spread = c, 0.0 if 200 <= i < 260 else 0.3
+            rows.append((s, dt.datetime(2024, 1, 2) + dt.timedelta(days=i), o, *((None,) * 3 if gap else (c + spread, c - spread, c)), 1.0, c, i))
+    b = spark.createDataFrame(rows, SCHEMA + ", pos int")
+    key = lambda df: {(r["symbol"], r["pos"]): [r[c] for c in indicators.RECURSIVE] for r in df.collect()}
+    want = key(indicators.recursive(b))
+    for block in (9, 32, 64, 1000):
+        got = key(scan.recursive(b, block))
+        assert set(got) == set(want)
+        for k, values in want.items():
+            for c, x, y in zip(indicators.RECURSIVE, values, got[k], strict=True):
+                assert (x is None) == (y is None) and (x is None or abs(x - y) <= 1e-9 * max(1.0, abs(x))), (block, k, c, x, y)
+    assert scan.recursive(b.limit(0)).count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would put so few bars into one task
+    tasks = scan.recursive(b.filter("symbol = 'long'"), 32).select(F.spark_partition_id().alias("p")).distinct().count()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks > 1, "one symbol stays in one task"
+    with pytest.raises(ValueError):
+        scan.recursive(b, 8)
+
+
 def test_exponential_mean_with_gaps():
     import pandas as pd
 
