@@ -10,11 +10,14 @@ memory and searches them in order, so that it touches only pages that it needs;
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import shutil
 import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.llm.common import bounded, discard, in_worker, materialize, no_cycle_search, remove, shared_folder, slices
-from tapeworks.llm.pretokens import Pretokens
+from tapeworks.llm.pretokens import LETTERS, MARKS, Pretokens
 
 #: Different keys that a task holds before it passes its partial counts on, and those of a shard.
 HELD, SHARD = 4_000_000, 2_000_000
@@ -36,75 +39,88 @@ class Pair:
     pieces too if no piece has a space behind another character; so that both may encode chunks one by one.
     """
 
-    def __init__(self, path_a: str, path_b: str, most: int = 160 << 20):
+    def __init__(self, path_a: str, path_b: str, most: int = 200 << 20):
         import sentencepiece
 
         self.cut = Pretokens(path_a)
+        self.cut.tok.encode_special_tokens = True  # their strings are plain text here
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         back = {c: i for i, c in enumerate(self.cut.chars)}
         vocab = self.cut.tok.get_vocab(with_added_tokens=False)
-        self.a_len = np.zeros(max(vocab.values()) + 1, np.int64)
-        self.a_bytes = [b""] * len(self.a_len)
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
         for piece, i in vocab.items():
             self.a_bytes[i] = bytes(back[c] for c in piece)
-            self.a_len[i] = len(piece)
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             if "▁" in piece.lstrip("▁"):
                 raise ValueError("pieces of the second tokenizer reach over spaces")
             self.b_bytes.append(bytes([int(piece[1:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
-        self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
         self.space = self.b.piece_to_id("▁")
         if self.b.decode(self.b.encode("a  b ")) != "a  b " or self.b.encode("a")[:1] == self.b.encode(" a")[:1]:
             raise ValueError("the second tokenizer changes white space")
+        # where no piece holds a letter before a mark, a word and the mark behind it are encoded apart
+        joins = re.compile(f"[{LETTERS}][{re.escape(MARKS)}]").search
+        separable = not any(joins(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
+        self.marks = {c: (self.cut.ids(c), self.b.encode("a" + c)[len(self.b.encode("a")) :]) for c in MARKS} if separable else {}
+        # an id as text, with what follows it: within a group, and at a group's end
+        self.a_text, self.b_text = (np.array([f"{i}," for i in range(n)] + [f"{i}{end}" for i in range(n)], object) for n, end in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";")))
+        self.a_len, self.b_len = (np.array([len(x) for x in of], np.int64) for of in (self.a_bytes, self.b_bytes))
         self.most, self.held = most, 0
-        self.ids: dict[str, list[int]] = {}
         #: chunk -> A's tokens, B's tokens, groups as a string, keys of the links in order; None where bytes differ
-        self.chunks: dict[str, tuple[int, int, str, np.ndarray] | None] = {}
-
-    def a_ids(self, chunk: str) -> list[int]:
-        out = []
-        for p in self.cut.cut(chunk):
-            if (ids := self.ids.get(p)) is None:
-                ids = self.ids[p] = self.cut.ids(p)
-            out += ids
-        return out
-
-    def align(self, chunk: str, a: list[int], b: list[int]) -> tuple[int, int, str, np.ndarray] | None:
-        raw = chunk.encode("utf-8", "replace")
-        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
-            return None
-        groups, keys, i, j, at_a, at_b, from_a, from_b = [], [], 0, 0, 0, 0, 0, 0
-        a_len, b_len = self.a_len, self.b_len
-        while i < len(a):
-            # no token is empty: the side that is behind takes its next one
-            if at_a <= at_b:
-                at_a += int(a_len[a[i]])
-                i += 1
-            while at_b < at_a:
-                at_b += int(b_len[b[j]])
-                j += 1
-            if at_a == at_b:
-                groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                keys.append(a[i - 1] << 32 | b[j - 1])
-                from_a, from_b = i, j
-        return len(a), len(b), ";".join(groups), np.array(keys, np.int64)
+        self.chunks: dict[str, tuple[int, int, str, tuple[int, ...]] | None] = {}
+
+    def align(self, chunks: list[str], a: list[list[int]], b: list[list[int]]) -> Iterator[tuple[int, int, str, tuple[int, ...]] | None]:
+        """Each chunk's alignment, from arrays over all of them: where ends of both sides fall together in their joined bytes."""
+        raws = [c.encode("utf-8", "replace") for c in chunks]
+        good = [b"".join([self.a_bytes[i] for i in x]) == raw == b"".join([self.b_bytes[i] for i in y]) for raw, x, y in zip(raws, a, b, strict=True)]
+        a, b = [x for x, g in zip(a, good, strict=True) if g], [x for x, g in zip(b, good, strict=True) if g]
+        if not a:
+            yield from (None for _ in chunks)
+            return
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+        ends_a, ends_b = np.cumsum(self.a_len[flat_a]), np.cumsum(self.b_len[flat_b])
+        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)  # no token is empty
+        of_a, of_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        last_a, last_b = shared[of_a] == ends_a, shared[of_b] == ends_b
+        keys = (flat_a[last_a] << 32 | flat_b[last_b]).tolist()
+        text = np.concatenate([self.a_text[flat_a + last_a * len(self.a_len)], self.b_text[flat_b + last_b * len(self.b_len)]])
+        text = text[np.argsort(np.concatenate([2 * of_a, 2 * of_b + 1]), kind="stable")].tolist()
+        tokens = np.cumsum([len(x) + len(y) for x, y in zip(a, b, strict=True)]).tolist()
+        groups = (np.searchsorted(shared, ends_a[np.cumsum([len(x) for x in a]) - 1]) + 1).tolist()
+        k = from_token = from_group = 0
+        for g in good:
+            if not g:
+                yield None
+                continue
+            yield len(a[k]), len(b[k]), "".join(text[from_token : tokens[k]])[:-1], tuple(keys[from_group : groups[k]])
+            from_token, from_group, k = tokens[k], groups[k], k + 1
 
     def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.chunks]
-        # a chunk of n characters, its ids, groups and keys take about 600 + 16 n bytes
-        size = 600 * len(new) + 16 * sum(map(len, new))
-        if self.chunks and self.held + size > self.most:
-            self.chunks.clear()
-            self.ids.clear()
+        known = self.chunks
+        new = [c for c in chunks if c not in known]
+        # a chunk of n characters, its ids, groups and keys take about 500 + 16 n bytes
+        size = 500 * len(new) + 16 * sum(map(len, new))
+        if known and self.held + size > self.most:
+            known.clear()
             self.held, new = 0, list(chunks)
-            size = 600 * len(new) + 16 * sum(map(len, new))
+            size = 500 * len(new) + 16 * sum(map(len, new))
         self.held += size
-        # the second tokenizer puts a space before each; a space alone is not given to it
-        by_b = self.b.encode([c[1:] for c in new], num_threads=1)
-        for c, b in zip(new, by_b, strict=True):
-            self.chunks[c] = self.align(c, self.a_ids(c), b if len(c) > 1 else [self.space])
+        marked = [c for c in new if c[-1] in self.marks and self.cut.plain(c)]
+        alone = list(dict.fromkeys([*set(new).difference(marked), *(w for c in marked if (w := c[:-1]) not in known)]))
+        for at in range(0, len(alone), 20_000):
+            some = alone[at : at + 20_000]
+            a = [e.ids for e in self.cut.tok.encode_batch_fast(some, add_special_tokens=False)]
+            # the second tokenizer puts a space before each; a space alone is not given to it
+            b = [x if len(c) > 1 else [self.space] for c, x in zip(some, self.b.encode([c[1:] for c in some], num_threads=1), strict=True)]
+            known.update(zip(some, self.align(some, a, b), strict=True))
+        marks = dict(zip(self.marks, self.align(list(self.marks), *map(list, zip(*self.marks.values(), strict=True))), strict=True)) if self.marks else {}
+        for c in marked:
+            if word := known[c[:-1]]:
+                m_a, m_b, more, last = marks[c[-1]]
+                known[c] = word[0] + m_a, word[1] + m_b, f"{word[2]};{more}", word[3] + last
+            else:
+                known[c] = None
 
     def documents(self, texts: list[str | None]) -> Iterator[tuple]:
         """Per text: n_a, n_b, n_groups, groups_sha256, different keys in order, and how often each is linked."""
@@ -124,8 +140,8 @@ class Pair:
                     continue
                 times = np.fromiter(counted.values(), np.int64, len(counted))
                 a, b, _, keys = zip(*found, strict=True)
-                links = np.array([len(k) for k in keys], np.int64)
-                distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+                links = np.fromiter(map(len, keys), np.int64, len(keys))
+                distinct, which = np.unique(np.fromiter(chain.from_iterable(keys), np.int64), return_inverse=True)
                 weights = np.bincount(which, np.repeat(times, links)).astype(np.int64)  # below 2**53: exact in doubles
                 known = self.chunks
                 groups = ";".join([known[c][2] for c in chunks])
@@ -151,6 +167,7 @@ def encode_pairs(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         pair = Pair(path_a, path_b)
         for b in slices(batches, 200):
             with no_cycle_search():

@@ -15,6 +15,8 @@ from tapeworks.llm.bpe import byte_chars
 
 #: Latin letters that every version of Unicode knows as letters, and that are one letter in lower case as well.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ƺ"
+#: Marks that often stand behind a word, each a pre-token of its own there.
+MARKS = ".,;:!?)"
 
 
 class Pretokens:
@@ -37,7 +39,7 @@ class Pretokens:
         self.tok = Tokenizer.from_file(path)
         self.specials = {t["content"]: t["id"] for t in steps["added_tokens"]}
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) or r"(?!)")
-        self.plain = re.compile(f"( ?[{LETTERS}]+)([.,;:!?)]?)").fullmatch
+        self.plain = re.compile(f"( ?[{LETTERS}]+)([{re.escape(MARKS)}]?)").fullmatch
         # Python's white space holds the library's; where in doubt, a border fewer does no harm
         self.odd = re.compile(r"\s ").search
         self.borders = re.compile(r"(?<=\S)(?= )").split
