@@ -225,8 +225,8 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
-def write_shards(counts: DataFrame, folder: str, shards: int) -> DataFrame:
-    """Shards of all counts, below ``folder``; rows of (name, lo, hi) for each, and of (b, best): its highest counts by second id.
+def write_shards(counts: DataFrame, folder: str, shards: int, shard: int = SHARD) -> DataFrame:
+    """Shards of about ``shard`` counts, from ``shards`` ranges, below ``folder``; rows of (name, lo, hi) for each, and of (b, best): its highest counts by second id.
 
     Rows with equal keys meet by range partitioning and follow each other by the sort; a shard is written as it streams
     past, under a name of its own, so that a task that runs again disturbs nothing.
@@ -237,7 +237,7 @@ def write_shards(counts: DataFrame, folder: str, shards: int) -> DataFrame:
         fs, root = open_folder(folder)
         held_k, held_n, best_b, best_n, size = [], [], np.empty(0, np.int64), np.empty(0, np.int64), 0
 
-        def shard(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        def written(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             name = uuid.uuid4().hex
             for what, x in (("keys", keys), ("counts", n)):
                 with fs.open_output_stream(f"{root}/{name}.{what}") as f:
@@ -251,28 +251,28 @@ def write_shards(counts: DataFrame, folder: str, shards: int) -> DataFrame:
             first = np.concatenate([[True], b[1:] != b[:-1]])
             return b[first], n[first]
 
-        for batch in batches:
+        for batch in slices(batches, max(1, shard // 4)):
             if not batch.num_rows:
                 continue
             held_k.append(batch.column(0).to_numpy())
             held_n.append(batch.column(1).to_numpy())
             size += batch.num_rows
-            if size > SHARD:
+            if size > shard:
                 keys, n = summed(held_k, held_n)
                 # the last key may go on in the next batch
                 held_k, held_n, size = [keys[-1:]], [n[-1:]], 1
                 if len(keys) > 1:
                     best_b, best_n = highest(keys[:-1], n[:-1])
-                    yield shard(keys[:-1], n[:-1])
+                    yield written(keys[:-1], n[:-1])
         if size:
             keys, n = summed(held_k, held_n)
             best_b, best_n = highest(keys, n)
-            yield shard(keys, n)
+            yield written(keys, n)
             k = len(best_b)
             yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(best_b), pa.array(best_n)], names=names)
 
-    ordered = counts.repartitionByRange(shards, "key").sortWithinPartitions("key")
-    return ordered.mapInArrow(in_worker(run), "name string, lo bigint, hi bigint, b bigint, best bigint")
+    slim = counts.select("key", "n").repartitionByRange(shards, "key").sortWithinPartitions("key")
+    return slim.mapInArrow(in_worker(run), "name string, lo bigint, hi bigint, b bigint, best bigint")
 
 
 class Shards:
@@ -284,7 +284,7 @@ class Shards:
 
     def __init__(self, folder: str, shards: list[tuple[str, int, int]]):
         self.fs, self.root = open_folder(folder)
-        self.shards, self.open = shards, {}
+        self.shards, self.open, self.local = shards, {}, isinstance(self.fs, pafs.LocalFileSystem)
 
     def mapped(self, name: str) -> tuple[np.ndarray, np.ndarray]:
         if name not in self.open:
@@ -292,7 +292,7 @@ class Shards:
         return self.open[name]
 
     def map(self, path: str) -> np.ndarray:
-        if isinstance(self.fs, pafs.LocalFileSystem):
+        if self.local:
             return np.memmap(path, "<i8", "r")
         with tempfile.NamedTemporaryFile() as own:
             with self.fs.open_input_stream(path) as f:
