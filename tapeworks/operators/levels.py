@@ -26,16 +26,26 @@ LEVEL = "symbol string, kind string, price double, lower double, upper double, t
 
 
 def _clusters(g: pd.DataFrame) -> pd.DataFrame:
-    """Swings of one symbol and kind, by price, each joined to the first cluster whose mean is within the band."""
+    """Swings of one symbol and kind, by price, each joined to the first cluster whose mean is within the band.
+
+    Prices ascend, and no mean is above the last price: a cluster whose mean is below the band takes nothing more.
+    Only those that may are kept in front, each with its running sum, so that a swing meets a handful of clusters.
+    """
     g = g.sort_values(["price", "position"], kind="stable")
     n, band = int(g["rows"].iloc[0]), float(g["band"].iloc[0])
     groups: list[list[tuple]] = []
+    sums: list[float] = []
+    front: list[int] = []
     for row in g[["price", "position", "volume_weight"]].itertuples(index=False):
-        home = next((c for c in groups if abs(row.price - sum(x.price for x in c) / len(c)) <= band), None)
+        front = [k for k in front if row.price - sums[k] / len(groups[k]) <= band]
+        home = next((k for k in front if abs(row.price - sums[k] / len(groups[k])) <= band), None)
         if home is None:
+            front.append(len(groups))
             groups.append([row])
+            sums.append(0 + row.price)
         else:
-            home.append(row)
+            groups[home].append(row)
+            sums[home] += row.price
     out = []
     for c in groups:
         price, pos, vol = (np.array(v, float) for v in zip(*c, strict=True))
@@ -114,10 +124,12 @@ def technical_score(bars: DataFrame) -> DataFrame:
     """Last bar of each symbol: four components from 0 to 100 that start at 50, the regime that weighs them, the score, the state."""
     c = F.col
     b = bars.withColumns({f"__s_{x}": slope(x) for x in ("MA20", "MA60", "OBV")} | {"__structure": price_structure(), "__dif0": lag("DIF"), "__dea0": lag("DEA"), "__close0": lag("close"), "__m1": lag("MACD"), "__m2": lag("MACD", 2)})
-    w120 = trailing(120)
-    share = F.size(F.filter(F.collect_list("ATR14_PCT").over(w120), lambda x: x <= c("ATR14_PCT"))) / F.count("ATR14_PCT").over(w120) * 100
-    b = b.withColumns({"__share": F.when(c("ATR14_PCT").isNotNull(), share), "__n": F.count(F.lit(1)).over(Window.partitionBy("symbol"))})
-    last = b.filter(c("pos") == c("__n") - 1).join(divergence(bars), "symbol", "left")
+    # the score is that of the last bar: of its 120 bars those not above it are counted, none are gathered
+    now = bars.groupBy("symbol").agg(F.max_by("ATR14_PCT", "pos").alias("__now"), F.count(F.lit(1)).alias("__n"))
+    recent = bars.select("symbol", "pos", "ATR14_PCT").join(now, "symbol").filter(c("pos") >= c("__n") - 120)
+    share = recent.groupBy("symbol", "__n").agg((F.count_if(c("ATR14_PCT") <= c("__now")) / F.nullif(F.count("ATR14_PCT"), F.lit(0)) * 100).alias("__share"), F.max("__now").alias("__now"))
+    share = share.withColumn("__share", F.when(c("__now").isNotNull(), c("__share"))).drop("__now")
+    last = b.join(share, "symbol").filter(c("pos") == c("__n") - 1).join(divergence(bars), "symbol", "left")
     pts = lambda *cases: _sum([F.when(flag(cond), float(p)).otherwise(0.0) for cond, p in cases])
     trend = pts(*[(c("close") > c(m), p) for m, p in (("MA20", 7), ("MA60", 7), ("MA120", 5))], *[(c("close") < c(m), -p) for m, p in (("MA20", 7), ("MA60", 7), ("MA120", 5))],
                 ((c("MA20") > c("MA60")) & (c("MA60") > c("MA120")), 8), ((c("MA20") < c("MA60")) & (c("MA60") < c("MA120")), -8), (c("__s_MA20") > 0.3, 4), (c("__s_MA20") < -0.3, -4),

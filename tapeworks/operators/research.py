@@ -32,7 +32,8 @@ def bucket_study(rows: DataFrame, factor: str, outcome: str, buckets: int = 5, k
     """Outcome by quantile bucket of a factor: edges by exact linear quantiles, equal edges dropped, right-closed, the lowest included."""
     clean = rows.filter(F.col(factor).isNotNull() & F.col(outcome).isNotNull())
     edges = clean.groupBy(*keys).agg(F.array_distinct(F.percentile(factor, [i / buckets for i in range(buckets + 1)])).alias("edges"))
-    met = clean.join(F.broadcast(edges), list(keys)) if keys else clean.crossJoin(F.broadcast(edges))  # one row of buckets + 1 numbers per key group
+    # a row of buckets + 1 numbers per key: many keys make a large table, whose size Spark checks; without keys it is one row
+    met = clean.join(edges, list(keys)) if keys else clean.crossJoin(F.broadcast(edges))
     no = F.greatest(F.size(F.filter("edges", lambda e: e < F.col(factor))), F.lit(1))
     met = met.withColumns({"bucket": no, "lower": F.element_at("edges", no), "upper": F.element_at("edges", F.least(no + 1, F.size("edges")))})
     return met.groupBy(*keys, "bucket", "lower", "upper").agg(F.count(F.lit(1)).alias("samples"), F.avg((F.col(outcome) > 0).cast("double")).alias("win_rate"), F.avg(outcome).alias("mean_outcome"))

@@ -81,6 +81,53 @@ def test_scan_equals_the_single_pass(spark):
         scan.recursive(b, 8)
 
 
+def test_sliding_shares_and_falls_equal_whole_windows():
+    g = np.random.default_rng(3)
+    x = np.round(g.standard_normal(400), 1) + 5
+    x[g.random(400) < 0.1] = np.nan
+    for n, least in ((250, 20), (7, 3), (1, 1)):
+        got = factors.share_not_above(x, n, least)
+        for i in range(len(x)):
+            w = x[max(0, i - n + 1) : i + 1]
+            if np.sum(w == w) < min(least, n):
+                assert got[i] != got[i]
+            else:
+                assert got[i] == (np.sum(w <= x[i]) / len(w) if x[i] == x[i] else 0.0)
+    for n in (1, 2, 20, 60):
+        got = factors.drawdown(x, n)
+        for i in range(len(x)):
+            w = x[max(0, i - n + 1) : i + 1]
+            if len(w) < n or np.isnan(w).any():
+                assert got[i] != got[i]
+            else:
+                assert got[i] == min(0.0, (w / np.maximum.accumulate(w) - 1).min())
+
+
+def test_level_clusters_are_the_plain_ones_and_fast():
+    import time
+
+    import pandas as pd
+
+    def plain(prices, band):
+        groups = []
+        for p in prices:
+            home = next((c for c in groups if abs(p - sum(c) / len(c)) <= band), None)
+            if home is None:
+                groups.append([p])
+            else:
+                home.append(p)
+        return [len(c) for c in groups]
+
+    g = np.random.default_rng(5)
+    swings = lambda n, band: pd.DataFrame({"symbol": "a", "kind": "low", "price": np.sort(g.random(n) * 50), "position": np.arange(n), "volume_weight": 1.0, "rows": n + 9, "band": band})
+    for band in (0.01, 0.4, 3.0, 80.0):
+        x = swings(600, band)
+        assert list(levels._clusters(x)["touches"]) == plain(list(x["price"]), band)
+    began = time.perf_counter()
+    assert levels._clusters(swings(100_000, 0.3))["touches"].sum() == 100_000
+    assert time.perf_counter() - began < 20
+
+
 def test_exponential_mean_with_gaps():
     import pandas as pd
 
