@@ -310,7 +310,7 @@ def train(docs: list[tuple[str | None, int]], seed: int = 3) -> Network:
 class Scorer:
     """Scores texts; projected inputs of words seen before are kept, within a bound."""
 
-    def __init__(self, net: Network, most: int = 250_000):
+    def __init__(self, net: Network, most: int = 80_000):
         self.net, self.most = net, most
         self.row: dict[str, int] = {}
         self.table = {s: np.empty((most, 3 * HIDDEN), np.float32) for s in "fb"}
@@ -337,8 +337,8 @@ class Scorer:
     def logits(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the windows that begin ``at`` places of ``flat``, rows of the table."""
         out = []
-        for b in range(0, len(at), 2048):
-            rows = flat[at[b : b + 2048][None] + np.arange(WINDOW)[:, None]]
+        for b in range(0, len(at), 1024):
+            rows = flat[at[b : b + 1024][None] + np.arange(WINDOW)[:, None]]
             out.append(self.net.pooled(self.table["f"][rows], self.table["b"][rows]))
         return np.concatenate(out) if out else np.zeros(0)
 
