@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tapeworks.functions.windows import lag, lead, ordered
+from tapeworks.sources.tables import kept, release
 
 #: Lines of the fan (price units per bar), multiples of a cycle, weights of confluence.
 ANGLES = (("8x1", 8.0), ("4x1", 4.0), ("2x1", 2.0), ("1x1", 1.0), ("1x2", 0.5), ("1x4", 0.25), ("1x8", 0.125))
@@ -38,6 +39,7 @@ class Config:
     zone_atr: float = 0.20
     confluence_atr: float = 0.35
     visible: int = 3
+    least_score: float = 35.0
 
     def __post_init__(self) -> None:
         if self.mode not in ("atr", "percent", "log"):
@@ -59,19 +61,18 @@ class Parts:
     view: DataFrame
 
     def release(self) -> None:
-        for df in (self.pivots, self.view):
-            df.unpersist()
+        release(self.pivots, self.view)
 
 
 NOW = ["close", "DIF", "DEA", "VOL_RATIO", "MA20", "MA60", "BOLL_UPPER", "BOLL_LOWER"]
 
 
 def prepare(bars: DataFrame, conf: Config = Config()) -> Parts:
-    """Pivots, and active anchors seen from the last bar, kept in executors' memory or on their disks until released; rows are few against bars."""
-    found = pivots(bars, conf).persist()
+    """Pivots, and active anchors seen from the last bar, as tables until released; rows are few against bars."""
+    found = kept(pivots(bars, conf))
     last = known(found, conf).groupBy("symbol").agg(F.max_by("d", "no").alias("d"))
     view = active(bars, conf, found).join(last_bar(bars), "symbol").join(last, "symbol", "left")
-    return Parts(found, view.persist())
+    return Parts(found, kept(view))
 
 
 def replay(bars: DataFrame, conf: Config = Config()) -> Parts:
@@ -79,10 +80,10 @@ def replay(bars: DataFrame, conf: Config = Config()) -> Parts:
 
     Pivots are appended and never moved, so that those known at a confirmation are the ones up to the anchor's number.
     """
-    found = pivots(bars, conf).persist()
+    found = kept(pivots(bars, conf))
     seen = bars.select("symbol", F.col("pos").alias("confirm"), F.col("datetime").alias("now_datetime"), *[F.col(c).alias(f"now_{c}") for c in NOW])
     view = anchors(bars, conf, found).join(seen, ["symbol", "confirm"]).withColumn("latest", F.col("confirm")).join(known(found, conf), ["symbol", "no"])
-    return Parts(found, view.persist())
+    return Parts(found, kept(view))
 
 
 def known(found: DataFrame, conf: Config = Config()) -> DataFrame:
@@ -316,28 +317,25 @@ def future_time(latest: Column, ahead: Column, period: str) -> Column:
     return latest + F.make_dt_interval(days=F.date_diff(to, day))
 
 
-def windows_of(conf: Config, horizon: int) -> tuple[Column, Column, Column]:
-    """Columns lengths and strength (from d), and from these and position, latest, aligned and nearby an array of (center, start, end, score, cycles) in order of time.
-
-    At most 15 candidates, one per base cycle and multiple; overlapping ones become one, in order of start, then of
-    falling score: the first's centre, the widest end, the highest score so far and 7 more for each that joins.
-    """
+def candidates(a: DataFrame, conf: Config, horizon: int) -> DataFrame:
+    """Rows of ``a`` (with d, position, latest, aligned, nearby) times at most 15 candidates: a base cycle and a multiple each."""
     c = F.col
-    lengths, strength = cycle_lengths(c("d")), cycle_strength(c("d"))
-
-    def one(x: Column, i: Column, m: float, k: int) -> Column:
-        first = (c("position") + F.bround(x * m)).cast("int")
-        center = F.when(first <= c("latest"), first + x * (F.floor((c("latest") - first) / x) + 1)).otherwise(first).cast("int")
-        tol = F.greatest(F.lit(1), F.bround(x * conf.tolerance).cast("int"))
-        overlap = F.size(F.filter("lengths", lambda o: F.abs(center - (c("position") + F.bround(o * m))) <= tol))
-        total = F.least(F.lit(30.0), c("strength") * 0.3) + F.least(F.lit(20.0), F.greatest(overlap - 1, F.lit(0)) * 10.0) + 8.0 + F.when(c("aligned"), 12.0).otherwise(6.0)
-        total = total + F.least(F.lit(15.0), c("nearby") * 15.0) + 15.0 - (8.0 if m >= 3 else 3.0 if m >= 2 else 0.0)
-        score = tenths(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)))
-        start, end = F.greatest(c("latest") + 1, center - tol), F.least(c("latest") + horizon, center + tol)
-        return F.struct(start.cast("int").alias("start"), (-score).alias("minus"), (i * len(MULTIPLES) + k).alias("order"), center.alias("center"), end.cast("int").alias("end"))
-
-    made = F.flatten(F.transform("lengths", lambda x, i: F.array(*[one(x, i, m, k) for k, m in enumerate(MULTIPLES)])))
-    made = F.array_sort(F.filter(made, lambda w: w["center"] <= c("latest") + horizon))
+    a = a.withColumns({"lengths": cycle_lengths(c("d")), "strength": cycle_strength(c("d"))}).select("*", F.posexplode("lengths").alias("i", "x"))
+    ms = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(k).alias("k"), F.lit(8.0 if m >= 3 else 3.0 if m >= 2 else 0.0).alias("far")) for k, m in enumerate(MULTIPLES)])
+    a = a.withColumn("f", F.explode(ms)).withColumn("first", (c("position") + F.bround(c("x") * c("f.m"))).cast("int"))
+    a = a.withColumns({
+        "center": F.when(c("first") <= c("latest"), c("first") + c("x") * (F.floor((c("latest") - c("first")) / c("x")) + 1)).otherwise(c("first")).cast("int"), "tol": F.greatest(F.lit(1), F.bround(c("x") * conf.tolerance).cast("int")),
+    }).filter(c("center") <= c("latest") + horizon)
+    overlap = F.size(F.filter("lengths", lambda o: F.abs(c("center") - (c("position") + F.bround(o * c("f.m")))) <= c("tol")))
+    total = F.least(F.lit(30.0), c("strength") * 0.3) + F.least(F.lit(20.0), F.greatest(overlap - 1, F.lit(0)) * 10.0) + 8.0 + F.when(c("aligned"), 12.0).otherwise(6.0)
+    total = total + F.least(F.lit(15.0), c("nearby") * 15.0) + 15.0 - c("f.far")
+    a = a.withColumn("total", F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)))
+    return a.withColumns({"start": F.greatest(c("latest") + 1, c("center") - c("tol")).cast("int"), "end": F.least(c("latest") + horizon, c("center") + c("tol")).cast("int"), "score": tenths(c("total")), "order": c("i") * len(MULTIPLES) + c("f.k")})
+
+
+def merged(windows: Column) -> Column:
+    """Sorted (start, minus, order, center, end), those that overlap as one (center, start, end, score, cycles): in order of start, then of
+    falling score (minus), the first's centre, the widest end, the highest score so far and 7 more for each that joins."""
     kind = "array<struct<center:int,start:int,end:int,score:double,cycles:int>>"
 
     def joined(done: Column, w: Column) -> Column:
@@ -347,7 +345,7 @@ def windows_of(conf: Config, horizon: int) -> tuple[Column, Column, Column]:
         wider = F.struct(last["center"].alias("center"), last["start"].alias("start"), F.greatest(last["end"], w["end"]).alias("end"), more.alias("score"), (last["cycles"] + 1).alias("cycles"))
         return F.when((F.size(done) > 0) & (w["start"] <= last["end"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(wider)).cast(kind)).otherwise(F.concat(done, F.array(fresh)).cast(kind))
 
-    return lengths, strength, F.aggregate(made, F.array().cast(kind), joined)
+    return F.aggregate(windows, F.array().cast(kind), joined)
 
 
 def time_windows(bars: DataFrame, zones: DataFrame | None = None, higher: DataFrame | None = None, conf: Config = Config(), horizon: int = CAP, parts: Parts | None = None, period: str = "60m") -> DataFrame:
@@ -363,8 +361,9 @@ def time_windows(bars: DataFrame, zones: DataFrame | None = None, higher: DataFr
     else:
         a = a.join(zones.groupBy("symbol", "anchor_id").agg(F.count(F.lit(1)).alias("zones")), ["symbol", "anchor_id"], "left")
         a = a.withColumn("nearby", F.least(F.lit(1.0), F.coalesce("zones", F.lit(0)) / 6))
-    lengths, strength, windows = windows_of(conf, horizon)
-    a = a.withColumns({"lengths": lengths, "strength": strength}).withColumn("w", F.explode(windows))
+    each = F.struct("start", (-F.col("score")).alias("minus"), "order", "center", "end")
+    a = candidates(a, conf, horizon).groupBy("symbol", "anchor_id", "latest", "now_datetime").agg(F.array_sort(F.collect_list(each)).alias("all"))
+    a = a.withColumn("w", F.explode(merged(F.col("all"))))
     when = lambda k: future_time(F.col("now_datetime"), F.col(f"w.{k}") - F.col("latest"), period).alias(f"{k}_time")
     return a.select("symbol", "anchor_id", "w.center", "w.start", "w.end", (F.col("w.center") - F.col("latest")).alias("bars_from_now"), "w.score", "w.cycles", when("start"), when("center"), when("end"))
 
@@ -384,10 +383,14 @@ def decay(ahead: Column) -> Column:
 def confluence(bars: DataFrame, horizontal: DataFrame | None = None, conf: Config = Config(), higher: DataFrame | None = None, horizon: int = CAP, parts: Parts | None = None) -> DataFrame:
     """Zones where a line at a time window meets a price zone, per active anchor: a join on the anchor with a tolerance."""
     parts = parts or prepare(bars, conf)
-    z = price_zones(price_levels(bars, horizontal, conf, parts), conf).drop("default_visible").withColumnRenamed("rank", "zone_rank")
-    w = time_windows(bars, z, higher, conf, horizon, parts)
+    z = price_zones(price_levels(bars, horizontal, conf, parts), conf)
+    return ranked(time_windows(bars, z, higher, conf, horizon, parts), z, higher, conf, parts)
+
+
+def ranked(windows: DataFrame, zones: DataFrame, higher: DataFrame | None, conf: Config, parts: Parts) -> DataFrame:
+    z = zones.drop("default_visible").withColumnRenamed("rank", "zone_rank")
     rank = F.row_number().over(Window.partitionBy("symbol", "anchor_id").orderBy(F.desc("score"), "center", "angle_no", "zone_rank"))
-    one = meetings(w, z, higher, conf, parts).withColumn("rank", rank).withColumn("default_visible", (F.col("rank") <= conf.visible) & (F.col("score") >= 65))
+    one = meetings(windows, z, higher, conf, parts).withColumn("rank", rank).withColumn("default_visible", (F.col("rank") <= conf.visible) & (F.col("score") >= 65))
     return one.drop("tol", "angle_no", "zone_rank")
 
 
@@ -473,7 +476,24 @@ def confluence_study(events: DataFrame) -> DataFrame:
     return g.withColumn("__r", rises).withColumn("monotonic", F.min("__r").over(Window.partitionBy("symbol"))).drop("__r")
 
 
-def scenarios(bars: DataFrame, horizontal: DataFrame | None = None, conf: Config = Config(), higher: DataFrame | None = None, horizon: int = 12, cap: int = CAP, parts: Parts | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Stages:
+    """Levels, zones, windows and meetings of the anchors in view, as tables: each is read several times."""
+
+    levels: DataFrame
+    zones: DataFrame
+    windows: DataFrame
+    met: DataFrame
+
+
+def stages(bars: DataFrame, horizontal: DataFrame | None, conf: Config, higher: DataFrame | None, cap: int, parts: Parts) -> Stages:
+    found = kept(price_levels(bars, horizontal, conf, parts))
+    zones = kept(price_zones(found, conf))
+    windows = kept(time_windows(bars, zones, higher, conf, cap, parts))
+    return Stages(found, zones, windows, kept(ranked(windows, zones, higher, conf, parts)))
+
+
+def scenarios(bars: DataFrame, horizontal: DataFrame | None = None, conf: Config = Config(), higher: DataFrame | None = None, horizon: int = 12, cap: int = CAP, parts: Parts | None = None, made: Stages | None = None) -> DataFrame:
     """Break and reject scenarios of each active anchor; confidences are a softmax of the two scores at temperature 12.
 
     The break aims at the first two of the (at most three) confluence zones of 65 or more beyond the 1x1 line, else at
@@ -485,15 +505,16 @@ def scenarios(bars: DataFrame, horizontal: DataFrame | None = None, conf: Config
     lines = fan(bars, conf, horizon, parts).groupBy("symbol", "anchor_id", "direction", "score", "state").agg(F.max(F.when(c("angle") == "1x1", c("current_price"))).alias("one"), F.max(F.when(c("angle") == "1x2", c("current_price"))).alias("slow"))
     f = lines.join(parts.view.select("symbol", "anchor_id", "atr"), ["symbol", "anchor_id"]).withColumn("sign", F.when(c("direction") == "up", 1).otherwise(-1))
     slim = f.select("symbol", "anchor_id", "one", "sign")
-    found = price_levels(bars, horizontal, conf, parts)
+    made = made or stages(bars, horizontal, conf, higher, cap, parts)
+    found = made.levels
     beyond = lambda x: (c(x) - c("one")) * c("sign") > 0
-    met = confluence(bars, horizontal, conf, higher, cap, parts).select("symbol", "anchor_id", "rank", "mid", "zone_low", "zone_high", c("score").alias("z"))
+    met = made.met.select("symbol", "anchor_id", "rank", "mid", "zone_low", "zone_high", c("score").alias("z"))
     met = met.join(slim, ["symbol", "anchor_id"]).filter(beyond("mid"))
     pair = F.struct("rank", F.array(F.round("zone_low", 6), F.round("zone_high", 6)).alias("zone"), "z")
     best = F.array_sort(F.collect_list(F.when(c("z") >= 65, pair)))
     met = met.groupBy("symbol", "anchor_id").agg(F.slice(best, 1, 3).alias("strong"), F.min_by(pair, "rank").alias("any"))
     level = found.join(slim, ["symbol", "anchor_id"]).filter(beyond("level")).groupBy("symbol", "anchor_id").agg(F.min_by("level", F.abs(c("level") - c("one"))).alias("level"))
-    windows = time_windows(bars, price_zones(found, conf), higher, conf, cap, parts)
+    windows = made.windows
     w = F.struct("center", "start", "end", c("score"), "start_time", "center_time", "end_time")
     windows = windows.groupBy("symbol", "anchor_id").agg(F.slice(F.array_sort(F.collect_list(F.when(c("score") >= 55, w))), 1, 2).alias("shown"), F.max_by(w, F.struct("score", -c("center"))).alias("most"))
     g = f.join(met, ["symbol", "anchor_id"], "left").join(level, ["symbol", "anchor_id"], "left").join(windows, ["symbol", "anchor_id"], "left")
@@ -516,6 +537,45 @@ def scenarios(bars: DataFrame, horizontal: DataFrame | None = None, conf: Config
     return g.select("symbol", "anchor_id", both.alias("s"), "windows").select("symbol", "anchor_id", "s.*", "windows")
 
 
+def projection(bars: DataFrame, horizontal: DataFrame | None = None, conf: Config = Config(), higher: DataFrame | None = None, horizon: int = 12, cap: int = CAP, parts: Parts | None = None) -> DataFrame:
+    """One row per active anchor: its state, what its structure scores, and its main scenario with target, first window and best meeting.
+
+    The structural fit is the mean of five parts: the anchor's score, its state (85 if strong, 50 if neutral, else 70), the best window,
+    the best meeting (0 without one), and 80 or 50 for a higher timeframe that goes its way or not.
+    """
+    parts = parts or prepare(bars, conf)
+    made = stages(bars, horizontal, conf, higher, cap, parts)
+    c = F.col
+    at = ["symbol", "anchor_id"]
+    view = with_higher(parts.view.select(*at, "direction", "price", "atr", "position", "confirm", "score"), higher).withColumn("price_unit", F.round(unit(conf), 8))
+    state = fan(bars, conf, horizon, parts).groupBy(*at).agg(F.first("state").alias("state"))
+    window = made.windows.groupBy(*at).agg(F.max("score").alias("time_cycle"))
+    met = made.met.groupBy(*at).agg(F.max("score").alias("confluence"), F.min_by(F.struct("angle", "center", "mid", "score"), "rank").alias("top"))
+    main = scenarios(bars, horizontal, conf, higher, horizon, cap, parts, made).filter("scenario = 'break_1x1'")
+    main = main.select(*at, "path", "confidence", "trigger", "invalidation", F.element_at("target_zones", 1).alias("target"), F.get("windows", F.lit(0)).alias("window"))
+    out = view.join(state, at).join(window, at, "left").join(met, at, "left").join(main, at)
+    shape = F.when(c("state").startswith("STRONG"), 85.0).when(c("state") == "NEUTRAL", 50.0).otherwise(70.0)
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0.0))
+    fit = {"anchor_quality": F.round("score", 1), "angle_state": shape, "time_cycle": zero("time_cycle"), "confluence": zero("confluence"), "higher_timeframe": F.when(c("aligned"), 80.0).otherwise(50.0)}
+    out = out.withColumns(fit)
+    total = c("anchor_quality") + c("angle_state") + c("time_cycle") + c("confluence") + c("higher_timeframe")
+    return out.select(
+        *at, "direction", "position", "confirm", "score", F.round("price", 6).alias("price"), F.round("atr", 6).alias("atr"), "price_unit", "state", *fit, F.round(total / 5 / 100, 3).alias("structural_fit"), "path", "confidence", "trigger", "invalidation",
+        c("target")[0].alias("target_low"), c("target")[1].alias("target_high"), c("window.center").alias("window_center"), c("window.center_time").alias("window_time"), c("top.angle").alias("top_angle"), c("top.mid").alias("top_mid"),
+    )
+
+
+def analysis(projections: DataFrame, conf: Config = Config()) -> DataFrame:
+    """The best anchor's projection per symbol (by score, then the later confirmation), how far the next one is behind, and whether that leaves the reading open.
+
+    ``ambiguous``: another anchor is less than 8 points behind; without another the gap is 100. ``low_confidence``: the anchor scores under the least.
+    """
+    w = Window.partitionBy("symbol").orderBy(F.desc("score"), F.desc("confirm"))
+    gap = F.coalesce(F.col("score") - F.lead("score").over(w), F.lit(100.0))
+    out = projections.withColumns({"__n": F.row_number().over(w), "score_gap": F.round(gap, 1), "alternatives": F.count(F.lit(1)).over(Window.partitionBy("symbol")), "ambiguous": gap < 8, "low_confidence": F.col("score") < conf.least_score})
+    return out.filter("__n = 1").drop("__n")
+
+
 def higher_timeframe(weekly: DataFrame, conf: Config = Config()) -> DataFrame:
     """Direction and score of the best active anchor on completed weekly bars with indicators, for symbols of 25 weeks or more."""
     n = weekly.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).filter("n >= 25")
@@ -631,7 +691,7 @@ def calibrate(bars: DataFrame, multipliers: tuple[float, ...] = (0.125, 0.25, 0.
     b = b.withColumn("__part", F.when(F.col("pos") < a, "train").when(F.col("pos") < z, "validation").otherwise("test"))
     first = F.when(F.col("__part") == "train", 0).when(F.col("__part") == "validation", a).otherwise(z)
     b = b.withColumns({"pos": (F.col("pos") - first).cast("int"), "symbol": F.concat_ws("\x1f", "symbol", "__part")}).drop("__n", "__part")
-    found = pivots(b).persist()
+    found = kept(pivots(b))
     out = None
     for i, m in enumerate(multipliers):
         e = angle_events(b, Config(atr_multiplier=m), found).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("return_5") > 0).cast("double")) * 100, 1).alias("acc"))

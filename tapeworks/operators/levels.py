@@ -89,6 +89,24 @@ def lower_confidence(near: DataFrame) -> DataFrame:
     return near.withColumn("confidence", F.when(F.col("confidence") == "high", "medium").otherwise("low"))
 
 
+#: Fixed order of the snapshot's columns.
+LATEST = (
+    "close", "pct_change", "MA5", "MA10", "MA20", "MA60", "MA120", "MA250", "DIF", "DEA", "MACD", "RSI6", "RSI12", "RSI24", "K", "D", "J", "BOLL_MID", "BOLL_UPPER", "BOLL_LOWER",
+    "ATR14", "ATR14_PCT", "ADX14", "PLUS_DI14", "MINUS_DI14", "VOL_MA5", "VOL_MA10", "VOL_RATIO", "OBV",
+)
+
+
+def latest(bars: DataFrame) -> DataFrame:
+    """The last bar's 29 values per symbol, null where not finite; the change is against the bar before where the source has none.
+
+    One aggregation: of each symbol only the last row leaves a task.
+    """
+    if "pct_change" not in bars.columns:
+        bars = bars.withColumn("pct_change", (F.col("close") / lag("close") - 1) * 100)
+    last = bars.groupBy("symbol").agg(F.max_by(F.struct("datetime", *LATEST), "datetime").alias("l")).select("symbol", "l.*")
+    return last.withColumns({c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)) for c in LATEST})
+
+
 def slope(c: str, n: int = 5) -> Column:
     first = lag(c, n - 1)
     return F.when(F.count(c).over(trailing(n)) == n, ratio(F.col(c) - first, F.abs(first)) * 100)

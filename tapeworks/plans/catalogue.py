@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.windows import lead
 from tapeworks.operators import backtest as bt
-from tapeworks.operators import charts, decision, factors, gann, indicators, levels, research, signals, wave, wyckoff
+from tapeworks.operators import charts, decision, factors, gann, indicators, levels, research, scan, signals, wave, wyckoff
 from tapeworks.plans import gann_sql, gann_zones_sql, level_sql, wave_sql
 from tapeworks.plans.sql import FACTORS, NAMES, r6, upto
 from tapeworks.sources import bars as src
-from tapeworks.sources import catalog
+from tapeworks.sources import catalog, series, vendor
+from tapeworks.sources.tables import kept, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -44,7 +46,7 @@ def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def traded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     # the analysed bars are read three times (signals, fills, paths): computed once
-    full = analysed(spark, sf_dir).cache()
+    full = kept(analysed(spark, sf_dir))
     return bt.strategy(signals.signals(full), full)
 
 
@@ -135,7 +137,7 @@ def _(spark, sf_dir):
     where f.reason is not null and not exists (select 1 from trades t where t.symbol = f.symbol and f.ts >= t.entry_date and f.ts < t.exit_date) group by 1, 2""").replace("b.volume <= 0", "(b.pos % 3 = 0 or b.volume <= 0)"))
 def _(spark, sf_dir):
     # every third bar without volume, so that some fills are refused
-    full = analysed(spark, sf_dir).cache()
+    full = kept(analysed(spark, sf_dir))
     done, cand = bt.strategy(signals.signals(full), full.withColumn("volume", F.when(F.col("pos") % 3 == 0, 0.0).otherwise(F.col("volume"))))
     return bt.rejections(cand, done)
 
@@ -222,7 +224,7 @@ def _(spark, sf_dir):
 
 @query("decision_current", level_sql.DECISION)
 def _(spark, sf_dir):
-    full = analysed(spark, sf_dir).cache()
+    full = kept(analysed(spark, sf_dir))
     return bt.rounded(decision.decide(signals.signals(full), full))
 
 
@@ -230,7 +232,7 @@ def _(spark, sf_dir):
     select t.symbol, count(*) as samples, round(avg(cast(net > 0 as double)) * 100, 2) as win_rate, round(avg(net / (fill_price - stop_at)), 4) as average_r, round(median(mfe_r), 4) as median_mfe_r, round(median(mae_r), 4) as median_mae_r, case when count(*) >= 30 then round(avg(cast(net > 0 as double)), 4) end as historical_probability
     from trades t where (t.symbol, t.setup, t.regime) in (select (symbol, setup, regime) from l) group by 1"""))
 def _(spark, sf_dir):
-    full = analysed(spark, sf_dir).cache()
+    full = kept(analysed(spark, sf_dir))
     trades, _cand = bt.strategy(signals.signals(full), full)
     now = signals.current_setups(full).join(full.groupBy("symbol").agg(F.max_by("regime", "datetime").alias("regime")), "symbol")
     return bt.similar(trades, now)
@@ -261,7 +263,7 @@ def _(spark, sf_dir):
 
 @query("parameter_sweep", upto("enriched", "select * from (" + " union all ".join(f"select symbol, count(*) as samples, round(avg(r), 6) + 0.0 as mean_r, {k} as parameter from (select symbol, case when close > MA{k} then lead(close, 5) over (partition by symbol order by pos) / close - 1 end as r from enriched) where r is not null group by 1" for k in (5, 10, 20)) + ")"))
 def _(spark, sf_dir):
-    b = enriched(spark, sf_dir).withColumn("r5", research_lead()).select("symbol", "close", "MA5", "MA10", "MA20", "r5").cache()
+    b = kept(enriched(spark, sf_dir).withColumn("r5", research_lead()).select("symbol", "close", "MA5", "MA10", "MA20", "r5"))
     run = lambda k: b.filter(F.col("close") > F.col(f"MA{k}")).filter("r5 is not null").groupBy("symbol").agg(F.count(F.lit(1)).alias("samples"), F.avg("r5").alias("mean_r"))
     return bt.rounded(research.parameter_sweep(spark, (5, 10, 20), run))
 
@@ -277,7 +279,7 @@ def _rows(name: str, build: Callable[[DataFrame], DataFrame], sql: str | None =
 
     @query(name, sql)
     def _(spark, sf_dir):
-        return build(enriched(spark, sf_dir).cache())
+        return build(kept(enriched(spark, sf_dir)))
 
 
 _rows("wave_pivots", lambda b: bt.rounded(wave.states(b).select("symbol", "scale", "at", F.posexplode(F.arrays_zip("kinds", "pos", "price", "macd", "vol")).alias("nth", "e")).select("symbol", "scale", "at", "nth", F.col("e.kinds").alias("kind"), "e.pos", "e.price", "e.macd", "e.vol")), wave_sql.PIVOTS)
@@ -291,7 +293,7 @@ def _gann(name: str, build: Callable[[DataFrame, gann.Parts, DataFrame], DataFra
 
     @query(name, sql)
     def _(spark, sf_dir):
-        b = enriched(spark, sf_dir).cache()
+        b = kept(enriched(spark, sf_dir))
         return build(b, gann.prepare(b), _higher(spark, sf_dir))
 
 
@@ -318,12 +320,15 @@ _rows("gann_confluence_events", lambda b: gann.confluence_events(b), gann_zones_
 _rows("gann_confluence_study", lambda b: gann.confluence_study(gann.confluence_events(b)), gann_zones_sql.STUDY)
 _gann("gann_scenarios", lambda b, p, h: gann.scenarios(b, levels.nearest_levels(b), higher=h, parts=p))
 _gann("gann_snapshots", lambda b, p, h: gann.snapshots(gann.scenarios(b, levels.nearest_levels(b), higher=h, parts=p)))
+_gann("gann_projection", lambda b, p, h: gann.projection(b, levels.nearest_levels(b), higher=h, parts=p), gann_zones_sql.PROJECTION)
+_gann("gann_analysis", lambda b, p, h: gann.analysis(gann.projection(b, levels.nearest_levels(b), higher=h, parts=p)), gann_zones_sql.ANALYSIS)
+_rows("latest_indicators", lambda b: bt.rounded(levels.latest(b)), upto("enriched", f"select symbol, datetime, {r6(*[c for c in levels.LATEST if c != 'pct_change'])}, {r6('pct_change')} from (select *, (close / lag(close) over (partition by symbol order by pos) - 1) * 100 as pct_change from enriched) qualify row_number() over (partition by symbol order by pos desc) = 1"))
 _rows("chart_ranges", lambda b: charts.default_ranges(b), level_sql.CHART_RANGES)
 
 
 @query("gann_context")
 def _(spark, sf_dir):
-    full = analysed(spark, sf_dir).cache()
+    full = kept(analysed(spark, sf_dir))
     found = gann.scenarios(full, levels.nearest_levels(full), higher=_higher(spark, sf_dir), parts=gann.prepare(full))
     return gann.context(found, decision.decide(signals.signals(full), full))
 
@@ -381,7 +386,7 @@ def _(spark, sf_dir):
 
 @query("execution_fill", upto("trades", "select symbol, pos, setup, reason, round(fill_price, 6) as fill_price, round(fill_price * 0.0003, 6) as fee from filled"))
 def _(spark, sf_dir):
-    full = analysed(spark, sf_dir).cache()
+    full = kept(analysed(spark, sf_dir))
     return bt.rounded(bt.fills(signals.signals(full), full).select("symbol", "pos", "setup", "reason", "fill_price", "fee"))
 
 
@@ -399,7 +404,7 @@ def _(spark, sf_dir):
 
 @query("wyckoff_context")
 def _(spark, sf_dir):
-    full = analysed(spark, sf_dir).cache()
+    full = kept(analysed(spark, sf_dir))
     return wyckoff.context(wyckoff.current(full), decision.decide(signals.signals(full), full))
 
 
@@ -410,7 +415,7 @@ def _(spark, sf_dir):
 
 @query("chart_trigger_markers", upto("signals", "select symbol, pos, setup, round(score, 1) as score, datetime, floor(low * 1000000.0::double + 0.5) / 1000000.0::double as low from signals where long"))
 def _(spark, sf_dir):
-    full = analysed(spark, sf_dir).cache()
+    full = kept(analysed(spark, sf_dir))
     return bt.rounded(charts.trigger_markers(signals.signals(full), full))
 
 
@@ -528,3 +533,36 @@ def _(spark, sf_dir):
         F.max_by("value", F.struct("ts", "event_id")).alias("current_price"), F.max_by("event_id", F.struct("ts", "event_id")).alias("hold"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("日期"), F.lit("last").alias("time"))
     done = catalog.with_snapshot(src.event_bars(spark, sf_dir), catalog.future_snapshots(raw))
     return done.select("symbol", "datetime", "close", "snapshot.latest", "snapshot.open_interest", "snapshot.source_timestamp")
+
+
+@query("indicators_scan", upto("enriched", f"select symbol, pos, {r6(*indicators.RECURSIVE)} from enriched"))
+def _(spark, sf_dir):
+    # blocks of 200 bars, so that each symbol of the events spreads over several
+    return bt.rounded(scan.recursive(src.event_bars(spark, sf_dir), 200).select("symbol", "pos", *indicators.RECURSIVE))
+
+
+@query("series_incremental", upto("bars", f"""select symbol, datetime, {r6('open', 'high', 'low', 'close', 'volume', 'amount')} from (
+    select * replace (volume + case when cast(datetime as date) > (select max(cast(datetime as date)) from bars) - 7 then 1 else 0 end as volume) from bars)"""))
+def _(spark, sf_dir):
+    # five deliveries, each with the seven days before it again; what is younger than that stays provisional
+    came = kept(series.deliveries(src.event_bars(spark, sf_dir).drop("pos"), 5))
+    store = series.SeriesStore(spark, scratch_folder(spark), most_segments=3)
+    for k in range(5):
+        part = came.filter(F.col("batch") == k)
+        asked = part.groupBy("symbol").agg(F.min("from").alias("start"), F.max("to").alias("end"))
+        store.commit(f"delivery {k}", part.drop("batch", "from", "to"), asked, dt.datetime(2024, 1, 1) + dt.timedelta(days=k))
+    return bt.rounded(store.read())
+
+
+@query("fetch_fallback", """with e as (select event_type as symbol, ts, cast(ts as date) as day, event_id, value from events where cast(ts as date) between date '2024-01-10' and date '2024-01-20'),
+    served as (select distinct symbol from e where event_id % 3 = 0 and symbol <> 'error'), kept as (select e.*, s.symbol is not null as first from e left join served s using (symbol) where s.symbol is null or event_id % 3 = 0)
+    select symbol, case when first then 'primary' else 'fallback' end as source, count(distinct ts) as rows, min(day) as first_day, max(day) as last_day from kept group by 1, 2""")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "event_id", F.col("ts").alias("date"), *[F.col("value").alias(c) for c in ("open", "high", "low", "close")])
+    # the first source has a third of the ticks and not every symbol
+    primary = vendor.Source("primary", lambda s: e.filter("event_id % 3 = 0 and symbol <> 'error'"), ("stock",), ("daily",))
+    fallback = vendor.Source("fallback", lambda s: e, ("stock", "etf"), ("daily",))
+    day = lambda d: F.lit(d).cast("date")
+    wanted = e.select("symbol").distinct().select("symbol", F.lit("stock").alias("asset_type"), F.lit("daily").alias("period"), F.lit("none").alias("adjust"), day("2024-01-10").alias("start"), day("2024-01-20").alias("end"))
+    got, _rest = vendor.fetch(spark, wanted, [primary, fallback])
+    return got.groupBy("symbol", "source").agg(F.count(F.lit(1)).alias("rows"), F.to_date(F.min("datetime")).alias("first_day"), F.to_date(F.max("datetime")).alias("last_day"))

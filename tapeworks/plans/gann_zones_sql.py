@@ -139,6 +139,45 @@ CONFLUENCE = upto("factored", NOW_STEPS + meetings() + """ select symbol, anchor
     from (select *, cast(row_number() over (partition by symbol, anchor_id order by r) as integer) as rank from met)""")
 
 
+def _projection() -> str:
+    """State, parts of the structural fit, and the main scenario: beyond the 1x1 line two strong meetings, else the best one, else the nearest level, else two ATR."""
+    at = lambda r: g._line(r, "a.latest", 0.25)
+    ok = lambda r: f"(now_close - ({at(r)})) * a.sign >= 0"
+    states = "case when direction = 'up' then ['STRONG_BULL', 'BULL', 'NEUTRAL', 'BEAR'][s] else ['STRONG_BEAR', 'BEAR', 'NEUTRAL', 'BULL'][s] end"
+    pair = "struct_pack(lo := zone_low, hi := zone_high, z := score)"
+    return NOW_STEPS + meetings() + f""", pmet as (select *, row_number() over (partition by symbol, anchor_id order by r) as rank from met
+    ), pstate as (
+        select *, {states} as state from (select a.*, case when {ok(2.0)} then 1 when {ok(1.0)} then 2 when {ok(0.5)} then 3 else 4 end as s, {g.rounded(at(1.0), 6)} as one, {g.rounded(at(0.5), 6)} as slow from view a)
+    ), pbest as (
+        select p.symbol, p.anchor_id, max(m.score) as confluence, arg_min(m.angle, m.rank) as top_angle, arg_min(m.mid, m.rank) as top_mid from pstate p join pmet m using (symbol, anchor_id) group by 1, 2
+    ), pbeyond as (
+        select p.symbol, p.anchor_id, list({pair} order by m.rank) as far, list({pair} order by m.rank) filter (where m.score >= 65) as strong from pstate p join pmet m using (symbol, anchor_id) where (m.mid - p.one) * p.sign > 0 group by 1, 2
+    ), plevel as (
+        select p.symbol, p.anchor_id, arg_min(l.level, abs(l.level - p.one)) as level from pstate p join zlevel l using (symbol, anchor_id) where (l.level - p.one) * p.sign > 0 group by 1, 2
+    ), pwindow as (
+        select symbol, anchor_id, max(score) as time_cycle, arg_min(center, center) filter (where score >= 55) as shown, arg_min(center_time, center) filter (where score >= 55) as shown_time,
+               arg_max(center, (score, -center)) as most, arg_max(center_time, (score, -center)) as most_time from windows group by 1, 2
+    ), p0 as (
+        select p.*, b.confluence as best, b.top_angle, b.top_mid, {g.rounded('p.anchor_score', 1)} as anchor_quality, case when state like 'STRONG%' then 85.0::double when state = 'NEUTRAL' then 50.0::double else 70.0::double end as angle_state,
+               coalesce(w.time_cycle, 0.0::double) as time_cycle, coalesce(b.confluence, 0.0::double) as confluence, case when p.aligned then 80.0::double else 50.0::double end as higher_timeframe, coalesce(w.shown, w.most) as window_center,
+               coalesce(w.shown_time, w.most_time) as window_time, f.strong, f.far, coalesce(l.level, p.one + p.sign * p.atr * 2) as near
+        from pstate p left join pbest b using (symbol, anchor_id) left join pbeyond f using (symbol, anchor_id) left join plevel l using (symbol, anchor_id) left join pwindow w using (symbol, anchor_id)
+    ), p1 as (
+        select *, anchor_score * 0.45::double + case when state = 'NEUTRAL' then 12.0::double else 25.0::double end + coalesce(list_max(list_transform(strong[1:3], lambda x: x.z)), 0.0::double) * 0.2::double as go,
+               anchor_score * 0.35::double + case when state = 'NEUTRAL' then 25.0::double else 15.0::double end + 15 as stop from p0
+    ), projection as (
+        select symbol, anchor_id, direction, cast(position as integer) as position, cast(confirm as integer) as confirm, anchor_score as score, {g.rounded('price', 6)} as price, {g.rounded('atr', 6)} as atr, {g.rounded('atr * 0.25::double', 8)} as price_unit, state,
+               anchor_quality, angle_state, time_cycle, confluence, higher_timeframe, {g.rounded('(anchor_quality + angle_state + time_cycle + confluence + higher_timeframe) / 5 / 100', 3)} as structural_fit, direction as path,
+               {g.rounded('1 / (1 + exp((stop - go) / 12))', 4)} as confidence, one as trigger, slow as invalidation, case when len(strong) > 0 then strong[1].lo when far is not null then far[1].lo else {g.rounded('near - atr * 0.25::double', 6)} end as target_low,
+               case when len(strong) > 0 then strong[1].hi when far is not null then far[1].hi else {g.rounded('near + atr * 0.25::double', 6)} end as target_high, window_center, window_time, top_angle, top_mid from p1
+    )"""
+
+
+PROJECTION = upto("factored", _projection() + " select * from projection")
+ANALYSIS = upto("factored", _projection() + f""" select * exclude (gap), {g.rounded('gap', 1)} as score_gap, gap < 8 as ambiguous, score < 35 as low_confidence from (
+    select *, coalesce(score - lead(score) over w, 100.0::double) as gap, count(*) over (partition by symbol) as alternatives from projection window w as (partition by symbol order by score desc, confirm desc) qualify row_number() over w = 1)""")
+
+
 def _events() -> str:
     returns = ", ".join(f"{g.rounded(f'r{h} * sign', 6)} as return_{h}, r{h} * sign > 0 as correct_{h}" for h in RETURNS)
     in_atr = lambda x: g.rounded(f"greatest(0.0::double, {x}) / atr", 3)
