@@ -39,7 +39,7 @@ class Pair:
     pieces too if no piece has a space behind another character; so that both may encode chunks one by one.
     """
 
-    def __init__(self, path_a: str, path_b: str, most: int = 200 << 20):
+    def __init__(self, path_a: str, path_b: str, most: int = 320 << 20):
         import sentencepiece
 
         self.cut = Pretokens(path_a)
