@@ -537,6 +537,14 @@ def scenarios(bars: DataFrame, horizontal: DataFrame | None = None, conf: Config
     return g.select("symbol", "anchor_id", both.alias("s"), "windows").select("symbol", "anchor_id", "s.*", "windows")
 
 
+def flat(scen: DataFrame) -> DataFrame:
+    """Scenarios with their (at most two) targets as columns and their windows' centres as text."""
+    zone = lambda i, j: F.get(F.get("target_zones", F.lit(i)), F.lit(j))
+    keep = [c for c in scen.columns if c not in ("target_zones", "windows")]
+    centers = F.array_join(F.transform("windows", lambda w: w["center"].cast("string")), ",")
+    return scen.select(*keep, zone(0, 0).alias("target_low"), zone(0, 1).alias("target_high"), zone(1, 0).alias("second_low"), zone(1, 1).alias("second_high"), F.coalesce(centers, F.lit("")).alias("window_centers"))
+
+
 def projection(bars: DataFrame, horizontal: DataFrame | None = None, conf: Config = Config(), higher: DataFrame | None = None, horizon: int = 12, cap: int = CAP, parts: Parts | None = None) -> DataFrame:
     """One row per active anchor: its state, what its structure scores, and its main scenario with target, first window and best meeting.
 

@@ -185,7 +185,8 @@ def history(bars: DataFrame, lookahead: int = 20, least: int = 80, most: int = 4
     found = candidates(known).join(spans, ["symbol", "scale", "at"]).join(size, "symbol")
     found = found.withColumns({"start": F.greatest("at", F.lit(least)), "end": F.least(F.coalesce("until", F.col("n")), F.col("n") - lookahead)}).filter(F.col("start") < F.col("end"))
     # the first bar of its time at which a candidate isn't lost already
-    seen = found.join(sample.select("symbol", F.col("pos").alias("at_pos"), "close"), "symbol").filter((F.col("at_pos") >= F.col("start")) & (F.col("at_pos") < F.col("end")))
+    lives = found.withColumn("at_pos", F.explode(F.sequence(F.col("start").cast("int"), (F.col("end") - 1).cast("int"))))
+    seen = lives.join(sample.select("symbol", F.col("pos").alias("at_pos"), "close"), ["symbol", "at_pos"])
     alive = F.when(F.col("path") > 0, F.col("close") >= F.col("invalidation")).otherwise(F.col("close") <= F.col("invalidation"))
     keys = ["symbol", "scale", "pattern", "direction", "status", "positions"]
     rest = ["fit", "path", "confirmation", "invalidation", "zone_low", "zone_high", "close"]

@@ -30,10 +30,11 @@ class Structure:
     def __init__(self, side: int):
         self.side, self.names, self.events = side, NAMES[side], []
         self.phase, self.spring, self.strength, self.outside = "B", None, None, 0
+        self.kinds: set[int] = set()
 
     def step(self, pos, low, high, close, support, resistance, atr, volume, spread, location, prior) -> str | None:
         """Advance by one bar; returns the event that the bar adds, at most one."""
-        seen, width, first = {e["kind"] for e in self.events}, resistance - support, self.events[0] if self.events else None
+        seen, width, first = self.kinds, resistance - support, self.events[0] if self.events else None
         calm, kind, phase = self.strength is None, None, self.phase
         event = {"pos": pos, "low": low, "volume": round(volume, 3), "followed": False}
         if calm and 0 not in seen and prior <= -0.035 and low <= support + atr * 0.25 and volume >= 1.25 and spread >= 1.0 and location >= 0.42:
@@ -58,6 +59,7 @@ class Structure:
             last = self.events[-1] if self.events else None
             if not (last and last["kind"] == kind and pos - last["pos"] <= COOLDOWN):  # the phase has moved all the same
                 self.events.append(event)
+                self.kinds.add(kind)
                 added = self.names[kind]
         self.outside = self.outside + 1 if close > resistance else 0
         if self.strength is not None and self.outside >= 2:
@@ -87,6 +89,7 @@ def _replay(g: pd.DataFrame) -> pd.DataFrame:
     edges = lambda a, b: (float(np.quantile(low[a:b], 0.12)), float(np.quantile(high[a:b], 0.88)))
     (support, resistance), start, above, below = edges(0, LOOKBACK), 0, 0, 0
     both = {s: Structure(s) for s in (1, -1)}
+    sums: dict[int, tuple] = {}
     for i in range(LOOKBACK, len(g)):
         margin = (atr[i] if atr[i] == atr[i] else 0.0) * 0.35
         above = above + 1 if close[i] > resistance + margin else 0
@@ -102,11 +105,16 @@ def _replay(g: pd.DataFrame) -> pd.DataFrame:
             if usable:
                 lo, hi = (low[i], high[i]) if side > 0 else (-high[i], -low[i])
                 added = s.step(i, lo, hi, side * close[i], *view, atr[i], vr[i], sr[i], loc[i] if side > 0 else 1 - loc[i], side * prior[i])
-            v = [min(1.6, max(0.4, e["volume"])) for e in s.events]
+            # sums over a range's events change with an event or its follow-through only
+            state = (len(s.events), *(e is not None and e["followed"] for e in (s.spring, s.strength)))
+            if sums.get(side, (None,))[0] is not s or sums[side][1] != state:
+                v = [min(1.6, max(0.4, e["volume"])) for e in s.events]
+                sums[side] = (s, state, len(s.kinds), float(np.mean(v)) if v else None, sum(e["followed"] for e in s.events))
+            _, _, kinds, mean, followed = sums[side]
             ends = side * s.invalid(*view, atr[i]) if atr[i] == atr[i] else None
             name = s.names[s.events[-1]["kind"]] if s.events else "Trading Range"
             strong = any(e["kind"] == 5 for e in s.events[-10:]) or s.phase == "E"
-            out.append((symbol, i, side, s.phase, name, added, start, support, resistance, len(s.events), len({e["kind"] for e in s.events}), float(np.mean(v)) if v else None, sum(e["followed"] for e in s.events), ends, strong))
+            out.append((symbol, i, side, s.phase, name, added, start, support, resistance, len(s.events), kinds, mean, followed, ends, strong))
     return pd.DataFrame(out, columns=[c.split()[0] for c in cols])
 
 

@@ -320,6 +320,7 @@ _rows("gann_confluence_events", lambda b: gann.confluence_events(b), gann_zones_
 _rows("gann_confluence_study", lambda b: gann.confluence_study(gann.confluence_events(b)), gann_zones_sql.STUDY)
 _gann("gann_scenarios", lambda b, p, h: gann.scenarios(b, levels.nearest_levels(b), higher=h, parts=p))
 _gann("gann_snapshots", lambda b, p, h: gann.snapshots(gann.scenarios(b, levels.nearest_levels(b), higher=h, parts=p)))
+_gann("gann_scenario_targets", lambda b, p, h: gann.flat(gann.scenarios(b, levels.nearest_levels(b), higher=h, parts=p)), gann_zones_sql.SCENARIOS)
 _gann("gann_projection", lambda b, p, h: gann.projection(b, levels.nearest_levels(b), higher=h, parts=p), gann_zones_sql.PROJECTION)
 _gann("gann_analysis", lambda b, p, h: gann.analysis(gann.projection(b, levels.nearest_levels(b), higher=h, parts=p)), gann_zones_sql.ANALYSIS)
 _rows("latest_indicators", lambda b: bt.rounded(levels.latest(b)), upto("enriched", f"select symbol, datetime, {r6(*[c for c in levels.LATEST if c != 'pct_change'])}, {r6('pct_change')} from (select *, (close / lag(close) over (partition by symbol order by pos) - 1) * 100 as pct_change from enriched) qualify row_number() over (partition by symbol order by pos desc) = 1"))

@@ -173,6 +173,22 @@ def _projection() -> str:
     )"""
 
 
+def _scenarios() -> str:
+    """Both scenarios of each anchor with up to two targets and windows."""
+    around = lambda x: f"[struct_pack(lo := {g.rounded(f'{x} - atr * 0.25::double', 6)}, hi := {g.rounded(f'{x} + atr * 0.25::double', 6)})]"
+    slim = "list_transform({}, lambda x: struct_pack(lo := x.lo, hi := x.hi))"
+    return _projection() + f""", swin as (
+        select symbol, anchor_id, list(center order by center) filter (where score >= 55) as shown, [arg_max(center, (score, -center))] as most from windows group by 1, 2
+    ), sboth as (
+        select p.*, s.name, case when len(w.shown) > 0 then w.shown[1:2] else coalesce(w.most, []) end as shown_windows, case when s.name = 'break_1x1' then direction when direction = 'up' then 'down' else 'up' end as path,
+               case when s.name = 'break_1x1' then go else stop end as points, case when s.name = 'break_1x1' then 1 / (1 + exp((stop - go) / 12)) else 1 - 1 / (1 + exp((stop - go) / 12)) end as q,
+               case when s.name = 'reject_1x1' then {around('slow')} when len(strong) > 0 then {slim.format('strong[1:2]')} when far is not null then {slim.format('far[1:1]')} else {around('near')} end as targets
+        from p1 p cross join (values ('break_1x1'), ('reject_1x1')) s(name) left join swin w using (symbol, anchor_id)
+    ) select symbol, anchor_id, name as scenario, path, {g.rounded('points', 1)} as scenario_score, {g.rounded('q', 4)} as confidence, {g.rounded('q * 0.65::double', 4)} as effective_confidence, one as trigger,
+             case when name = 'break_1x1' then slow else one end as invalidation, targets[1].lo as target_low, targets[1].hi as target_high, targets[2].lo as second_low, targets[2].hi as second_high, array_to_string(shown_windows, ',') as window_centers from sboth"""
+
+
+SCENARIOS = upto("factored", _scenarios())
 PROJECTION = upto("factored", _projection() + " select * from projection")
 ANALYSIS = upto("factored", _projection() + f""" select * exclude (gap), {g.rounded('gap', 1)} as score_gap, gap < 8 as ambiguous, score < 35 as low_confidence from (
     select *, coalesce(score - lead(score) over w, 100.0::double) as gap, count(*) over (partition by symbol) as alternatives from projection window w as (partition by symbol order by score desc, confirm desc) qualify row_number() over w = 1)""")
