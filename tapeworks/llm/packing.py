@@ -30,7 +30,7 @@ class WordIds(dict):
     go through the whole tokenizer, whose tables of letters, cases and compositions may be of another Unicode version.
     """
 
-    def __init__(self, path: str, most: int = 40 << 20):
+    def __init__(self, path: str, most: int = 64 << 20):
         import json
 
         import regex
@@ -52,7 +52,7 @@ class WordIds(dict):
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
-        # a string of n characters and its ids take about 200 + 5 n bytes, with their places in both dictionaries
+        # a string of n characters and its ids take about 200 + 5 n bytes, with their place here
         size = 200 * len(new) + 5 * sum(map(len, new))
         if self and self.held + size > self.most:
             self.clear()
@@ -60,10 +60,10 @@ class WordIds(dict):
             self.held, new = 0, list(words)
             size = 200 * len(new) + 5 * sum(map(len, new))
         self.held += size
-        known, marks = self.pretokens, self.marks
+        known, marks, plain = self.pretokens, self.marks, self.plain
         rest, odd = [], []
         for w in new:  # most are letters with at most one mark behind them
-            if not self.plain(w):
+            if not plain(w):
                 odd.append(w)
                 continue
             core, tail = (w, b"") if w.isalpha() else (w[:-1], marks.get(w[-1]))
@@ -71,9 +71,10 @@ class WordIds(dict):
                 rest.append(w)
                 continue
             low = core.lower()
-            if (ids := known.get(low)) is None:
-                ids = known[low] = self.pretoken(low)
-            self[w] = ids + tail
+            if (ids := self.get(low)) is None:  # a word in lower case is its own pre-token
+                ids = self[low] = self.pretoken(low)
+            if low != w:
+                self[w] = ids + tail
         joined = "\n".join(rest)
         if any(s in joined for s in self.special):
             odd += [w for w in rest if any(s in w for s in self.special)]
