@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,6 +25,10 @@ from tapeworks.llm.common import bounded, gapless_rank, in_worker, materialize,
 from tapeworks.llm.pretokens import LETTERS
 
 
+#: Whether this machine's unsigned ints are little-endian numbers of 32 bits.
+NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
+
+
 class WordIds(dict):
     """Ids of a string without ASCII white space as little-endian uint32 bytes; emptied when its strings hold too many bytes.
 
@@ -43,11 +50,11 @@ class WordIds(dict):
             raise ValueError("not a lower-casing tokenizer that drops white space")
         self.tok, self.most = Tokenizer.from_file(path), most
         self.find = regex.compile(steps["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\n").findall
-        self.plain = re.compile(f"[!-~{LETTERS}]+").fullmatch
+        self.plain = re.compile(f"[!-~{LETTERS}\n]*").fullmatch
         self.special = [t["content"][:2] for t in steps["added_tokens"]]
         self.pretokens: dict[str, bytes] = {}
         self.held = 0
-        self.chars = byte_chars()
+        self.model, self.chars = self.tok.model, "".join(byte_chars())
         self.marks = {c: self.pretoken(c) for c in ".,;:!?|)"}
 
     def learn(self, words: set[str]) -> None:
@@ -62,10 +69,10 @@ class WordIds(dict):
         self.held += size
         known, marks, plain = self.pretokens, self.marks, self.plain
         rest, odd = [], []
+        if not plain("\n".join(new)):
+            odd = [w for w in new if not plain(w)]
+            new = [w for w in new if plain(w)]
         for w in new:  # most are letters with at most one mark behind them
-            if not plain(w):
-                odd.append(w)
-                continue
             core, tail = (w, b"") if w.isalpha() else (w[:-1], marks.get(w[-1]))
             if tail is None or not core.isalpha():
                 rest.append(w)
@@ -95,12 +102,11 @@ class WordIds(dict):
                 self[w] = pack_ids(e.ids)
 
     def pretoken(self, p: str) -> bytes:
-        mapped = p if p.isascii() and p.isalnum() else "".join([self.chars[b] for b in p.encode("utf-8", "replace")])
-        return pack_ids([t.id for t in self.tok.model.tokenize(mapped)])
+        return pack_ids([t.id for t in self.model.tokenize(charmap_decode(p.encode("utf-8", "replace"), "strict", self.chars)[0])])
 
 
 def pack_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return array("I", ids).tobytes() if NATIVE else struct.pack(f"<{len(ids)}I", *ids)
 
 
 def token_bytes(texts: list[str | None], words: WordIds, end_id: int) -> list[bytes]:
