@@ -14,7 +14,7 @@ from tapeworks.operators import charts, decision, factors, gann, indicators, lev
 from tapeworks.plans import gann_sql, gann_zones_sql, level_sql, wave_sql
 from tapeworks.plans.sql import FACTORS, NAMES, r6, upto
 from tapeworks.sources import bars as src
-from tapeworks.sources import catalog, series, vendor
+from tapeworks.sources import catalog, records, series, vendor
 from tapeworks.sources.tables import kept, scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -567,3 +567,17 @@ def _(spark, sf_dir):
     wanted = e.select("symbol").distinct().select("symbol", F.lit("stock").alias("asset_type"), F.lit("daily").alias("period"), F.lit("none").alias("adjust"), day("2024-01-10").alias("start"), day("2024-01-20").alias("end"))
     got, _rest = vendor.fetch(spark, wanted, [primary, fallback])
     return got.groupBy("symbol", "source").agg(F.count(F.lit(1)).alias("rows"), F.to_date(F.min("datetime")).alias("first_day"), F.to_date(F.max("datetime")).alias("last_day"))
+
+
+@query("records_round_trip", upto("bars", """select symbol, count(*) filter (where pos % 10 <> 3 and pos % 7 <> 5) as rows, count(*) filter (where pos % 10 = 3) as no_object, count(*) filter (where pos % 10 <> 3 and pos % 7 = 5) as unreadable,
+    max(case when pos % 10 <> 3 and pos % 7 <> 5 then datetime end) as last_bar, floor(sum(case when pos % 10 <> 3 and pos % 7 <> 5 then volume end) + 0.5) as volume from bars group by 1"""))
+def _(spark, sf_dir):
+    made = records.export(src.event_bars(spark, sf_dir), ["symbol", "pos"])
+    # some records are cut short, in some the close is a word
+    broken = F.when(F.col("pos") % 10 == 3, F.substring("payload", 1, 20)).when(F.col("pos") % 7 == 5, F.regexp_replace("payload", r'"close":[^,}]+', '"close":"much"')).otherwise(F.col("payload"))
+    rows, bad = records.rebuild(made.withColumn("payload", broken), "datetime timestamp_ntz, open double, high double, low double, close double, volume double, amount double", ["symbol", "pos"])
+    each = rows.select("symbol", "datetime", "volume", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("symbol", "reason"), allowMissingColumns=True)
+    good = F.col("reason").isNull()
+    return each.groupBy("symbol").agg(
+        F.count_if(good).alias("rows"), F.count_if(F.col("reason") == "no object").alias("no_object"), F.count_if(F.col("reason") == "unreadable: close").alias("unreadable"), F.max("datetime").alias("last_bar"), F.round(F.sum("volume")).alias("volume"),
+    )
