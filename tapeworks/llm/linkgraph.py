@@ -61,35 +61,47 @@ def host_edges(pages: DataFrame, url_col: str, html_col: str, host: str = "host"
     return linked.union(family).filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, most: int = 200, every: int = 4) -> DataFrame:
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-3, every: int = 4, task_edges: int = 100_000) -> DataFrame:
     """(kind, host, rank): PageRank that restarts at the seeds, for all kinds at once; each kind's ranks sum to 1.
 
     ``edges`` are (kind, src, dst, w), ``seeds`` (kind, host, weight), both of one row per key. What leaves at hosts
     without links goes back to the seeds, which is the same as scaling the result to 1 at the end. A round sends on only
     what the round before has moved: one join on the edges, which stay partitioned by their source, and one
-    pre-aggregated sum, written as a table. It ends when what has not been sent on yet is at most ``tolerance`` of all.
+    pre-aggregated sum, written as a table and added to the running ranks every few rounds. A source of more than
+    ``task_edges`` links is dealt to as many parts as that makes, and what it sends goes to each of them. Each round moves
+    at most ``damping`` of the one before, so that it ends: when what has not been sent on is at most ``tolerance`` of all.
     """
     spark = edges.sparkSession
-    out = edges.groupBy("kind", "src").agg(F.sum("w").alias("total"))
-    share = materialize(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("total")).alias("p")), "pagerank-edges")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = share.repartition(parts, "kind", "src").persist()  # lost partitions come again from the table
-    moved = [materialize(seeds.select("kind", "host", (F.col("weight") * (1 - damping)).alias("rank")), "pagerank-moved")]
-    for k in range(1, most + 1):
-        last = moved[-1].select("kind", F.col("host").alias("src"), "rank").repartition(parts, "kind", "src")
-        sent = share.join(last, ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg((F.sum(F.col("p") * F.col("rank")) * damping).alias("rank"))
-        moved.append(materialize(sent, "pagerank-moved"))
+    out = edges.groupBy("kind", "src").agg(F.sum("w").alias("total"), F.ceil(F.count(F.lit(1)) / task_edges).cast("int").alias("parts"))
+    out = materialize(out, "pagerank-sources")
+    part = F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part")
+    share = materialize(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", part, (F.col("w") / F.col("total")).alias("p")), "pagerank-edges")
+    heavy = materialize(out.filter("parts > 1").select("kind", "src", "parts"), "pagerank-heavy")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = share.repartition(tasks, "kind", "src", "part").persist()  # lost partitions come again from the table
+    last = rank = materialize(seeds.select("kind", "host", (F.col("weight") * (1 - damping)).alias("rank")), "pagerank-moved")
+    waiting: list[DataFrame] = []
+    k, left = 0, 1.0
+    while left > tolerance:
+        each = last.select("kind", F.col("host").alias("src"), "rank").join(heavy, ["kind", "src"], "left")
+        each = each.select("kind", "src", "rank", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")).repartition(tasks, "kind", "src", "part")
+        sent = share.join(each, ["kind", "src", "part"]).groupBy("kind", F.col("dst").alias("host")).agg((F.sum(F.col("p") * F.col("rank")) * damping).alias("rank"))
+        last = materialize(sent, "pagerank-moved")
+        waiting.append(last)
+        k += 1
         if k % every == 0:
-            left = {r["kind"]: r["rank"] for r in moved[-1].groupBy("kind").agg(F.sum("rank").alias("rank")).collect()}  # a row per kind
-            if max(left.values(), default=0.0) * damping / (1 - damping) <= tolerance:
-                break
-    all_moved = moved[0]
-    for m in moved[1:]:
-        all_moved = all_moved.union(m)
-    rank = materialize(all_moved.groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "pagerank-ranks")
+            # a row per kind; what these moved is still to be sent on damping times, damping squared times, and so on
+            now = {r["kind"]: r["rank"] for r in last.groupBy("kind").agg(F.sum("rank").alias("rank")).collect()}
+            left = max(now.values(), default=0.0) * damping / (1 - damping)
+            every_rank = rank
+            for m in waiting:
+                every_rank = every_rank.union(m)
+            done, rank = rank, materialize(every_rank.groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "pagerank-ranks")
+            discard(done, *waiting[:-1])
+            waiting = []
     share.unpersist()
-    discard(*moved)
     totals = {r["kind"]: r["rank"] for r in rank.groupBy("kind").agg(F.sum("rank").alias("rank")).collect()}
+    discard(out, heavy, last)
     scale = F.lit(1.0)
     for kind, total in totals.items():
         scale = F.when(F.col("kind") == kind, F.lit(total)).otherwise(scale)

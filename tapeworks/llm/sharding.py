@@ -89,7 +89,10 @@ def _fill(weights: list[tuple[float, int]], goal: float) -> list[int]:
 def assign(units: DataFrame, shards: int, bins: int = 1024, least: int = 16, most: int = 64, rounds: int = 12) -> DataFrame:
     """``units`` (uid, bytes, and the columns of DIMS as doubles, uid unique) with a column shard from 0 to shards - 1.
 
-    A border has up to ``most`` units, and ``least`` if there are, so that dealing them evens out the two sides.
+    A border has up to ``most`` units, and ``least`` if there are, so that dealing them evens out the two sides. It closes
+    in by ``bins`` at a time, at most ``rounds`` times a level, which tells values apart that differ by the range's
+    ``bins ** rounds``-th part, far below a double's precision; units that are together after that are equal in all
+    dimensions, and are dealt to the two sides by a hash of their uid, however many they are.
     """
     spark = units.sparkSession
     whole = units.agg(*_ranges()).first()
