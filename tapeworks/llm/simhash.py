@@ -262,9 +262,12 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, le
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names=names)
         if id_type is not None:
-            parts = np.minimum(counts, 65535).astype("<u2").reshape(-1, CHUNK)
-            none = [pa.nulls(len(parts), t) for t in (id_type, *types)]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], names=names)
+            step = 16 * CHUNK  # the counts leave in small batches: as one they would be held three times over
+            for at in range(0, BUCKETS, step):
+                parts = np.minimum(counts[at : at + step], 65535).astype("<u2").reshape(-1, CHUNK)
+                none = [pa.nulls(len(parts), t) for t in (id_type, *types)]
+                numbers = np.arange(at // CHUNK, at // CHUNK + len(parts), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([*none, pa.array(numbers), pa.array([x.tobytes() for x in parts], pa.binary())], names=names)
 
     # one pass over the texts for all that is small; each task's counts come last, as rows of their own
     both = materialize(texts.mapInArrow(in_worker(first_pass), made_type), "simhash-sets")
