@@ -295,8 +295,8 @@ def test_revisits(spark):
         (7, None, 7, 404, None, None), (8, "http://a.com/x?b=2&a=1", 8, 200, {}, "p8"), (9, "http://a.com/x?a=1&b=2", 9, 304, None, None),
     ]
     df = spark.createDataFrame(rows, "id long, url string, ts long, status int, headers map<string,string>, payload string")
-    for buckets in (1, 4, 64):
-        got = {r["id"]: r for r in revisit.resolve(df, buckets).collect()}
+    for bucket_rows, kind in ((1, "long"), (4, "string"), (64, "timestamp"), (2, "decimal(12,3)")):
+        got = {r["id"]: r for r in revisit.resolve(df.withColumn("ts", F.col("ts").cast(kind)), bucket_rows).collect()}
         assert {k: r["outcome"] for k, r in got.items()} == {1: "full", 2: "resolved", 3: "full", 4: "mismatch", 5: "resolved", 6: "orphan", 7: "other", 8: "full", 9: "resolved"}
         assert got[2]["payload"] == "p1" and got[2]["headers"] == {"etag": "W/1", "date": "d2", "server": "s"}
         assert got[5]["payload"] == "p3" and got[9]["payload"] == "p8" and got[4]["payload"] is None
@@ -310,8 +310,8 @@ def test_revisits_of_repeated_rows_and_clashing_columns(spark):
         (None, "http://a.com/x", None, 304, None, None, None), (3, None, 5, 304, {}, None, None), (None, None, 4, 200, {"etag": "n"}, "pn", None),
     ]
     df = spark.createDataFrame(rows, "id long, url string, ts long, status int, headers map<string,string>, payload string, outcome string").withColumns({"source_id": F.lit("x"), "key": F.lit(1), "__key": F.lit(2)})
-    for buckets in (1, 8):
-        out = revisit.resolve(df, buckets)
+    for bucket_rows in (1, 8):
+        out = revisit.resolve(df, bucket_rows)
         assert sorted(out.columns) == sorted(df.columns)
         got = sorted((str(r["id"]), r["url"] or "", r["outcome"], str(r["source_id"]), str(r["payload"])) for r in out.collect())
         assert got == sorted(
