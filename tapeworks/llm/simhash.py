@@ -380,13 +380,15 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, le
     first = materialize(some.groupBy("token").agg(F.min(F.struct("of", "id", "left", "n")).alias("f")), "simhash-first")
     star = side(some, "y", "b").join(side(first.select("token", "f.*"), "x", "a"), "token").filter((F.col("x") != F.col("y")) & fits)
     group = merged(group, similar(materialize(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-star")))
-    # then all members of any two groups that still share a shingle
+    # then the members of any two groups that still share a shingle, where their sizes and its places leave enough to share
     some = some.drop("of").join(group.toDF("id", "of"), "id", "left").withColumn("of", F.coalesce("of", "id"))
     some = of_several(materialize(some, "simhash-tokens"))
-    groups = materialize(some.select("token", "of").distinct(), "simhash-token-groups")
-    two = groups.toDF("token", "x").join(groups.toDF("token", "y"), "token").filter("x < y")
-    both = two.join(side(some, "x", "a"), ["token", "x"]).join(side(some, "y", "b"), ["token", "y"])
-    return merged(group, similar(materialize(both.filter(fits).select("a", "b").distinct(), "simhash-met")))
+    # sizes and places meet first, each once per group: many members of one group are one row there; members follow where these fit
+    shapes = materialize(some.select("token", "of", "left", "n").distinct(), "simhash-shapes")
+    shape = lambda x, i: shapes.select("token", F.col("of").alias(x), F.col("left").alias(f"l{i}"), F.col("n").alias(f"n{i}"))
+    two = materialize(shape("x", "a").join(shape("y", "b"), "token").filter((F.col("x") < F.col("y")) & fits), "simhash-fits")
+    both = two.join(side(some, "x", "a"), ["token", "x", "la", "na"]).join(side(some, "y", "b"), ["token", "y", "lb", "nb"])
+    return merged(group, similar(materialize(both.select("a", "b").distinct(), "simhash-met")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, sketch_size: int = 256) -> DataFrame:
