@@ -66,18 +66,18 @@ def nullable(schema: T.StructType) -> T.StructType:
 
 
 #: Bytes of an Arrow batch that takes texts to Python.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose Arrow batches have at most 4 MB; a smaller bound of the user's own stays.
+    """``df``, in a session whose Arrow batches have at most 1 MB; a smaller bound of the user's own stays.
 
     Texts have no bound, so that the usual bound on a batch's rows bounds nothing: ten thousand long documents would be
     held by the JVM and again by Python. Spark reads this setting when it plans a result that the caller may run at any
     later time, so it can't be put back here; it changes how rows are handed over, never what they are.
     """
     key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
-    now = df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key, "4m"))
+    now = df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key, "64m"))
     if now <= 0 or now > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return df
