@@ -22,7 +22,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tapeworks.llm.common import bounded, connected_components, discard, in_worker, materialize, slices
 
@@ -395,7 +394,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """``docs`` with the document of smallest id of each group of near copies; all columns and null ids stay.
 
     Groups are the components of texts whose ``shingle``-word shingle sets have the similarity or more. Different texts
-    of one id are documents of their own, and of rows equal in id and text one stays.
+    of one id are documents of their own; rows equal in id and text are one document, and stay or go together.
     """
     # where ids repeat, which one pass over them tells, a document is known by its id and its text
     counted = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("__n"))
@@ -405,10 +404,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     parts = similar_groups(keyed, "__key", text_col, shingle, similarity, sketch_size)
     gone = parts.filter("node <> component").select(F.col("node").alias("__id"))
     kept = keyed.join(gone, F.col("__key") == F.col("__id"), "left_anti")
-    if repeated:
-        # maps have no order; they play no part in which of the equal documents stays
-        told = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-        one = Window.partitionBy("__key").orderBy(F.xxhash64(*(F.col(c) for c in told)))
-        some = kept.filter("__key is not null").withColumn("__n", F.row_number().over(one)).filter("__n = 1").drop("__n")
-        kept = some.unionByName(kept.filter("__key is null"))
     return kept.drop("__key")
