@@ -77,14 +77,17 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0
     part = F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part")
     share = materialize(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", part, (F.col("w") / F.col("total")).alias("p")), "pagerank-edges")
     heavy = materialize(out.filter("parts > 1").select("kind", "src", "parts"), "pagerank-heavy")
+    divided = bool(heavy.take(1))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     share = share.repartition(tasks, "kind", "src", "part").persist()  # lost partitions come again from the table
     last = rank = materialize(seeds.select("kind", "host", (F.col("weight") * (1 - damping)).alias("rank")), "pagerank-moved")
     waiting: list[DataFrame] = []
     k, left = 0, 1.0
     while left > tolerance:
-        each = last.select("kind", F.col("host").alias("src"), "rank").join(heavy, ["kind", "src"], "left")
-        each = each.select("kind", "src", "rank", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")).repartition(tasks, "kind", "src", "part")
+        each = last.select("kind", F.col("host").alias("src"), "rank", F.lit(0).alias("part"))
+        if divided:
+            each = each.join(heavy, ["kind", "src"], "left").select("kind", "src", "rank", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        each = each.repartition(tasks, "kind", "src", "part")
         sent = share.join(each, ["kind", "src", "part"]).groupBy("kind", F.col("dst").alias("host")).agg((F.sum(F.col("p") * F.col("rank")) * damping).alias("rank"))
         last = materialize(sent, "pagerank-moved")
         waiting.append(last)
