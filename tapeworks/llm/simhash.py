@@ -47,13 +47,18 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
+def signed(fp: int) -> int:
+    """The 64 bits as Spark's long."""
+    return fp - (fp >> 63 << 64)
+
+
 def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
     """(id, fp): fp is the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1000):
-            fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
+            fps = [signed(fingerprint(t, shingle)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(in_worker(run), f"id {kind}, fp bigint")
@@ -119,9 +124,9 @@ def links(prints: DataFrame, hot: int = 64) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4000):
-            fps, node = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            fps = b.column(0).to_numpy(zero_copy_only=False)
             row, at, home = anchors(fps)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(fps[row]), pa.array(node[row]), pa.array(home)], names=["anchor", "fp", "node", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(fps[row]), b.column(1).take(pa.array(row)), pa.array(home)], names=["anchor", "fp", "node", "home"])
 
     kind = prints.schema["node"].dataType.simpleString()
     copies = prints.select("fp", "node").mapInArrow(in_worker(spread), f"anchor int, fp bigint, node {kind}, home boolean")
@@ -165,8 +170,6 @@ def fingerprint_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-#: Odd multipliers that turn one hash of a shingle into several (fixed values).
-MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 #: Sketches whose similarity is this near the limit don't decide: six standard errors of a sketch of 256.
 MARGIN = 0.15
 #: Buckets of hashed shingles whose counts order the shingles, and buckets in one row of counts.
@@ -182,17 +185,6 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.frombuffer(b"".join([digest(s, 42) for s in map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False))]), ">u8").astype(np.uint64)
 
 
-def least_hashes(h: np.ndarray) -> list[int]:
-    """The least of the hashes under each of the multipliers: two sets share one with their similarity as probability."""
-    out = []
-    for m in MULTIPLIERS if len(h) else ():
-        x = h * m
-        x ^= x >> np.uint64(29)
-        x *= MULTIPLIERS[1]
-        out.append(int((x ^ x >> np.uint64(32)).min().view(np.int64)))
-    return out
-
-
 def prefix(h: np.ndarray, levels: np.ndarray, least: float) -> np.ndarray:
     """The rarest shingles of a set (different hashes ``h``), in the order of all sets: by their bucket's level, then by hash.
 
@@ -236,9 +228,9 @@ def probably_in(rows: DataFrame, ids: DataFrame, bits: int = 1 << 26) -> DataFra
 def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, size: int) -> DataFrame:
     """(node, component) of texts that have a similar one; components are those of all pairs whose shingle sets have the similarity ``least`` or more.
 
-    Equal sets are one class, tied to its smallest id. Texts that share one of four least hashes are held against the
-    smallest id that has it; that is linear and ties most copies into groups. The rest is exact, by the prefix filter: in
-    one order of all shingles, rare ones first, two similar sets share a shingle among the first (1 - least) of each, at
+    Equal sets are one class, tied to its smallest id. Classes meet by SimHash, as in ``near_duplicates``: fingerprints
+    at most two bits apart link at the anchors of the covering code, and the texts that they stand for are held against
+    each other. What these two bits leave apart, though similar, is met by the prefix filter: in one order of all shingles, rare ones first, two similar sets share a shingle among the first (1 - least) of each, at
     places that leave both enough to share. All pairs that do are met, but for those within a group: shingles of one
     group alone are left out, and pairs are made between the groups of a shingle, never within one. The order comes
     from counts by hashed bucket, of bounded size; it moves work only, never a result. Sketches then decide, and near
@@ -246,18 +238,18 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, le
     """
     kind = docs.schema[id_col].dataType.simpleString()
     texts = bounded(docs).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    made_type = f"id {kind}, whole binary, n int, least array<bigint>, s array<int>, chunk int, counts binary"
+    made_type = f"id {kind}, whole binary, n int, fp bigint, s array<int>, chunk int, counts binary"
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts = ["id", "whole", "n", "least", "s", "chunk", "counts"], np.zeros(BUCKETS, np.uint32)
-        types = [pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        names, counts = ["id", "whole", "n", "fp", "s", "chunk", "counts"], np.zeros(BUCKETS, np.uint32)
+        types = [pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
         id_type = None
         for b in slices(batches, 200):
             id_type, rows = b.schema.field(0).type, []
             for t in b.column(1).to_pylist():
                 h = np.unique(shingle_hashes(t, shingle))
                 np.add.at(counts, (h % np.uint64(BUCKETS)).astype(np.int64), np.uint32(1))
-                rows.append((xxhash.xxh3_128_digest(h.tobytes()), len(h), least_hashes(h), sketch(h, shingle, size)))
+                rows.append((xxhash.xxh3_128_digest(h.tobytes()), len(h), signed(fingerprint(t)), sketch(h, shingle, size)))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names=names)
         if id_type is not None:
@@ -270,18 +262,17 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, le
 
     # one pass over the texts for all that is small; each task's counts come last, as rows of their own
     both = materialize(texts.mapInArrow(in_worker(first_pass), made_type), "simhash-sets")
-    made = both.filter("chunk is null").select("id", "whole", "n", "least", "s")
+    made = both.filter("chunk is null").select("id", "whole", "n", "fp", "s")
     # the classes are a table of their own: joined straight from their aggregation, a large class's rows couldn't be split
     classes = materialize(made.groupBy("whole").agg(F.min("id").alias("node")), "simhash-classes")
     equal = made.select("id", "whole").join(classes, "whole").filter("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
     equal = materialize(equal.distinct(), "simhash-equal")
     reps = materialize(classes.select(F.col("node").alias("id")).distinct(), "simhash-reps")
 
-    each = made.join(reps, "id").select("id", "n", F.posexplode("least").alias("table", "h"))
-    first = materialize(each.groupBy("table", "h").agg(F.min(F.struct("id", "n")).alias("to")), "simhash-first")
-    alike = (F.col("id") != F.col("to.id")) & (F.least("n", "to.n") >= least * F.greatest("n", "to.n") - 1e-6)
-    rough = each.join(first, ["table", "h"]).filter(alike).select(F.col("to.id").alias("a"), F.col("id").alias("b"))
-    rough = materialize(rough.distinct(), "simhash-candidates")
+    prints = materialize(made.join(reps, "id").groupBy("id").agg(F.min("fp").alias("fp")), "simhash-fp")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("node")), "simhash-distinct")
+    alike = prints.join(distinct, "fp").filter("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    rough = materialize(alike.union(links(distinct)).distinct(), "simhash-candidates")
 
     def summed(rows: pa.Table) -> np.ndarray:
         total = np.zeros(CHUNK, np.int64)
@@ -393,7 +384,8 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, le
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, sketch_size: int = 256) -> DataFrame:
     """``docs`` with the document of smallest id of each group of near copies; all columns and null ids stay.
 
-    Groups are the components of texts whose ``shingle``-word shingle sets have the similarity or more. Different texts
+    Groups are the components of texts whose ``shingle``-word shingle sets have the similarity or more; they meet by
+    SimHash and the covering code first, then by what these leave apart. Different texts
     of one id are documents of their own; rows equal in id and text are one document, and stay or go together.
     """
     # where ids repeat, which one pass over them tells, a document is known by its id and its text

@@ -1,11 +1,15 @@
 """The pipeline against its parts, stage by stage."""
 
+import itertools
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tapeworks.llm import packing, secrets, simhash, toxicity
 from tapeworks.llm.common import materialize
 from tapeworks.llm.queries import WORD_TOKENIZER
+from tests.llm.test_dedup import components, plain_fingerprint
 
 
 def test_pipeline(spark, sf_dir):
@@ -59,3 +63,32 @@ def test_near_dedup_where_ids_repeat(spark):
     assert got == sorted([(0, a), (0, a), (1, a), (2, c), (2, c), (4, "")])
     unique = spark.createDataFrame([(1, a, "x"), (2, c, "x"), (3, a, "x")], "doc_id long, text string, node string")
     assert sorted(r["doc_id"] for r in simhash.keep_one(unique).collect()) == [1, 2]
+
+
+def test_near_dedup_meets_texts_by_simhash(spark, monkeypatch):
+    """What is held against each other first are the fingerprints at most two bits apart, all of them."""
+    g = random.Random(17)
+    rows = []
+    for _ in range(40):
+        t = [f"w{g.randrange(10**6)}" for _ in range(g.choice((60, 300, 900)))]
+        for i in range(4):
+            rows.append(" ".join(t))
+            t[g.randrange(len(t))] = f"new{i}"
+    fps = [plain_fingerprint(t) for t in rows]
+    links = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if (fps[a] ^ fps[b]).bit_count() <= 2]
+    assert len([1 for a, b in links if fps[a] != fps[b]]) > 20
+    met = []
+    write = simhash.materialize
+
+    def told(df, name):
+        out = write(df, name)
+        if name == "simhash-candidates":
+            met.extend((r["a"], r["b"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", told)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    assert components(len(rows), met) == components(len(rows), links)
+    assert all((fps[a] ^ fps[b]).bit_count() <= 2 for a, b in met)
+    assert set(range(0, len(rows), 4)) <= kept and len(kept) < len(rows)
