@@ -142,14 +142,15 @@ def links(prints: DataFrame, hot: int = 64) -> DataFrame:
     cool = homes.join(count.filter(F.col("n") <= hot), "at", "left_semi").select("at", "hfp", "hnode")
     marks = count.filter(F.col("n") > hot).select("at", F.lit(None).cast("long").alias("hfp"), F.lit(None).cast(kind).alias("hnode"))
     near = (F.col("hfp") < F.col("fp")) & (F.bit_count(F.col("hfp").bitwiseXOR(F.col("fp"))) <= 2)
-    met = copies.join(cool.union(marks), (F.col("anchor") == F.col("at")) & (F.col("hfp").isNull() | near))
+    # Spark takes copies for as large as the fingerprints they are made of, and would broadcast them: their joins are merged
+    met = copies.hint("merge").join(cool.union(marks), (F.col("anchor") == F.col("at")) & (F.col("hfp").isNull() | near))
     met = materialize(met.select("fp", "node", "hfp", "hnode"), "simhash-met")
     pairs = met.filter("hfp is not null").select(F.col("hnode").alias("a"), F.col("node").alias("b"))
     cloud = met.filter("hfp is null").select("fp", "node").distinct()
     point = F.explode(F.concat(F.array(F.col("fp")), F.expr("transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i))")))
     points = cloud.select(point.alias("p"), "node")
     least = points.groupBy("p").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("p", "a")
-    tied = points.join(least, "p").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
+    tied = points.hint("merge").join(least.hint("merge"), "p").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
     return pairs.union(tied)
 
 

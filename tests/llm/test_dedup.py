@@ -68,6 +68,18 @@ def test_hot_anchor_ties_the_same_components(spark):
         assert [at.get(i, i) for i in range(len(fps))] == want
 
 
+def test_copies_for_anchors_and_points_are_not_broadcast(spark, monkeypatch):
+    """They are many times the fingerprints; Spark, which takes them for as large, broadcast them up to a million fingerprints."""
+    plans = []
+    write = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: plans.append(df) or write(df, name))
+    prints = write(spark.range(3000).selectExpr("xxhash64(id) as fp", "id as node"), "prints")
+    plans.append(simhash.links(prints))
+    met, tied = (df._jdf.queryExecution().executedPlan().toString() for df in plans)
+    assert "SortMergeJoin [anchor#" in met and "BroadcastHashJoin [anchor#" not in met
+    assert "SortMergeJoin [p#" in tied and "BroadcastHashJoin [p#" not in tied
+
+
 def test_anchors_meet_for_every_pair_within_two_bits():
     g = random.Random(3)
     for _ in range(200):
