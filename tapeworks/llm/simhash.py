@@ -264,15 +264,17 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, le
     # one pass over the texts for all that is small; each task's counts come last, as rows of their own
     both = materialize(texts.mapInArrow(in_worker(first_pass), made_type), "simhash-sets")
     made = both.filter("chunk is null").select("id", "whole", "n", "fp", "s")
+    # tables of a row per class, text or shingle are merged below: as Parquet they are several times smaller than what a
+    # broadcast of them holds, so that at some sizes Spark would send a hundred megabytes through the driver
     # the classes are a table of their own: joined straight from their aggregation, a large class's rows couldn't be split
     classes = materialize(made.groupBy("whole").agg(F.min("id").alias("node")), "simhash-classes")
-    equal = made.select("id", "whole").join(classes, "whole").filter("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    equal = made.select("id", "whole").join(classes.hint("merge"), "whole").filter("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
     equal = materialize(equal.distinct(), "simhash-equal")
     reps = materialize(classes.select(F.col("node").alias("id")).distinct(), "simhash-reps")
 
-    prints = materialize(made.join(reps, "id").groupBy("id").agg(F.min("fp").alias("fp")), "simhash-fp")
+    prints = materialize(made.join(reps.hint("merge"), "id").groupBy("id").agg(F.min("fp").alias("fp")), "simhash-fp")
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("node")), "simhash-distinct")
-    alike = prints.join(distinct, "fp").filter("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    alike = prints.hint("merge").join(distinct.hint("merge"), "fp").filter("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
     rough = materialize(alike.union(links(distinct)).distinct(), "simhash-candidates")
 
     def summed(rows: pa.Table) -> np.ndarray:
@@ -347,21 +349,21 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, le
     # most tokens are of one text alone: they are counted, after partial sums, and stay where they are
     twice = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token"), "simhash-twice")
     some = probably_in(tokens.select(F.col("token").alias("id"), F.struct("id", F.expr("n - place").alias("left"), "n").alias("t")), twice.toDF("id"))
-    some = some.select(F.col("id").alias("token"), "t.*").join(twice, "token").join(group.toDF("id", "of"), "id", "left")
+    some = some.select(F.col("id").alias("token"), "t.*").join(twice.hint("merge"), "token").join(group.toDF("id", "of").hint("merge"), "id", "left")
     some = materialize(some.select("token", "id", "left", "n", F.coalesce("of", "id").alias("of")), "simhash-tokens")
 
     def merged(group: DataFrame, links_: DataFrame) -> DataFrame:
         """``group`` with the groups of linked texts as one."""
         for side in "ab":
-            links_ = links_.join(group.toDF(side, f"of_{side}"), side, "left").withColumn(side, F.coalesce(f"of_{side}", side)).drop(f"of_{side}")
+            links_ = links_.join(group.toDF(side, f"of_{side}").hint("merge"), side, "left").withColumn(side, F.coalesce(f"of_{side}", side)).drop(f"of_{side}")
         wider = materialize(connected_components(links_.select("a", "b"), "simhash-cc"), "simhash-wider")
-        inner = group.join(wider.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        inner = group.hint("merge").join(wider.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         return materialize(inner.union(wider).distinct(), "simhash-groups")
 
     def of_several(some: DataFrame) -> DataFrame:
         """The shingles that texts of more than one group have; those of one group alone make no pairs."""
         shared = some.groupBy("token").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).filter("lo < hi").select("token")
-        return materialize(some.join(materialize(shared, "simhash-shared"), "token"), "simhash-tokens")
+        return materialize(some.join(materialize(shared, "simhash-shared").hint("merge"), "token"), "simhash-tokens")
 
     # a pair's first shared shingle has nothing shared before it
     fits = F.least("la", "lb") >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-6
@@ -369,16 +371,16 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, le
     # first each text against one text of the shingle's first group, which is linear: most that is left of a large group joins it
     some = of_several(some)
     first = materialize(some.groupBy("token").agg(F.min(F.struct("of", "id", "left", "n")).alias("f")), "simhash-first")
-    star = side(some, "y", "b").join(side(first.select("token", "f.*"), "x", "a"), "token").filter((F.col("x") != F.col("y")) & fits)
+    star = side(some, "y", "b").join(side(first.select("token", "f.*"), "x", "a").hint("merge"), "token").filter((F.col("x") != F.col("y")) & fits)
     group = merged(group, similar(materialize(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-star")))
     # then the members of any two groups that still share a shingle, where their sizes and its places leave enough to share
-    some = some.drop("of").join(group.toDF("id", "of"), "id", "left").withColumn("of", F.coalesce("of", "id"))
+    some = some.drop("of").join(group.toDF("id", "of").hint("merge"), "id", "left").withColumn("of", F.coalesce("of", "id"))
     some = of_several(materialize(some, "simhash-tokens"))
     # sizes and places meet first, each once per group: many members of one group are one row there; members follow where these fit
     shapes = materialize(some.select("token", "of", "left", "n").distinct(), "simhash-shapes")
     shape = lambda x, i: shapes.select("token", F.col("of").alias(x), F.col("left").alias(f"l{i}"), F.col("n").alias(f"n{i}"))
-    two = materialize(shape("x", "a").join(shape("y", "b"), "token").filter((F.col("x") < F.col("y")) & fits), "simhash-fits")
-    both = two.join(side(some, "x", "a"), ["token", "x", "la", "na"]).join(side(some, "y", "b"), ["token", "y", "lb", "nb"])
+    two = materialize(shape("x", "a").hint("merge").join(shape("y", "b"), "token").filter((F.col("x") < F.col("y")) & fits), "simhash-fits")
+    both = two.hint("merge").join(side(some, "x", "a").hint("merge"), ["token", "x", "la", "na"]).join(side(some, "y", "b").hint("merge"), ["token", "y", "lb", "nb"])
     return merged(group, similar(materialize(both.select("a", "b").distinct(), "simhash-met")))
 
 
@@ -396,5 +398,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     keyed = docs.withColumn("__key", F.when(F.col(id_col).isNotNull(), own))
     parts = similar_groups(keyed, "__key", text_col, shingle, similarity, sketch_size)
     gone = parts.filter("node <> component").select(F.col("node").alias("__id"))
-    kept = keyed.join(gone, F.col("__key") == F.col("__id"), "left_anti")
+    kept = keyed.join(gone.hint("merge"), F.col("__key") == F.col("__id"), "left_anti")
     return kept.drop("__key")

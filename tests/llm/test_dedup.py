@@ -237,6 +237,20 @@ def test_keep_one_joins_a_group_of_near_copies_without_meeting_all_pairs(spark,
     assert sizes["simhash-met"] + sizes["simhash-candidates"] < 12 * len(rows)
 
 
+def test_keep_one_broadcasts_no_table_by_shingle(spark, monkeypatch):
+    """As Parquet such tables are small; a broadcast of them took a hundred megabytes."""
+    plans = []
+    write = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    g = random.Random(14)
+    rows = [" ".join(f"w{g.randrange(400)}" for _ in range(30)) for _ in range(20)]
+    rows += [r + " other" for r in rows[:8]]
+    assert kept_of(spark, rows) == exact_kept(rows)
+    assert {"simhash-tokens", "simhash-star", "simhash-fits", "simhash-met", "simhash-equal"} <= {name for name, _ in plans}
+    for name, plan in plans:
+        assert "BroadcastHashJoin [token" not in plan and "BroadcastHashJoin [whole" not in plan, name
+
+
 def test_keep_one_finds_every_shape_just_above_the_limit(spark):
     g = random.Random(12)
     rows, n = [], 0
