@@ -139,6 +139,30 @@ def test_subspace_join_equals_brute_force(spark):
         assert got == [(i, n[i], at[i], i == at[i]) for i in range(len(rows))]
 
 
+def test_subspace_cells_meet_every_near_pair_and_few_others(monkeypatch):
+    """With four random blocks of 3,000 vectors less than half of all ordered pairs are held against each other; it was three times all."""
+    g = np.random.default_rng(7)
+    base = g.standard_normal((2000, 64))
+    step = g.standard_normal((1000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    step -= (step * base[:1000]).sum(1, keepdims=True) * base[:1000]
+    step /= np.linalg.norm(step, axis=1, keepdims=True)
+    cos = g.uniform(0.95, 0.96, (1000, 1))
+    near = cos * base[:1000] + np.sqrt(1 - cos**2) * step
+    z = subspace.rotated(np.concatenate([base, near]), subspace.rotation(64))
+    share = subspace.reached(0.1**0.5, 64) / 4
+    conf = {"bits": 8, "width": 16, "share": share, "half": np.float32(share / 2 * (1 << subspace.SQUARES))}
+    done, at_most = [], subspace.Tile.at_most
+    monkeypatch.setattr(subspace.Tile, "at_most", lambda self, a, b, plus, most: done.append(len(a) * b.shape[1] * (plus is None)) or at_most(self, a, b, plus, most))
+    met = set()
+    for k in range(4):
+        tile = subspace.Tile(k, np.arange(3000), z[:, 16 * k : 16 * k + 16], conf)
+        for h, p in tile.hits(z[:, 16 * k : 16 * k + 16]):
+            met |= {(min(x), max(x)) for x in zip(tile.ids[h].tolist(), p.tolist(), strict=True)}
+    assert {(i, 2000 + i) for i in range(1000)} <= met
+    assert sum(done) < 0.5 * 3000**2
+
+
 def test_subspace_of_tiny_and_huge_vectors(spark):
     v = np.random.default_rng(6).standard_normal(64)
     rows = [(0, (v * 1e-200).tolist()), (1, (v * 1e200).tolist()), (2, v.tolist()), (3, (-v * 1e-160).tolist())]
